@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
+SCORE_DECIMALS = 12
 
 
 def tokens(text: F.Column) -> F.Column:
@@ -145,7 +146,8 @@ def cosine_topk(items: DataFrame, queries: DataFrame, k: int, *, item_id: str =
         rows_out, cols_out, sc_out = [], [], []
         step = max(1, 4_000_000 // max(1, len(ids)))    # bound the score matrix in memory
         for s in range(0, len(q), step):
-            scores = q[s:s + step] @ x.T
+            # 12 decimals: exact copies tie whatever row order the BLAS kernel used
+            scores = np.round(q[s:s + step] @ x.T, SCORE_DECIMALS)
             r, c = _local_topk(scores, k, id_rank)
             rows_out.append(r + s)
             cols_out.append(c)

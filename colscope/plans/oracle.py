@@ -264,8 +264,8 @@ def sparse_topk_sql(items: str, queries: str, k: int) -> str:
     """items/queries: (id, bucket, weight); (query_id, id, score, rank)."""
     s = (f"SELECT q.id AS query_id, d.id AS id, sum(q.weight * d.weight) AS score FROM {queries} q "
          f"JOIN {items} d ON q.bucket = d.bucket GROUP BY ALL")
-    return (f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank "
-            f"FROM ({s})) WHERE rank <= {k})")
+    return (f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) "
+            f"AS rank FROM ({s})) WHERE rank <= {k})")
 
 
 VEC_ITEMS = ("(SELECT CASE WHEN vec_id = low THEN 'vec.t' || label ELSE 'vec.t' || label || '.c' || vec_id END AS id, "
@@ -281,7 +281,7 @@ def vec_candidates_sql(n: int) -> str:
     s = (f"SELECT q.vec_id AS query_id, i.id, i.type, i.database, i.\"table\", i.\"column\", i.data_type, "
          f"i.business_name, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), i.vector) AS score "
          f"FROM embeddings q JOIN {VEC_ITEMS} i ON true")
-    return (f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) "
+    return (f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) "
             f"AS cand_rank FROM ({s})) WHERE cand_rank <= {n})")
 
 
@@ -578,7 +578,7 @@ def oracle_queries() -> dict[str, str]:
         f"SELECT key, state, p_business_name AS business_name, p_description AS description, "
         f"array_to_string(coalesce(p_keywords, CAST([] AS VARCHAR[])), ', ') AS keywords_text FROM {parse_sql(replies, 'reply')}")
     out["annotation_merge"] = (f"SELECT database, \"table\", \"column\", business_name, description, "
-                               f"coalesce(keywords_text, '') AS keywords_text FROM ({catalog_rows_sql(cc, ct)})")
+                               f"keywords_text FROM ({catalog_rows_sql(cc, ct)})")
     cols_v = ", ".join(f"({lit(t)}, {lit(c)})" for t in sorted(SCHEMAS) for c, _ in SCHEMAS[t])
     out["name_variants"] = (f"SELECT \"table\", \"column\", array_to_string({name_variants_sql(chr(34) + 'column' + chr(34))}, ', ') "
                             f"AS variants FROM (VALUES {cols_v}) v(\"table\", \"column\")")
@@ -654,8 +654,8 @@ def oracle_queries() -> dict[str, str]:
     out["preview"] = (
         f"SELECT {trunc_sql('CAST(o_orderkey AS VARCHAR)', 80)} AS o_orderkey, "
         f"{trunc_sql('o_orderpriority', 80)} AS o_orderpriority, {trunc_sql(jfloat('o_totalprice'), 80)} AS o_totalprice, "
-        f"{trunc_sql('CAST(o_orderdate AS VARCHAR)', 80)} AS o_orderdate FROM orders "
-        f"ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+        f"{trunc_sql('CAST(o_orderdate AS VARCHAR)', 80)} AS o_orderdate FROM "
+        f"(SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20)")
     amt = "CAST(l_extendedprice AS DECIMAL(18, 2))"
     out["reconcile_totals"] = (
         f"WITH a AS (SELECT l_returnflag, l_linestatus, sum({amt}) AS total FROM lineitem GROUP BY ALL), "
