@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colscope.functions.text import py_strip
+from colscope.plans.sizing import spread
 
 # ---- fixed values: the rule patterns, matched in this order, case-insensitive ----
 INJECTION_PATTERNS = [
@@ -76,23 +77,30 @@ def statement_types(sql: Column) -> Column:
 def audit(log: DataFrame, sql_col: str = "sql", allow_write: bool = False) -> DataFrame:
     """G4 over a SQL log: adds ``is_valid, error_type, rule, statement_type``.
 
-    ``rule`` is the matching pattern (or ``statement:<TYPE>`` / ``empty``)."""
+    ``rule`` is the matching pattern (or ``statement:<TYPE>`` / ``empty``).
+    Each rule family is evaluated once into its own column (separate
+    projections), then the verdict is read off those columns."""
     sql = F.coalesce(F.col(sql_col), F.lit(""))
     allowed = WRITE_TYPES if allow_write else READ_TYPES
-    inj = first_hit(sql, INJECTION_PATTERNS)
-    dang = first_hit(sql, DANGEROUS_PATTERNS)
-    types = statement_types(sql)
-    bad_type = F.filter(types, lambda t: ~t.isin(*allowed))
-    empty = py_strip(sql) == ""
+    base = (spread(log)
+            .withColumn("_empty", py_strip(sql) == "")
+            .withColumn("_inj", first_hit(sql, INJECTION_PATTERNS))
+            .withColumn("_dang", first_hit(sql, DANGEROUS_PATTERNS))
+            .withColumn("_types", statement_types(sql)))
+    bad_type = F.filter(F.col("_types"), lambda t: ~t.isin(*allowed))
+    inj, dang, empty = F.col("_inj"), F.col("_dang"), F.col("_empty")
     inj_txt = F.element_at(F.array(*[F.lit(p) for p in INJECTION_PATTERNS]), inj + 1)
     dang_txt = F.element_at(F.array(*[F.lit(p) for p in DANGEROUS_PATTERNS]), dang + 1)
+    base = base.withColumn("_bad", F.try_element_at(bad_type, F.lit(1)))
+    bad = F.col("_bad")
     error_type = (F.when(empty, F.lit(SYNTAX_ERROR)).when(inj.isNotNull(), F.lit(INJECTION))
-                  .when(dang.isNotNull(), F.lit(DANGEROUS)).when(F.size(bad_type) > 0, F.lit(DANGEROUS)))
+                  .when(dang.isNotNull(), F.lit(DANGEROUS)).when(bad.isNotNull(), F.lit(DANGEROUS)))
     rule = (F.when(empty, F.lit("empty")).when(inj.isNotNull(), inj_txt).when(dang.isNotNull(), dang_txt)
-            .when(F.size(bad_type) > 0, F.concat(F.lit("statement:"), F.element_at(bad_type, 1))))
-    return (log.withColumn("error_type", error_type).withColumn("rule", rule)
+            .when(bad.isNotNull(), F.concat(F.lit("statement:"), bad)))
+    return (base.withColumn("error_type", error_type).withColumn("rule", rule)
             .withColumn("is_valid", F.col("error_type").isNull())
-            .withColumn("statement_type", F.when(~empty, F.array_join(types, ","))))
+            .withColumn("statement_type", F.when(~empty, F.array_join("_types", ",")))
+            .drop("_empty", "_inj", "_dang", "_types", "_bad"))
 
 
 def summary(audited: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colscope.plans.sizing import spread
+
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 SCORE_DECIMALS = 12
 
@@ -46,7 +48,8 @@ def bucket_of(token: F.Column, buckets: int) -> F.Column:
 
 def term_vectors(df: DataFrame, id_col: str, text_col: str, buckets: int = 4096) -> DataFrame:
     """V1: ``(id, bucket, weight)`` - unit-length term-frequency vectors."""
-    tf = (df.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("tok"))
+    tf = (spread(df.select(id_col, text_col))
+          .select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("tok"))
           .select("id", bucket_of(F.col("tok"), buckets).alias("bucket"))
           .groupBy("id", "bucket").agg(F.count(F.lit(1)).cast("double").alias("tf")))
     norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("id")))

@@ -31,3 +31,13 @@ def checked_broadcast(df: DataFrame, max_rows: int, row_bytes: int = 64,
     n = df.count()
     ok = fits(n, max_rows, row_bytes, max_bytes)
     return (F.broadcast(df) if ok else df), ok, n
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Make sure CPU-heavy per-row work (regex, tokenising, unpivoting) has at
+    least the cluster's parallelism: a round-robin repartition only when the
+    input arrives in fewer partitions (a single large file or row group). On
+    real inputs split into many files this returns ``df`` unchanged."""
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
