@@ -38,6 +38,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     least the cluster's parallelism: a round-robin repartition only when the
     input arrives in fewer partitions (a single large file or row group). On
     real inputs split into many files this returns ``df`` unchanged."""
+    if df.isStreaming:
+        return df      # a stream keeps its source's parallelism
     sc = df.sparkSession.sparkContext
     want = min_partitions or sc.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
