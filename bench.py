@@ -38,7 +38,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, app="colscope-bench")
-    spark.conf.set("spark.sql.shuffle.partitions", str(max(8, int(cpus) * 2)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(8, int(cpus))))
     # warm-up: JVM code paths and Python workers (not timed)
     QUERIES["guard_injection"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}

@@ -34,6 +34,7 @@ from colscope.plans.sizing import spread
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 SCORE_DECIMALS = 12
+CHUNK_CELLS = 4_000_000      # bound on chunk x width and queries x chunk matrix cells
 
 
 def tokens(text: F.Column) -> F.Column:
@@ -83,29 +84,26 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / n
 
 
-def _local_topk(scores: np.ndarray, k: int, id_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row-wise top-k positions by (score desc, id asc). Returns (rows, cols)."""
+def _topk_idx(scores: np.ndarray, k: int, rank: np.ndarray) -> np.ndarray:
+    """Row-wise positions of the top-k by (score desc, id asc), as a (q, min(k, n))
+    matrix. ``rank`` gives each position's id order, shape (n,) or (q, n)."""
     q, n = scores.shape
     if n <= k:
-        return np.repeat(np.arange(q), n), np.tile(np.arange(n), q)
+        return np.tile(np.arange(n), (q, 1))
     part = np.argpartition(-scores, k - 1, axis=1)[:, :k]
     thr = np.take_along_axis(scores, part, axis=1).min(axis=1)
     ties = (scores >= thr[:, None]).sum(axis=1) > k
-    rows, cols = [np.repeat(np.arange(q), k)], [part.ravel()]
-    if ties.any():
-        keep = ~np.repeat(ties, k)
-        rows, cols = [rows[0][keep]], [cols[0][keep]]
-        for r in np.nonzero(ties)[0]:
-            cand = np.nonzero(scores[r] >= thr[r])[0]
-            order = np.lexsort((id_rank[cand], -scores[r, cand]))[:k]
-            rows.append(np.full(len(order), r))
-            cols.append(cand[order])
-    return np.concatenate(rows), np.concatenate(cols)
+    for r in np.nonzero(ties)[0]:          # rare: exact ties at the cut
+        cand = np.nonzero(scores[r] >= thr[r])[0]
+        rr = rank[r] if rank.ndim == 2 else rank
+        part[r] = cand[np.lexsort((rr[cand], -scores[r, cand]))[:k]]
+    return part
 
 
 def cosine_topk(items: DataFrame, queries: DataFrame, k: int, *, item_id: str = "id", query_id: str = "query_id",
                 item_vec: str = "vector", query_vec: str = "vector", sparse_dim: int | None = None,
-                item_blocks: int | None = None, queries_per_block: int = 1024) -> DataFrame:
+                item_blocks: int | None = None, items_per_block: int = 50_000,
+                queries_per_block: int = 1024, chunk_cells: int = CHUNK_CELLS) -> DataFrame:
     """V2: exact cosine top-k of every query over all items.
 
     Dense: ``item_vec``/``query_vec`` are ``array<float|double>`` columns.
@@ -116,7 +114,11 @@ def cosine_topk(items: DataFrame, queries: DataFrame, k: int, *, item_id: str =
     """
     spark = items.sparkSession
     if item_blocks is None:
-        item_blocks = max(items.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+        # ~items_per_block items per block, and at least the cluster's cores
+        # when there are enough items; each query is replicated once per block
+        n_items = items.count()
+        cores = spark.sparkContext.defaultParallelism
+        item_blocks = max(1, math.ceil(n_items / items_per_block), min(cores, math.ceil(n_items / 1000)))
     n_q = queries.count()
     q_blocks = max(1, math.ceil(n_q / queries_per_block))
     id_type = items.schema[item_id].dataType
@@ -134,29 +136,35 @@ def cosine_topk(items: DataFrame, queries: DataFrame, k: int, *, item_id: str =
     out_schema = T.StructType([T.StructField("_qid", qid_type), T.StructField("_iid", id_type),
                                T.StructField("score", T.DoubleType())])
     dim = sparse_dim
+    cells = chunk_cells
 
     def score_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"_qid": pd.Series(dtype=object), "_iid": pd.Series(dtype=object),
                                  "score": pd.Series(dtype="float64")})
-        if dim is None:
-            x, q = _unit(_dense(left["_iv"])), _unit(_dense(right["_qv"]))
-        else:
-            x, q = _unit(_sparse_to_dense(left["_ii"], left["_iv"], dim)), \
-                _unit(_sparse_to_dense(right["_qi"], right["_qv"], dim))
+        q = _unit(_dense(right["_qv"]) if dim is None else _sparse_to_dense(right["_qi"], right["_qv"], dim))
         ids = left["_iid"].to_numpy()
         id_rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-        rows_out, cols_out, sc_out = [], [], []
-        step = max(1, 4_000_000 // max(1, len(ids)))    # bound the score matrix in memory
-        for s in range(0, len(q), step):
+        width = q.shape[1]
+        # items are densified and scored in chunks, so memory stays bounded
+        # whatever the block size; a running top-k per query is kept
+        chunk = max(k, min(len(ids), cells // max(1, width), cells // max(1, len(q))))
+        best_s = np.empty((len(q), 0))
+        best_c = np.empty((len(q), 0), dtype=np.int64)
+        for c0 in range(0, len(ids), chunk):
+            part = left.iloc[c0:c0 + chunk]
+            x = _unit(_dense(part["_iv"]) if dim is None else _sparse_to_dense(part["_ii"], part["_iv"], dim))
             # 12 decimals: exact copies tie whatever row order the BLAS kernel used
-            scores = np.round(q[s:s + step] @ x.T, SCORE_DECIMALS)
-            r, c = _local_topk(scores, k, id_rank)
-            rows_out.append(r + s)
-            cols_out.append(c)
-            sc_out.append(scores[r, c])
-        r, c, sc = np.concatenate(rows_out), np.concatenate(cols_out), np.concatenate(sc_out)
-        return pd.DataFrame({"_qid": right["_qid"].to_numpy()[r], "_iid": ids[c], "score": sc})
+            s = np.round(q @ x.T, SCORE_DECIMALS)
+            sel = _topk_idx(s, k, id_rank[c0:c0 + chunk])
+            all_s = np.concatenate([best_s, np.take_along_axis(s, sel, axis=1)], axis=1)
+            all_c = np.concatenate([best_c, sel + c0], axis=1)
+            keep = _topk_idx(all_s, k, id_rank[all_c])
+            best_s = np.take_along_axis(all_s, keep, axis=1)
+            best_c = np.take_along_axis(all_c, keep, axis=1)
+        rows = np.repeat(np.arange(len(q)), best_c.shape[1])
+        return pd.DataFrame({"_qid": right["_qid"].to_numpy()[rows], "_iid": ids[best_c.ravel()],
+                             "score": best_s.ravel()})
 
     local = ib.groupBy("_b", "_qb").cogroup(qb.groupBy("_b", "_qb")).applyInPandas(score_block, out_schema)
     w = Window.partitionBy("_qid").orderBy(F.col("score").desc(), F.col("_iid").asc())
