@@ -476,10 +476,17 @@ def table_docs_sql() -> str:
             f"THEN 'comment: ' || t.comment END) AS document FROM {ct} t LEFT JOIN {cols} c USING (database, \"table\"))")
 
 
+# DuckDB spellings where the dialects differ (same result, Spark's result types)
 PASS_SQL = {
     "pass_dates": (
-        "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n, "
-        "min(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE))) AS first_day FROM orders GROUP BY 1, 2"),
+        "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, count(*) AS n, "
+        "CAST(min(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE))) AS INTEGER) AS first_day "
+        "FROM orders GROUP BY 1, 2"),
+    "pass_window": (
+        "SELECT o_orderkey, o_custkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, "
+        "o_orderkey) AS INTEGER) AS rnk, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, "
+        "o_orderkey) AS prev_order, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey "
+        "ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last3 FROM orders"),
 }
 
 
@@ -662,7 +669,8 @@ def oracle_queries() -> dict[str, str]:
         f"r AS (SELECT l_returnflag, sum({amt}) AS total FROM lineitem GROUP BY ALL), "
         f"rp AS (SELECT l_returnflag, sum(total) AS parts FROM a GROUP BY ALL), "
         f"g AS (SELECT sum({amt}) AS total FROM lineitem), gp AS (SELECT sum(total) AS parts FROM r), "
-        f"x AS (SELECT 0 AS level, NULL AS l_returnflag, NULL AS l_linestatus, g.total, gp.parts FROM g, gp "
+        f"x AS (SELECT 0 AS level, CAST(NULL AS VARCHAR) AS l_returnflag, CAST(NULL AS VARCHAR) AS l_linestatus, "
+        f"g.total, gp.parts FROM g, gp "
         f"UNION ALL SELECT 1, r.l_returnflag, NULL, r.total, rp.parts FROM r LEFT JOIN rp USING (l_returnflag)) "
         f"SELECT level, l_returnflag, l_linestatus, CAST(total AS DOUBLE) AS total, CAST(parts AS DOUBLE) AS parts_sum, "
         f"CAST(total - coalesce(parts, 0) AS DOUBLE) AS diff, abs(total - coalesce(parts, 0)) <= 0 AS ok FROM x")

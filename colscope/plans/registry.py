@@ -76,7 +76,7 @@ def q_row_counts(spark, sf_dir):
 
 def q_sample_values(spark, sf_dir):
     p = _profile(spark, sf_dir, inclusions=False)
-    return _named(p, p.samples).select("table", "column", "position", "rank", "value")
+    return _named(p, p.samples).select("table", "column", "position", F.col("rank").cast("bigint"), "value")
 
 
 def q_null_ratio(spark, sf_dir):
@@ -249,13 +249,13 @@ def q_index_items(spark, sf_dir):
 # ------------------------------------------------------------------ V
 def q_term_vectors(spark, sf_dir):
     tv = term_vectors(fx.read(spark, sf_dir, "documents"), "doc_id", "text")
-    return tv.select("id", "bucket", F.round("weight", 9).alias("weight"))
+    return tv.select("id", F.col("bucket").cast("bigint"), F.round("weight", 9).alias("weight"))
 
 
 def q_cosine_topk(spark, sf_dir):
     items = fx.vector_items(spark, sf_dir)
     top = cosine_topk(items, fx.vector_queries(spark, sf_dir), 40, item_id="id", query_id="query_id")
-    return top.select("query_id", "id", "rank", F.round("score", R6).alias("score"))
+    return top.select("query_id", "id", F.col("rank").cast("bigint"), F.round("score", R6).alias("score"))
 
 
 def _sparse_docs(spark, sf_dir):
@@ -268,7 +268,7 @@ def _sparse_docs(spark, sf_dir):
 def q_cosine_topk_sparse(spark, sf_dir):
     docs, qs = _sparse_docs(spark, sf_dir)
     top = cosine_topk(docs, qs, 5, item_id="id", query_id="query_id", sparse_dim=4096)
-    return top.select("query_id", "id", "rank", F.round("score", R6).alias("score"))
+    return top.select("query_id", "id", F.col("rank").cast("bigint"), F.round("score", R6).alias("score"))
 
 
 def _cands(spark, sf_dir, n=40):
@@ -276,7 +276,7 @@ def _cands(spark, sf_dir, n=40):
 
 
 def _fused_cols(df):
-    return df.select("query_id", "rank", "id", "type", F.round("original_score", R6).alias("original_score"),
+    return df.select("query_id", F.col("rank").cast("bigint"), "id", "type", F.round("original_score", R6).alias("original_score"),
                      F.round("table_boost", R6).alias("table_boost"), F.round("score", R6).alias("score"))
 
 
@@ -295,7 +295,7 @@ def q_context_text(spark, sf_dir):
 
 def q_ambiguity(spark, sf_dir):
     a = search.ambiguity(_cands(spark, sf_dir, 20), min_score=0.25, gap_tolerance=0.05, top_n=20)
-    return a.select("query_id", "rank", "table", "column", F.round("score", R6).alias("score"))
+    return a.select("query_id", F.col("rank").cast("bigint"), "table", "column", F.round("score", R6).alias("score"))
 
 
 # ------------------------------------------------------------------ E
@@ -319,7 +319,7 @@ def q_examples_add(spark, sf_dir):
 
 def q_examples_search(spark, sf_dir):
     h = _example_hits(spark, sf_dir)
-    return h.select("query_id", "rank", "log_id", F.round("score", R6).alias("score"),
+    return h.select("query_id", F.col("rank").cast("bigint"), "log_id", F.round("score", R6).alias("score"),
                     F.array_join("selected_columns", ", ").alias("selected_columns"))
 
 
