@@ -17,6 +17,10 @@ def add_examples(store: DataFrame, batch: DataFrame) -> DataFrame:
     """Append the batch rows whose ``log_id`` is not yet stored (anti-join);
     callers give ids (e.g. ``uuid()`` for new ones)."""
     cols = store.columns
+    if "log_id" not in batch.columns:
+        batch = batch.withColumn("log_id", F.lit(None).cast("string"))
+    # rows without an id get a random one, as ``learn`` does
+    batch = batch.withColumn("log_id", F.coalesce(F.col("log_id"), F.expr("uuid()")))
     new = batch.join(store.select("log_id"), "log_id", "left_anti")
     for c in cols:
         if c not in new.columns:

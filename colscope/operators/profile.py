@@ -372,26 +372,20 @@ def inclusion_candidates(spark: SparkSession, tables: Mapping[str, DataFrame], m
                      F.col("a.table").alias("fk_table"), F.col("a.column").alias("fk_column"),
                      F.col("b.table").alias("key_table"), F.col("b.column").alias("key_column"),
                      F.col("a.unique_count").alias("fk_distinct")))
-    # the pair list is metadata (bounded by columns x keys); materialise it locally
-    pair_rows = pairs.collect()
-    empty = spark.createDataFrame([], "fk_table string, fk_column string, key_table string, key_column string, "
-                                      "fk_distinct bigint")
-    if not pair_rows:
-        return empty
-    pairs_local = spark.createDataFrame(
-        [tuple(r) + (i,) for i, r in enumerate(pair_rows)],
-        T.StructType(pairs.schema.fields + [T.StructField("pair_id", T.LongType(), False)]))
-    fk_ids = {r["fk_col_id"] for r in pair_rows}
-    key_ids = {r["key_col_id"] for r in pair_rows}
-    fk_vals = fingerprints(tables, meta_rows, fk_ids).groupBy("col_id", "h1", "h2").agg(F.lit(1).alias("_one"))
-    key_vals = fingerprints(tables, meta_rows, key_ids).select(
-        F.col("col_id").alias("key_col_id"), "h1", "h2")
-    p_small = broadcast_if_small(pairs_local.select("pair_id", "fk_col_id", "key_col_id"),
-                                 len(pair_rows), max_broadcast_pairs)
-    expanded = (fk_vals.join(p_small, fk_vals.col_id == p_small.fk_col_id)
-                .select("pair_id", "key_col_id", "h1", "h2"))
+    # pairs come from the per-column stats (a local relation): counting them and
+    # listing the involved column ids touches metadata only, never data rows
+    n_pairs = pairs.count()
+    if n_pairs == 0:
+        return spark.createDataFrame([], "fk_table string, fk_column string, key_table string, "
+                                         "key_column string, fk_distinct bigint")
+    ids = pairs.select(F.collect_set("fk_col_id").alias("f"), F.collect_set("key_col_id").alias("k")).first()
+    fk_vals = (fingerprints(tables, meta_rows, set(ids["f"])).groupBy("col_id", "h1", "h2")
+               .agg(F.lit(1).alias("_one")).withColumnRenamed("col_id", "fk_col_id"))
+    key_vals = fingerprints(tables, meta_rows, set(ids["k"])).select(F.col("col_id").alias("key_col_id"), "h1", "h2")
+    p_small = broadcast_if_small(pairs.select("fk_col_id", "key_col_id"), n_pairs, max_broadcast_pairs)
+    expanded = fk_vals.join(p_small, "fk_col_id").select("fk_col_id", "key_col_id", "h1", "h2")
     matched = (expanded.join(key_vals, ["key_col_id", "h1", "h2"], "left_semi")
-               .groupBy("pair_id").agg(F.count(F.lit(1)).alias("matched")))
-    return (pairs_local.join(matched, "pair_id")
+               .groupBy("fk_col_id", "key_col_id").agg(F.count(F.lit(1)).alias("matched")))
+    return (pairs.join(matched, ["fk_col_id", "key_col_id"])
             .where(F.col("matched") == F.col("fk_distinct"))
             .select("fk_table", "fk_column", "key_table", "key_column", "fk_distinct"))
