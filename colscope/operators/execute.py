@@ -74,26 +74,27 @@ def reconcile(df: DataFrame, keys: list[str], measure: str, tolerance: float | D
     """Do the parts add up to the totals?
 
     ``rollup(keys)`` gives the sum at every level; each level-i total is
-    compared with the sum of its level-(i+1) children. Returns one row per
-    parent: ``level, <keys>, total, parts_sum, diff, ok``."""
+    compared with the sum of its level-(i+1) children. Parents and children are
+    unioned and grouped on the first i keys (null keys group together), so no
+    join is needed. Returns one row per parent:
+    ``level, <keys>, total, parts_sum, diff, ok``."""
     gid = "_gid"
-    r = df.rollup(*keys).agg(F.sum(measure).alias("total"), F.grouping_id().alias(gid))
+    r = df.rollup(*keys).agg(F.sum(measure).alias("_total"), F.grouping_id().alias(gid))
     n = len(keys)
     out = None
     for lvl in range(n):
         # rows grouped by exactly the first `lvl` keys, and by the first lvl+1
         parent_gid = (1 << (n - lvl)) - 1
         child_gid = (1 << (n - lvl - 1)) - 1
-        # a constant join column keeps level 0 (grand total) an equi-join
-        parents = r.where(F.col(gid) == parent_gid).withColumn("_k", F.lit(1))
-        kids = (r.where(F.col(gid) == child_gid).withColumn("_k", F.lit(1)).groupBy("_k", *keys[:lvl])
-                .agg(F.sum("total").alias("parts_sum")))
-        p, c = parents.alias("p"), kids.alias("c")
-        cond = F.col("p._k") == F.col("c._k")
-        for k in keys[:lvl]:      # null keys are a group of their own
-            cond = cond & F.col(f"p.{k}").eqNullSafe(F.col(f"c.{k}"))
-        j = p.join(c, cond, "left").select(F.lit(lvl).alias("level"), *[F.col(f"p.{k}") for k in keys],
-                                           F.col("p.total"), F.col("c.parts_sum"))
+        none = F.lit(None).cast(r.schema["_total"].dataType)
+        parents = r.where(F.col(gid) == parent_gid).select(*keys[:lvl], F.col("_total").alias("_t"), none.alias("_p"))
+        kids = r.where(F.col(gid) == child_gid).select(*keys[:lvl], none.alias("_t"), F.col("_total").alias("_p"))
+        j = (parents.unionByName(kids).groupBy(*keys[:lvl])
+             .agg(F.sum("_t").alias("total"), F.sum("_p").alias("parts_sum"), F.count("_t").alias("_np"))
+             .where(F.col("_np") > 0))
+        j = j.select(F.lit(lvl).alias("level"),
+                     *[F.col(k) if i < lvl else F.lit(None).cast(df.schema[k].dataType).alias(k)
+                       for i, k in enumerate(keys)], "total", "parts_sum")
         out = j if out is None else out.unionByName(j)
     diff = F.col("total") - F.coalesce(F.col("parts_sum"), F.lit(0))
     return out.withColumn("diff", diff).withColumn("ok", F.abs(F.col("diff")) <= F.lit(tolerance))
