@@ -32,7 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colscope.functions.text import canonical_text, fingerprint, norm_key
+from colscope.functions.text import _SEED2 as SEED2
+from colscope.functions.text import norm_key
 from colscope.plans.sizing import broadcast_if_small, spread
 from colscope.schemas import SCHEMA_COLUMNS
 from colscope.sources.tables import table_columns_meta
@@ -57,6 +58,56 @@ def _orderable(dt: T.DataType) -> bool:
     return True
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _norm_sql(name: str, dt: T.DataType) -> str:
+    c = _q(name)
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType)):
+        return f"CAST({c} AS BIGINT)"
+    if isinstance(dt, T.MapType):
+        return f"to_json({c})"
+    return c
+
+
+def fingerprint_sql(name: str, dt: T.DataType) -> tuple[str, str]:
+    """SQL text of :func:`colscope.functions.text.fingerprint` (same values).
+    Expressions are passed as text so that a wide table costs one call into
+    the JVM instead of one per expression node."""
+    v = _norm_sql(name, dt)
+    nn = f"{_q(name)} IS NOT NULL"
+    return (f"CASE WHEN {nn} THEN xxhash64({v}) END",
+            f"CASE WHEN {nn} THEN xxhash64({SEED2}, {v}) END")
+
+
+def canonical_text_sql(name: str, dt: T.DataType, qualifier: str = "") -> str:
+    """SQL text of :func:`colscope.functions.text.canonical_text`."""
+    c = qualifier + _q(name)
+    if isinstance(dt, (T.StringType, T.VarcharType, T.CharType)):
+        return c
+    if isinstance(dt, T.BinaryType):
+        return f"concat('<bytes:', CAST(octet_length({c}) AS STRING), '>')"
+    if isinstance(dt, T.MapType):
+        return f"to_json({c})"
+    return f"CAST({c} AS STRING)"
+
+
+def order_code_sql(name: str, fam: str | None) -> str:
+    """SQL text of :func:`order_code`."""
+    c = _q(name)
+    if fam == "integral":
+        return f"CAST({c} AS BIGINT)"
+    if fam == "date":
+        return f"CAST(unix_date({c}) AS BIGINT)"
+    if fam == "timestamp":
+        return f"unix_micros(CAST({c} AS TIMESTAMP))"
+    if fam == "string":
+        return (f"CAST(conv(rpad(hex(substring(encode(substring({c}, 1, 7), 'UTF-8'), 1, 7)), 14, '0'), 16, 10) "
+                f"AS BIGINT)")
+    return "CAST(NULL AS BIGINT)"
+
+
 def _meta_by_table(meta: Sequence[tuple]) -> dict[str, list[tuple]]:
     out: dict[str, list[tuple]] = {}
     for r in meta:
@@ -108,8 +159,8 @@ def fingerprints(tables: Mapping[str, DataFrame], meta: Sequence[tuple],
         for (_, _, _, name, _, _, _, _, col_id, _) in cols:
             if col_ids is not None and col_id not in col_ids:
                 continue
-            h1, h2 = fingerprint(df[f"`{name}`"], df.schema[name].dataType)
-            structs.append(F.struct(F.lit(col_id).alias("col_id"), h1.alias("h1"), h2.alias("h2")))
+            h1, h2 = fingerprint_sql(name, df.schema[name].dataType)
+            structs.append(f"named_struct('col_id', {col_id}, 'h1', {h1}, 'h2', {h2})")
         if structs:
             parts.append(long_form(df, structs).where(F.col("h1").isNotNull()))
     return _union_all(parts)
@@ -154,10 +205,9 @@ def exact_column_stats(tables: Mapping[str, DataFrame], meta: Sequence[tuple]) -
         df = tables[t]
         structs = []
         for (_, _, _, name, _, _, _, _, col_id, fam) in cols:
-            c = df[f"`{name}`"]
-            h1, h2 = fingerprint(c, df.schema[name].dataType)
-            structs.append(F.struct(F.lit(col_id).alias("col_id"), h1.alias("h1"), h2.alias("h2"),
-                                    order_code(c, fam).alias("code")))
+            h1, h2 = fingerprint_sql(name, df.schema[name].dataType)
+            structs.append(f"named_struct('col_id', {col_id}, 'h1', {h1}, 'h2', {h2}, "
+                           f"'code', {order_code_sql(name, fam)})")
         if structs:
             parts.append(long_form(df, structs))
     groups = (_union_all(parts).groupBy("col_id", "h1", "h2")
@@ -184,11 +234,11 @@ def sample_values(tables: Mapping[str, DataFrame], meta: Sequence[tuple], limit:
         w = Window.orderBy(*[F.col(f"`{k}`").asc_nulls_first() for k in keys]) if keys else \
             Window.orderBy(F.monotonically_increasing_id())
         head = head.withColumn("__rn", F.row_number().over(w))
-        structs = [F.struct(F.lit(col_id).alias("col_id"),
-                            canonical_text(head[f"`{name}`"], df.schema[name].dataType).alias("value"))
+        structs = [f"named_struct('col_id', {col_id}, 'value', {canonical_text_sql(name, df.schema[name].dataType)})"
                    for (_, _, _, name, _, _, _, _, col_id, _) in cols]
         if structs:
-            parts.append(head.select("__rn", F.inline(F.array(*structs))).where(F.col("value").isNotNull()))
+            arr = "inline(array(" + ", ".join(structs) + "))"
+            parts.append(head.selectExpr("__rn", arr).where(F.col("value").isNotNull()))
     if not parts:
         return None
     long = _union_all(parts)
@@ -211,8 +261,7 @@ def enum_values(tables: Mapping[str, DataFrame], meta: Sequence[tuple], col_ids:
     parts = []
     for t, cols in _meta_by_table(meta).items():
         df = tables[t]
-        structs = [F.struct(F.lit(col_id).alias("col_id"),
-                            canonical_text(df[f"`{name}`"], df.schema[name].dataType).alias("value"))
+        structs = [f"named_struct('col_id', {col_id}, 'value', {canonical_text_sql(name, df.schema[name].dataType)})"
                    for (_, _, _, name, _, _, _, _, col_id, _) in cols if col_id in col_ids]
         if structs:
             parts.append(long_form(df, structs).where(F.col("value").isNotNull()))
@@ -221,12 +270,16 @@ def enum_values(tables: Mapping[str, DataFrame], meta: Sequence[tuple], col_ids:
     return _union_all(parts).groupBy("col_id", "value").agg(F.count(F.lit(1)).alias("frequency"))
 
 
-def long_form(df: DataFrame, structs: list[Column]) -> DataFrame:
+def long_form(df: DataFrame, structs: list[Column] | list[str]) -> DataFrame:
     """Unpivot a list of same-typed struct expressions into rows of their fields.
 
     Built on ``DataFrame.unpivot`` (an Expand node, whole-stage codegen'd), which
     ran about twice as fast cold as ``inline(array(...))`` on lineitem."""
-    wide = spread(df).select(*[s.alias(f"__v{i}") for i, s in enumerate(structs)])
+    base = spread(df)
+    if structs and isinstance(structs[0], str):
+        wide = base.selectExpr(*[f"{s} AS __v{i}" for i, s in enumerate(structs)])
+    else:
+        wide = base.select(*[s.alias(f"__v{i}") for i, s in enumerate(structs)])
     return wide.unpivot([], [f"__v{i}" for i in range(len(structs))], "__k", "__v").select("__v.*")
 
 
