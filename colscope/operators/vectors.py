@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colscope.plans.sizing import spread
+from colscope.session import ship_package
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 SCORE_DECIMALS = 12
@@ -113,6 +114,7 @@ def cosine_topk(items: DataFrame, queries: DataFrame, k: int, *, item_id: str =
     (score desc, item id asc); score is the raw cosine.
     """
     spark = items.sparkSession
+    ship_package(spark)
     if item_blocks is None:
         # ~items_per_block items per block, and at least the cluster's cores
         # when there are enough items; each query is replicated once per block
