@@ -219,17 +219,57 @@ def exact_column_stats(tables: Mapping[str, DataFrame], meta: Sequence[tuple]) -
         F.min("code").alias("min_code"), F.max("code").alias("max_code"))
 
 
+def _top_unique_keys(tables: Mapping[str, DataFrame], names: Sequence[str], n: int) -> dict[str, list[str]]:
+    """For each table, the first ``n`` values (as text) of its first column,
+    which is known to be unique and non-null. One job for all tables: each
+    part reads that column only (a TakeOrderedAndProject per table)."""
+    parts = []
+    for t in names:
+        key = tables[t].schema.fields[0].name
+        parts.append(tables[t].select(F.col(f"`{key}`").alias("_k")).orderBy(F.col("_k").asc()).limit(n)
+                     .select(F.lit(t).alias("_t"), F.col("_k").cast("string").alias("_v")))
+    out: dict[str, list[str]] = {t: [] for t in names}
+    if parts:
+        for r in _union_all(parts).collect():
+            out[r["_t"]].append(r["_v"])
+    return out
+
+
+def _head_by_unique_key(df: DataFrame, values: list[str]) -> DataFrame:
+    """Rows of the given first-column values, fetched with an ``IN`` filter of
+    typed literals that Parquet pushes down (row groups outside the values'
+    min/max are skipped)."""
+    f = df.schema.fields[0]
+    if not values:
+        return df.limit(0)
+    typ = f.dataType.simpleString()
+    lits = ", ".join("CAST('" + v.replace("\\", "\\\\").replace("'", "\\'") + f"' AS {typ})" for v in values)
+    return df.where(f"{_q(f.name)} IN ({lits})")
+
+
 def sample_values(tables: Mapping[str, DataFrame], meta: Sequence[tuple], limit: int = 10,
-                  order_by: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+                  order_by: Mapping[str, Sequence[str]] | None = None,
+                  unique_first: set[str] | None = None) -> DataFrame:
     """``(col_id, rank, value)``: per column the first ``limit`` distinct non-null
     canonical values, in row order of the first ``10*limit`` rows by the table's
-    order (default: all orderable columns ascending, nulls first)."""
+    order (default: all orderable columns ascending, nulls first).
+
+    For tables in ``unique_first`` (first column is a candidate key: unique,
+    no nulls) that order equals the order of the first column alone, so the
+    head is taken by key without reading every column of every row."""
     parts = []
-    for t, cols in _meta_by_table(meta).items():
+    by_table = _meta_by_table(meta)
+    keyed = sorted(t for t in (unique_first or set()) if t in by_table and not (order_by or {}).get(t))
+    top = _top_unique_keys(tables, keyed, limit * 10)
+    for t, cols in by_table.items():
         df = tables[t]
         keys = (order_by or {}).get(t) or [f.name for f in df.schema.fields if _orderable(f.dataType)]
         ordering = [df[f"`{k}`"].asc_nulls_first() for k in keys]
-        head = df.orderBy(*ordering).limit(limit * 10) if ordering else df.limit(limit * 10)
+        if t in top:
+            keys = [df.schema.fields[0].name]
+            head = _head_by_unique_key(df, top[t])
+        else:
+            head = df.orderBy(*ordering).limit(limit * 10) if ordering else df.limit(limit * 10)
         # at most 10*limit rows here: a single-partition window is fine
         w = Window.orderBy(*[F.col(f"`{k}`").asc_nulls_first() for k in keys]) if keys else \
             Window.orderBy(F.monotonically_increasing_id())
@@ -360,7 +400,13 @@ def profile_tables(spark: SparkSession, tables: Mapping[str, DataFrame], databas
         "null_ratio", F.when(F.col("row_count") > 0,
                              F.round(F.col("nulls") / F.col("row_count"), 4)))
 
-    samples = sample_values(tables, meta_rows, sample_limit, order_by) if meta_rows else None
+    key_ids = {r["col_id"] for r in stats_rows
+               if r["row_count"] and r["row_count"] > 0 and r["non_null"] == r["row_count"]
+               and nd.get(r["col_id"]) == r["row_count"]}
+    # approximate counts cannot prove uniqueness: keyed heads only in exact mode
+    unique_first = set() if approx else {m[1] for m in meta_rows
+                                         if m[2] == 1 and m[8] in key_ids and m[9] is not None}
+    samples = sample_values(tables, meta_rows, sample_limit, order_by, unique_first) if meta_rows else None
     low_card = {c for c, d in nd.items() if d is not None and 0 < d <= enum_limit}
     enums = enum_values(tables, meta_rows, low_card) if low_card else None
 

@@ -92,3 +92,18 @@ def test_stats_pass_reads_each_table_once(spark, sf):
     plan = exact_column_stats(t, table_columns_meta("db", t))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == len(t)
     assert "SortAggregate" not in plan
+
+
+def test_keyed_head_with_awkward_string_keys(spark):
+    rows = [(f"k{i}'\\x", i % 3) for i in range(150)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    p = _prof(spark, {"t": df}, sample_limit=2, inclusions=False)
+    got = {r["column"]: r["sample_values"] for r in p.columns.collect()}
+    first = sorted(r[0] for r in rows)
+    assert got["k"] == first[:2]
+    head = sorted(rows)[:20]
+    exp = []
+    for _, v in head:
+        if str(v) not in exp:
+            exp.append(str(v))
+    assert got["v"] == exp[:2]
