@@ -107,3 +107,14 @@ def ambiguity(cands: DataFrame, min_score: float = 0.45, gap_tolerance: float =
     keep = (F.col("_n") >= 2) & ((F.col("_s1") - F.col("_s2")) <= F.lit(gap_tolerance))
     return c.where(keep).select("query_id", "rank", "database", "table", "column", F.col("s").alias("score"),
                                 "id", "data_type", "business_name")
+
+
+def text_search(items: DataFrame, questions: DataFrame, top_k: int = 10, n_candidates: int = 40,
+                buckets: int = 4096, **kw) -> DataFrame:
+    """V1 + V5 without a model: item ``document`` texts and question ``text``
+    (with ``query_id``) become hashed term vectors, then :func:`search`."""
+    from colscope.operators.vectors import pack_sparse, term_vectors
+
+    iv = pack_sparse(term_vectors(items, "id", "document", buckets))
+    qv = pack_sparse(term_vectors(questions, "query_id", "text", buckets)).withColumnRenamed("id", "query_id")
+    return search(items.drop("vector").join(iv, "id"), qv, top_k, n_candidates, sparse_dim=buckets, **kw)

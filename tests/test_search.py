@@ -123,3 +123,18 @@ def test_ambiguity_gap_at_tolerance_and_ties(spark):
     assert not [r for r in out if r["query_id"] == 2]
     q3 = sorted((r["rank"], r["table"], r["column"]) for r in out if r["query_id"] == 3)
     assert q3 == [(1, "t1", "a"), (2, "t2", "c")]   # tie inside t1: first seen wins
+
+
+def test_text_search_over_catalogue(spark, sf):
+    from colscope.operators.documents import index_items
+    from colscope.plans.registry import annotated_catalog
+    tabs, cols = annotated_catalog(spark, sf)
+    items = index_items(tabs, cols)
+    qs = spark.createDataFrame([(1, "orders o_totalprice totalprice"), (2, "customer c_name")], "query_id long, text string")
+    res = search.text_search(items, qs, top_k=5).collect()
+    top5 = {q: [r["id"] for r in sorted(res, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (1, 2)}
+    assert "testdata.orders.o_totalprice" in top5[1]
+    assert any(i.startswith("testdata.customer") for i in top5[2])
+    ctx = {r["query_id"]: r["context"] for r in search.context_text(
+        search.text_search(items, qs, top_k=5), qs).collect()}
+    assert "customer" in ctx[2]
