@@ -104,24 +104,29 @@ def _topk_idx(scores: np.ndarray, k: int, rank: np.ndarray) -> np.ndarray:
 def cosine_topk(items: DataFrame, queries: DataFrame, k: int, *, item_id: str = "id", query_id: str = "query_id",
                 item_vec: str = "vector", query_vec: str = "vector", sparse_dim: int | None = None,
                 item_blocks: int | None = None, items_per_block: int = 50_000,
-                queries_per_block: int = 1024, chunk_cells: int = CHUNK_CELLS) -> DataFrame:
+                queries_per_block: int = 1024, chunk_cells: int = CHUNK_CELLS,
+                n_items: int | None = None, n_queries: int | None = None) -> DataFrame:
     """V2: exact cosine top-k of every query over all items.
 
     Dense: ``item_vec``/``query_vec`` are ``array<float|double>`` columns.
     Sparse (``sparse_dim`` set): both sides are packed ``(idx, val)`` arrays as
     from :func:`pack_sparse` (column names ``idx``/``val``).
     Returns ``(query_id, item_id, score, rank)`` with rank 1..k by
-    (score desc, item id asc); score is the raw cosine.
+    (score desc, item id asc); score is the raw cosine. ``n_items`` and
+    ``n_queries`` only size the blocks (an estimate is fine); when not given
+    they are counted.
     """
     spark = items.sparkSession
     ship_package(spark)
     if item_blocks is None:
         # ~items_per_block items per block, and at least the cluster's cores
         # when there are enough items; each query is replicated once per block
-        n_items = items.count()
+        # callers that know the item count (e.g. from the source table's
+        # Parquet footers) pass it and save a pass over derived items
+        n_items = items.count() if n_items is None else n_items
         cores = spark.sparkContext.defaultParallelism
         item_blocks = max(1, math.ceil(n_items / items_per_block), min(cores, math.ceil(n_items / 1000)))
-    n_q = queries.count()
+    n_q = queries.count() if n_queries is None else n_queries
     q_blocks = max(1, math.ceil(n_q / queries_per_block))
     id_type = items.schema[item_id].dataType
     qid_type = queries.schema[query_id].dataType

@@ -267,7 +267,10 @@ def _sparse_docs(spark, sf_dir):
 
 def q_cosine_topk_sparse(spark, sf_dir):
     docs, qs = _sparse_docs(spark, sf_dir)
-    top = cosine_topk(docs, qs, 5, item_id="id", query_id="query_id", sparse_dim=4096)
+    n_docs = fx.read(spark, sf_dir, "documents").count()       # Parquet footers, no scan
+    n_q = fx.read(spark, sf_dir, "benchmark").count()
+    top = cosine_topk(docs, qs, 5, item_id="id", query_id="query_id", sparse_dim=4096, n_items=n_docs,
+                      n_queries=n_q)
     return top.select("query_id", "id", F.col("rank").cast("bigint"), F.round("score", R6).alias("score"))
 
 
