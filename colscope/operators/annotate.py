@@ -106,3 +106,21 @@ def merge_table_replies(tables: DataFrame, parsed: DataFrame, strict: bool = Tru
     return (out.withColumn("business_name", F.when(hit, F.coalesce("_bn", "table")).otherwise(F.col("business_name")))
             .withColumn("description", F.when(hit, F.coalesce("_desc", F.lit(""))).otherwise(F.col("description")))
             .select(*tables.columns))
+
+
+def call_model(requests: DataFrame, fn, request_col: str = "request", reply_col: str = "reply") -> DataFrame:
+    """Model hook: ``fn`` maps a pandas Series of request texts to a Series of
+    reply texts (one batched call per Arrow batch, on the executors). Keys are
+    kept; the output feeds :func:`parse_replies`."""
+    import pandas as pd
+
+    keys = [c for c in requests.columns if c != request_col]
+    schema = requests.select(*keys).schema.add(reply_col, "string")
+
+    def run(batches):
+        for pdf in batches:
+            out = pdf[keys].copy()
+            out[reply_col] = pd.Series(fn(pdf[request_col]), index=pdf.index).astype(object)
+            yield out
+
+    return requests.mapInPandas(run, schema)

@@ -25,6 +25,7 @@ the driver between phases, never data rows.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -36,7 +37,7 @@ from colscope.functions.text import _SEED2 as SEED2
 from colscope.functions.text import norm_key
 from colscope.plans.sizing import broadcast_if_small, spread
 from colscope.schemas import SCHEMA_COLUMNS
-from colscope.sources.tables import table_columns_meta
+from colscope.sources.tables import readable_tables, table_columns_meta
 
 STATS_SCHEMA = T.StructType([
     T.StructField("col_id", T.IntegerType(), False),
@@ -363,6 +364,9 @@ def profile_tables(spark: SparkSession, tables: Mapping[str, DataFrame], databas
     ``(table, column, ref_table, ref_column)``) set the catalogue flags; files
     declare none, so inferred candidates are reported separately.
     """
+    tables, failed = readable_tables(tables)
+    for name, err in failed.items():      # a failing table is skipped, not fatal
+        warnings.warn(f"profile: table {name} skipped: {err}", stacklevel=2)
     meta_rows = table_columns_meta(database, tables)
     meta_df = spark.createDataFrame(meta_rows, SCHEMA_COLUMNS)
     if not meta_rows:

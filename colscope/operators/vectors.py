@@ -177,3 +177,14 @@ def cosine_topk(items: DataFrame, queries: DataFrame, k: int, *, item_id: str =
     w = Window.partitionBy("_qid").orderBy(F.col("score").desc(), F.col("_iid").asc())
     return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select(F.col("_qid").alias(query_id), F.col("_iid").alias(item_id), "score", "rank"))
+
+
+def with_embeddings(df: DataFrame, text_col: str, fn, out_col: str = "vector") -> DataFrame:
+    """Dense V1 hook: ``fn`` maps a pandas Series of texts to a sequence of
+    vectors (e.g. a sentence model's batch encode). Runs as an Arrow-batched
+    pandas UDF on the executors; the model is the caller's."""
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(v, dtype=np.float32).tolist() for v in fn(texts)], index=texts.index)
+
+    return df.withColumn(out_col, embed(F.col(text_col)))

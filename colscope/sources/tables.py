@@ -79,3 +79,30 @@ def table_columns_meta(database: str, tables: Mapping[str, DataFrame]) -> list[t
 def schema_columns(spark: SparkSession, database: str, tables: Mapping[str, DataFrame]) -> DataFrame:
     """P2 as a DataFrame: one row per column of every table."""
     return spark.createDataFrame(table_columns_meta(database, tables), SCHEMA_COLUMNS)
+
+
+def catalog_tables(spark: SparkSession, database: str | None = None,
+                   include_views: bool = False) -> dict[str, DataFrame]:
+    """P1/P2 for tables registered in a Spark catalog: every table (and, when
+    asked, view) of ``database`` (default: the current one) as a DataFrame."""
+    out = {}
+    for t in spark.catalog.listTables(database):
+        if t.tableType == "VIEW" or t.isTemporary:
+            if not include_views:
+                continue
+        name = f"{database}.{t.name}" if database and not t.isTemporary else t.name
+        out[t.name] = spark.table(name)
+    return out
+
+
+def readable_tables(tables: Mapping[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Split tables into those whose schema resolves and those that fail
+    (name -> error text), so one broken table does not stop a profile run."""
+    ok, bad = {}, {}
+    for name, df in tables.items():
+        try:
+            _ = df.schema
+            ok[name] = df
+        except Exception as e:  # noqa: BLE001 - any reader error skips the table
+            bad[name] = str(e).splitlines()[0][:300] if str(e) else type(e).__name__
+    return ok, bad

@@ -91,3 +91,43 @@ def test_overview_detail_schema_text(spark):
     assert full["t2"] == "## t2 (Two)\nd2\n  - `x` int -- X (e.g. 7)"
     det = {r["column"]: r for r in catalog.table_detail(columns).collect()}
     assert det["a"]["flags"] == "PK" and det["b"]["flags"] == "FK" and det["a"]["samples_text"] == "1, 2"
+
+
+def test_model_hook_and_skip_broken_table(spark):
+    tables, columns = _catalog(spark)
+    req = annotate.column_requests(tables, columns)
+
+    def fake_model(texts):
+        return ['{"business_name": "' + t.split("\n")[2].split(": ")[1].upper() + '"}' for t in texts]
+
+    replies = annotate.call_model(req, fake_model)
+    out = {r["column"]: r["business_name"] for r in
+           annotate.merge_column_replies(columns, annotate.parse_replies(replies)).collect()}
+    assert out == {"a": "A", "b": "B", "x": "X"}
+    from colscope.operators.profile import profile_tables
+    good = spark.createDataFrame([(1,)], "k int")
+
+    class Broken:
+        @property
+        def schema(self):
+            raise RuntimeError("cannot read")
+
+    import warnings
+    with warnings.catch_warnings(record=True) as w:
+        warnings.simplefilter("always")
+        p = profile_tables(spark, {"good": good, "broken": Broken()}, "db")
+    assert [r["table"] for r in p.tables.collect()] == ["good"]
+    assert any("broken" in str(x.message) for x in w)
+
+
+def test_dense_embedding_hook(spark):
+    from colscope.operators.vectors import cosine_topk, with_embeddings
+    docs = spark.createDataFrame([(1, "aa"), (2, "bbbb"), (3, "aaa")], "id long, text string")
+
+    def enc(texts):
+        return [[t.count("a"), t.count("b")] for t in texts]
+
+    v = with_embeddings(docs, "text", enc)
+    q = with_embeddings(spark.createDataFrame([(9, "a")], "query_id long, text string"), "text", enc)
+    top = [r["id"] for r in cosine_topk(v, q, 2).orderBy("rank").collect()]
+    assert top == [1, 3]
