@@ -437,8 +437,8 @@ def _catalog_columns(spark, meta_df, stats, samples, primary_keys, foreign_keys)
     pk = spark.createDataFrame(pk_rows, "table string, column string").withColumn("is_primary_key", F.lit(True))
     fk = spark.createDataFrame(fk_rows, "table string, column string, foreign_key_ref string")
     out = (meta_df.join(stats.select("col_id", "null_ratio", "unique_count"), "col_id", "left")
-           .join(F.broadcast(pk), ["table", "column"], "left")
-           .join(F.broadcast(fk), ["table", "column"], "left"))
+           .join(broadcast_if_small(pk, len(pk_rows), 1_000_000), ["table", "column"], "left")
+           .join(broadcast_if_small(fk, len(fk_rows), 1_000_000), ["table", "column"], "left"))
     if samples is not None:
         out = out.join(samples_as_arrays(samples), "col_id", "left")
     else:
