@@ -94,9 +94,17 @@ def canonical_text_sql(name: str, dt: T.DataType, qualifier: str = "") -> str:
     return f"CAST({c} AS STRING)"
 
 
-def order_code_sql(name: str, fam: str | None) -> str:
-    """SQL text of :func:`order_code`."""
+def order_code_sql(name: str, fam: str | None, dt: T.DataType | None = None) -> str:
+    """A bigint that never decreases as the value increases within its family:
+    integral values as is, dates/timestamps as epoch units, strings as their
+    first 7 UTF-8 bytes read big-endian. Used for min/max pruning only (ties
+    between codes are allowed), it keeps every aggregate buffer fixed-width so
+    Spark uses hash aggregation instead of sort aggregation."""
     c = _q(name)
+    if fam == "timestamp" and isinstance(dt, T.TimestampNTZType):
+        # wall-clock micros, independent of the session time zone (a zone's DST
+        # gap would make a cast to TIMESTAMP non-monotone)
+        return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})"
     if fam == "integral":
         return f"CAST({c} AS BIGINT)"
     if fam == "date":
@@ -131,7 +139,7 @@ def column_stats(tables: Mapping[str, DataFrame], meta: Sequence[tuple], approx:
             aggs.append(F.count(c).alias(f"__nn{pos}"))
             mn = mx = F.lit(None)
             if fam is not None:
-                code = order_code(c, fam)
+                code = F.expr(order_code_sql(name, fam, dt))
                 aggs += [F.min(code).alias(f"__mn{pos}"), F.max(code).alias(f"__mx{pos}")]
                 mn, mx = F.col(f"__mn{pos}"), F.col(f"__mx{pos}")
             apx = F.lit(None)
@@ -175,24 +183,6 @@ def distinct_counts(tables: Mapping[str, DataFrame], meta: Sequence[tuple]) -> D
             .groupBy("col_id").agg(F.count(F.lit(1)).alias("distinct_count")))
 
 
-def order_code(c: Column, fam: str | None) -> Column:
-    """A bigint that never decreases as the value increases within its family:
-    integral values as is, dates/timestamps as epoch units, strings as their
-    first 7 UTF-8 bytes read big-endian. Used for min/max pruning only (ties
-    between codes are allowed), it keeps every aggregate buffer fixed-width so
-    Spark uses hash aggregation instead of sort aggregation."""
-    if fam == "integral":
-        return c.cast("bigint")
-    if fam == "date":
-        return F.unix_date(c).cast("bigint")
-    if fam == "timestamp":
-        return F.unix_micros(c.cast("timestamp"))
-    if fam == "string":
-        head = F.hex(F.substring(F.encode(F.substring(c, 1, 7), "UTF-8"), 1, 7))
-        return F.conv(F.rpad(head, 14, "0"), 16, 10).cast("bigint")
-    return F.lit(None).cast("bigint")
-
-
 def exact_column_stats(tables: Mapping[str, DataFrame], meta: Sequence[tuple]) -> DataFrame:
     """Row count, nulls, exact distinct count and min/max order codes of every
     column of every table in ONE job: each table is unpivoted to
@@ -208,7 +198,7 @@ def exact_column_stats(tables: Mapping[str, DataFrame], meta: Sequence[tuple]) -
         for (_, _, _, name, _, _, _, _, col_id, fam) in cols:
             h1, h2 = fingerprint_sql(name, df.schema[name].dataType)
             structs.append(f"named_struct('col_id', {col_id}, 'h1', {h1}, 'h2', {h2}, "
-                           f"'code', {order_code_sql(name, fam)})")
+                           f"'code', {order_code_sql(name, fam, df.schema[name].dataType)})")
         if structs:
             parts.append(long_form(df, structs))
     groups = (_union_all(parts).groupBy("col_id", "h1", "h2")
