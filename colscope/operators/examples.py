@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colscope.operators.vectors import cosine_topk
+from colscope.plans.sizing import checked_broadcast
 
 
 def add_examples(store: DataFrame, batch: DataFrame) -> DataFrame:
@@ -41,9 +42,13 @@ def search_examples(examples: DataFrame, queries: DataFrame, top_k: int = 5, **v
 def delete_examples(store: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove exact ids. Returns (new store, report ``(log_id, found)``)."""
     req = ids.select("log_id").distinct()
-    found = req.join(store.select("log_id"), "log_id", "left_semi").withColumn("found", F.lit(True))
+    # the id batch is the small side: broadcast behind a size check, the store
+    # is only streamed past it
+    req_b, _, _ = checked_broadcast(req, 1_000_000, 96)
+    found = (store.select("log_id").join(req_b, "log_id", "left_semi").distinct()
+             .withColumn("found", F.lit(True)))
     report = req.join(found, "log_id", "left").select("log_id", F.coalesce("found", F.lit(False)).alias("found"))
-    return store.join(req, "log_id", "left_anti"), report
+    return store.join(req_b, "log_id", "left_anti"), report
 
 
 def list_examples(store: DataFrame, limit: int = 50) -> DataFrame:
@@ -65,7 +70,11 @@ def resolve_prefixes(store: DataFrame, prefixes: DataFrame) -> DataFrame:
     ids = (store.select("log_id", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_len"))
            .select("log_id", F.substring("log_id", 1, F.col("_len")).alias("prefix"), "_len")
            .where(F.char_length("log_id") >= F.col("_len")))
-    hits = (ids.join(req.withColumn("_len", F.char_length("prefix")), ["prefix", "_len"])
+    # the request batch is broadcast (size checked), so a prefix that matches a
+    # third of all ids is never gathered by one reducer; the count per prefix
+    # is then folded map-side by the partial aggregate
+    req_b, _, _ = checked_broadcast(req.withColumn("_len", F.char_length("prefix")), 1_000_000, 128)
+    hits = (ids.join(req_b, ["prefix", "_len"])
             .groupBy("prefix").agg(F.count(F.lit(1)).alias("matches"), F.min("log_id").alias("_id")))
     out = req.join(hits, "prefix", "left").withColumn("matches", F.coalesce("matches", F.lit(0)).cast("bigint"))
     return out.select("prefix",
