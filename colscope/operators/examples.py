@@ -22,7 +22,11 @@ def add_examples(store: DataFrame, batch: DataFrame) -> DataFrame:
         batch = batch.withColumn("log_id", F.lit(None).cast("string"))
     # rows without an id get a random one, as ``learn`` does
     batch = batch.withColumn("log_id", F.coalesce(F.col("log_id"), F.expr("uuid()")))
-    new = batch.join(store.select("log_id"), "log_id", "left_anti")
+    # ids of the batch already stored: the store streams past the broadcast
+    # batch ids (size checked); the anti-join then runs on two small sides
+    ids_b, _, _ = checked_broadcast(batch.select("log_id"), 1_000_000, 96)
+    taken = store.select("log_id").join(ids_b, "log_id", "left_semi")
+    new = batch.join(taken, "log_id", "left_anti")
     for c in cols:
         if c not in new.columns:
             new = new.withColumn(c, F.current_timestamp() if c == "added_at" else F.lit(None).cast("string"))
