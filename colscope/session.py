@@ -38,11 +38,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is; a machine-local folder is only chosen when nothing is configured
     (local tests).
     """
-    conf = spark.sparkContext.getConf()
-    cur = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if cur:
-        spark.sparkContext.setCheckpointDir(cur)
-        return cur
+    sc = spark.sparkContext
+    cur = sc.getConf().get("spark.checkpoint.dir", None)
+    active = sc.getCheckpointDir()
+    if cur or active:
+        if not active:
+            sc.setCheckpointDir(cur)
+        return cur or active
     path = tempfile.mkdtemp(prefix="colscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(path)
     return path
