@@ -1,4 +1,3 @@
-
 from colscope.operators import annotate, catalog
 
 

@@ -78,3 +78,20 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns == ["query_id", "rank", "id", "type", "original_score", "table_boost", "score"]
+
+
+def test_stream_rule_counts_by_event_time(spark, sf):
+    from colscope.plans.fixtures import read, sql_log
+    from colscope.streaming import audit_stream, rule_counts
+    src = _root(spark)
+    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderdate").alias("ts"))
+    log = sql_log(spark, sf).join(o, "query_id").withColumn("ts", F.col("ts").cast("timestamp"))
+    log.write.mode("overwrite").parquet(os.path.join(src, "log"))
+    stream = spark.readStream.schema(log.schema).parquet(os.path.join(src, "log"))
+    q = (rule_counts(audit_stream(stream), event_time="ts", window="365 days", watermark="3650 days")
+         .writeStream.outputMode("update").format("memory").queryName("rule_counts_ts")
+         .option("checkpointLocation", os.path.join(src, "ckpt")).start())
+    q.processAllAvailable()
+    q.stop()
+    got = spark.sql("SELECT window, error_type, rule, max(n) AS n FROM rule_counts_ts GROUP BY ALL")
+    assert got.agg(F.sum("n")).first()[0] == log.count()
