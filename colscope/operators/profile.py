@@ -482,3 +482,14 @@ def inclusion_candidates(spark: SparkSession, tables: Mapping[str, DataFrame], m
     return (pairs.join(matched, ["fk_col_id", "key_col_id"])
             .where(F.col("matched") == F.col("fk_distinct"))
             .select("fk_table", "fk_column", "key_table", "key_column", "fk_distinct"))
+
+
+def null_stats(tables: Mapping[str, DataFrame], meta: Sequence[tuple]) -> DataFrame:
+    """P3/P5 alone: ``(col_id, row_count, nulls, null_ratio)`` from one single-row
+    aggregate per table (``count(*)`` and ``count(c)``; no shuffle of values).
+    The null ratio is rounded to 4 places and null for an empty table."""
+    st = column_stats(tables, meta)
+    return st.select("col_id", "row_count", (F.col("row_count") - F.col("non_null")).alias("nulls"),
+                     F.when(F.col("row_count") > 0,
+                            F.round((F.col("row_count") - F.col("non_null")) / F.col("row_count"), 4))
+                     .alias("null_ratio"))

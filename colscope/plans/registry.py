@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from colscope.functions.text import canonical_text, name_variants
 from colscope.operators import annotate, catalog, documents, examples, execute, guard, search
-from colscope.operators.profile import column_stats, profile_tables
+from colscope.operators.profile import column_stats, null_stats, profile_tables
 from colscope.operators.vectors import cosine_topk, pack_sparse, term_vectors
 from colscope.plans import fixtures as fx
 from colscope.session import ensure_checkpoint_dir
@@ -70,8 +70,16 @@ def q_schema_columns(spark, sf_dir):
         "database", "table", "position", "column", "data_type", "nullable")
 
 
+def _null_stats(spark, sf_dir):
+    tabs = fx.profile_inputs(spark, sf_dir)
+    meta = table_columns_meta(fx.DB, tabs)
+    m = spark.createDataFrame([(r[8], r[1], r[2], r[3]) for r in meta],
+                              "col_id int, table string, position int, column string")
+    return null_stats(tabs, meta).join(m, "col_id")
+
+
 def q_row_counts(spark, sf_dir):
-    return _profile(spark, sf_dir, inclusions=False).tables.select("table", "row_count")
+    return _null_stats(spark, sf_dir).where(F.col("position") == 1).select("table", "row_count")
 
 
 def q_sample_values(spark, sf_dir):
@@ -80,8 +88,7 @@ def q_sample_values(spark, sf_dir):
 
 
 def q_null_ratio(spark, sf_dir):
-    p = _profile(spark, sf_dir, inclusions=False)
-    return _named(p, p.stats).select("table", "column", "row_count", "nulls", "null_ratio")
+    return _null_stats(spark, sf_dir).select("table", "column", "row_count", "nulls", "null_ratio")
 
 
 def q_distinct_count(spark, sf_dir):
