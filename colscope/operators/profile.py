@@ -73,11 +73,25 @@ def _norm_sql(name: str, dt: T.DataType) -> str:
 
 
 def fingerprint_sql(name: str, dt: T.DataType) -> tuple[str, str]:
-    """SQL text of :func:`colscope.functions.text.fingerprint` (same values).
-    Expressions are passed as text so that a wide table costs one call into
-    the JVM instead of one per expression node."""
+    """Value identity as two longs, as SQL text (one JVM call per table instead
+    of one per expression node).
+
+    Integral, date and timestamp values are their own exact 64-bit identity
+    (the value as a long, second part 0: no hashing, no collision); every
+    other type gets a 128-bit fingerprint of two independent xxhash64 values.
+    Equal values of one family give equal identities across columns."""
+    c = _q(name)
+    nn = f"{c} IS NOT NULL"
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return f"CAST({c} AS BIGINT)", f"CASE WHEN {nn} THEN 0L END"
+    if isinstance(dt, T.DateType):
+        return f"CAST(unix_date({c}) AS BIGINT)", f"CASE WHEN {nn} THEN 0L END"
+    if isinstance(dt, T.TimestampNTZType):
+        return (f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})",
+                f"CASE WHEN {nn} THEN 0L END")
+    if isinstance(dt, T.TimestampType):
+        return f"unix_micros({c})", f"CASE WHEN {nn} THEN 0L END"
     v = _norm_sql(name, dt)
-    nn = f"{_q(name)} IS NOT NULL"
     return (f"CASE WHEN {nn} THEN xxhash64({v}) END",
             f"CASE WHEN {nn} THEN xxhash64({SEED2}, {v}) END")
 
