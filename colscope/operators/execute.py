@@ -98,3 +98,32 @@ def reconcile(df: DataFrame, keys: list[str], measure: str, tolerance: float | D
         out = j if out is None else out.unionByName(j)
     diff = F.col("total") - F.coalesce(F.col("parts_sum"), F.lit(0))
     return out.withColumn("diff", diff).withColumn("ok", F.abs(F.col("diff")) <= F.lit(tolerance))
+
+
+def reconcile_claims(df: DataFrame, keys: list[str], measure: str, claims: DataFrame,
+                     tolerance: float | Decimal = 0) -> DataFrame:
+    """G7 against stated figures: ``claims`` holds ``level`` (how many leading
+    keys the figure is grouped by, 0 = grand total), those keys and a
+    ``claimed`` value, e.g. the totals an answer reports. Each claim is
+    compared with the sum of the detail rows of its group (null keys match
+    null keys). Returns the claims with ``actual``, ``diff`` and ``ok``; a
+    claim whose group has no rows gets a null ``actual`` and ``ok`` false."""
+    gid = "_gid"
+    n = len(keys)
+    r = (df.rollup(*keys).agg(F.sum(measure).alias("actual"), F.grouping_id().alias(gid))
+         .withColumn("level", F.lit(n) - F.bit_count(F.col(gid)).cast("int")))
+    # only prefix levels (first i keys grouped) are meaningful claims
+    prefix_gids = [(1 << (n - i)) - 1 for i in range(n + 1)]
+    r = r.where(F.col(gid).isin(*prefix_gids))
+    # keys beyond a claim's level are rolled up (null) on the rollup side, so
+    # the claim's are masked to null too; every key is then a null-safe
+    # equi-join key and the join hash-partitions on all of them
+    masked = claims.select("*", *[F.when(F.col("level") > i, F.col(k)).alias(f"_m{i}") for i, k in enumerate(keys)])
+    c, a = masked.alias("c"), r.alias("a")
+    cond = F.col("c.level") == F.col("a.level")
+    for i, k in enumerate(keys):
+        cond = cond & F.col(f"c._m{i}").eqNullSafe(F.col(f"a.{k}"))
+    out = c.join(a, cond, "left").select(*[F.col(f"c.{x}") for x in claims.columns], F.col("a.actual"))
+    diff = F.col("claimed") - F.col("actual")
+    return (out.withColumn("diff", diff)
+            .withColumn("ok", F.coalesce(F.abs(diff) <= F.lit(tolerance), F.lit(False))))

@@ -99,3 +99,14 @@ def test_reconcile_flags_mismatch(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 4.0)], "k1 string, k2 string, v double")
     r = execute.reconcile(df, ["k1", "k2"], "v")
     assert r.where("NOT ok").count() == 0 and r.count() == 3
+
+
+def test_reconcile_claims(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 4.0)], "k1 string, k2 string, v double")
+    claims = spark.createDataFrame(
+        [(0, None, None, 7.0), (1, "a", None, 3.0), (1, "b", None, 5.0), (2, "a", "y", 2.0), (1, "c", None, 1.0)],
+        "level int, k1 string, k2 string, claimed double")
+    r = {(x["level"], x["k1"], x["k2"]): x for x in execute.reconcile_claims(df, ["k1", "k2"], "v", claims).collect()}
+    assert r[(0, None, None)]["ok"] and r[(1, "a", None)]["ok"] and r[(2, "a", "y")]["ok"]
+    assert not r[(1, "b", None)]["ok"] and r[(1, "b", None)]["diff"] == 1.0
+    assert r[(1, "c", None)]["actual"] is None and not r[(1, "c", None)]["ok"]
