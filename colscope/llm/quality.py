@@ -122,18 +122,21 @@ def _row_vectors(batches, text_col, meta_cols):
                 yield batch, part.first, part.n, x, stats, _meta(batch, meta_cols, part.first, part.n)
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label",
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label",
         metadata: tuple[str, ...] = ("n_chars",), max_rows: int = MAX_TRAIN_ROWS, rank: int = 8,
         epochs: int = 20, seed: int = 7) -> Model:
-    """Train on at most ``max_rows`` rows of ``labelled`` (label 0 or 1)."""
-    ship_package(labelled.sparkSession)
+    """Train on ``docs`` with an entry (label 0 or 1) in ``labels``, at most ``max_rows`` entries.
+
+    The entries are chosen from the narrow label table first, so the texts are never
+    shuffled: each task keeps the chosen rows of its part of ``docs``."""
+    ship_package(docs.sparkSession)
     meta = list(metadata)
-    rows = labelled.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    order = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
+    given = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     ids = None
     for label in (0, 1):
-        part = (rows.filter(F.col(label_col) == label).select(F.col(id_col).alias("_id"), F.lit(label).alias("_y"))
-                .orderBy(order_of("_id", seed), "_id").limit(max_rows // 2))
+        part = (given.filter(F.col("_y") == label).orderBy(F.xxhash64(F.lit(seed), F.col("_id").cast("string")), "_id")
+                .limit(max_rows // 2))
         ids = part if ids is None else ids.unionByName(part)
     chosen = ids.distinct().collect()       # at most max_rows ids
     dims = WORD_DIMS + STATS + META_BUCKETS * len(meta)
@@ -141,11 +144,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
                  np.zeros(STATS, np.float32), np.ones(STATS, np.float32))
     if not chosen:
         return zero
-    small = labelled.sparkSession.createDataFrame(
-        [(r["_id"], r["_y"]) for r in chosen], labelled.select(F.col(id_col).alias("_id"), F.lit(0).alias("_y")).schema)
-    data = rows.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"),
-                       F.col(text_col).alias("_text"), *[F.col(c).cast("double").alias(f"_m{i}") for i, c in enumerate(meta)])
-    data = data.join(F.broadcast(small), ["_id", "_y"], "left_semi")     # max_rows ids: a bounded broadcast
+    small = docs.sparkSession.createDataFrame([(r["_id"], r["_y"]) for r in chosen], given.schema)
+    data = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
+                       *[F.col(c).cast("double").alias(f"_m{i}") for i, c in enumerate(meta)])
+    data = data.join(F.broadcast(small), "_id")     # max_rows ids: a bounded broadcast
     mcols = [f"_m{i}" for i in range(len(meta))]
 
     def vectors(batches):
@@ -162,6 +164,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     got = data.mapInArrow(vectors, "id string, y int, at binary, value binary, stats binary, meta binary").collect()
     got.sort(key=lambda r: (r["id"], r["y"], bytes(r["at"])))
     got = got[:max_rows]
+    if not got:
+        return zero
     x = np.zeros((len(got), dims), np.float32)
     for i, r in enumerate(got):
         x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["value"], np.float16)
@@ -174,10 +178,6 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     return _descend(x, y, mean, scale, rank, epochs, seed)
 
 
-def order_of(col: str, seed: int):
-    return F.xxhash64(F.lit(seed), F.col(col).cast("string"))
-
-
 def _forward(x, bias, w, v):
     xv = x @ v
     return bias + x @ w + 0.5 * ((xv * xv).sum(1) - ((x * x) @ (v * v)).sum(1)), xv

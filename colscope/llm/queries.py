@@ -18,7 +18,7 @@ def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
     labels = (table(spark, sf_dir, "labels").filter(_id_remainder(3) != 1)
               .select("doc_id", F.col("quality").alias("label")))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    return quality.fit(docs.join(labels, "doc_id"))
+    return quality.fit(docs, labels)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
