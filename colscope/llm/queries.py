@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscope.llm import quality
+from colscope.llm import decontaminate, neardup, quality
 from colscope.llm.tables import table
 
 
@@ -28,6 +28,20 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {"op9_quality": op9_quality}
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of a benchmark item in runs of five words or more."""
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document: bags of five-word shingles, similarity 0.8 or more."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op7_near_duplicates": op7_near_duplicates,
+    "op9_quality": op9_quality,
+}
 
 ORACLE: dict[str, str] = {}
