@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscope.llm import decontaminate, neardup, quality
-from colscope.llm.tables import table
+import public_tokenizers
+
+from colscope.llm import dac, decontaminate, neardup, packing, quality
+from colscope.llm.tables import shared_path, table
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _id_remainder(n: int):
@@ -33,6 +37,19 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens; the digest columns come from the packed ids."""
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), window=1024, end_id=0)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents in directly addressable codes, written and read back."""
+    path = shared_path(spark, "dac")
+    dac.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), end_id=2)
+    return dac.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document: bags of five-word shingles, similarity 0.8 or more."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -40,6 +57,8 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_packing": op2_packing,
+    "op3_token_files": op3_token_files,
     "op7_near_duplicates": op7_near_duplicates,
     "op9_quality": op9_quality,
 }
