@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from colscope.llm import dac, decontaminate, neardup, packing, quality
+from colscope.llm import dac, decontaminate, neardup, packing, quality, secrets
 from colscope.llm.tables import shared_path, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -55,12 +55,30 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def secret_model(docs: DataFrame) -> secrets.Model:
+    return secrets.fit(secrets.labelled_tokens(docs))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spans of every document; counts and the digest cover the fixed patterns' spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, secret_model(docs))
+    line = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+    base = F.filter("spans", lambda x: x["kind"] != "random")
+    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", line), ",").alias("spans"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
     "op3_token_files": op3_token_files,
     "op7_near_duplicates": op7_near_duplicates,
     "op9_quality": op9_quality,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE: dict[str, str] = {}
