@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from colscope.llm import dac, decontaminate, neardup, packing, quality, secrets
+from colscope.llm import dac, decontaminate, imatch, neardup, packing, quality, secrets, shards
 from colscope.llm.tables import shared_path, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -50,6 +50,21 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of all documents and of their edited texts."""
+    rows = imatch.fingerprints(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", imatch.fingerprint_text(F.col("signature")).alias("fingerprint"),
+        imatch.fingerprint_text(F.col("edited_signature")).alias("edited_fingerprint"),
+        imatch.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
+        imatch.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"))
+
+
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of the same mixture of sources."""
+    return shards.shard(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document: bags of five-word shingles, similarity 0.8 or more."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -76,9 +91,11 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
     "op3_token_files": op3_token_files,
+    "op4_imatch": op4_imatch,
+    "op6_shards": op6_shards,
     "op7_near_duplicates": op7_near_duplicates,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_shards": shards.ORACLE}

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from colscope.plans.sizing import DEFAULT_MAX_BYTES
 from colscope.session import ensure_checkpoint_dir
 
 
@@ -25,3 +27,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_or_shuffled(ids: DataFrame, row_bytes: int = 48) -> DataFrame:
+    """A frame of fixed-width columns (already written: the count is cheap), hinted for
+    broadcast only while its rows fit the bound; above it both sides are shuffled."""
+    return F.broadcast(ids) if ids.count() * row_bytes <= DEFAULT_MAX_BYTES else ids
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``ids``; rows without id stay. All columns of ``docs``."""
+    gone = written(ids.select(id_col).distinct(), "gone")
+    return docs.join(small_or_shuffled(gone), id_col, "left_anti").select(*docs.columns)
