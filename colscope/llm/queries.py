@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from colscope.llm import dac, decontaminate, imatch, neardup, packing, quality, secrets, shards
+from colscope.llm import dac, decontaminate, imatch, language, neardup, packing, quality, secrets, shards, urls
 from colscope.llm.tables import shared_path, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -17,6 +17,12 @@ def _id_remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or model verdict of every page's URL."""
+    weights, bias = urls.fit(urls.LABELLED)
+    return urls.judge(table(spark, sf_dir, "pages"), weights, bias).select("page_id", "host", "path", "rule", "verdict")
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
     """The model of op9, learned from labels whose id remainder modulo 3 is not 1."""
     labels = (table(spark, sf_dir, "labels").filter(_id_remainder(3) != 1)
@@ -60,6 +66,14 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
         imatch.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from documents whose id remainder modulo 4 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(_id_remainder(4) != 2))
+    return language.predict(docs, model).select(
+        "doc_id", F.coalesce(_id_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of the same mixture of sources."""
     return shards.shard(table(spark, sf_dir, "documents"), shards=8)
@@ -92,10 +106,12 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_token_files": op3_token_files,
     "op4_imatch": op4_imatch,
+    "op5_language": op5_language,
     "op6_shards": op6_shards,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
 }
 
-ORACLE: dict[str, str] = {"op6_shards": shards.ORACLE}
+ORACLE: dict[str, str] = {"op6_shards": shards.ORACLE, "op8_url_filter": urls.oracle()}
