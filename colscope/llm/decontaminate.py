@@ -194,7 +194,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = SEED_WORDS, co
     items = written(items.withColumn("item", F.monotonically_increasing_id()), "items")
     seeds = written(seed_table(items, k), "seeds")
     n_seeds = seeds.count()
-    sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())      # k values at most
+    sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect()) or [k]      # k values at most
     hits = _seeded_docs(docs.select("doc_id", F.lower("text").alias("text")), _bit_table(seeds, table_bits), sizes)
     hits = written(hits.withColumn("row", F.monotonically_increasing_id()), "hits")
     small = F.broadcast if n_seeds * 48 <= DEFAULT_MAX_BYTES else lambda x: x   # long, long, long, int, long of each seed
