@@ -9,13 +9,17 @@
    probability equal to their weighted Jaccard similarity.
 2. *Classes of equal bags* are folded first (one aggregate on a 128-bit digest), so
    groups of exact copies of any size are one node from there on.
-3. *Bands.* Nodes that agree in all ``rows`` slots of one of ``bands`` bands share a
-   bucket. In each bucket every node is compared with one leader of the bucket; nodes
-   of a bucket that this leaves in different components go to another leader, and what
-   is then still apart in a bucket is compared pair by pair (only pairs of different
-   components with bag sizes that allow the similarity). So no link between candidates
-   is lost, and a group of n copies costs about n comparisons.
-4. *Verify* the multiset overlap sum(min) / sum(max) of the whole texts, then connect.
+3. *Bands.* Nodes that agree in all ``rows`` slots of one of ``bands`` bands share a group.
+   In each group every node is compared with one pivot, the node that shares most: the
+   multiset overlap sum(min) / sum(max) of the whole texts decides.
+4. *The rest.* Two nodes x, y of a group that are still in different components, y not
+   linked to the pivot p, can only be alike if they share a shingle beyond p's (x and y have
+   it more often than p) or if min(|x & p|, |y & p|) alone reaches the overlap they need:
+   |x & y| <= min(|x & p|, |y & p|) + |(x - p) & (y - p)|. So the nodes of a pivot are grouped
+   anew by the shingles they have beyond it (and the few pairs of the second kind on their
+   own), and step 3 is repeated on those groups until none has two components. No link
+   between nodes that share a band is lost, and pairs within a group are never listed: a
+   group of n copies, exact or near, costs about n comparisons.
 
 Result: one row per input row: the id, ``class_id`` (the least id of its class) and
 ``class_size`` (rows of the class). Defined results: null text counts as empty; a text
@@ -134,14 +138,13 @@ def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 
 def _overlaps(pairs: DataFrame, k: int) -> DataFrame:
-    """(a, b, similarity) of pairs that carry both texts."""
+    """(a, b, sa, sb, overlap, beyond) of pairs that carry both texts: bag sizes, multiset
+    overlap, and the shingles that b has more often than a."""
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            step = 64
-            for lo in range(0, n, step):
-                part = batch.slice(lo, step)
-                sides = []
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                m, sides = part.num_rows, []
                 for c in (2, 3):
                     keys, counts = [], []
                     for b in text_blocks(part.column(c), 1 << 19):
@@ -150,25 +153,28 @@ def _overlaps(pairs: DataFrame, k: int) -> DataFrame:
                         counts.append(cnt)
                     sides.append((np.concatenate(keys), np.concatenate(counts)))
                 (ka, ca), (kb, cb) = sides
-                at = np.minimum(np.searchsorted(kb, ka), max(len(kb) - 1, 0))
-                both = kb[at] == ka if len(kb) else np.zeros(len(ka), bool)
-                m = part.num_rows
-                rows_of = lambda x: (x >> np.uint64(44)).astype(np.int64)
-                inter = np.bincount(rows_of(ka[both]), weights=np.minimum(ca[both], cb[at[both]]), minlength=m)
-                total = np.bincount(rows_of(ka), weights=ca, minlength=m) + np.bincount(rows_of(kb), weights=cb, minlength=m)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(inter / (total - inter))],
-                                                 ["a", "b", "similarity"])
+                at = np.minimum(np.searchsorted(ka, kb), len(ka) - 1)
+                in_a = np.where(ka[at] == kb, ca[at], 0)
+                row_a, row_b = (ka >> np.uint64(44)).astype(np.int64), (kb >> np.uint64(44)).astype(np.int64)
+                total = lambda r, w: np.bincount(r, weights=w, minlength=m).astype(np.int64)
+                more = cb > in_a
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row_b[more], minlength=m))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), part.column(1), pa.array(total(row_a, ca)), pa.array(total(row_b, cb)),
+                    pa.array(total(row_b, np.minimum(cb, in_a))),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array((kb[more] & _KEEP).astype(np.int64)))],
+                    ["a", "b", "sa", "sb", "overlap", "beyond"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(
+        run, "a long, b long, sa long, sb long, overlap long, beyond array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, limit: float) -> DataFrame:
-    """The pairs (a, b) whose bags are alike. A leader's text goes to many pairs: the
-    join on it may be split by Spark's skew handling, and its row is one text."""
-    t = texts.withColumn("text", F.lower("text"))
-    both = (pairs.join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"))
-    return _overlaps(both, k).filter(F.col("similarity") >= limit).select("a", "b").distinct()
+def _compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) with their overlap. A pivot's text goes to many pairs: the join on it
+    may be split by Spark's skew handling, and its other side is one row."""
+    both = (pairs.join(texts.select(F.col("doc_id").alias("b"), F.lower("text").alias("text_b")), "b")
+            .join(texts.select(F.col("doc_id").alias("a"), F.lower("text").alias("text_a")), "a"))
+    return _overlaps(both, k)
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -192,8 +198,39 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
+def _with_label(nodes: DataFrame, labels: DataFrame | None, col: str) -> DataFrame:
+    if labels is None:
+        return nodes.withColumn("label", F.col(col))
+    return (nodes.join(labels.withColumnRenamed("id", col), col, "left")
+            .withColumn("label", F.coalesce("label", F.col(col))))
+
+
+def _stars(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(a, b): the nodes of every group that holds two components, with the group's pivot a."""
+    now = _with_label(groups, labels, "node")
+    open_ = now.groupBy("g").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    now = written(now.join(open_.filter("lo < hi"), "g").select("g", "node", "n"), "groups")
+    weight = now.groupBy("node").agg(F.sum("n").alias("weight"))
+    now = now.join(weight, "node").select("g", "node", F.struct("weight", (-F.col("node")).alias("minus")).alias("rank"))
+    pivot = now.groupBy("g").agg(F.max("rank").alias("top")).select("g", (-F.col("top")["minus"]).alias("a"))
+    return now.join(pivot, "g").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
+def _beyond_pivots(compared: DataFrame, labels: DataFrame, need) -> DataFrame:
+    """New groups (g, node) of nodes that may still be alike (module text, 4)."""
+    nodes = _with_label(compared.withColumn("apart", F.col("overlap") < need(F.col("sa"), F.col("sb"))), labels, "b")
+    open_ = nodes.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("apart").alias("any"))
+    nodes = written(nodes.join(open_.filter("lo < hi and any").select("a"), "a"), "apart")
+    shared = nodes.select("a", "b", F.explode("beyond").alias("e")).select(F.xxhash64("a", "e").alias("g"), F.col("b").alias("node"))
+    x = nodes.filter("sb < sa").select("a", F.col("b").alias("x"), F.col("sb").alias("sx"), F.col("overlap").alias("ox"), F.col("label").alias("lx"))
+    y = nodes.filter("apart").select("a", F.col("b").alias("y"), F.col("sb").alias("sy"), F.col("overlap").alias("oy"), F.col("label").alias("ly"))
+    near = x.join(y, "a").filter((F.col("lx") != F.col("ly")) & (F.least("ox", "oy") >= need(F.col("sx"), F.col("sy"))))
+    near = near.select(F.xxhash64("a", "x", "y").alias("g"), F.explode(F.array("x", "y")).alias("node"))
+    return shared.union(near)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
-                    limit: float = LIMIT, bands: int = BANDS, rows: int = ROWS, leaders: int = 2) -> DataFrame:
+                    limit: float = LIMIT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Class of every row of ``docs`` (see the module text): id_col, class_id, class_size."""
     ship_package(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -202,47 +239,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
     node_of = written(known.select("doc_id", "d1", "d2").join(reps, ["d1", "d2"]).select("doc_id", "node").distinct(), "nodes")
     own = node_of.filter(F.col("doc_id") == F.col("node")).select("doc_id")
-    buckets = (known.join(own, "doc_id", "left_semi")
-               .select(F.col("doc_id").alias("node"), "size", F.explode("codes").alias("bucket")).distinct())
-    # rows with one id and different texts: their nodes are linked as they are
-    links = node_of.filter(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    links = links.join(own.withColumnRenamed("doc_id", "a"), "a", "left_semi")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1")
-    buckets = written(buckets.join(shared, "bucket").select("bucket", "node", "size", "leader", "n"), "buckets")
-    texts = written(docs.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-                    .join(own, "doc_id", "left_semi"), "texts")
-    checked = None
+    groups = (known.join(own, "doc_id", "left_semi")
+              .select(F.explode("codes").alias("g"), F.col("doc_id").alias("node")).distinct())
+    shared = groups.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    groups = written(groups.join(shared, "g"), "groups")
+    texts = written(docs.join(groups.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    # nodes that are rows of one id with different texts are linked as they are
+    links = (node_of.filter(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+             .join(own.withColumnRenamed("doc_id", "a"), "a", "left_semi"))
+    need = lambda x, y: limit / (1 + limit) * (x + y) - 1e-6  # noqa: E731  overlap that makes sizes x, y alike
     labels = None
-    for t in range(leaders + 1):
-        if labels is None:
-            now = buckets.withColumn("label", F.col("node"))
-        else:
-            now = (buckets.join(labels.withColumnRenamed("id", "node"), "node", "left")
-                   .withColumn("label", F.coalesce("label", "node")))
-            apart = now.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.min(
-                F.struct(F.xxhash64(F.lit(t), "node"), F.col("node"))).alias("_lead"))
-            apart = apart.filter("_lo < _hi").select("bucket", F.col("_lead")["node"].alias("leader"))
-            # buckets of two are settled by their first comparison
-            now = now.filter("n > 2").drop("leader").join(apart, "bucket")
-        member = now.select("bucket", "node", "size", "label", "leader")
-        if t < leaders:
-            lead = member.filter("node = leader").select("bucket", F.col("size").alias("size_l"), F.col("label").alias("label_l"))
-            pairs = member.join(lead, "bucket").filter("label <> label_l").select(
-                F.col("leader").alias("a"), F.col("node").alias("b"), F.col("size_l").alias("sa"), F.col("size").alias("sb"))
-        else:
-            left = member.select("bucket", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("label").alias("label_l"))
-            right = member.select("bucket", F.col("node").alias("b"), F.col("size").alias("sb"), "label")
-            pairs = left.join(right, "bucket").filter("a < b and label <> label_l")
-        pairs = pairs.filter(F.least("sa", "sb") >= limit * F.greatest("sa", "sb")).select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        checked = pairs if checked is None else checked.union(pairs)
-        if t and not pairs.limit(1).count():
-            continue
-        links = written(links.union(_verified(pairs, texts, k, limit)), "links")
+    while True:
+        pairs = written(_stars(groups, labels), "pairs")
+        if labels is not None and not pairs.limit(1).count():
+            break
+        compared = written(_compared(pairs, texts, k), "compared")
+        links = written(links.union(compared.filter(F.col("overlap") >= need(F.col("sa"), F.col("sb"))).select("a", "b")).distinct(), "links")
         labels = components(links)
+        groups = written(_beyond_pivots(compared, labels, need), "beyond")
     classes = (node_of.join(labels.withColumnRenamed("id", "node"), "node", "left")
                .select("doc_id", F.coalesce("label", "node").alias("class_id"))
                .groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
