@@ -58,6 +58,10 @@ LABELLED = tuple((u, 1) for u in (
     "http://therest.example.org/de/3/", "https://m.therou.example.net/en/51", "http://ththat.example.net/en/400",
     "https://ththing.example.com/fr/27", "http://www.therly.example.org/en/95#top", "https://theren.example.com/en/8",
     "http://history-of-art.example.com/en/13", "https://bird-watch.example.net/en/77", "http://ththed.example.org/fr/6",
+    "http://m.town-news.example.net/en/14", "https://m.local-bakery.example.com/en/120", "http://m.city-council.example.org/de/44/",
+    "https://blog.local-history.example.net/en/310", "http://m.science-news.example.com/en/6.html", "https://www.law-review.example.net/es/52",
+    "http://m.bus-lines.example.org/fr/81", "https://maps.example.com/en/203", "http://www.poetry.example.net/en/9#top",
+    "https://m.football-club.example.com/en/17", "http://family-doctor.example.org/en/28", "https://www.astronomy.example.net/fr/5",
     "https://chess-club.example.com/en/60", "http://train-times.example.net/de/29", "https://blog.physics-lab.example.com/en/1",
 ))
 

@@ -38,3 +38,14 @@ def tokenizer_path():
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="session")
+def encoder_ids(tokenizer_path):
+    """Ids of a whole text by the library alone, with the end id 0."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path)
+    t.encode_special_tokens = True
+    return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
