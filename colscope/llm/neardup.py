@@ -13,13 +13,12 @@
    In each group every node is compared with one pivot, the node that shares most: the
    multiset overlap sum(min) / sum(max) of the whole texts decides.
 4. *The rest.* Two nodes x, y of a group that are still in different components, y not
-   linked to the pivot p, can only be alike if they share a shingle beyond p's (x and y have
-   it more often than p) or if min(|x & p|, |y & p|) alone reaches the overlap they need:
-   |x & y| <= min(|x & p|, |y & p|) + |(x - p) & (y - p)|. So the nodes of a pivot are grouped
-   anew by the shingles they have beyond it (and the few pairs of the second kind on their
-   own), and step 3 is repeated on those groups until none has two components. No link
-   between nodes that share a band is lost, and pairs within a group are never listed: a
-   group of n copies, exact or near, costs about n comparisons.
+   linked to the pivot p, can only be alike if what both have beyond p makes up for what
+   they lack: |x & y| <= min(|x & p|, |y & p|) + |(x - p) & (y - p)|. So the nodes of a pivot
+   are joined on the shingles they have beyond it, not on the group, and only pairs whose
+   shared ones reach the missing overlap (and the few that need none) are compared. No link
+   between nodes that share a band is lost, and the pairs within a group are never listed:
+   a group of n copies, exact or near, costs about n comparisons.
 
 Result: one row per input row: the id, ``class_id`` (the least id of its class) and
 ``class_size`` (rows of the class). Defined results: null text counts as empty; a text
@@ -139,7 +138,7 @@ def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 def _overlaps(pairs: DataFrame, k: int) -> DataFrame:
     """(a, b, sa, sb, overlap, beyond) of pairs that carry both texts: bag sizes, multiset
-    overlap, and the shingles that b has more often than a."""
+    overlap, and the shingles that b has more often than a, with how much more often."""
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
@@ -162,11 +161,12 @@ def _overlaps(pairs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array(total(row_a, ca)), pa.array(total(row_b, cb)),
                     pa.array(total(row_b, np.minimum(cb, in_a))),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array((kb[more] & _KEEP).astype(np.int64)))],
+                    pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
+                        [pa.array((kb[more] & _KEEP).astype(np.int64)), pa.array((cb - in_a)[more])], ["e", "w"]))],
                     ["a", "b", "sa", "sb", "overlap", "beyond"])
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(
-        run, "a long, b long, sa long, sb long, overlap long, beyond array<long>")
+        run, "a long, b long, sa long, sb long, overlap long, beyond array<struct<e:long,w:long>>")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -198,35 +198,33 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
-def _with_label(nodes: DataFrame, labels: DataFrame | None, col: str) -> DataFrame:
-    if labels is None:
-        return nodes.withColumn("label", F.col(col))
-    return (nodes.join(labels.withColumnRenamed("id", col), col, "left")
-            .withColumn("label", F.coalesce("label", F.col(col))))
-
-
-def _stars(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(a, b): the nodes of every group that holds two components, with the group's pivot a."""
-    now = _with_label(groups, labels, "node")
-    open_ = now.groupBy("g").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    now = written(now.join(open_.filter("lo < hi"), "g").select("g", "node", "n"), "groups")
-    weight = now.groupBy("node").agg(F.sum("n").alias("weight"))
-    now = now.join(weight, "node").select("g", "node", F.struct("weight", (-F.col("node")).alias("minus")).alias("rank"))
+def _stars(groups: DataFrame) -> DataFrame:
+    """(a, b): the nodes of every group with the group's pivot a."""
+    size = groups.groupBy("g").agg(F.count("*").alias("n"))
+    weight = groups.join(size, "g").groupBy("node").agg(F.sum("n").alias("weight"))
+    now = groups.join(weight, "node").select("g", "node", F.struct("weight", (-F.col("node")).alias("minus")).alias("rank"))
     pivot = now.groupBy("g").agg(F.max("rank").alias("top")).select("g", (-F.col("top")["minus"]).alias("a"))
-    return now.join(pivot, "g").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    return groups.join(pivot, "g").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def _beyond_pivots(compared: DataFrame, labels: DataFrame, need) -> DataFrame:
-    """New groups (g, node) of nodes that may still be alike (module text, 4)."""
-    nodes = _with_label(compared.withColumn("apart", F.col("overlap") < need(F.col("sa"), F.col("sb"))), labels, "b")
+def _still_possible(compared: DataFrame, labels: DataFrame, need) -> DataFrame:
+    """Pairs (a, b) of nodes of one pivot that may be alike although it does not connect them
+    (module text, 4)."""
+    nodes = (compared.join(labels.withColumnRenamed("id", "b"), "b", "left")
+             .withColumn("label", F.coalesce("label", "b")).withColumn("apart", F.col("overlap") < need(F.col("sa"), F.col("sb"))))
     open_ = nodes.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("apart").alias("any"))
     nodes = written(nodes.join(open_.filter("lo < hi and any").select("a"), "a"), "apart")
-    shared = nodes.select("a", "b", F.explode("beyond").alias("e")).select(F.xxhash64("a", "e").alias("g"), F.col("b").alias("node"))
-    x = nodes.filter("sb < sa").select("a", F.col("b").alias("x"), F.col("sb").alias("sx"), F.col("overlap").alias("ox"), F.col("label").alias("lx"))
-    y = nodes.filter("apart").select("a", F.col("b").alias("y"), F.col("sb").alias("sy"), F.col("overlap").alias("oy"), F.col("label").alias("ly"))
-    near = x.join(y, "a").filter((F.col("lx") != F.col("ly")) & (F.least("ox", "oy") >= need(F.col("sx"), F.col("sy"))))
-    near = near.select(F.xxhash64("a", "x", "y").alias("g"), F.explode(F.array("x", "y")).alias("node"))
-    return shared.union(near)
+    side = lambda c: [F.col(n).alias(f"{m}{c}") for n, m in (("b", "n"), ("sb", "s"), ("overlap", "o"), ("label", "l"))]
+    missing = need(F.col("sx"), F.col("sy")) - F.least("ox", "oy")
+    x = nodes.select("a", *side("x"), F.explode("beyond").alias("p")).select("*", F.col("p.e"), F.col("p.w").alias("wx")).drop("p")
+    y = nodes.filter("apart").select("a", *side("y"), F.explode("beyond").alias("p")).select("*", F.col("p.e"), F.col("p.w").alias("wy")).drop("p")
+    shared = (x.join(y, ["a", "e"]).filter("lx <> ly").groupBy("a", "nx", "ny")
+              .agg(F.sum(F.least("wx", "wy")).alias("both"), F.first(missing).alias("missing")).filter("both >= missing"))
+    # only a node smaller than the pivot can be alike to an unlinked one without sharing more
+    free = (nodes.filter("sb < sa").select("a", *side("x")).join(nodes.filter("apart").select("a", *side("y")), "a")
+            .filter((F.col("lx") != F.col("ly")) & (missing <= 0)))
+    return (shared.select("nx", "ny").union(free.select("nx", "ny"))
+            .select(F.least("nx", "ny").alias("a"), F.greatest("nx", "ny").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
@@ -248,15 +246,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = (node_of.filter(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
              .join(own.withColumnRenamed("doc_id", "a"), "a", "left_semi"))
     need = lambda x, y: limit / (1 + limit) * (x + y) - 1e-6  # noqa: E731  overlap that makes sizes x, y alike
-    labels = None
-    while True:
-        pairs = written(_stars(groups, labels), "pairs")
-        if labels is not None and not pairs.limit(1).count():
-            break
-        compared = written(_compared(pairs, texts, k), "compared")
-        links = written(links.union(compared.filter(F.col("overlap") >= need(F.col("sa"), F.col("sb"))).select("a", "b")).distinct(), "links")
-        labels = components(links)
-        groups = written(_beyond_pivots(compared, labels, need), "beyond")
+    alike = lambda pairs: pairs.filter(F.col("overlap") >= need(F.col("sa"), F.col("sb"))).select("a", "b")
+    compared = written(_compared(written(_stars(groups), "stars"), texts, k), "compared")
+    links = written(links.union(alike(compared)).distinct(), "links")
+    labels = components(links)
+    rest = written(_still_possible(compared, labels, need), "rest")
+    if rest.limit(1).count():
+        labels = components(links.union(alike(_compared(rest, texts, k))))
     classes = (node_of.join(labels.withColumnRenamed("id", "node"), "node", "left")
                .select("doc_id", F.coalesce("label", "node").alias("class_id"))
                .groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
