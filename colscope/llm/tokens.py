@@ -16,6 +16,7 @@ from array import array
 
 CACHE_CHARS = 25_000_000     # with 40 for each part: about 500,000 parts, 100 MB
 _SEEN_MASK = (1 << 23) - 1
+_MARKS = ".,;:!?)]}>\"%$#&*|"     # neither letters, digits, white space nor an apostrophe
 _SPACES = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
@@ -29,6 +30,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.parts: dict[str, bytes] = {}      # part after a space -> ids of " " + part; no part ends in white space
+        self.marks: dict[str, bytes] = {}       # marks that end a part -> their ids
         self.seen = bytearray(_SEEN_MASK + 1)   # by hash: met before
         self.chars = 0
 
@@ -43,6 +45,16 @@ class Encoder:
             self.chars = sum(map(len, self.parts)) + 40 * len(self.parts)
             self.seen = bytearray(_SEEN_MASK + 1)
 
+    def _keep(self, p: str, ids: bytes, once: list[str]) -> None:
+        self.parts[p] = ids
+        h = hash(p) & _SEEN_MASK
+        # the last part of a text may end in white space; inside another text it would not stand alone
+        if p == "" or p[-1] in _SPACES or not self.seen[h]:
+            once.append(p)
+            self.seen[h] = 1
+        else:
+            self.chars += len(p) + 40
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         self._make_room()
         parts, split, heads, new = self.parts, [], [], set()
@@ -57,17 +69,28 @@ class Encoder:
                 unknown = set(s[1:]).difference(parts)
             split.append(s)
             new |= unknown
-        order = sorted(new)
+        # a letter before marks ends a pre-token: " word," is " word" and ","
+        whole, marked = new, []
+        if new:
+            whole = set()
+            for p in new:
+                stem = p.rstrip(_MARKS)
+                if 0 < len(stem) < len(p) and stem[-1].isalpha():
+                    marked.append((p, stem, p[len(stem):]))
+                    if stem not in parts:
+                        whole.add(stem)
+                else:
+                    whole.add(p)
         once = []       # parts met for the first time: most never come again and are not kept
+        order = list(whole)
         for p, ids in zip(order, self._encode([" " + p for p in order])):
-            parts[p] = ids
-            h = hash(p) & _SEEN_MASK
-            # the last part of a text may end in white space; inside another text it would not stand alone
-            if p == "" or p[-1] in _SPACES or not self.seen[h]:
-                once.append(p)
-                self.seen[h] = 1
-            else:
-                self.chars += len(p) + 40
+            self._keep(p, ids, once)
+        suffixes = [x for x in {m for _, _, m in marked} if x not in self.marks]
+        if len(self.marks) > 10_000:
+            self.marks, suffixes = {}, list({m for _, _, m in marked})
+        self.marks.update(zip(suffixes, self._encode(suffixes)))
+        for p, stem, mark in marked:
+            self._keep(p, parts[stem] + self.marks[mark], once)
         out = [first + b"".join(map(parts.__getitem__, s[1:])) for first, s in zip(self._encode(heads), split)]
         for p in once:
             del parts[p]
