@@ -39,6 +39,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, app="colscope-bench")
+    # each table here is one file of one row group: deal its rows to all cores
+    spark.conf.set("spark.colscope.inputPartitions", cpus)
     spark.conf.set("spark.sql.shuffle.partitions", str(max(8, int(cpus))))
     # warm-up (not timed): JIT and Python workers, on the smallest data available
     warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")

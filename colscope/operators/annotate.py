@@ -38,23 +38,16 @@ def column_requests(tables: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def table_requests(tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """A1 per table: name, comment, row count and one line per column."""
-    line = F.concat(F.lit("- "), F.col("column"), F.lit(" ("), F.col("data_type"), F.lit("): PK="),
-                    F.col("is_primary_key").cast("string"), F.lit(", FK="),
-                    F.coalesce("foreign_key_ref", F.lit("n/a")))
-    lines = (columns.groupBy("database", "table")
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("l")))),
-                                           lambda s: s["l"]), "\n").alias("column_lines")))
-    body = F.concat_ws(
-        "\n",
-        F.concat(F.lit("table: "), F.col("table")),
-        F.concat(F.lit("comment: "), F.coalesce("comment", F.lit("none"))),
-        F.concat(F.lit("rows: "), F.when(F.col("row_count") > 0, F.col("row_count").cast("string"))
-                 .otherwise(F.lit("unknown"))),
-        F.lit("columns:"),
-        F.coalesce("column_lines", F.lit("")),
-    )
-    return tables.join(lines, ["database", "table"], "left").select("database", "table", body.alias("request"))
+    """A1 per table: its facts and those of its columns, in position order, as one JSON object."""
+    one = F.struct(F.col("position"), F.struct(
+        F.col("column").alias("name"), F.col("data_type").alias("type"), F.col("is_primary_key").alias("key"),
+        F.coalesce("foreign_key_ref", F.lit("")).alias("references")).alias("facts"))
+    cols = columns.groupBy("database", "table").agg(F.array_sort(F.collect_list(one)).alias("_c"))
+    body = F.to_json(F.struct(
+        F.col("table"), F.coalesce("comment", F.lit("")).alias("comment"), F.coalesce("row_count", F.lit(0)).alias("rows"),
+        F.coalesce(F.col("_c.facts"), F.array().cast("array<struct<name:string,type:string,key:boolean,references:string>>"))
+        .alias("columns")))
+    return tables.join(cols, ["database", "table"], "left").select("database", "table", body.alias("request"))
 
 
 def parse_replies(replies: DataFrame, reply_col: str = "reply", schema: str = COLUMN_REPLY) -> DataFrame:
@@ -74,11 +67,20 @@ def parse_replies(replies: DataFrame, reply_col: str = "reply", schema: str = CO
     return out.select(*replies.columns, "state", *[F.col("_p")[f].alias(f) for f in fields])
 
 
+def _last_reply(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """One reply per key: the last by ``seq`` if the replies carry one; among equals (or
+    without ``seq``) the greatest by its fields."""
+    rest = [c for c in parsed.columns if c not in keys]
+    order = [c for c in ("seq",) if c in rest] + [c for c in rest if c != "seq"]
+    last = parsed.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_l"))
+    return last.select(*keys, "_l.*")
+
+
 def merge_column_replies(columns: DataFrame, parsed: DataFrame) -> DataFrame:
     """A3 for columns: a reply that parsed (ok or invalid) sets business_name
     (default: the column name), description (default '') and keywords (default
     []); a failed reply ('not_object') or no reply leaves the column untouched."""
-    r = (parsed.where(F.col("state") != "not_object")
+    r = (_last_reply(parsed.where(F.col("state") != "not_object"), ["database", "table", "column"])
          .select("database", "table", "column", F.lit(True).alias("_hit"),
                  F.col("business_name").alias("_bn"), F.col("description").alias("_desc"),
                  F.col("keywords").alias("_kw")))
@@ -95,7 +97,7 @@ def merge_table_replies(tables: DataFrame, parsed: DataFrame, strict: bool = Tru
     """A3 for tables: business_name (default: table name) and description
     (default ''). With ``strict`` a failed or missing table reply raises, as a
     failed table annotation aborts the run (one small action)."""
-    r = (parsed.select("database", "table", "state", F.col("business_name").alias("_bn"),
+    r = (_last_reply(parsed.drop("column"), ["database", "table"]).select("database", "table", "state", F.col("business_name").alias("_bn"),
                        F.col("description").alias("_desc")))
     out = tables.join(r, ["database", "table"], "left")
     if strict:

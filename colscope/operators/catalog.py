@@ -79,6 +79,12 @@ def overview(tables: DataFrame, columns: DataFrame) -> DataFrame:
                     .otherwise(F.lit(UNKNOWN)).alias("row_count_text")))
 
 
+def table_header(tables: DataFrame) -> DataFrame:
+    """C7 header: business name, description and row count of each table."""
+    return tables.select("database", "table", F.coalesce("business_name", F.lit(UNKNOWN)).alias("business_name"),
+                         F.coalesce("description", F.lit("")).alias("description"), "row_count")
+
+
 def table_detail(columns: DataFrame) -> DataFrame:
     """One row per column with flags, names, first 6 keywords and the first 5
     samples cut to 30 characters."""
@@ -96,25 +102,21 @@ def table_detail(columns: DataFrame) -> DataFrame:
     )
 
 
-def _flags_raw() -> F.Column:
-    return F.concat_ws(", ",
-                       F.when(F.col("is_primary_key"), F.lit("PK")),
-                       F.when(F.col("is_foreign_key"), F.concat(F.lit("FK->"), F.col("foreign_key_ref"))),
-                       F.when(~F.col("nullable"), F.lit("NOT NULL")))
+def _given(c: str) -> F.Column:
+    return F.col(c).isNotNull() & (F.col(c) != "")
 
 
 def _column_line(full: bool) -> F.Column:
-    flags = _flags_raw()
-    line = F.concat(F.lit("  - `"), F.col("column"), F.lit("` "), F.col("data_type"),
-                    F.when(flags != "", F.concat(F.lit(" ["), flags, F.lit("]"))).otherwise(F.lit("")))
-    if not full:
-        return line
-    bn = F.when(F.col("business_name").isNotNull() & (F.col("business_name") != ""),
-                F.concat(F.lit(" -- "), F.col("business_name"))).otherwise(F.lit(""))
-    samples = F.slice(F.array_distinct(F.coalesce("sample_values", F.array().cast("array<string>"))), 1, 5)
-    ex = F.when(F.size(samples) > 0, F.concat(F.lit(" (e.g. "), F.array_join(samples, ", "), F.lit(")"))) \
-        .otherwise(F.lit(""))
-    return F.concat(line, bn, ex)
+    """``name type; key; references t.c; required`` and, in full, ``means ...; values ...``."""
+    facts = [F.concat_ws(" ", "column", "data_type"),
+             F.when(F.col("is_primary_key"), F.lit("key")),
+             F.when(F.col("is_foreign_key"), F.concat(F.lit("references "), F.col("foreign_key_ref"))),
+             F.when(~F.col("nullable"), F.lit("required"))]
+    if full:
+        samples = F.slice(F.array_distinct(F.coalesce("sample_values", F.array().cast("array<string>"))), 1, 5)
+        facts += [F.when(_given("business_name"), F.concat(F.lit("means "), F.col("business_name"))),
+                  F.when(F.size(samples) > 0, F.concat(F.lit("values "), F.array_join(samples, " / ")))]
+    return F.concat(F.lit("  "), F.concat_ws("; ", *facts))
 
 
 def _ordered_lines(columns: DataFrame, line: F.Column) -> DataFrame:
@@ -124,19 +126,17 @@ def _ordered_lines(columns: DataFrame, line: F.Column) -> DataFrame:
 
 
 def schema_text(tables: DataFrame, columns: DataFrame, variant: str = "full") -> DataFrame:
-    """Per-table schema text. ``variant``: 'raw' (type + PK/FK->ref/NOT NULL),
+    """Per-table schema text. ``variant``: 'raw' (type, key, reference, required),
     'full' (+ business name, description, up to 5 distinct samples),
     'tables' (header only)."""
     t = tables.select("database", "table", "business_name", "description")
-    head = F.concat(F.lit("## "), F.col("table"))
+    head = F.concat(F.lit("TABLE "), F.col("table"))
     if variant in ("full", "tables"):
-        head = F.concat(head, F.when(F.col("business_name").isNotNull() & (F.col("business_name") != ""),
-                                     F.concat(F.lit(" ("), F.col("business_name"), F.lit(")"))).otherwise(F.lit("")))
+        head = F.concat_ws(": ", head, F.when(_given("business_name"), F.col("business_name")))
     if variant == "tables":
         return t.select("database", "table", head.alias("text"))
     if variant == "full":
-        head = F.concat(head, F.when(F.col("description").isNotNull() & (F.col("description") != ""),
-                                     F.concat(F.lit("\n"), F.col("description"))).otherwise(F.lit("")))
+        head = F.concat_ws("\n", head, F.when(_given("description"), F.col("description")))
     lines = _ordered_lines(columns, _column_line(variant == "full"))
     return (t.join(lines, ["database", "table"], "left")
             .select("database", "table",

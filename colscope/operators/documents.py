@@ -15,7 +15,7 @@ from colscope.functions.text import name_variants
 SEP = " | "
 
 
-def table_documents(tables: DataFrame, columns: DataFrame) -> DataFrame:
+def table_documents(tables: DataFrame, columns: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per table: name, business name, description, column list (position
     order), comment when present."""
     cols = (columns.groupBy("database", "table")
@@ -29,10 +29,10 @@ def table_documents(tables: DataFrame, columns: DataFrame) -> DataFrame:
         F.concat(F.lit("columns: "), F.coalesce("_cols", F.lit(""))),
         F.when(F.col("comment").isNotNull() & (F.col("comment") != ""), F.concat(F.lit("comment: "), F.col("comment"))),
     )
-    return tables.join(cols, ["database", "table"], "left").select("database", "table", doc.alias("document"))
+    return tables.join(cols, ["database", "table"], "left").select("database", "table", *keep, doc.alias("document"))
 
 
-def column_documents(columns: DataFrame) -> DataFrame:
+def column_documents(columns: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """D3: per column: table, column, type, business name, description, name
     variants, keywords if any, first 5 samples if any."""
     kw = F.coalesce("keywords", F.array().cast("array<string>"))
@@ -49,21 +49,19 @@ def column_documents(columns: DataFrame) -> DataFrame:
         F.when(F.size(kw) > 0, F.concat(F.lit("keywords: "), F.array_join(kw, ", "))),
         F.when(F.size(sv) > 0, F.concat(F.lit("samples: "), F.array_join(F.slice(sv, 1, 5), ", "))),
     )
-    return columns.select("database", "table", "position", "column", doc.alias("document"))
+    return columns.select("database", "table", "position", "column", *keep, doc.alias("document"))
 
 
 def index_items(tables: DataFrame, columns: DataFrame) -> DataFrame:
     """V3: search items of the catalogue: one per table (id ``db.table``) and one
     per column (id ``db.table.column``)."""
-    t = (table_documents(tables, columns).join(tables.select("database", "table", "business_name"),
-                                               ["database", "table"])
+    t = (table_documents(tables, columns, ("business_name",))
          .select(F.concat_ws(".", "database", "table").alias("id"), F.lit("table").alias("type"),
                  "database", "table", F.lit(None).cast("string").alias("column"),
                  F.lit(None).cast("string").alias("data_type"),
                  F.coalesce("business_name", "table").alias("business_name"), "document",
                  F.lit(0).alias("position")))
-    c = (column_documents(columns).join(columns.select("database", "table", "column", "data_type", "business_name"),
-                                        ["database", "table", "column"])
+    c = (column_documents(columns, ("data_type", "business_name"))
          .select(F.concat_ws(".", "database", "table", "column").alias("id"), F.lit("column").alias("type"),
                  "database", "table", "column", "data_type",
                  F.coalesce("business_name", "column").alias("business_name"), "document", "position"))

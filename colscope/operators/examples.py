@@ -7,7 +7,7 @@ to the path being read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colscope.operators.vectors import cosine_topk
@@ -16,12 +16,14 @@ from colscope.plans.sizing import checked_broadcast
 
 def add_examples(store: DataFrame, batch: DataFrame) -> DataFrame:
     """Append the batch rows whose ``log_id`` is not yet stored (anti-join);
-    callers give ids (e.g. ``uuid()`` for new ones)."""
+    callers give ids (e.g. ``uuid()`` for new ones). Of batch rows with one id the first
+    by (question, sql) is taken; :func:`repeated_ids` reports the others."""
     cols = store.columns
     if "log_id" not in batch.columns:
         batch = batch.withColumn("log_id", F.lit(None).cast("string"))
     # rows without an id get a random one, as ``learn`` does
     batch = batch.withColumn("log_id", F.coalesce(F.col("log_id"), F.expr("uuid()")))
+    batch = _numbered(batch).where(F.col("_nr") == 1).drop("_nr")
     # ids of the batch already stored: the store streams past the broadcast
     # batch ids (size checked); the anti-join then runs on two small sides
     ids_b, _, _ = checked_broadcast(batch.select("log_id"), 1_000_000, 96)
@@ -33,6 +35,17 @@ def add_examples(store: DataFrame, batch: DataFrame) -> DataFrame:
     return store.unionByName(new.select(*cols))
 
 
+def _numbered(batch: DataFrame) -> DataFrame:
+    order = [F.col(c).asc_nulls_first() for c in ("question", "sql") if c in batch.columns]
+    return batch.withColumn("_nr", F.row_number().over(Window.partitionBy("log_id").orderBy(*order)))
+
+
+def repeated_ids(batch: DataFrame) -> DataFrame:
+    """The batch rows that E1 leaves out because an earlier row has their id."""
+    given = batch.where(F.col("log_id").isNotNull())
+    return _numbered(given).where(F.col("_nr") > 1).drop("_nr")
+
+
 def search_examples(examples: DataFrame, queries: DataFrame, top_k: int = 5, **vec) -> DataFrame:
     """Most similar stored questions per query, unclamped cosine;
     ``selected_columns`` restored from JSON (bad JSON -> [])."""

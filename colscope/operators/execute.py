@@ -37,7 +37,7 @@ def _cut(msg: str, limit: int = ERROR_LIMIT) -> str:
 def dry_run(spark: SparkSession, sql: str) -> Outcome:
     """Validate, then parse and analyse without running (``spark.sql`` on a
     query is lazy but analysed eagerly; errors surface here)."""
-    v = validate(sql)
+    v = validate(spark, sql)
     if not v["is_valid"]:
         return Outcome(v)
     try:

@@ -1,19 +1,16 @@
 """Rule checks of SQL text, as column expressions over a SQL-log
-DataFrame (JVM regex, whole-stage codegen, no Python UDF), plus the same
-verdict in plain Python for a single statement.
+DataFrame (JVM regex, whole-stage codegen, no Python UDF). A single statement is
+checked by the same expressions on one row.
 
 Verdict order: empty -> injection -> dangerous -> statement type -> valid.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.functions.text import py_strip
-from colscope.plans.sizing import spread
 
 # ---- fixed values: the rule patterns, matched in this order, case-insensitive ----
 INJECTION_PATTERNS = [
@@ -59,11 +56,21 @@ def first_hit(sql: Column, patterns: list[str]) -> Column:
     return expr
 
 
+# string literals (doubled or backslash-escaped quotes), quoted names, line and block comments
+QUOTED_OR_COMMENT = (r"""(?s)'[^'\\]*+(?:(?:''|\\.)[^'\\]*+)*+'|"[^"]*+"|`[^`]*+`|--[^\n]*+|/\*.*?\*/""")
+
+
+def code_only(sql: Column) -> Column:
+    """The text with literals, quoted names and comments blanked, so that what stands in them
+    neither ends a statement nor gives it a type."""
+    return F.regexp_replace(sql, QUOTED_OR_COMMENT, " ")
+
+
 def statement_types(sql: Column) -> Column:
-    """G3 (our rule): split on ';', drop blank parts; each part's type is its
-    first word (skipping '('), upper-cased; for WITH, the first DML word right
-    after a closing parenthesis; no word -> UNKNOWN."""
-    parts = F.filter(F.split(sql, ";"), lambda p: py_strip(p) != "")
+    """G3 (our rule), on the text outside literals and comments: split on ';', drop
+    blank parts; each part's type is its first word (skipping '('), upper-cased; for
+    WITH, the first DML word right after a closing parenthesis; no word -> UNKNOWN."""
+    parts = F.filter(F.split(code_only(sql), ";"), lambda p: py_strip(p) != "")
 
     def one(p: Column) -> Column:
         w = F.upper(F.regexp_extract(p, r"^[\s(]*([A-Za-z_]+)", 1))
@@ -82,7 +89,7 @@ def audit(log: DataFrame, sql_col: str = "sql", allow_write: bool = False) -> Da
     projections), then the verdict is read off those columns."""
     sql = F.coalesce(F.col(sql_col), F.lit(""))
     allowed = WRITE_TYPES if allow_write else READ_TYPES
-    base = (spread(log)
+    base = (log
             .withColumn("_empty", py_strip(sql) == "")
             .withColumn("_inj", first_hit(sql, INJECTION_PATTERNS))
             .withColumn("_dang", first_hit(sql, DANGEROUS_PATTERNS))
@@ -109,34 +116,9 @@ def summary(audited: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-# ---------------------------------------------------------------- single text
-def _py_types(sql: str) -> list[str]:
-    out = []
-    for p in sql.split(";"):
-        if not p.strip():
-            continue
-        m = re.match(r"^[\s(]*([A-Za-z_]+)", p)
-        w = m.group(1).upper() if m else ""
-        if w == "WITH":
-            m2 = re.search(r"\)\s*(" + "|".join(DML_WORDS) + r")\b", p, re.IGNORECASE)
-            w = m2.group(1).upper() if m2 else "UNKNOWN"
-        out.append(w or "UNKNOWN")
-    return out
-
-
-def validate(sql: str, allow_write: bool = False) -> dict:
-    """G4 for one text (same rules as :func:`audit`)."""
-    text = sql or ""
-    if not text.strip():
-        return {"is_valid": False, "error_type": SYNTAX_ERROR, "rule": "empty", "sql": text}
-    for p in INJECTION_PATTERNS:
-        if re.search(p, text, re.IGNORECASE):
-            return {"is_valid": False, "error_type": INJECTION, "rule": p, "sql": text}
-    for p in DANGEROUS_PATTERNS:
-        if re.search(p, text, re.IGNORECASE):
-            return {"is_valid": False, "error_type": DANGEROUS, "rule": p, "sql": text}
-    allowed = WRITE_TYPES if allow_write else READ_TYPES
-    for t in _py_types(text):
-        if t not in allowed:
-            return {"is_valid": False, "error_type": DANGEROUS, "rule": f"statement:{t}", "sql": text}
-    return {"is_valid": True, "error_type": None, "rule": None, "sql": text.strip()}
+def validate(spark: SparkSession, sql: str | None, allow_write: bool = False) -> dict:
+    """G4 for one text: the same column rules on a frame of one row."""
+    one = spark.createDataFrame([(sql or "",)], "sql string")
+    r = audit(one, allow_write=allow_write).first()
+    text = (sql or "").strip() if r["is_valid"] else sql or ""
+    return {"is_valid": r["is_valid"], "error_type": r["error_type"], "rule": r["rule"], "sql": text}

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from colscope.functions.text import _SEED2 as SEED2
 from colscope.functions.text import norm_key
-from colscope.plans.sizing import broadcast_if_small, spread
+from colscope.plans.sizing import broadcast_if_small, dealt
 from colscope.schemas import SCHEMA_COLUMNS
 from colscope.sources.tables import readable_tables, table_columns_meta
 
@@ -91,7 +91,11 @@ def fingerprint_sql(name: str, dt: T.DataType) -> tuple[str, str]:
                 f"CASE WHEN {nn} THEN 0L END")
     if isinstance(dt, T.TimestampType):
         return f"unix_micros({c})", f"CASE WHEN {nn} THEN 0L END"
-    v = _norm_sql(name, dt)
+    if isinstance(dt, T.DecimalType):
+        # equal numbers of different scales are one value: hash the text without closing zeros
+        v = f"regexp_replace(CAST({c} AS STRING), '([.][0-9]*?)0*$', '$1')" if dt.scale else f"concat(CAST({c} AS STRING), '.')"
+    else:
+        v = _norm_sql(name, dt)
     return (f"CASE WHEN {nn} THEN xxhash64({v}) END",
             f"CASE WHEN {nn} THEN xxhash64({SEED2}, {v}) END")
 
@@ -125,6 +129,10 @@ def order_code_sql(name: str, fam: str | None, dt: T.DataType | None = None) ->
         return f"CAST(unix_date({c}) AS BIGINT)"
     if fam == "timestamp":
         return f"unix_micros(CAST({c} AS TIMESTAMP))"
+    if fam == "decimal":
+        # whole part, rounded down, held inside the range of a long
+        return (f"CAST(least(greatest(floor({c}), CAST(-9223372036854775807 AS DECIMAL(38,0))), "
+                f"CAST(9223372036854775807 AS DECIMAL(38,0))) AS BIGINT)")
     if fam == "string":
         return (f"CAST(conv(rpad(hex(substring(encode(substring({c}, 1, 7), 'UTF-8'), 1, 7)), 14, '0'), 16, 10) "
                 f"AS BIGINT)")
@@ -320,7 +328,7 @@ def long_form(df: DataFrame, structs: list[Column] | list[str]) -> DataFrame:
 
     Built on ``DataFrame.unpivot`` (an Expand node, whole-stage codegen'd), which
     ran about twice as fast cold as ``inline(array(...))`` on lineitem."""
-    base = spread(df)
+    base = dealt(df)
     if structs and isinstance(structs[0], str):
         wide = base.selectExpr(*[f"{s} AS __v{i}" for i, s in enumerate(structs)])
     else:
@@ -353,6 +361,17 @@ class Profile:
     tables: DataFrame        # catalog_tables
 
 
+def _unreadable(tables: Mapping[str, DataFrame]) -> dict[str, str]:
+    """Tables that fail when all their columns are read (name -> error text); one job each."""
+    bad = {}
+    for name, df in tables.items():
+        try:
+            df.agg(*[F.count(df[f"`{c}`"]).alias(f"c{i}") for i, c in enumerate(df.columns)] or [F.count(F.lit(1)).alias("n")]).collect()
+        except Exception as e:  # noqa: BLE001 - any read error counts
+            bad[name] = (str(e).splitlines() or [type(e).__name__])[0][:300]
+    return bad
+
+
 def profile_tables(spark: SparkSession, tables: Mapping[str, DataFrame], database: str,
                    sample_limit: int = 10, enum_limit: int = 10, approx: bool = False,
                    order_by: Mapping[str, Sequence[str]] | None = None,
@@ -371,14 +390,24 @@ def profile_tables(spark: SparkSession, tables: Mapping[str, DataFrame], databas
     tables, failed = readable_tables(tables)
     for name, err in failed.items():      # a failing table is skipped, not fatal
         warnings.warn(f"profile: table {name} skipped: {err}", stacklevel=2)
-    meta_rows = table_columns_meta(database, tables)
+    def stats_of(some: Mapping[str, DataFrame]) -> tuple[list[tuple], list]:
+        rows = table_columns_meta(database, some)
+        if not rows:
+            return rows, []
+        return rows, (column_stats(some, rows, approx=True) if approx else exact_column_stats(some, rows)).collect()
+
+    try:
+        meta_rows, stats_rows = stats_of(tables)        # one job for all tables
+    except Exception as e:  # noqa: BLE001 - find the tables that cannot be read, go on with the rest
+        bad = _unreadable(tables)
+        if not bad:
+            raise
+        for name, err in bad.items():
+            warnings.warn(f"profile: table {name} skipped: {err}", stacklevel=2)
+        tables = {t: df for t, df in tables.items() if t not in bad}
+        del e
+        meta_rows, stats_rows = stats_of(tables)
     meta_df = spark.createDataFrame(meta_rows, SCHEMA_COLUMNS)
-    if not meta_rows:
-        stats_rows = []
-    elif approx:
-        stats_rows = column_stats(tables, meta_rows, approx=True).collect()
-    else:
-        stats_rows = exact_column_stats(tables, meta_rows).collect()
     # empty tables give no group at all: their columns get zero counts
     seen = {r["col_id"] for r in stats_rows}
     stats_rows = [r.asDict() for r in stats_rows] + [
@@ -472,7 +501,8 @@ def inclusion_candidates(spark: SparkSession, tables: Mapping[str, DataFrame], m
     m = meta_df.select("col_id", "table", "column", "family").join(stats, "col_id")
     fk = m.where(F.col("family").isNotNull() & (F.col("unique_count") > 0)).alias("a")
     kk = m.where(F.col("is_candidate_key") & F.col("family").isNotNull()).alias("b")
-    range_ok = (F.col("a.min_code") >= F.col("b.min_code")) & (F.col("a.max_code") <= F.col("b.max_code"))
+    # a column without order codes is not pruned by range
+    range_ok = F.coalesce((F.col("a.min_code") >= F.col("b.min_code")) & (F.col("a.max_code") <= F.col("b.max_code")), F.lit(True))
     pairs = (fk.join(kk, (F.col("a.family") == F.col("b.family")) & (F.col("a.col_id") != F.col("b.col_id"))
                      & (F.col("a.unique_count") <= F.col("b.unique_count")) & range_ok)
              .select(F.col("a.col_id").alias("fk_col_id"), F.col("b.col_id").alias("key_col_id"),

@@ -113,8 +113,8 @@ def text_search(items: DataFrame, questions: DataFrame, top_k: int = 10, n_candi
                 buckets: int = 4096, **kw) -> DataFrame:
     """V1 + V5 without a model: item ``document`` texts and question ``text``
     (with ``query_id``) become hashed term vectors, then :func:`search`."""
-    from colscope.operators.vectors import pack_sparse, term_vectors
+    from colscope.operators.vectors import packed_terms
 
-    iv = pack_sparse(term_vectors(items, "id", "document", buckets))
-    qv = pack_sparse(term_vectors(questions, "query_id", "text", buckets)).withColumnRenamed("id", "query_id")
-    return search(items.drop("vector").join(iv, "id"), qv, top_k, n_candidates, sparse_dim=buckets, **kw)
+    iv = packed_terms(items, "id", "document", buckets)
+    qv = packed_terms(questions, "query_id", "text", buckets).withColumnRenamed("id", "query_id")
+    return search(items.drop("vector").join(iv, "id", "left"), qv, top_k, n_candidates, sparse_dim=buckets, **kw)

@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colscope.plans.sizing import spread
 from colscope.session import ship_package
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
@@ -48,14 +47,26 @@ def bucket_of(token: F.Column, buckets: int) -> F.Column:
     return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint"), F.lit(buckets)).cast("int")
 
 
+def packed_terms(df: DataFrame, id_col: str, text_col: str, buckets: int = 4096) -> DataFrame:
+    """V1: ``(id, idx array<int>, val array<double>)`` - one unit-length term-frequency vector
+    per row, computed inside the row (no exchange). A text without a token keeps its row,
+    with empty arrays: its cosine with anything is 0."""
+    rows = df.select(F.col(id_col).alias("id"), F.array_sort(F.transform(
+        F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")), lambda t: bucket_of(t, buckets))).alias("_b"))
+    # runs of equal buckets in the sorted array: where they start, and how long they are
+    rows = rows.select("id", "_b", F.expr(
+        "filter(sequence(0, greatest(size(_b) - 1, 0)), i -> i < size(_b) AND (i = 0 OR _b[i] <> _b[greatest(i - 1, 0)]))").alias("_s"))
+    rows = rows.select("id", F.expr("transform(_s, i -> _b[i])").alias("idx"), F.expr(
+        "transform(_s, (i, j) -> CAST(coalesce(get(_s, j + 1), size(_b)) - i AS DOUBLE))").alias("_tf"))
+    norm = F.sqrt(F.aggregate("_tf", F.lit(0.0), lambda s, x: s + x * x))
+    return rows.select("id", "idx", F.transform("_tf", lambda x: x / norm).alias("val"))
+
+
 def term_vectors(df: DataFrame, id_col: str, text_col: str, buckets: int = 4096) -> DataFrame:
-    """V1: ``(id, bucket, weight)`` - unit-length term-frequency vectors."""
-    tf = (spread(df.select(id_col, text_col))
-          .select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("tok"))
-          .select("id", bucket_of(F.col("tok"), buckets).alias("bucket"))
-          .groupBy("id", "bucket").agg(F.count(F.lit(1)).cast("double").alias("tf")))
-    norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("id")))
-    return tf.select("id", "bucket", (F.col("tf") / norm).alias("weight"))
+    """V1 in long form: ``(id, bucket, weight)``, a row per stored term."""
+    packed = packed_terms(df, id_col, text_col, buckets)
+    return packed.select("id", F.explode(F.arrays_zip("idx", "val")).alias("_t")).select(
+        "id", F.col("_t.idx").alias("bucket"), F.col("_t.val").alias("weight"))
 
 
 def pack_sparse(terms: DataFrame) -> DataFrame:
@@ -114,7 +125,8 @@ def cosine_topk(items: DataFrame, queries: DataFrame, k: int, *, item_id: str =
     Returns ``(query_id, item_id, score, rank)`` with rank 1..k by
     (score desc, item id asc); score is the raw cosine. ``n_items`` and
     ``n_queries`` only size the blocks (an estimate is fine); when not given
-    they are counted.
+    they are counted. Rows with a null vector have no score and are left out;
+    dense vectors are compared with those of the same length only.
     """
     spark = items.sparkSession
     ship_package(spark)
@@ -136,9 +148,16 @@ def cosine_topk(items: DataFrame, queries: DataFrame, k: int, *, item_id: str =
     else:
         item_cols = [F.col(item_id).alias("_iid"), F.col("idx").alias("_ii"), F.col("val").alias("_iv")]
         q_cols = [F.col(query_id).alias("_qid"), F.col("idx").alias("_qi"), F.col("val").alias("_qv")]
-    ib = items.select(F.pmod(F.xxhash64(F.col(item_id)), F.lit(item_blocks)).alias("_b"),
+    vec_i, vec_q = (item_vec, query_vec) if sparse_dim is None else ("val", "val")
+    items, queries = items.where(F.col(vec_i).isNotNull()), queries.where(F.col(vec_q).isNotNull())
+    if sparse_dim is None:
+        # one width per block: vectors of another length never meet
+        width_i, width_q = [F.size(vec_i).alias("_w")], [F.size(vec_q).alias("_w")]
+    else:
+        width_i = width_q = [F.lit(sparse_dim).alias("_w")]
+    ib = items.select(*width_i, F.pmod(F.xxhash64(F.col(item_id)), F.lit(item_blocks)).alias("_b"),
                       F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("_qb"), *item_cols)
-    qb = queries.select(F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("_b"),
+    qb = queries.select(*width_q, F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("_b"),
                         F.pmod(F.xxhash64(F.col(query_id)), F.lit(q_blocks)).alias("_qb"), *q_cols)
     out_schema = T.StructType([T.StructField("_qid", qid_type), T.StructField("_iid", id_type),
                                T.StructField("score", T.DoubleType())])
@@ -173,7 +192,7 @@ def cosine_topk(items: DataFrame, queries: DataFrame, k: int, *, item_id: str =
         return pd.DataFrame({"_qid": right["_qid"].to_numpy()[rows], "_iid": ids[best_c.ravel()],
                              "score": best_s.ravel()})
 
-    local = ib.groupBy("_b", "_qb").cogroup(qb.groupBy("_b", "_qb")).applyInPandas(score_block, out_schema)
+    local = ib.groupBy("_w", "_b", "_qb").cogroup(qb.groupBy("_w", "_b", "_qb")).applyInPandas(score_block, out_schema)
     w = Window.partitionBy("_qid").orderBy(F.col("score").desc(), F.col("_iid").asc())
     return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select(F.col("_qid").alias(query_id), F.col("_iid").alias(item_id), "score", "rank"))

@@ -16,6 +16,14 @@ VEC_DB = "vec"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+# declared keys of the star schema (the files themselves declare none)
+PRIMARY_KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"],
+                "part": ["p_partkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"]}
+FOREIGN_KEYS = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"),
+                ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+                ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
+                ("lineitem", "l_suppkey", "supplier", "s_suppkey")]
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -152,11 +160,11 @@ def all_turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A SQL log over ``orders``: one text per order, 16 shapes by order key."""
+    """A SQL log over ``orders``: one text per order, 22 shapes by order key."""
     o = read(spark, sf_dir, "orders")
     k = F.col("o_orderkey").cast("string")
     c = F.col("o_custkey").cast("string")
-    m = F.pmod(F.col("o_orderkey"), F.lit(16))
+    m = F.pmod(F.col("o_orderkey"), F.lit(22))
     t = (F.when(m == 0, F.concat(F.lit("SELECT * FROM orders WHERE o_orderkey = "), k))
          .when(m == 1, F.concat(F.lit("WITH t AS (SELECT o_custkey FROM orders WHERE o_orderkey = "), k,
                                 F.lit(") SELECT * FROM t")))
@@ -175,5 +183,11 @@ def sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(m == 13, F.concat(F.lit("SELECT * FROM orders WHERE o_orderpriority = '' OR '1'='1' AND o_custkey = "), c))
          .when(m == 14, F.concat(F.lit("SELECT o_orderkey FROM orders WHERE o_custkey = "), c,
                                  F.lit(" UNION SELECT NULL")))
-         .otherwise(F.lit("SHOW TABLES")))
+         .when(m == 15, F.lit("SHOW TABLES"))
+         .when(m == 16, F.concat(F.lit("SELECT 'a;b "), k, F.lit("' AS x FROM orders")))
+         .when(m == 17, F.concat(F.lit("-- daily report "), k, F.lit("\nSELECT 1 AS one")))
+         .when(m == 18, F.concat(F.lit("/* report\n"), k, F.lit(" */ SELECT o_orderkey FROM orders")))
+         .when(m == 19, F.concat(F.lit("WITH t AS (SELECT 1 AS a)\n-- main part\nSELECT a + "), k, F.lit(" FROM t")))
+         .when(m == 20, F.concat(F.lit('WITH t AS (SELECT 1 AS "a) DELETE '), k, F.lit('") SELECT * FROM t')))
+         .otherwise(F.concat(F.lit("SELECT 'it''s -- no; comment' AS note, "), k, F.lit(" AS n"))))
     return o.select(F.col("o_orderkey").alias("query_id"), t.alias("sql"))

@@ -8,6 +8,8 @@ Java's float/double text (scientific below 1e-3 and from 1e7), arrays as
 
 from __future__ import annotations
 
+from colscope.plans.fixtures import FOREIGN_KEYS, PRIMARY_KEYS
+
 # ---- fixed values: the given tables, their columns and Spark types ----
 SCHEMAS: dict[str, list[tuple[str, str]]] = {
     "region": [("r_regionkey", "int"), ("r_name", "string")],
@@ -173,13 +175,22 @@ def inclusion_sql(schemas=SCHEMAS) -> str:
 
 
 # ------------------------------------------------------------------ catalogue
+def declared_sql(s: str) -> str:
+    """Key flags from the declared keys of the star schema."""
+    name = f"{s}.{q('table')} || '.' || {s}.{q('column')}"
+    pk = ", ".join(lit(f"{t}.{c}") for t, cs in PRIMARY_KEYS.items() for c in cs)
+    fk = " ".join(f"WHEN {lit(f'{t}.{c}')} THEN {lit(f'{rt}.{rc}')}" for t, c, rt, rc in FOREIGN_KEYS)
+    ref = f"(CASE {name} {fk} END)"
+    return f"{name} IN ({pk}) AS is_primary_key, {ref} IS NOT NULL AS is_foreign_key, {ref} AS foreign_key_ref"
+
+
 def catalog_columns_sql(annotated: bool = True) -> str:
     """catalog_columns of the 14 given tables as a subquery with
     database, table, position, column, data_type, nullable, is_primary_key,
     is_foreign_key, foreign_key_ref, comment, sample_values (list), null_ratio,
     unique_count, business_name, description, keywords (list)."""
     base = (f"SELECT {lit(DB)} AS database, s.{q('table')}, s.position, s.{q('column')}, s.data_type, true AS nullable, "
-            f"false AS is_primary_key, false AS is_foreign_key, CAST(NULL AS VARCHAR) AS foreign_key_ref, "
+            f"{declared_sql('s')}, "
             f"CAST(NULL AS VARCHAR) AS comment, coalesce(sm.sv, CAST([] AS VARCHAR[])) AS sample_values, "
             f"s.null_ratio, s.unique_count FROM ({col_stats_sql(SCHEMAS)}) s LEFT JOIN "
             f"(SELECT {q('table')}, {q('column')}, list(value ORDER BY rank) AS sv FROM ({samples_sql(SCHEMAS)}) "
@@ -285,24 +296,25 @@ def vec_candidates_sql(n: int) -> str:
             f"AS cand_rank FROM ({s})) WHERE cand_rank <= {n})")
 
 
-def fused_sql(top_k: int, filter_type: str | None = None) -> str:
+def fused_sql(top_k: int, filter_type: str | None = None, filter_table: str | None = None) -> str:
     c = vec_candidates_sql(40)
     f = (f"SELECT c.*, greatest(c.score, 0.0) AS original_score, "
          f"CASE WHEN c.type = 'column' THEN coalesce(t.ts, 0.0) ELSE 0.0 END AS table_boost FROM {c} c "
          f"LEFT JOIN (SELECT query_id, database, \"table\", greatest(score, 0.0) AS ts FROM {c} WHERE type = 'table') t "
          f"USING (query_id, database, \"table\")")
     where = f"WHERE type = {lit(filter_type)}" if filter_type else ""
+    where = f"WHERE \"table\" = {lit(filter_table)}" if filter_table else where
     return (f"(SELECT * FROM (SELECT *, original_score + table_boost AS fscore, row_number() OVER (PARTITION BY query_id "
             f"ORDER BY original_score + table_boost DESC, cand_rank) AS rank FROM ({f}) {where}) WHERE rank <= {top_k})")
 
 
-def fused_out(top_k: int, filter_type: str | None = None) -> str:
+def fused_out(top_k: int, filter_type: str | None = None, filter_table: str | None = None) -> str:
     return (f"SELECT query_id, rank, id, type, round(original_score, 6) AS original_score, "
-            f"round(table_boost, 6) AS table_boost, round(fscore, 6) AS score FROM {fused_sql(top_k, filter_type)}")
+            f"round(table_boost, 6) AS table_boost, round(fscore, 6) AS score FROM {fused_sql(top_k, filter_type, filter_table)}")
 
 
 SQL_LOG = (
-    "(SELECT o_orderkey AS query_id, CASE o_orderkey % 16 "
+    "(SELECT o_orderkey AS query_id, CASE o_orderkey % 22 "
     "WHEN 0 THEN 'SELECT * FROM orders WHERE o_orderkey = ' || o_orderkey "
     "WHEN 1 THEN 'WITH t AS (SELECT o_custkey FROM orders WHERE o_orderkey = ' || o_orderkey || ') SELECT * FROM t' "
     "WHEN 2 THEN 'DROP TABLE orders_' || o_orderkey "
@@ -318,7 +330,45 @@ SQL_LOG = (
     "WHEN 12 THEN 'UPDATE orders SET o_totalprice = 0 WHERE o_orderkey = ' || o_orderkey "
     "WHEN 13 THEN 'SELECT * FROM orders WHERE o_orderpriority = '''' OR ''1''=''1'' AND o_custkey = ' || o_custkey "
     "WHEN 14 THEN 'SELECT o_orderkey FROM orders WHERE o_custkey = ' || o_custkey || ' UNION SELECT NULL' "
-    "ELSE 'SHOW TABLES' END AS sql FROM orders)")
+    "WHEN 15 THEN 'SHOW TABLES' "
+    "WHEN 16 THEN 'SELECT ''a;b ' || o_orderkey || ''' AS x FROM orders' "
+    "WHEN 17 THEN '-- daily report ' || o_orderkey || chr(10) || 'SELECT 1 AS one' "
+    "WHEN 18 THEN '/* report' || chr(10) || o_orderkey || ' */ SELECT o_orderkey FROM orders' "
+    "WHEN 19 THEN 'WITH t AS (SELECT 1 AS a)' || chr(10) || '-- main part' || chr(10) || 'SELECT a + ' || o_orderkey || ' FROM t' "
+    "WHEN 20 THEN 'WITH t AS (SELECT 1 AS \"a) DELETE ' || o_orderkey || '\") SELECT * FROM t' "
+    "ELSE 'SELECT ''it''''s -- no; comment'' AS note, ' || o_orderkey || ' AS n' END AS sql FROM orders)")
+
+# what each shape must give, stated by hand: statement types, error, rule
+VERDICTS = [
+    ("SELECT", None, None),
+    ("SELECT", None, None),
+    ("DROP", "dangerous_operation", r"\bDROP\s+(TABLE|DATABASE|INDEX)\b"),
+    ("SELECT,DELETE", "injection_detected", r";\s*(DROP|DELETE|UPDATE|INSERT)"),
+    ("SELECT", "injection_detected", r"--\s*$"),
+    ("SELECT", "injection_detected", r"/\*.*\*/"),
+    ("", "syntax_error", "empty"),
+    ("", "syntax_error", "empty"),
+    ("SELECT", "dangerous_operation", r"\bGRANT\b"),
+    ("SELECT", None, None),
+    ("INSERT", "dangerous_operation", "statement:INSERT"),
+    ("SELECT,SELECT", None, None),
+    ("UPDATE", "dangerous_operation", "statement:UPDATE"),
+    ("SELECT", "injection_detected", r"'\s*OR\s+'1'\s*=\s*'1"),
+    ("SELECT", "injection_detected", r"UNION\s+SELECT\s+NULL"),
+    ("SHOW", "dangerous_operation", "statement:SHOW"),
+    *[("SELECT", None, None)] * 6,
+]
+
+
+# accepted by the rules but refused by Spark's parser or analysis: two statements; a
+# double-quoted text, which is a string and not a name in Spark
+DRY_RUN_ERRORS = [11, 20]
+
+
+def by_shape_sql(field: int) -> str:
+    """The stated value of a shape: 0 types, 1 error, 2 rule."""
+    text = lambda v: "NULL" if v is None else lit(v)
+    return "CASE query_id % 22 " + " ".join(f"WHEN {i} THEN {text(v[field])}" for i, v in enumerate(VERDICTS)) + " END"
 
 
 def first_hit_sql(x: str, patterns: list[str]) -> str:
@@ -327,32 +377,9 @@ def first_hit_sql(x: str, patterns: list[str]) -> str:
     return f"(CASE {whens} END)"
 
 
-def stmt_types_sql(x: str) -> str:
-    dml = "SELECT|INSERT|UPDATE|DELETE|MERGE|REPLACE"
-    w = "upper(regexp_extract(p, '^[\\s(]*([A-Za-z_]+)', 1))"
-    a = f"upper(regexp_extract(p, '(?i)\\)\\s*({dml})\\b', 1))"
-    t = f"(CASE WHEN {w} = 'WITH' THEN (CASE WHEN {a} <> '' THEN {a} ELSE 'UNKNOWN' END) ELSE {w} END)"
-    one = f"(CASE WHEN {t} = '' THEN 'UNKNOWN' ELSE {t} END)"
-    return (f"list_transform(list_filter(string_split({x}, ';'), lambda p: {strip_sql('p')} <> ''), "
-            f"lambda p: {one})")
-
-
 def audit_sql() -> str:
-    from colscope.operators.guard import DANGEROUS_PATTERNS, INJECTION_PATTERNS, READ_TYPES
-    inj = first_hit_sql("sql", INJECTION_PATTERNS)
-    dang = first_hit_sql("sql", DANGEROUS_PATTERNS)
-    inj_txt = "[" + ", ".join(lit(p) for p in INJECTION_PATTERNS) + "]"
-    dang_txt = "[" + ", ".join(lit(p) for p in DANGEROUS_PATTERNS) + "]"
-    allowed = ", ".join(lit(t) for t in READ_TYPES)
-    bad = f"list_filter({stmt_types_sql('sql')}, lambda t: t NOT IN ({allowed}))"
-    empty = f"({strip_sql('sql')} = '')"
-    return (f"(SELECT *, error_type IS NULL AS is_valid FROM (SELECT query_id, sql, "
-            f"CASE WHEN {empty} THEN 'syntax_error' WHEN {inj} IS NOT NULL THEN 'injection_detected' "
-            f"WHEN {dang} IS NOT NULL THEN 'dangerous_operation' WHEN len({bad}) > 0 THEN 'dangerous_operation' END "
-            f"AS error_type, "
-            f"CASE WHEN {empty} THEN 'empty' WHEN {inj} IS NOT NULL THEN {inj_txt}[{inj} + 1] "
-            f"WHEN {dang} IS NOT NULL THEN {dang_txt}[{dang} + 1] "
-            f"WHEN len({bad}) > 0 THEN 'statement:' || {bad}[1] END AS rule FROM {SQL_LOG}))")
+    return (f"(SELECT *, error_type IS NULL AS is_valid FROM (SELECT query_id, sql, {by_shape_sql(1)} AS error_type, "
+            f"{by_shape_sql(2)} AS rule FROM {SQL_LOG}))")
 
 
 EXAMPLE_PAIRS = (
@@ -425,26 +452,24 @@ def flags_raw() -> str:
 
 
 def column_line_sql(full: bool) -> str:
-    line = (f"'  - `' || \"column\" || '` ' || data_type || "
-            f"(CASE WHEN {flags_raw()} <> '' THEN ' [' || {flags_raw()} || ']' ELSE '' END)")
-    if not full:
-        return line
-    return (f"{line} || (CASE WHEN business_name IS NOT NULL AND business_name <> '' THEN ' -- ' || business_name "
-            f"ELSE '' END) || (CASE WHEN len(sample_values) > 0 THEN ' (e.g. ' || "
-            f"array_to_string(sample_values[1:5], ', ') || ')' ELSE '' END)")
+    facts = ["\"column\" || ' ' || data_type", "CASE WHEN is_primary_key THEN 'key' END",
+             "CASE WHEN is_foreign_key THEN 'references ' || foreign_key_ref END", "CASE WHEN NOT nullable THEN 'required' END"]
+    if full:
+        distinct = "list_filter(sample_values, lambda v, i: list_position(sample_values, v) = i)[1:5]"
+        facts += ["CASE WHEN business_name IS NOT NULL AND business_name <> '' THEN 'means ' || business_name END",
+                  f"CASE WHEN len(sample_values) > 0 THEN 'values ' || array_to_string({distinct}, ' / ') END"]
+    return f"'  ' || concat_ws('; ', {', '.join(facts)})"
 
 
 def schema_text_sql(variant: str) -> str:
     cc, ct = catalog_columns_sql(), catalog_tables_sql()
-    head = "'## ' || \"table\""
+    head = "'TABLE ' || \"table\""
     if variant in ("full", "tables"):
-        head += (" || (CASE WHEN business_name IS NOT NULL AND business_name <> '' THEN ' (' || business_name || ')' "
-                 "ELSE '' END)")
+        head = f"concat_ws(': ', {head}, CASE WHEN business_name <> '' THEN business_name END)"
     if variant == "tables":
         return f"SELECT database, \"table\", {head} AS text FROM {ct}"
     if variant == "full":
-        head += (" || (CASE WHEN description IS NOT NULL AND description <> '' THEN chr(10) || description "
-                 "ELSE '' END)")
+        head = f"concat_ws(chr(10), {head}, CASE WHEN description <> '' THEN description END)"
     lines = (f"(SELECT database, \"table\", string_agg({column_line_sql(variant == 'full')}, chr(10) "
              f"ORDER BY position) AS lines FROM {cc} GROUP BY ALL)")
     return (f"SELECT database, \"table\", {head} || chr(10) || coalesce(lines, '') AS text "
@@ -518,6 +543,37 @@ def oracle_queries() -> dict[str, str]:
         f"l_linestatus FROM lineitem")
     out["candidate_keys"] = f"SELECT \"table\", \"column\" FROM ({col_stats_sql(SCHEMAS)}) WHERE is_key"
     out["inclusion_keys"] = inclusion_sql()
+    out["distinct_count_approx_within"] = " UNION ALL ".join(
+        f"SELECT {lit(t)} AS \"table\", {lit(c)} AS \"column\", true AS within FROM (SELECT count(*) FROM {t})"
+        for t, cols in SCHEMAS.items() for c, _ in cols)
+    out["inclusion_keys_decimal"] = (
+        "SELECT 'sold' AS fk_table, 'price' AS fk_column, 'prices' AS key_table, 'listed' AS key_column, "
+        "count(DISTINCT CAST(l_extendedprice AS DECIMAL(12, 2))) AS fk_distinct FROM lineitem")
+    out["profile_partial"] = f"SELECT \"table\", \"column\", unique_count FROM ({col_stats_sql(SCHEMAS)})"
+    out["catalog_status"] = (f"SELECT {lit(DB)} AS database, (SELECT count(*) FROM {ct}) AS table_count, 'today' AS age_text, "
+                             f"(SELECT count(*) FROM {EXAMPLE_PAIRS}) AS example_count")
+    items = f"(SELECT count(*) FROM {ct}) + (SELECT count(*) FROM {cc})"
+    out["store_cleared"] = (f"SELECT 'columns' AS store, (SELECT count(*) FROM {cc}) AS before, 0 AS after UNION ALL "
+                            f"SELECT 'index', {items}, 0 UNION ALL SELECT 'examples', (SELECT count(*) FROM {EXAMPLE_PAIRS}), 0")
+    out["index_rebuild"] = f"SELECT 'full' AS rebuild, {items} AS items UNION ALL SELECT 'empty', 0"
+    out["declared_keys"] = f"SELECT \"table\", \"column\", is_primary_key, is_foreign_key, foreign_key_ref FROM {cc0}"
+    out["table_header"] = (f"SELECT database, \"table\", coalesce(business_name, '-') AS business_name, "
+                           f"coalesce(description, '') AS description, row_count FROM {ct}")
+    out["schema_text_database"] = (f"SELECT database, string_agg(text, chr(10) || chr(10) ORDER BY \"table\") AS text "
+                                   f"FROM ({schema_text_sql('full')}) GROUP BY ALL")
+    out["score_fusion_table_filter"] = fused_out(10, filter_table="t3")
+    dry = [m for m, (_, e, _) in enumerate(VERDICTS) if e is None and m not in DRY_RUN_ERRORS]
+    out["dry_run_audit"] = (
+        f"SELECT query_id % 22 AS shape, min(query_id) AS query_id, query_id % 22 IN ({', '.join(map(str, dry))}) AS is_valid, "
+        f"CASE WHEN query_id % 22 IN ({', '.join(map(str, DRY_RUN_ERRORS))}) THEN 'execution_error' ELSE {by_shape_sql(1)} END AS error_type "
+        f"FROM {SQL_LOG} GROUP BY ALL")
+    amount = "sum(CAST(l_extendedprice AS DECIMAL(18, 2)))"
+    out["reconcile_claims"] = (
+        f"SELECT level, l_returnflag, CAST(actual + wrong AS DOUBLE) AS claimed, CAST(actual AS DOUBLE) AS actual, "
+        f"CAST(wrong AS DOUBLE) AS diff, wrong = 0 AS ok FROM (SELECT 1 AS level, l_returnflag, {amount} AS actual, "
+        f"CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS wrong FROM lineitem GROUP BY l_returnflag "
+        f"UNION ALL SELECT 0, NULL, {amount}, 0 FROM lineitem) UNION ALL "
+        f"SELECT 1, '?', CAST({amount} AS DOUBLE), NULL, NULL, false FROM lineitem")
     out["enum_values"] = enum_sql()
     out["profile_all"] = (
         f"SELECT {lit(DB)} AS database, s.\"table\", s.position, s.\"column\", s.data_type, true AS nullable, "
@@ -564,16 +620,14 @@ def oracle_queries() -> dict[str, str]:
         "'comment: ' || coalesce(c.comment, 'none'), "
         "'distinct values: ' || coalesce(CAST(c.unique_count AS VARCHAR), 'unknown'), "
         "'samples: ' || CAST(to_json(c.sample_values[1:10]) AS VARCHAR))")
-    tline = ("'- ' || \"column\" || ' (' || data_type || '): PK=' || CAST(is_primary_key AS VARCHAR) || ', FK=' || "
-             "coalesce(foreign_key_ref, 'n/a')")
-    treq = ("concat_ws(chr(10), 'table: ' || t.\"table\", 'comment: ' || coalesce(t.comment, 'none'), "
-            "'rows: ' || CASE WHEN t.row_count > 0 THEN CAST(t.row_count AS VARCHAR) ELSE 'unknown' END, "
-            "'columns:', coalesce(l.lines, ''))")
+    facts = ("{'name': \"column\", 'type': data_type, 'key': is_primary_key, 'references': coalesce(foreign_key_ref, '')}")
+    treq = ("CAST(to_json({'table': t.\"table\", 'comment': coalesce(t.comment, ''), 'rows': coalesce(t.row_count, 0), "
+            "'columns': l.facts}) AS VARCHAR)")
     out["annotation_requests"] = (
         f"SELECT c.database, c.\"table\", c.\"column\", {creq} AS request FROM {cc0} c "
         f"LEFT JOIN {ct0} t USING (database, \"table\") UNION ALL "
         f"SELECT t.database, t.\"table\", NULL, {treq} FROM {ct0} t LEFT JOIN (SELECT database, \"table\", "
-        f"string_agg({tline}, chr(10) ORDER BY position) AS lines FROM {cc0} GROUP BY ALL) l USING (database, \"table\")")
+        f"list({facts} ORDER BY position) AS facts FROM {cc0} GROUP BY ALL) l USING (database, \"table\")")
     plain = ("'{\"business_name\": \"' || p_name || '\", \"description\": \"part of ' || p_brand || "
              "'\", \"keywords\": [\"' || p_type || '\", \"' || p_brand || '\"]}'")
     replies = (f"(SELECT p_partkey AS key, CASE p_partkey % 5 WHEN 0 THEN {plain} "
@@ -652,8 +706,7 @@ def oracle_queries() -> dict[str, str]:
     from colscope.operators.guard import DANGEROUS_PATTERNS, INJECTION_PATTERNS
     out["guard_injection"] = f"SELECT query_id, {first_hit_sql('sql', INJECTION_PATTERNS)} AS rule_index FROM {SQL_LOG}"
     out["guard_dangerous"] = f"SELECT query_id, {first_hit_sql('sql', DANGEROUS_PATTERNS)} AS rule_index FROM {SQL_LOG}"
-    out["guard_statement_type"] = (f"SELECT query_id, array_to_string({stmt_types_sql('sql')}, ',') AS statement_type "
-                                   f"FROM {SQL_LOG}")
+    out["guard_statement_type"] = f"SELECT query_id, {by_shape_sql(0)} AS statement_type FROM {SQL_LOG}"
     aud = audit_sql()
     out["guard_verdict"] = f"SELECT query_id, is_valid, error_type, rule FROM {aud}"
     out["guard_summary"] = f"SELECT is_valid, error_type, rule, count(*) AS n FROM {aud} GROUP BY ALL"

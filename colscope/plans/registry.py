@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from colscope.functions.text import canonical_text, name_variants
 from colscope.operators import annotate, catalog, documents, examples, execute, guard, search
-from colscope.operators.profile import column_stats, null_stats, profile_tables
-from colscope.operators.vectors import cosine_topk, pack_sparse, term_vectors
+from colscope.operators.profile import column_stats, distinct_counts, null_stats, profile_tables
+from colscope.operators.vectors import cosine_topk, packed_terms, term_vectors
 from colscope.plans import fixtures as fx
 from colscope.session import ensure_checkpoint_dir
 from colscope.sources import store
@@ -34,7 +34,8 @@ def _named(p, df):
 
 def annotated_catalog(spark: SparkSession, sf_dir: str, annotated: bool = True) -> tuple[DataFrame, DataFrame]:
     """Profile of the 14 given tables, merged with the model-reply fixtures."""
-    p = profile_tables(spark, fx.all_tables(spark, sf_dir), fx.DB, inclusions=False)
+    p = profile_tables(spark, fx.all_tables(spark, sf_dir), fx.DB, inclusions=False,
+                       primary_keys=fx.PRIMARY_KEYS, foreign_keys=fx.FOREIGN_KEYS)
     if not annotated:
         return p.tables, p.columns
     cols = annotate.merge_column_replies(p.columns, annotate.parse_replies(fx.column_replies(p.columns)))
@@ -130,6 +131,33 @@ def q_inclusion_keys(spark, sf_dir):
     return p.inclusions
 
 
+def q_distinct_count_approx_within(spark, sf_dir):
+    """Approximate against exact distinct counts: within 15 % (three standard errors) or one value."""
+    tabs = fx.all_tables(spark, sf_dir)
+    meta = table_columns_meta(fx.DB, tabs)
+    m = spark.createDataFrame([(r[8], r[1], r[3]) for r in meta], "col_id int, table string, column string")
+    approx = column_stats(tabs, meta, approx=True).select("col_id", "approx_distinct")
+    exact = distinct_counts(tabs, meta)
+    gap = F.abs(F.coalesce("approx_distinct", F.lit(0)) - F.coalesce("distinct_count", F.lit(0)))
+    return (m.join(approx, "col_id").join(exact, "col_id", "left")
+            .select("table", "column", (gap <= F.greatest(F.lit(1.0), 0.15 * F.coalesce("distinct_count", F.lit(0)))).alias("within")))
+
+
+def q_inclusion_keys_decimal(spark, sf_dir):
+    li = fx.read(spark, sf_dir, "lineitem")
+    price = li.select(F.col("l_extendedprice").cast("decimal(12,2)").alias("price"), "l_orderkey")
+    return profile_tables(spark, {"sold": price, "prices": price.select(F.col("price").cast("decimal(14,4)").alias("listed")).distinct()},
+                          fx.DB).inclusions.where("key_column = 'listed'")
+
+
+def q_profile_partial(spark, sf_dir):
+    """All given tables and one that raises when it is read: the others are profiled."""
+    tabs = fx.all_tables(spark, sf_dir)
+    broken = tabs["region"].select(F.when(F.col("r_regionkey") >= 0, F.raise_error(F.lit("unreadable"))).cast("int").alias("k"))
+    p = profile_tables(spark, {**tabs, "broken": broken}, fx.DB, inclusions=False)
+    return _named(p, p.stats).select("table", "column", "unique_count")
+
+
 def q_enum_values(spark, sf_dir):
     p = _profile(spark, sf_dir, inclusions=False)
     return _named(p, p.enums).select("table", "column", "value", "frequency")
@@ -191,6 +219,51 @@ def q_catalog_overview(spark, sf_dir):
     return catalog.overview(*annotated_catalog(spark, sf_dir))
 
 
+def q_catalog_status(spark, sf_dir):
+    tabs, cols = annotated_catalog(spark, sf_dir)
+    root = _store_root(spark)
+    store.save_catalog(tabs, cols, root)
+    t, _ = store.load_catalog(spark, root, fx.DB)
+    return catalog.status(t, fx.example_pairs(spark, sf_dir)).select("database", "table_count", "age_text", "example_count")
+
+
+def q_store_cleared(spark, sf_dir):
+    """Rows of the catalogue columns, the index and the examples before and after clearing."""
+    tabs, cols = annotated_catalog(spark, sf_dir)
+    root, out = _store_root(spark), []
+    stores = {"columns": cols, "index": documents.index_items(tabs, cols), "examples": fx.example_pairs(spark, sf_dir)}
+    for name, df in stores.items():
+        path = os.path.join(root, name)
+        df.write.parquet(path)
+        before = spark.read.parquet(path).count()
+        store.clear_store(spark, path, df)
+        out.append((name, before, spark.read.parquet(path).count()))
+    return spark.createDataFrame(out, "store string, before bigint, after bigint")
+
+
+def q_index_rebuild(spark, sf_dir):
+    """Items after a rebuild, and after a rebuild from an empty catalogue."""
+    tabs, cols = annotated_catalog(spark, sf_dir)
+    path = os.path.join(_store_root(spark), "index")
+    items = documents.index_items(tabs, cols)
+    first = store.rebuild_index(items, path, fx.DB)
+    second = store.rebuild_index(items.limit(0), path, fx.DB)
+    return spark.createDataFrame([("full", first), ("empty", second)], "rebuild string, items bigint")
+
+
+def q_declared_keys(spark, sf_dir):
+    return annotated_catalog(spark, sf_dir, annotated=False)[1].select(
+        "table", "column", "is_primary_key", "is_foreign_key", "foreign_key_ref")
+
+
+def q_table_header(spark, sf_dir):
+    return catalog.table_header(annotated_catalog(spark, sf_dir)[0])
+
+
+def q_schema_text_database(spark, sf_dir):
+    return catalog.database_text(catalog.schema_text(*annotated_catalog(spark, sf_dir), variant="full"))
+
+
 def q_table_detail(spark, sf_dir):
     return catalog.table_detail(annotated_catalog(spark, sf_dir)[1])
 
@@ -266,8 +339,8 @@ def q_cosine_topk(spark, sf_dir):
 
 
 def _sparse_docs(spark, sf_dir):
-    docs = pack_sparse(term_vectors(fx.read(spark, sf_dir, "documents"), "doc_id", "text"))
-    qs = pack_sparse(term_vectors(fx.read(spark, sf_dir, "benchmark"), "item_id", "text")).withColumnRenamed(
+    docs = packed_terms(fx.read(spark, sf_dir, "documents"), "doc_id", "text")
+    qs = packed_terms(fx.read(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed(
         "id", "query_id")
     return docs, qs
 
@@ -298,6 +371,10 @@ def q_score_fusion_filtered(spark, sf_dir):
     return _fused_cols(search.fuse(_cands(spark, sf_dir), top_k=10, filter_type="column"))
 
 
+def q_score_fusion_table_filter(spark, sf_dir):
+    return _fused_cols(search.fuse(_cands(spark, sf_dir), top_k=10, filter_table="t3"))
+
+
 def q_context_text(spark, sf_dir):
     res = search.fuse(_cands(spark, sf_dir), top_k=5)
     return search.context_text(res, fx.vector_queries(spark, sf_dir))
@@ -311,8 +388,8 @@ def q_ambiguity(spark, sf_dir):
 # ------------------------------------------------------------------ E
 def _example_vectors(spark, sf_dir):
     ex = fx.example_pairs(spark, sf_dir)
-    vec = pack_sparse(term_vectors(ex, "log_id", "question")).withColumnRenamed("id", "log_id")
-    qs = pack_sparse(term_vectors(fx.read(spark, sf_dir, "benchmark"), "item_id", "text")).withColumnRenamed(
+    vec = packed_terms(ex, "log_id", "question").withColumnRenamed("id", "log_id")
+    qs = packed_terms(fx.read(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed(
         "id", "query_id")
     return ex.join(vec, "log_id"), qs
 
@@ -409,7 +486,7 @@ GOOD_SQL = {
     "pass_semi_anti": (
         "SELECT c_custkey, c_name, CASE WHEN EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey "
         "AND o.o_orderstatus = 'F') THEN 1 ELSE 0 END AS has_final FROM customer c "
-        "WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')"),
+        "WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = c.c_custkey AND e.event_type = 'purchase')"),
     "pass_groupby": (
         "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty, "
         "round(avg(l_discount), 6) AS avg_disc FROM lineitem GROUP BY l_returnflag, l_linestatus "
@@ -449,6 +526,32 @@ def q_preview(spark, sf_dir):
     return execute.preview(_run(spark, sf_dir, "preview"), 20, 80)
 
 
+def q_dry_run_audit(spark, sf_dir):
+    """G5 for the first text of every shape of the SQL log: is it accepted, and if not, why."""
+    register_views(fx.all_tables(spark, sf_dir))
+    shape = F.pmod("query_id", F.lit(22))
+    firsts = (fx.sql_log(spark, sf_dir).groupBy(shape.alias("shape")).agg(F.min(F.struct("query_id", "sql")).alias("q"))
+              .select("shape", "q.query_id", "q.sql").collect())       # 22 rows
+    out = []
+    for r in firsts:
+        v = execute.dry_run(spark, r["sql"]).verdict
+        out.append((r["shape"], r["query_id"], v["is_valid"], v["error_type"]))
+    return spark.createDataFrame(out, "shape bigint, query_id bigint, is_valid boolean, error_type string")
+
+
+def q_reconcile_claims(spark, sf_dir):
+    """Stated totals per return flag and in all, some of them wrong."""
+    li = fx.read(spark, sf_dir, "lineitem").withColumn("amount", F.col("l_extendedprice").cast("decimal(18,2)"))
+    stated = li.groupBy("l_returnflag").agg(F.sum("amount").alias("t")).select(
+        F.lit(1).alias("level"), "l_returnflag", F.lit(None).cast("string").alias("l_linestatus"),
+        (F.col("t") + F.when(F.col("l_returnflag") == "N", F.lit(1)).otherwise(F.lit(0))).alias("claimed"))
+    total = li.agg(F.sum("amount").alias("t")).select(F.lit(0).alias("level"), F.lit(None).cast("string").alias("l_returnflag"),
+                                                     F.lit(None).cast("string").alias("l_linestatus"), F.col("t").alias("claimed"))
+    none = total.select(F.lit(1).alias("level"), F.lit("?").alias("l_returnflag"), "l_linestatus", "claimed")
+    r = execute.reconcile_claims(li, ["l_returnflag", "l_linestatus"], "amount", stated.unionByName(total).unionByName(none))
+    return r.select("level", "l_returnflag", *[F.col(c).cast("double").alias(c) for c in ("claimed", "actual", "diff")], "ok")
+
+
 def q_reconcile_totals(spark, sf_dir):
     li = fx.read(spark, sf_dir, "lineitem").withColumn("amount", F.col("l_extendedprice").cast("decimal(18,2)"))
     r = execute.reconcile(li, ["l_returnflag", "l_linestatus"], "amount")
@@ -477,6 +580,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "catalog_list": q_catalog_list,
     "catalog_edit": q_catalog_edit,
     "catalog_edit_report": q_catalog_edit_report,
+    "distinct_count_approx_within": q_distinct_count_approx_within,
+    "inclusion_keys_decimal": q_inclusion_keys_decimal,
+    "profile_partial": q_profile_partial,
+    "catalog_status": q_catalog_status,
+    "store_cleared": q_store_cleared,
+    "index_rebuild": q_index_rebuild,
+    "declared_keys": q_declared_keys,
+    "table_header": q_table_header,
+    "schema_text_database": q_schema_text_database,
+    "score_fusion_table_filter": q_score_fusion_table_filter,
+    "dry_run_audit": q_dry_run_audit,
+    "reconcile_claims": q_reconcile_claims,
     "catalog_overview": q_catalog_overview,
     "table_detail": q_table_detail,
     "schema_text_raw": q_schema_text_raw,

@@ -33,27 +33,15 @@ def checked_broadcast(df: DataFrame, max_rows: int, row_bytes: int = 64,
     return (F.broadcast(df) if ok else df), ok, n
 
 
-SPREAD_MIN_BYTES = 4 * 1024 * 1024
+#: Session setting with which a caller asks for a partition count, e.g. for tables that
+#: arrive as one unsplittable file each. Unset: the scan's own splits are kept.
+PARTITIONS_CONF = "spark.colscope.inputPartitions"
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (file sizes for scans; no job)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001
-        return 0
-
-
-def spread(df: DataFrame, min_partitions: int | None = None, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
-    """Make sure CPU-heavy per-row work (regex, tokenising, unpivoting) has at
-    least the cluster's parallelism: a round-robin repartition only when the
-    input is large (>= ``min_bytes`` by plan statistics) but arrives in fewer
-    partitions (a single large file or row group). On inputs split into many
-    files, and on small ones, this returns ``df`` unchanged."""
+def dealt(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``df`` dealt round-robin to the partition count that the caller gave (the argument
+    or the session setting); without one ``df`` as it is. Nothing is measured or run."""
     if df.isStreaming:
         return df      # a stream keeps its source's parallelism
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if plan_bytes(df) < min_bytes:
-        return df
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    want = partitions or df.sparkSession.conf.get(PARTITIONS_CONF, None)
+    return df.repartition(int(want)) if want else df

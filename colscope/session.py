@@ -35,8 +35,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting a scratch one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is; a machine-local folder is only chosen when nothing is configured
-    (local tests).
+    is; without it a session whose master is not local raises, since a
+    machine-local folder would be seen by one machine only.
     """
     sc = spark.sparkContext
     cur = sc.getConf().get("spark.checkpoint.dir", None)
@@ -45,6 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not active:
             sc.setCheckpointDir(cur)
         return cur or active
+    if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="colscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(path)
     return path

@@ -10,6 +10,8 @@ job reads and overwrites one path.
 from __future__ import annotations
 
 import os
+import posixpath
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +28,38 @@ COLUMN_COLS = ["database", "table", "position", "column", "data_type", "nullable
                "null_ratio", "unique_count", "business_name", "description", "keywords"]
 
 
+def qualified(path: str, default_fs: str = "file:///") -> str:
+    """``path`` as ``scheme://authority/absolute/path`` without a closing slash; a path without
+    a scheme belongs to ``default_fs``. Text only: no file system is asked."""
+    m = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):(.*)", path)
+    if m is None:
+        base = re.match(r"([A-Za-z][A-Za-z0-9+.-]*)://([^/]*)", default_fs)
+        scheme, authority = (base[1], base[2]) if base else ("file", "")
+        rest = os.path.abspath(path) if scheme == "file" else posixpath.normpath("/" + path.lstrip("/"))
+        return f"{scheme}://{authority}{rest}".rstrip("/")
+    scheme, rest = m[1].lower(), m[2]
+    authority = ""
+    if rest.startswith("//"):
+        authority, _, rest = rest[2:].partition("/")
+    return f"{scheme}://{authority}{posixpath.normpath('/' + rest.lstrip('/'))}".rstrip("/")
+
+
+def _default_fs(spark: SparkSession) -> str:
+    return spark._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+
+
+def lies_under(files: list[str], root: str, default_fs: str = "file:///") -> bool:
+    """Whether any of the files is ``root`` or below it."""
+    root = qualified(root, default_fs) + "/"
+    return any((qualified(f, default_fs) + "/").startswith(root) for f in files)
+
+
 def _reads_from(df: DataFrame, root: str) -> bool:
     try:
         files = df.inputFiles()
     except Exception:  # noqa: BLE001 - non-file relations
         return False
-    root = os.path.abspath(root.replace("file:", ""))
-    return any(root in f for f in files)
+    return lies_under(files, root, _default_fs(df.sparkSession))
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -48,6 +75,25 @@ def write_partitioned(df: DataFrame, path: str, partition_col: str = "database")
      .partitionBy(partition_col).parquet(path))
 
 
+def drop_partition(spark: SparkSession, path: str, value: str, partition_col: str = "database") -> None:
+    """Delete one partition folder (if there is one) on whatever file system holds ``path``."""
+    part = spark._jvm.org.apache.hadoop.fs.Path(path, f"{partition_col}={value}")
+    part.getFileSystem(spark._jsc.hadoopConfiguration()).delete(part, True)
+
+
+def rebuild_index(items: DataFrame, path: str, database: str) -> int:
+    """V3: the index of one database anew: its old items go, also if there are no new ones.
+    Returns the number of items written."""
+    spark = items.sparkSession
+    items = items.where(F.col("database") == database)
+    if _reads_from(items, path):
+        items = _cut(items)
+    drop_partition(spark, path, database)
+    items.write.mode("append").partitionBy("database").parquet(path)
+    now = _read(spark, path)
+    return 0 if now is None else now.where(F.col("database") == database).count()
+
+
 def write_versioned(df: DataFrame, root: str, name: str) -> str:
     """Write ``df`` under a fresh version folder and return its path (the caller
     keeps the pointer). Used for stores rewritten from themselves."""
@@ -57,10 +103,14 @@ def write_versioned(df: DataFrame, root: str, name: str) -> str:
 
 
 def save_catalog(tables: DataFrame, columns: DataFrame, root: str) -> None:
-    """Store the catalogue of the database(s) present in the frames."""
-    stamp = [F.lit(CATALOG_VERSION).alias("version"), F.current_timestamp().alias("generated_at")]
-    write_partitioned(tables.select(*TABLE_COLS, *stamp), os.path.join(root, "tables"))
+    """Store the catalogue of the database(s) present in the frames.
+
+    Both parts carry one stamp. The columns are written first and the tables last, so a
+    catalogue counts as saved (C2, C3 look at the tables) only when both are there."""
+    now = tables.sparkSession.sql("SELECT current_timestamp()").first()[0]
+    stamp = [F.lit(CATALOG_VERSION).alias("version"), F.lit(now).alias("generated_at")]
     write_partitioned(columns.select(*COLUMN_COLS, *stamp), os.path.join(root, "columns"))
+    write_partitioned(tables.select(*TABLE_COLS, *stamp), os.path.join(root, "tables"))
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:

@@ -7,7 +7,6 @@ Listing columns only reads schemas (no Spark job).
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +20,15 @@ def load_tables(spark: SparkSession, path: str, names: Iterable[str] | None = No
     """Read every ``<name>.<fmt>`` under ``path`` (or the given names)."""
     if names is None:
         suffix = f".{fmt}"
-        names = sorted(n[: -len(suffix)] for n in os.listdir(path) if n.endswith(suffix))
-    return {n: spark.read.format(fmt).load(os.path.join(path, f"{n}.{fmt}")) for n in names}
+        names = sorted(n[: -len(suffix)] for n in _listed(spark, path) if n.endswith(suffix))
+    return {n: spark.read.format(fmt).load(f"{path.rstrip('/')}/{n}.{fmt}") for n in names}
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that Spark can read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(folder)]
 
 
 def load_jdbc_table(spark: SparkSession, url: str, table: str, partition_column: str | None = None,

@@ -1,3 +1,3 @@
-from colscope.streaming.audit import audit_stream, rule_counts
+from colscope.streaming.audit import rule_counts
 
-__all__ = ["audit_stream", "rule_counts"]
+__all__ = ["rule_counts"]

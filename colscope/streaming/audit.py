@@ -13,13 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.operators.guard import audit
-
-
-def audit_stream(log: DataFrame, sql_col: str = "sql", allow_write: bool = False) -> DataFrame:
-    """Verdict columns for every arriving text (append mode)."""
-    return audit(log, sql_col, allow_write)
-
 
 def rule_counts(audited: DataFrame, event_time: str | None = None, window: str = "1 hour",
                 watermark: str = "1 hour") -> DataFrame:

@@ -84,9 +84,9 @@ def test_overview_detail_schema_text(spark):
     assert ov["t1"]["row_count_text"] == "10" and ov["t2"]["row_count_text"] == "-"
     assert ov["t1"]["business_name"] == "-" and ov["t1"]["column_count"] == 2
     raw = {r["table"]: r["text"] for r in catalog.schema_text(tables, columns, "raw").collect()}
-    assert raw["t1"] == "## t1\n  - `a` int [PK]\n  - `b` string [FK->t2.x, NOT NULL]"
+    assert raw["t1"] == "TABLE t1\n  a int; key\n  b string; references t2.x; required"
     full = {r["table"]: r["text"] for r in catalog.schema_text(tables, columns, "full").collect()}
-    assert full["t2"] == "## t2 (Two)\nd2\n  - `x` int -- X (e.g. 7)"
+    assert full["t2"] == "TABLE t2: Two\nd2\n  x int; means X; values 7"
     det = {r["column"]: r for r in catalog.table_detail(columns).collect()}
     assert det["a"]["flags"] == "PK" and det["b"]["flags"] == "FK" and det["a"]["samples_text"] == "1, 2"
 
@@ -129,3 +129,39 @@ def test_dense_embedding_hook(spark):
     q = with_embeddings(spark.createDataFrame([(9, "a")], "query_id long, text string"), "text", enc)
     top = [r["id"] for r in cosine_topk(v, q, 2).orderBy("rank").collect()]
     assert top == [1, 3]
+
+
+def test_last_of_several_replies(spark):
+    tables, columns = _catalog(spark)
+    parsed = spark.createDataFrame([(2, "db", "t1", "a", "ok", "New", None, None), (1, "db", "t1", "a", "ok", "Old", None, None)],
+                                   "seq int, database string, table string, column string, state string, business_name string, "
+                                   "description string, keywords array<string>")
+    out = annotate.merge_column_replies(columns, parsed).collect()
+    assert len(out) == columns.count() and [r["business_name"] for r in out if r["column"] == "a"] == ["New"]
+
+
+def test_a_table_that_fails_while_reading_does_not_end_the_profile(spark, tmp_path):
+    import warnings
+
+    from colscope.operators.profile import profile_tables
+
+    path = str(tmp_path / "bad.parquet")
+    spark.range(5).write.parquet(path)
+    bad = spark.read.parquet(path)
+    for f in (tmp_path / "bad.parquet").glob("part-*"):
+        f.write_bytes(b"not parquet")
+    with warnings.catch_warnings(record=True) as seen:
+        warnings.simplefilter("always")
+        p = profile_tables(spark, {"good": spark.createDataFrame([(1,), (2,)], "k int"), "bad": bad}, "db")
+    assert any("bad" in str(w.message) for w in seen)
+    assert [r["table"] for r in p.columns.select("table").distinct().collect()] == ["good"]
+    assert p.columns.first()["unique_count"] == 2
+
+
+def test_decimal_inclusion(spark):
+    from colscope.operators.profile import profile_tables
+
+    key = spark.createDataFrame([(i,) for i in range(50)], "v int").selectExpr("CAST(v / 4.0 AS DECIMAL(12,2)) AS d", "CAST(v AS BIGINT) AS b")
+    fk = spark.createDataFrame([(i,) for i in (3, 9, 12, 12)], "v int").selectExpr("CAST(v / 4.0 AS DECIMAL(14,4)) AS d", "CAST(v AS BIGINT) AS b")
+    got = {(r["fk_table"], r["fk_column"], r["key_table"], r["key_column"]) for r in profile_tables(spark, {"k": key, "f": fk}, "db").inclusions.collect()}
+    assert ("f", "d", "k", "d") in got and ("f", "b", "k", "b") in got

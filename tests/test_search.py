@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from colscope.operators import search
 from colscope.operators.vectors import cosine_topk, pack_sparse, term_vectors
@@ -138,3 +139,32 @@ def test_text_search_over_catalogue(spark, sf):
     ctx = {r["query_id"]: r["context"] for r in search.context_text(
         search.text_search(items, qs, top_k=5), qs).collect()}
     assert "customer" in ctx[2]
+
+
+def test_rows_without_tokens_or_vectors(spark):
+    from colscope.operators.vectors import packed_terms
+
+    texts = spark.createDataFrame([(1, "a b a"), (2, "!!"), (3, None), (4, "b")], "id int, text string")
+    got = {r["id"]: r for r in packed_terms(texts, "id", "text", 64).collect()}
+    assert len(got) == 4 and got[2]["idx"] == [] and got[3]["val"] == []
+    assert abs(sum(v * v for v in got[1]["val"]) - 1) < 1e-12
+    plan = packed_terms(texts, "id", "text", 64)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    top = cosine_topk(packed_terms(texts, "id", "text", 64), packed_terms(texts, "id", "text", 64).withColumnRenamed("id", "query_id"),
+                      4, sparse_dim=64).collect()
+    assert {(r["query_id"], r["id"]) for r in top} == {(q, i) for q in (1, 2, 3, 4) for i in (1, 2, 3, 4)}
+    dense = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 1.0, 1.0])], "id int, vector array<double>")
+    top = cosine_topk(dense, dense.withColumnRenamed("id", "query_id"), 2).collect()
+    assert {(r["query_id"], r["id"]) for r in top} == {(1, 1), (3, 3)}
+
+
+def test_building_a_profile_input_runs_no_job(spark):
+    from colscope.operators.vectors import term_vectors
+    from colscope.plans.sizing import dealt
+
+    df = spark.range(100).groupBy((F.col("id") % 7).alias("id")).agg(F.count("*").alias("n")).withColumn("text", F.lit("a b"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build-only", "")
+    dealt(df), term_vectors(df, "id", "text")
+    assert list(tracker.getJobIdsForGroup("build-only")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -55,12 +55,13 @@ def test_status(spark, sf):
 
 def test_stream_audit(spark, sf):
     from colscope.plans.fixtures import sql_log
-    from colscope.streaming import audit_stream, rule_counts
+    from colscope.operators.guard import audit
+    from colscope.streaming import rule_counts
     src = _root(spark)
     log = sql_log(spark, sf)
     log.write.mode("overwrite").parquet(os.path.join(src, "log"))
     stream = spark.readStream.schema(log.schema).parquet(os.path.join(src, "log"))
-    q = (rule_counts(audit_stream(stream)).writeStream.outputMode("complete").format("memory")
+    q = (rule_counts(audit(stream)).writeStream.outputMode("complete").format("memory")
          .queryName("rule_counts_test").option("checkpointLocation", os.path.join(src, "ckpt")).start())
     q.processAllAvailable()
     q.stop()
@@ -82,16 +83,61 @@ def test_entry_contract(spark):
 
 def test_stream_rule_counts_by_event_time(spark, sf):
     from colscope.plans.fixtures import read, sql_log
-    from colscope.streaming import audit_stream, rule_counts
+    from colscope.operators.guard import audit
+    from colscope.streaming import rule_counts
     src = _root(spark)
     o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderdate").alias("ts"))
     log = sql_log(spark, sf).join(o, "query_id").withColumn("ts", F.col("ts").cast("timestamp"))
     log.write.mode("overwrite").parquet(os.path.join(src, "log"))
     stream = spark.readStream.schema(log.schema).parquet(os.path.join(src, "log"))
-    q = (rule_counts(audit_stream(stream), event_time="ts", window="365 days", watermark="3650 days")
+    q = (rule_counts(audit(stream), event_time="ts", window="365 days", watermark="3650 days")
          .writeStream.outputMode("update").format("memory").queryName("rule_counts_ts")
          .option("checkpointLocation", os.path.join(src, "ckpt")).start())
     q.processAllAvailable()
     q.stop()
     got = spark.sql("SELECT window, error_type, rule, max(n) AS n FROM rule_counts_ts GROUP BY ALL")
     assert got.agg(F.sum("n")).first()[0] == log.count()
+
+
+def test_paths_off_the_local_disk():
+    from colscope.sources.store import lies_under, qualified
+
+    assert qualified("s3a://b/x/../y/") == "s3a://b/y" and qualified("hdfs://nn:8020//d//e") == "hdfs://nn:8020/d/e"
+    assert qualified("/a/b", "hdfs://nn:8020") == "hdfs://nn:8020/a/b" and qualified("file:/tmp/x") == "file:///tmp/x"
+    assert lies_under(["s3a://b/store/tables/database=x/p.parquet"], "s3a://b/store/tables")
+    assert not lies_under(["s3a://b/store/tables2/p.parquet"], "s3a://b/store/tables")
+    assert not lies_under(["s3a://c/store/tables/p.parquet"], "s3a://b/store/tables")
+    assert lies_under(["hdfs://nn/d/p.parquet"], "/d", "hdfs://nn")
+
+
+def test_empty_rebuild_leaves_nothing(spark):
+    root = _root(spark)
+    p = os.path.join(root, "index")
+    items = spark.createDataFrame([("a", "db"), ("b", "db"), ("c", "other")], "id string, database string")
+    assert store.rebuild_index(items, p, "db") == 2 and store.rebuild_index(items, p, "other") == 1
+    assert store.rebuild_index(items.limit(0), p, "db") == 0
+    assert [r["id"] for r in spark.read.parquet(p).collect()] == ["c"]
+    assert store.rebuild_index(spark.read.parquet(p), p, "other") == 1
+
+
+def test_a_cluster_needs_a_named_checkpoint_folder():
+    import pytest
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session())
