@@ -34,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colscope.llm.blocks import grams, mix, seeded, text_blocks, words
@@ -199,30 +199,48 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def _stars(groups: DataFrame) -> DataFrame:
-    """(a, b): the nodes of every group with the group's pivot a."""
+    """(a, b, weight): the nodes of every group with the group's pivot a and the pivot's weight."""
     size = groups.groupBy("g").agg(F.count("*").alias("n"))
     weight = groups.join(size, "g").groupBy("node").agg(F.sum("n").alias("weight"))
     now = groups.join(weight, "node").select("g", "node", F.struct("weight", (-F.col("node")).alias("minus")).alias("rank"))
-    pivot = now.groupBy("g").agg(F.max("rank").alias("top")).select("g", (-F.col("top")["minus"]).alias("a"))
-    return groups.join(pivot, "g").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    pivot = now.groupBy("g").agg(F.max("rank").alias("top")).select(
+        "g", (-F.col("top")["minus"]).alias("a"), F.col("top")["weight"].alias("weight"))
+    return groups.join(pivot, "g").filter("node <> a").select("a", F.col("node").alias("b"), "weight").distinct()
 
 
-def _still_possible(compared: DataFrame, labels: DataFrame, need) -> DataFrame:
+def _still_possible(compared: DataFrame, stars: DataFrame, labels: DataFrame, need, limit: float) -> DataFrame:
     """Pairs (a, b) of nodes of one pivot that may be alike although it does not connect them
-    (module text, 4)."""
-    nodes = (compared.join(labels.withColumnRenamed("id", "b"), "b", "left")
+    (module text, 4). Two nodes with the same main pivot, the heaviest one they were compared
+    with (or are), are looked at under that pivot only."""
+    rank = F.struct("weight", (-F.col("a")).alias("minus"))
+    main = (stars.select(F.col("b").alias("node"), rank.alias("r")).union(stars.select(F.col("a").alias("node"), rank.alias("r")))
+            .groupBy("node").agg(F.max("r").alias("r")).select(F.col("node").alias("b"), (-F.col("r")["minus"]).alias("main")))
+    nodes = (compared.join(main, "b").join(labels.withColumnRenamed("id", "b"), "b", "left")
              .withColumn("label", F.coalesce("label", "b")).withColumn("apart", F.col("overlap") < need(F.col("sa"), F.col("sb"))))
-    open_ = nodes.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("apart").alias("any"))
-    nodes = written(nodes.join(open_.filter("lo < hi and any").select("a"), "a"), "apart")
-    side = lambda c: [F.col(n).alias(f"{m}{c}") for n, m in (("b", "n"), ("sb", "s"), ("overlap", "o"), ("label", "l"))]
+    open_ = nodes.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("apart").alias("any"),
+                                  F.min("main").alias("m0"), F.max("main").alias("m1"))
+    nodes = written(nodes.join(open_.filter("lo < hi and any and (m0 < m1 or m0 = a)").select("a"), "a"), "apart")
+    side = lambda c: [F.col(n).alias(f"{m}{c}") for n, m in (("b", "n"), ("sb", "s"), ("overlap", "o"), ("label", "l"), ("main", "m"))]
+    due = (F.col("lx") != F.col("ly")) & ((F.col("mx") != F.col("my")) | (F.col("mx") == F.col("a")))
     missing = need(F.col("sx"), F.col("sy")) - F.least("ox", "oy")
-    x = nodes.select("a", *side("x"), F.explode("beyond").alias("p")).select("*", F.col("p.e"), F.col("p.w").alias("wx")).drop("p")
-    y = nodes.filter("apart").select("a", *side("y"), F.explode("beyond").alias("p")).select("*", F.col("p.e"), F.col("p.w").alias("wy")).drop("p")
-    shared = (x.join(y, ["a", "e"]).filter("lx <> ly").groupBy("a", "nx", "ny")
-              .agg(F.sum(F.least("wx", "wy")).alias("both"), F.first(missing).alias("missing")).filter("both >= missing"))
+    # A node must share a weight of at least limit * size - overlap with any partner. Its most
+    # frequent shingles may be left out while their weight stays below that: the rarest shingle
+    # that two alike nodes share is then kept by both.
+    have = nodes.select("a", "b", "sb", "overlap", "label", "main", "apart", F.explode("beyond").alias("p")).select("*", "p.e", "p.w").drop("p")
+    held = have.groupBy("a", "e").agg(F.count("*").alias("f"), F.max("apart").alias("any")).filter("f > 1 and any").select("a", "e", "f")
+    order = Window.partitionBy("a", "b").orderBy(F.desc("f"), "e")
+    have = (have.join(held, ["a", "e"]).withColumn("cum", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("out", F.col("cum") < limit * F.col("sb") - F.col("overlap") - 1e-6))
+    have = written(have.withColumn("left", F.coalesce(F.sum(F.when(F.col("out"), F.col("w"))).over(Window.partitionBy("a", "b")), F.lit(0)))
+                   .filter("not out"), "kept")
+    x = have.select("a", "e", F.col("w").alias("wx"), F.col("left").alias("dx"), *side("x"))
+    y = have.filter("apart").select("a", "e", F.col("w").alias("wy"), F.col("left").alias("dy"), *side("y"))
+    shared = (x.join(y, ["a", "e"]).filter(due).groupBy("a", "nx", "ny")
+              .agg(F.sum(F.least("wx", "wy")).alias("both"), F.first(missing - F.col("dx") - F.col("dy")).alias("missing"))
+              .filter("both >= missing"))
     # only a node smaller than the pivot can be alike to an unlinked one without sharing more
     free = (nodes.filter("sb < sa").select("a", *side("x")).join(nodes.filter("apart").select("a", *side("y")), "a")
-            .filter((F.col("lx") != F.col("ly")) & (missing <= 0)))
+            .filter(due & (missing <= 0)))
     return (shared.select("nx", "ny").union(free.select("nx", "ny"))
             .select(F.least("nx", "ny").alias("a"), F.greatest("nx", "ny").alias("b")).distinct())
 
@@ -247,10 +265,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .join(own.withColumnRenamed("doc_id", "a"), "a", "left_semi"))
     need = lambda x, y: limit / (1 + limit) * (x + y) - 1e-6  # noqa: E731  overlap that makes sizes x, y alike
     alike = lambda pairs: pairs.filter(F.col("overlap") >= need(F.col("sa"), F.col("sb"))).select("a", "b")
-    compared = written(_compared(written(_stars(groups), "stars"), texts, k), "compared")
+    stars = written(_stars(groups), "stars")
+    compared = written(_compared(stars.select("a", "b"), texts, k), "compared")
     links = written(links.union(alike(compared)).distinct(), "links")
     labels = components(links)
-    rest = written(_still_possible(compared, labels, need), "rest")
+    rest = written(_still_possible(compared, stars, labels, need, limit), "rest")
     if rest.limit(1).count():
         labels = components(links.union(alike(_compared(rest, texts, k))))
     classes = (node_of.join(labels.withColumnRenamed("id", "node"), "node", "left")
