@@ -5,8 +5,9 @@
    of inverse document frequencies. Every term in it is in at least ``low`` of all documents,
    so it has at most (mean distinct terms of a document) / ``low`` entries, whatever the
    corpus: that bounds its broadcast (the size is checked all the same).
-2. *Fingerprint.* The sorted distinct terms of a text that are in the lexicon are hashed as a
-   whole and within randomised subsets of the lexicon: at each of four rates (1/8 to 1/512)
+2. *Fingerprint.* The distinct terms of a text that are in the lexicon are hashed as a whole
+   and within randomised subsets of the lexicon (the exclusive or of the terms' hashes: what
+   hashing them in sorted order gives, a value of the set alone, without the sort): at each of four rates (1/8 to 1/512)
    a hash of the term picks one of up to 32 disjoint subsets, or none. A text of few
    terms is told by the large subsets, a long one by the small ones.
 3. *Likeness* of two fingerprints: 1 if the whole hashes agree; otherwise the largest share,
@@ -29,7 +30,6 @@ from colscope.llm.tables import small_or_shuffled, written
 LOW, HIGH = 1 / 2000, 1 / 4
 RATES = ((3, 8), (5, 32), (7, 32), (9, 32))      # bits of the rate, subsets used
 LEAST = 4
-_DIGITS = 6                                      # hex digits of a subset's hash
 
 
 def distinct_terms(text: Column) -> Column:
@@ -71,38 +71,31 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     return rows.select("doc_id", "text", "tie", "b.*").withColumn("next_text", F.lead("text").over(order))
 
 
-def _subset_hashes(terms: Column, shift: int, bits: int, used: int) -> Column:
-    """Hash of the terms of each of ``used`` subsets (0: none); ``bits`` bits of a term name its subset."""
-    def part(t):
-        return F.shiftrightunsigned(t, shift).bitwiseAND((1 << bits) - 1)
-
-    picked = F.filter(terms, lambda t: part(t) < used) if used < 1 << bits else terms
-
-    def one(j):
-        own = F.filter(picked, lambda t: part(t) == j)
-        return F.when(F.size(own) > 0, F.xxhash64(own).bitwiseAND((1 << 4 * _DIGITS) - 2) + 1).otherwise(F.lit(0).cast("long"))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(used - 1)), one)
-
-
-def _signature(terms: Column, text_hash: Column) -> Column:
-    """struct(whole, rates): hash of all terms, and per rate the hashes of its subsets (0: empty)."""
-    shifts = [sum(bits for bits, _ in RATES[:i]) for i in range(len(RATES))]
-    rates = [_subset_hashes(terms, shift, bits, used) for shift, (bits, used) in zip(shifts, RATES)]
-    return F.struct(F.when(F.size(terms) > 0, F.xxhash64(terms)).otherwise(text_hash).alias("whole"), F.array(*rates).alias("rates"))
+def _memberships(term: Column) -> Column:
+    """(rate, part) of a term: (0, 0) for the whole lexicon, and at each rate the part of the
+    lexicon that bits of its own fall into. Of a rate's parts the first ``used`` are subsets."""
+    out, shift = [F.struct(F.lit(0).alias("rate"), F.lit(0).cast("long").alias("part"), F.lit(1).alias("used"))], 0
+    for rate, (bits, used) in enumerate(RATES, 1):
+        part = F.shiftrightunsigned(term, shift).bitwiseAND((1 << bits) - 1)
+        out.append(F.struct(F.lit(rate).alias("rate"), part.alias("part"), F.lit(used).alias("used")))
+        shift += bits
+    return F.array(*out)
 
 
 def fingerprint_text(sig: Column) -> Column:
-    """A signature as text: the whole hash, a colon, the subsets' hashes."""
-    digits = F.transform(F.flatten(sig["rates"]), lambda x: F.lpad(F.lower(F.hex(x)), _DIGITS, "0"))
-    return F.concat(F.lpad(F.lower(F.hex(sig["whole"])), 16, "0"), F.lit(":"), F.array_join(digits, ""))
+    """A signature as text: the whole hash, a colon, the subsets' marks in order."""
+    return F.concat(F.lpad(F.lower(F.hex(sig["whole"])), 16, "0"), F.lit(":"),
+                    F.array_join(F.transform(sig["marks"], lambda x: F.lower(F.hex(x))), "."))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Likeness of two signatures, 0 to 1 (module text)."""
-    pairs = [F.arrays_zip(a["rates"][i].alias("x"), b["rates"][i].alias("y")) for i in range(len(RATES))]
-    alike = [F.size(F.filter(p, lambda z: (z["x"] == z["y"]) & (z["x"] != 0))) for p in pairs]
-    held = [F.size(F.filter(p, lambda z: (z["x"] != 0) | (z["y"] != 0))) for p in pairs]
+    alike, held = [], []
+    for rate in range(1, len(RATES) + 1):
+        x, y = (F.filter(s["marks"], lambda m: F.shiftright(m, 40) == rate) for s in (a, b))
+        px, py = (F.transform(z, lambda m: F.shiftright(m, 32)) for z in (x, y))
+        alike.append(F.size(F.array_intersect(x, y)))
+        held.append(F.size(x) + F.size(y) - F.size(F.array_intersect(px, py)))
     total = lambda xs: sum(xs[1:], xs[0])
     shares = [F.when(h >= LEAST, s / h) for s, h in zip(alike, held)]
     pooled = F.when(total(held) > 0, total(alike) / total(held)).otherwise(F.lit(0.0))
@@ -124,23 +117,37 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars - n_chars div 2))"),
                                            F.coalesce(F.left("next_text", half), F.lit(""))))
             .withColumn("row", F.monotonically_increasing_id()))
-    # one narrow row per distinct term of either text, and one that carries the rest of the row
-    about = F.struct("ghost", "doc_id", "tie", "n_chars", F.sha2("edited", 256).alias("sha"), F.xxhash64("edited").alias("edited_hash"))
-    none = F.when(F.lit(False), about)
+    # One narrow row of numbers per distinct term of either text (side 0, 1), and a few that
+    # carry the rest of the row (side 2, a value each). Terms beyond the lexicon end at the join.
+    sha = F.sha2("edited", 256)
+    rest = [F.col("ghost").cast("long"), F.col("doc_id"), F.col("tie"), F.col("n_chars"), F.xxhash64("edited"),
+            *[F.conv(F.substring(sha, 16 * i + 1, 16), 16, -10).cast("long") for i in range(4)]]
     side = lambda c, k: F.transform(distinct_terms(F.col(c)), lambda t: F.struct(
-        F.lit(k).alias("side"), t.alias("term"), none.alias("about")))
-    carry = F.array(F.struct(F.lit(2).alias("side"), F.lit(0).cast("long").alias("term"), about.alias("about")))
+        F.lit(k).alias("side"), t.alias("term"), F.lit(0).alias("slot"), F.lit(None).cast("long").alias("value")))
+    carry = F.array(*[F.struct(F.lit(2).alias("side"), F.lit(0).cast("long").alias("term"), F.lit(i).alias("slot"), v.alias("value"))
+                      for i, v in enumerate(rest)])
     terms = rows.select("bucket", "row", F.explode(F.concat(carry, side("text", 0), side("edited", 1))).alias("t"))
     terms = terms.select("bucket", "row", "t.*").join(known, "term")
-    kept = lambda k: F.array_sort(F.collect_list(F.when(F.col("side") == k, F.col("term"))))
-    # the rows of a bucket are still together: this aggregate needs no exchange
-    sets = terms.groupBy("bucket", "row").agg(kept(0).alias("terms"), kept(1).alias("edited_terms"),
-                                              F.collect_list("about").alias("about"))
-    sets = sets.select("bucket", "terms", "edited_terms", F.element_at("about", 1).alias("a")).select(
-        "bucket", "terms", "edited_terms", "a.*")
-    signed = sets.select("bucket", "ghost", "doc_id", "tie", "n_chars", F.col("sha").alias("edited_sha256"),
-                         _signature(F.col("terms"), F.col("tie")).alias("signature"),
-                         _signature(F.col("edited_terms"), F.col("edited_hash")).alias("edited_signature"))
+    # Hash of the set of terms in each subset: of distinct terms, in whatever order they come. The rows
+    # of a bucket are still together, so neither aggregate needs an exchange.
+    member = terms.select("bucket", "row", "side", "term", "slot", "value", F.explode(_memberships(F.col("term"))).alias("m"))
+    member = member.select("bucket", "row", "side", F.col("m.rate").alias("rate"), F.when(F.col("side") == 2, F.col("slot")).otherwise(
+        F.col("m.part")).alias("part"), F.when(F.col("side") == 2, F.col("value")).otherwise(F.xxhash64("term", "m.rate")).alias("hash"),
+        F.col("m.used").alias("used")).filter("(side = 2 and rate = 0) or (side < 2 and part < used)")
+    hashes = member.groupBy("bucket", "row", "side", "rate", "part").agg(F.bit_xor("hash").alias("hash"))
+    mark = (F.shiftleft(F.col("rate").cast("long"), 40) + F.shiftleft(F.col("part").cast("long"), 32)
+            + F.col("hash").bitwiseAND(0xFFFFFFFF))
+    marks = lambda k: F.array_sort(F.collect_list(F.when((F.col("side") == k) & (F.col("rate") > 0), mark)))
+    whole = lambda k: F.max(F.when((F.col("side") == k) & (F.col("rate") == 0), F.col("hash")))
+    names = ["ghost", "doc_id", "tie", "n_chars", "edited_hash", "s0", "s1", "s2", "s3"]
+    sets = hashes.groupBy("bucket", "row").agg(
+        marks(0).alias("m0"), marks(1).alias("m1"), whole(0).alias("w0"), whole(1).alias("w1"),
+        *[F.max(F.when((F.col("side") == 2) & (F.col("part") == i), F.col("hash"))).alias(n) for i, n in enumerate(names)])
+    signed = sets.select(
+        "bucket", "ghost", "doc_id", "tie", "n_chars",
+        F.concat(*[F.lpad(F.lower(F.hex(f"s{i}")), 16, "0") for i in range(4)]).alias("edited_sha256"),
+        F.struct(F.coalesce("w0", "tie").alias("whole"), F.col("m0").alias("marks")).alias("signature"),
+        F.struct(F.coalesce("w1", "edited_hash").alias("whole"), F.col("m1").alias("marks")).alias("edited_signature"))
     order = Window.partitionBy("bucket").orderBy("ghost", "doc_id", "tie")
     return (signed.withColumn("next_signature", F.lead("signature").over(order)).filter("ghost = 0")
             .select(F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", "signature", "edited_signature", "next_signature"))
