@@ -78,7 +78,8 @@ def statement_types(sql: Column) -> Column:
         t = F.when(w == "WITH", F.when(after_cte != "", after_cte).otherwise(F.lit("UNKNOWN"))).otherwise(w)
         return F.when(t == "", F.lit("UNKNOWN")).otherwise(t)
 
-    return F.transform(parts, one)
+    # a text without any statement, such as a lone literal or comment, is of no known type
+    return F.when((F.size(parts) == 0) & (py_strip(sql) != ""), F.array(F.lit("UNKNOWN"))).otherwise(F.transform(parts, one))
 
 
 def audit(log: DataFrame, sql_col: str = "sql", allow_write: bool = False) -> DataFrame:

@@ -107,6 +107,8 @@ def save_catalog(tables: DataFrame, columns: DataFrame, root: str) -> None:
 
     Both parts carry one stamp. The columns are written first and the tables last, so a
     catalogue counts as saved (C2, C3 look at the tables) only when both are there."""
+    # loaded frames read both parts of the store: cut them before either is replaced
+    tables, columns = (_cut(df) if _reads_from(df, root) else df for df in (tables, columns))
     now = tables.sparkSession.sql("SELECT current_timestamp()").first()[0]
     stamp = [F.lit(CATALOG_VERSION).alias("version"), F.lit(now).alias("generated_at")]
     write_partitioned(columns.select(*COLUMN_COLS, *stamp), os.path.join(root, "columns"))

@@ -75,7 +75,8 @@ def test_entry_contract(spark):
     import __spark_entry__ as E
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 50
-    assert set(q) - set(o) == {"distinct_count_approx"}
+    from colscope.plans.registry import QUERIES
+    assert set(QUERIES) <= set(q) and set(QUERIES) - set(o) == {"distinct_count_approx"}
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns == ["query_id", "rank", "id", "type", "original_score", "table_boost", "score"]
