@@ -34,7 +34,7 @@ from colscope.session import ship_package
 
 SEED_WORDS = 5
 COVERAGE = 0.5
-TABLE_BITS = 22
+TABLE_BITS = 26        # 8 MB
 
 
 def _short_gram(w, i: int, size: int):
@@ -73,16 +73,16 @@ def _bit_table(seeds: DataFrame, bits: int) -> np.ndarray:
     out = np.zeros(1 << (bits - 5), np.uint32)
     for r in rows:
         out[r["word"]] = r["bits"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)       # bit i of the table is bit i % 8 of byte i / 8
 
 
 def _seeded_docs(docs: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFrame:
     """(doc_id, text, seeds) of documents that may hold a seed. ``sizes``: the seed lengths in use, 1 to k."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table, bitorder="little"))
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
-        bits = np.unpackbits(shared.value, bitorder="little").astype(bool)
-        mask = np.uint64(len(bits) - 1)
+        table = shared.value
+        mask = np.uint64(8 * len(table) - 1)
         for batch in batches:
             for b in text_blocks(batch.column(1)):
                 w = words(b)
@@ -90,7 +90,8 @@ def _seeded_docs(docs: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFr
                 for size in sizes:
                     h, bounds = grams(w, size)
                     r = np.repeat(np.arange(b.n), np.diff(bounds))
-                    hit = bits[(h & mask).astype(np.int64)]
+                    slot = h & mask
+                    hit = (table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                     hit &= (w.counts >= size)[r]
                     rows.append(r[hit])
                     found.append(h[hit])
