@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.functions.text import py_strip
+from colscope.plans.sizing import dealt
 
 # ---- fixed values: the rule patterns, matched in this order, case-insensitive ----
 INJECTION_PATTERNS = [
@@ -90,7 +91,7 @@ def audit(log: DataFrame, sql_col: str = "sql", allow_write: bool = False) -> Da
     projections), then the verdict is read off those columns."""
     sql = F.coalesce(F.col(sql_col), F.lit(""))
     allowed = WRITE_TYPES if allow_write else READ_TYPES
-    base = (log
+    base = (dealt(log)
             .withColumn("_empty", py_strip(sql) == "")
             .withColumn("_inj", first_hit(sql, INJECTION_PATTERNS))
             .withColumn("_dang", first_hit(sql, DANGEROUS_PATTERNS))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colscope.plans.sizing import dealt
 from colscope.session import ship_package
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
@@ -51,7 +52,7 @@ def packed_terms(df: DataFrame, id_col: str, text_col: str, buckets: int = 4096)
     """V1: ``(id, idx array<int>, val array<double>)`` - one unit-length term-frequency vector
     per row, computed inside the row (no exchange). A text without a token keeps its row,
     with empty arrays: its cosine with anything is 0."""
-    rows = df.select(F.col(id_col).alias("id"), F.array_sort(F.transform(
+    rows = dealt(df.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.array_sort(F.transform(
         F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")), lambda t: bucket_of(t, buckets))).alias("_b"))
     # runs of equal buckets in the sorted array: where they start, and how long they are
     rows = rows.select("id", "_b", F.expr(
