@@ -7,9 +7,9 @@
    corpus: that bounds its broadcast (the size is checked all the same).
 2. *Fingerprint.* The distinct terms of a text that are in the lexicon are hashed as a whole
    and within randomised subsets of the lexicon (the exclusive or of the terms' hashes: what
-   hashing them in sorted order gives, a value of the set alone, without the sort): at each of four rates (1/8 to 1/512)
-   a hash of the term picks one of up to 32 disjoint subsets, or none. A text of few
-   terms is told by the large subsets, a long one by the small ones.
+   hashing them in sorted order gives, a value of the set alone, without the sort): at each of
+   four rates (1/8 to 1/512) bits of the term pick one of up to 32 disjoint subsets, or none.
+   A text of few terms is told by the large subsets, a long one by the small ones.
 3. *Likeness* of two fingerprints: 1 if the whole hashes agree; otherwise the largest share,
    over the rates, of agreeing subsets among those that hold a term of either text (rates
    with fewer than ``LEAST`` such subsets are counted together).
