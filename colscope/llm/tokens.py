@@ -4,13 +4,16 @@ A byte-level BPE with the usual split pattern (`` ?letters| ?digits| ?marks|spac
 always starts a new pre-token at a space that follows a non-space character. So a text
 is the join of the parts before such spaces, and its ids are the join of the parts' ids.
 Each task keeps the ids of the parts it has met (bounded by ``CACHE_CHARS``); the
-tokenizers library encodes only the others, in one batch per block of texts. Every id
-comes from the library, and ``tests/llm`` compares with the library's ids of whole texts.
+tokenizers library encodes only the others, in one batch per block of texts. A text that
+holds the literal of an added token (``<|endoftext|>``) has that token's id there, and no
+pre-token crosses it: such a text is encoded as a whole. Every id comes from the library as
+it is loaded, and ``tests/llm`` compares with the library's ids of whole texts.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 
@@ -28,7 +31,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.parts: dict[str, bytes] = {}      # part after a space -> ids of " " + part; no part ends in white space
         self.marks: dict[str, bytes] = {}       # marks that end a part -> their ids
         self.seen = bytearray(_SEEN_MASK + 1)   # by hash: met before
@@ -56,6 +60,15 @@ class Encoder:
             self.chars += len(p) + 40
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if self.added and self.added.search(t)]
+        if not whole:
+            return self._joined(texts)
+        ids = dict(zip(whole, self._encode([texts[i] for i in whole])))
+        rest = iter(self._joined([t for i, t in enumerate(texts) if i not in ids]))
+        return [ids[i] if i in ids else next(rest) for i in range(len(texts))]
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without an added token's literal, so that none of their parts has one."""
         self._make_room()
         parts, split, heads, new = self.parts, [], [], set()
         for t in texts:
