@@ -11,15 +11,18 @@ from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscope.functions.text import truncate_text
-from colscope.operators.guard import EXECUTION_ERROR, validate
+from colscope.functions.text import py_strip, truncate_text
+from colscope.operators.guard import EXECUTION_ERROR, audit, validate
+from colscope.plans.sizing import broadcast_if_small
+from colscope.session import ensure_checkpoint_dir
 
 ERROR_LIMIT = 300
 PREVIEW_ROWS = 20
 CELL_LIMIT = 80
+DRY_RUN_BATCH = 2000     # texts that the driver holds at a time
 
 
 @dataclass
@@ -38,8 +41,10 @@ def dry_run(spark: SparkSession, sql: str) -> Outcome:
     """Validate, then parse and analyse without running (``spark.sql`` on a
     query is lazy but analysed eagerly; errors surface here)."""
     v = validate(spark, sql)
-    if not v["is_valid"]:
-        return Outcome(v)
+    return _analysed(spark, v) if v["is_valid"] else Outcome(v)
+
+
+def _analysed(spark: SparkSession, v: dict) -> Outcome:
     try:
         df = spark.sql(v["sql"])
     except PySparkException as e:  # parse or analysis error
@@ -47,6 +52,74 @@ def dry_run(spark: SparkSession, sql: str) -> Outcome:
     return Outcome(v, df)
 
 
+# Texts in which a value may decide more than the forms below allow for: backslashes, variables,
+# hints, options, named arguments, constants on the left of a comparison, comments within
+# comments. They are dry-run one by one.
+_ODD = (r"(?i)\\|\u0001|\$\{|/\*\+|/\*(?:(?!\*/)[\s\S])*/\*|\bWITH\s*\(|=>|->|"
+        r"\bTRUE\b|\bFALSE\b|\bNULL\b|\bCURRENT_|\bLOCALTIME|USER\b")
+_STRING = r"'[^']*+(?:''[^']*+)*+'"
+_QUOTED = _STRING + r"""|"[^"]*+(?:""[^"]*+)*+"|`[^`]*+(?:``[^`]*+)*+`"""
+_COMMENT = r"--[^\r\n]*+|/\*(?:(?!\*/)[\s\S])*+\*/"
+_INT = r"[1-9][0-9]{0,8}"
+# an int that a column is compared with
+_COMPARED = r"([A-Za-z_]\w*+\s*+(?:<=|>=|<>|!=|==|[=<>])\s*+)" + _INT + r"(?=[\s);,]|$)"
+# in texts without BY: an int that is an item of a select list, also added to a column, or an
+# int or string that is such an item with a name of its own
+_ITEM = (r"(\bSELECT\s+(?:[A-Za-z_]\w*+\s*+\+\s*+)?)" + _INT + r"(?=\s*(?:;|$)|\s+(?:AS|FROM)\b)"
+         r"|(\bSELECT\s+)" + _STRING + r"(?=\s+AS\b)|(,\s*+)" + _INT + r"(?=\s+AS\b)")
+# a string where only a name may stand: never accepted, whatever it holds
+_MISPLACED = r"(\bAS\s+)\"[^\"]*+(?:\"\"[^\"]*+)*+\""
+
+
+def _form(sql: Column, quoted_names: bool = False) -> Column:
+    """A text's own form: the analyser accepts all texts of one form or none of them.
+
+    Comments and the values that the analyser does not look at are blanked. It does compare
+    the expressions of a text (GROUP BY) and derive decimal widths and names from numbers, so
+    the form keeps the length of every number and which of them are equal. ``quoted_names``:
+    text in double quotes is a name."""
+    misplaced = r"(\b\B)" if quoted_names else _MISPLACED
+    text = F.regexp_replace(sql, f"({_QUOTED})|{_COMMENT}", "$1 ")
+    by = F.regexp_replace(text, f"(?i){misplaced}|{_COMPARED}|({_QUOTED})", "$1$2$3\u0001")
+    free = F.regexp_replace(text, f"(?i){misplaced}|{_COMPARED}|{_ITEM}|({_QUOTED})", "$1$2$3$4$5$6\u0001")
+    numbers = F.transform(F.regexp_extract_all(text, F.lit("([0-9]+)"), F.lit(1)), lambda x: F.regexp_replace(x, "^0+(?=.)", ""))
+    equal = F.transform(numbers, lambda x: F.concat_ws(":", F.length(x).cast("string"), F.array_position(numbers, x).cast("string")))
+    form = F.concat_ws("\n", F.when(text.rlike(r"(?i)\bBY\b"), by).otherwise(free), F.array_join(equal, " "))
+    return F.when(sql.rlike(_ODD), F.concat(F.lit("\u0001"), sql)).otherwise(form)
+
+
+def dry_run_log(log: DataFrame, sql_col: str = "sql") -> DataFrame:
+    """G5 for a whole SQL log: adds ``is_valid, error_type`` to every row.
+
+    The rules (G4) are applied in Spark. Of the texts that they accept, one for each distinct
+    form is analysed on the driver, ``DRY_RUN_BATCH`` at a time, and its state joined back."""
+    spark = log.sparkSession
+    ensure_checkpoint_dir(spark)
+    names = all(spark.conf.get(c) == "true" for c in ("spark.sql.ansi.enabled", "spark.sql.ansi.doubleQuotedIdentifiers"))
+    ruled = audit(log, sql_col).drop("rule", "statement_type").withColumn(
+        "_form", F.when(F.col("is_valid"), _form(py_strip(F.col(sql_col)), names)))
+    forms = ruled.filter("is_valid").groupBy(F.col("_form")).agg(F.min(py_strip(F.col(sql_col))).alias("sql"))
+    schema, states, batch, n = "_form string, _ok boolean", [], [], 0
+
+    def keep() -> None:
+        states.append(spark.createDataFrame(batch, schema).checkpoint())
+        batch.clear()
+
+    for n, r in enumerate(forms.toLocalIterator(), 1):
+        batch.append((r["_form"], _analysed(spark, {"is_valid": True, "sql": r["sql"]}).df is not None))
+        if len(batch) == DRY_RUN_BATCH:
+            keep()
+    if batch or not states:
+        keep()
+    state = states[0]
+    for s in states[1:]:
+        state = state.union(s)
+    refused = F.col("is_valid") & ~F.coalesce("_ok", F.lit(False))
+    return (ruled.join(broadcast_if_small(state, n, 50_000, 1000), "_form", "left")
+            .withColumn("error_type", F.when(refused, F.lit(EXECUTION_ERROR)).otherwise(F.col("error_type")))
+            .withColumn("is_valid", F.col("is_valid") & ~refused).drop("_form", "_ok"))
+
+
 def run_sql(spark: SparkSession, sql: str) -> Outcome:
     """Guarded execution. Only texts whose statements are all SELECT reach
     Spark, so no command can run; the result stays a lazy DataFrame."""

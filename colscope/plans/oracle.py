@@ -567,6 +567,10 @@ def oracle_queries() -> dict[str, str]:
         f"SELECT query_id % 22 AS shape, min(query_id) AS query_id, query_id % 22 IN ({', '.join(map(str, dry))}) AS is_valid, "
         f"CASE WHEN query_id % 22 IN ({', '.join(map(str, DRY_RUN_ERRORS))}) THEN 'execution_error' ELSE {by_shape_sql(1)} END AS error_type "
         f"FROM {SQL_LOG} GROUP BY ALL")
+    out["dry_run_log"] = (
+        f"SELECT query_id, query_id % 22 IN ({', '.join(map(str, dry))}) AS is_valid, "
+        f"CASE WHEN query_id % 22 IN ({', '.join(map(str, DRY_RUN_ERRORS))}) THEN 'execution_error' ELSE {by_shape_sql(1)} END AS error_type "
+        f"FROM {SQL_LOG}")
     amount = "sum(CAST(l_extendedprice AS DECIMAL(18, 2)))"
     out["reconcile_claims"] = (
         f"SELECT level, l_returnflag, CAST(actual + wrong AS DOUBLE) AS claimed, CAST(actual AS DOUBLE) AS actual, "

@@ -526,17 +526,17 @@ def q_preview(spark, sf_dir):
     return execute.preview(_run(spark, sf_dir, "preview"), 20, 80)
 
 
-def q_dry_run_audit(spark, sf_dir):
-    """G5 for the first text of every shape of the SQL log: is it accepted, and if not, why."""
+def q_dry_run_log(spark, sf_dir):
+    """G5 for every text of the SQL log: is it accepted, and if not, why."""
     register_views(fx.all_tables(spark, sf_dir))
-    shape = F.pmod("query_id", F.lit(22))
-    firsts = (fx.sql_log(spark, sf_dir).groupBy(shape.alias("shape")).agg(F.min(F.struct("query_id", "sql")).alias("q"))
-              .select("shape", "q.query_id", "q.sql").collect())       # 22 rows
-    out = []
-    for r in firsts:
-        v = execute.dry_run(spark, r["sql"]).verdict
-        out.append((r["shape"], r["query_id"], v["is_valid"], v["error_type"]))
-    return spark.createDataFrame(out, "shape bigint, query_id bigint, is_valid boolean, error_type string")
+    return execute.dry_run_log(fx.sql_log(spark, sf_dir)).select("query_id", "is_valid", "error_type")
+
+
+def q_dry_run_audit(spark, sf_dir):
+    """The first text of every shape of the SQL log, out of the dry run of the whole log."""
+    first = F.min(F.struct("query_id", "is_valid", "error_type")).alias("q")
+    return (q_dry_run_log(spark, sf_dir).groupBy(F.pmod("query_id", F.lit(22)).alias("shape")).agg(first)
+            .select("shape", "q.*"))
 
 
 def q_reconcile_claims(spark, sf_dir):
@@ -591,6 +591,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "schema_text_database": q_schema_text_database,
     "score_fusion_table_filter": q_score_fusion_table_filter,
     "dry_run_audit": q_dry_run_audit,
+    "dry_run_log": q_dry_run_log,
     "reconcile_claims": q_reconcile_claims,
     "catalog_overview": q_catalog_overview,
     "table_detail": q_table_detail,
