@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from colscope.llm import dac, decontaminate, imatch, language, neardup, packing, quality, secrets, shards, urls
+from colscope.llm import (dac, decontaminate, filter_audit, imatch, language, neardup, packing, quality, secrets, shards, simhash,
+                          urls, whitening)
 from colscope.llm.tables import shared_path, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -101,6 +102,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("spans", line), ",").alias("spans"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint of every document and the component of its links at two bits or fewer."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every usable embedding on the 32 leading components of all of them."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), id_col="vec_id", vector_col="embedding", components=32)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps of all 120 orders of the five filters, per language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -112,6 +129,10 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op11_simhash": op11_simhash,
+    "op12_whitening": op12_whitening,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE: dict[str, str] = {"op6_shards": shards.ORACLE, "op8_url_filter": urls.oracle()}
+ORACLE: dict[str, str] = {"op6_shards": shards.ORACLE, "op8_url_filter": urls.oracle(),
+                          "op13_filter_audit": filter_audit.ORACLE}
