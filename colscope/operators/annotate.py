@@ -17,24 +17,19 @@ TABLE_REPLY = "business_name string, description string, purpose string"
 
 
 def column_requests(tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """A1 per column: the facts a model needs, as one text block per column."""
+    """A1 per column: what the profile knows of it, as one JSON object: the ``item`` (table and
+    column), its ``values`` (type, examples, number of distinct ones: -1 if not known), its
+    ``keys`` and the ``notes`` left by others (column, then table; empty if there is none)."""
     t = tables.select("database", "table", F.col("comment").alias("table_comment"))
-    c = columns.join(t, ["database", "table"], "left")
-    samples = F.to_json(F.slice(F.coalesce("sample_values", F.array().cast("array<string>")), 1, 10))
-    body = F.concat_ws(
-        "\n",
-        F.concat(F.lit("table: "), F.col("table")),
-        F.concat(F.lit("table comment: "), F.coalesce("table_comment", F.lit("none"))),
-        F.concat(F.lit("column: "), F.col("column")),
-        F.concat(F.lit("type: "), F.col("data_type")),
-        F.concat(F.lit("nullable: "), F.col("nullable").cast("string")),
-        F.concat(F.lit("primary key: "), F.col("is_primary_key").cast("string")),
-        F.concat(F.lit("foreign key: "), F.coalesce("foreign_key_ref", F.lit("none"))),
-        F.concat(F.lit("comment: "), F.coalesce("comment", F.lit("none"))),
-        F.concat(F.lit("distinct values: "), F.coalesce(F.col("unique_count").cast("string"), F.lit("unknown"))),
-        F.concat(F.lit("samples: "), samples),
-    )
-    return c.select("database", "table", "column", body.alias("request"))
+    none = F.lit("")
+    body = F.to_json(F.struct(
+        F.concat_ws(".", "table", "column").alias("item"),
+        F.struct(F.col("data_type").alias("type"), F.col("nullable").alias("optional"),
+                 F.slice(F.coalesce("sample_values", F.array().cast("array<string>")), 1, 10).alias("examples"),
+                 F.coalesce("unique_count", F.lit(-1)).alias("distinct")).alias("values"),
+        F.struct(F.col("is_primary_key").alias("primary"), F.coalesce("foreign_key_ref", none).alias("references")).alias("keys"),
+        F.array(F.coalesce("comment", none), F.coalesce("table_comment", none)).alias("notes")))
+    return columns.join(t, ["database", "table"], "left").select("database", "table", "column", body.alias("request"))
 
 
 def table_requests(tables: DataFrame, columns: DataFrame) -> DataFrame:
@@ -101,7 +96,7 @@ def merge_table_replies(tables: DataFrame, parsed: DataFrame, strict: bool = Tru
                        F.col("description").alias("_desc")))
     out = tables.join(r, ["database", "table"], "left")
     if strict:
-        bad = out.where(F.col("state").isNull() | (F.col("state") == "not_object")).select("table").limit(5).collect()
+        bad = out.where(F.col("state").isNull() | (F.col("state") == "not_object")).select("table").orderBy("table").limit(5).collect()
         if bad:
             raise ValueError(f"table annotation failed for: {[b['table'] for b in bad]}")
     hit = F.col("state").isNotNull() & (F.col("state") != "not_object")

@@ -144,15 +144,15 @@ def schema_text(tables: DataFrame, columns: DataFrame, variant: str = "full") ->
 
 
 def schema_summary(tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """C8 summary: one line per table, ``- t (bn): c1(bn1), c2(bn2)``."""
-    item = F.concat(F.col("column"), F.lit("("), F.coalesce("business_name", F.lit("")), F.lit(")"))
+    """C8 summary: a row per table with its label and, in position order, its columns, each
+    followed by its label after ``=`` where it has one."""
+    item = F.concat_ws("=", "column", F.when(_given("business_name"), F.col("business_name")))
     cols = (columns.groupBy("database", "table")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", item.alias("l")))),
-                                          lambda s: s["l"]), ", ").alias("cols")))
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("position", item.alias("l")))), lambda s: s["l"]).alias("cols")))
     return (tables.join(cols, ["database", "table"], "left")
-            .select("database", "table",
-                    F.concat(F.lit("- "), F.col("table"), F.lit(" ("), F.coalesce("business_name", F.lit("")),
-                             F.lit("): "), F.coalesce("cols", F.lit(""))).alias("line")))
+            .select("database", "table", F.coalesce("business_name", F.lit(UNKNOWN)).alias("label"),
+                    F.coalesce(F.size("cols"), F.lit(0)).cast("bigint").alias("column_count"),
+                    F.array_join(F.coalesce("cols", F.array().cast("array<string>")), " | ").alias("columns")))
 
 
 def database_text(per_table: DataFrame, text_col: str = "text", sep: str = "\n\n") -> DataFrame:

@@ -26,7 +26,7 @@ def add_examples(store: DataFrame, batch: DataFrame) -> DataFrame:
     batch = _numbered(batch).where(F.col("_nr") == 1).drop("_nr")
     # ids of the batch already stored: the store streams past the broadcast
     # batch ids (size checked); the anti-join then runs on two small sides
-    ids_b, _, _ = checked_broadcast(batch.select("log_id"), 1_000_000, 96)
+    ids_b, _, _ = checked_broadcast(batch.select("log_id"), 1_000_000)
     taken = store.select("log_id").join(ids_b, "log_id", "left_semi")
     new = batch.join(taken, "log_id", "left_anti")
     for c in cols:
@@ -61,7 +61,7 @@ def delete_examples(store: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFr
     req = ids.select("log_id").distinct()
     # the id batch is the small side: broadcast behind a size check, the store
     # is only streamed past it
-    req_b, _, _ = checked_broadcast(req, 1_000_000, 96)
+    req_b, _, _ = checked_broadcast(req, 1_000_000)
     found = (store.select("log_id").join(req_b, "log_id", "left_semi").distinct()
              .withColumn("found", F.lit(True)))
     report = req.join(found, "log_id", "left").select("log_id", F.coalesce("found", F.lit(False)).alias("found"))
@@ -90,7 +90,7 @@ def resolve_prefixes(store: DataFrame, prefixes: DataFrame) -> DataFrame:
     # the request batch is broadcast (size checked), so a prefix that matches a
     # third of all ids is never gathered by one reducer; the count per prefix
     # is then folded map-side by the partial aggregate
-    req_b, _, _ = checked_broadcast(req.withColumn("_len", F.char_length("prefix")), 1_000_000, 128)
+    req_b, _, _ = checked_broadcast(req.withColumn("_len", F.char_length("prefix")), 1_000_000)
     hits = (ids.join(req_b, ["prefix", "_len"])
             .groupBy("prefix").agg(F.count(F.lit(1)).alias("matches"), F.min("log_id").alias("_id")))
     out = req.join(hits, "prefix", "left").withColumn("matches", F.coalesce("matches", F.lit(0)).cast("bigint"))

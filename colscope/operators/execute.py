@@ -7,6 +7,7 @@ most ``max_rows`` rows (``limit``), and the row count is a separate aggregate.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -54,37 +55,72 @@ def _analysed(spark: SparkSession, v: dict) -> Outcome:
 
 # Texts in which a value may decide more than the forms below allow for: backslashes, variables,
 # hints, options, named arguments, constants on the left of a comparison, comments within
-# comments. They are dry-run one by one.
-_ODD = (r"(?i)\\|\u0001|\$\{|/\*\+|/\*(?:(?!\*/)[\s\S])*/\*|\bWITH\s*\(|=>|->|"
-        r"\bTRUE\b|\bFALSE\b|\bNULL\b|\bCURRENT_|\bLOCALTIME|USER\b")
+# comments, columns named after values. They are dry-run one by one.
+_ODD = (r"(?i)\\|[\u0001\u0002]|\$\{|/\*\+|/\*(?:(?!\*/)[\s\S])*/\*|\bWITH\s*\(|=>|->|"
+        r"\bTRUE\b|\bFALSE\b|\bNULL\b|\bCURRENT_|\bLOCALTIME|USER\b|PIVOT\b")
 _STRING = r"'[^']*+(?:''[^']*+)*+'"
 _QUOTED = _STRING + r"""|"[^"]*+(?:""[^"]*+)*+"|`[^`]*+(?:``[^`]*+)*+`"""
 _COMMENT = r"--[^\r\n]*+|/\*(?:(?!\*/)[\s\S])*+\*/"
 _INT = r"[1-9][0-9]{0,8}"
-# an int that a column is compared with
-_COMPARED = r"([A-Za-z_]\w*+\s*+(?:<=|>=|<>|!=|==|[=<>])\s*+)" + _INT + r"(?=[\s);,]|$)"
+_END = r"(?=[\s);,]|$)"
+# what a value may be compared with: a name, plain or in back quotes
+_OPERATOR = r"([A-Za-z_]\w*+\s*+(?:<=|>=|<>|!=|==|[=<>])\s*+|(?<=`)\s*+(?:<=|>=|<>|!=|==|[=<>])\s*+)"
+
+
+def _values(value: str) -> str:
+    """Values of one kind that a name is compared with: one, a range, or a list. Two groups are
+    kept: what stands before the value and, of a list, its closing bracket."""
+    return (rf"{_OPERATOR}{value}{_END}|(\bBETWEEN\s++){value}\s++AND\s++{value}{_END}"
+            rf"|(\bIN\s*+\(\s*+){value}(?:\s*+,\s*+{value})*+(?=\s*+\))")
+
+
+# one row may be a limit that a correlated subquery needs; other counts are alike
+_LIMIT = rf"(\b(?:LIMIT|OFFSET)\s++)(?:[2-9]|[1-9][0-9]{{1,8}}){_END}"
+_COMPARED = r"([A-Za-z_]\w*+\s*+(?:<=|>=|<>|!=|==|[=<>])\s*+)" + _INT + _END
 # in texts without BY: an int that is an item of a select list, also added to a column, or an
 # int or string that is such an item with a name of its own
 _ITEM = (r"(\bSELECT\s+(?:[A-Za-z_]\w*+\s*+\+\s*+)?)" + _INT + r"(?=\s*(?:;|$)|\s+(?:AS|FROM)\b)"
          r"|(\bSELECT\s+)" + _STRING + r"(?=\s+AS\b)|(,\s*+)" + _INT + r"(?=\s+AS\b)")
 # a string where only a name may stand: never accepted, whatever it holds
 _MISPLACED = r"(\bAS\s+)\"[^\"]*+(?:\"\"[^\"]*+)*+\""
+# a quoted name that may be one the analyser makes up from an expression, as `(a = 5)`
+_MADE_NAME = r"""`(?![A-Za-z_]\w*+`)[^`]*+`|"(?![A-Za-z_]\w*+")[^"]*+\""""
+
+
+def _blanked(text: Column, mark: str, *patterns: str) -> Column:
+    """``text`` with ``mark`` for what the patterns match beyond their groups, and after every quoted
+    text, which is passed over as a whole."""
+    pattern = "|".join([*patterns, f"({_QUOTED})"])
+    groups = len(re.findall(r"(?<!\\)\((?!\?)", pattern))
+    return F.regexp_replace(text, f"(?i){pattern}", "".join(f"${i}" for i in range(1, groups + 1)) + mark)
+
+
+def _equal(text: Column, pattern: str) -> Column:
+    """Lengths of all numbers that ``pattern`` finds and which of its matches are equal."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda x: F.regexp_replace(x, "^0+(?=.)", ""))
+    length = lambda x: F.when(x.startswith("'"), "s").otherwise(F.length(x).cast("string"))
+    return F.array_join(F.transform(found, lambda x: F.concat_ws(":", length(x), F.array_position(found, x).cast("string"))), " ")
 
 
 def _form(sql: Column, quoted_names: bool = False) -> Column:
     """A text's own form: the analyser accepts all texts of one form or none of them.
 
-    Comments and the values that the analyser does not look at are blanked. It does compare
-    the expressions of a text (GROUP BY) and derive decimal widths and names from numbers, so
-    the form keeps the length of every number and which of them are equal. ``quoted_names``:
-    text in double quotes is a name."""
+    Comments and the values that the analyser does not look at are blanked: ints and strings (each
+    kind by a mark of its own) that a name is compared with, also as a range or a list of any
+    length, and row limits. It does compare the expressions of a text (GROUP BY, ORDER BY) and
+    derive decimal widths and names from numbers, so the form keeps, for texts with BY, which
+    values are equal, and the length of every number that is left. A text that uses a made-up name
+    keeps all its strings. ``quoted_names``: text in double quotes is a name."""
     misplaced = r"(\b\B)" if quoted_names else _MISPLACED
     text = F.regexp_replace(sql, f"({_QUOTED})|{_COMMENT}", "$1 ")
-    by = F.regexp_replace(text, f"(?i){misplaced}|{_COMPARED}|({_QUOTED})", "$1$2$3\u0001")
-    free = F.regexp_replace(text, f"(?i){misplaced}|{_COMPARED}|{_ITEM}|({_QUOTED})", "$1$2$3$4$5$6\u0001")
-    numbers = F.transform(F.regexp_extract_all(text, F.lit("([0-9]+)"), F.lit(1)), lambda x: F.regexp_replace(x, "^0+(?=.)", ""))
-    equal = F.transform(numbers, lambda x: F.concat_ws(":", F.length(x).cast("string"), F.array_position(numbers, x).cast("string")))
-    form = F.concat_ws("\n", F.when(text.rlike(r"(?i)\bBY\b"), by).otherwise(free), F.array_join(equal, " "))
+    by, made = text.rlike(r"(?i)\bBY\b"), text.rlike(_MADE_NAME)
+    ints, strings = _values(_INT), _values(_STRING + "\u0001?")
+    with_by = _blanked(_blanked(text, "\u0001", misplaced, ints, _LIMIT), "\u0002", strings)
+    free = _blanked(_blanked(text, "\u0001", misplaced, ints, _LIMIT, _ITEM), "\u0002", strings)
+    kept = F.when(by, _blanked(text, "\u0001", misplaced, _COMPARED)).otherwise(_blanked(text, "\u0001", misplaced, _COMPARED, _ITEM))
+    form = (F.when(made, F.concat_ws("\n", kept, _equal(text, "[0-9]+")))
+            .when(by, F.concat_ws("\n", with_by, _equal(text, f"{_STRING}|[0-9]+")))
+            .otherwise(F.concat_ws("\n", free, _equal(free, "[0-9]+"))))
     return F.when(sql.rlike(_ODD), F.concat(F.lit("\u0001"), sql)).otherwise(form)
 
 
@@ -146,30 +182,25 @@ def result_note(df: DataFrame, max_rows: int = PREVIEW_ROWS) -> str:
 def reconcile(df: DataFrame, keys: list[str], measure: str, tolerance: float | Decimal = 0) -> DataFrame:
     """Do the parts add up to the totals?
 
-    ``rollup(keys)`` gives the sum at every level; each level-i total is
-    compared with the sum of its level-(i+1) children. Parents and children are
-    unioned and grouped on the first i keys (null keys group together), so no
-    join is needed. Returns one row per parent:
+    The rows are summed once to the finest level, all coarser levels come from that (``rollup``),
+    and every sum then counts twice: as the total of its own group and as a part of the group
+    one level up. One aggregate on (level, leading keys) brings both together, so the detail rows
+    are read once and nothing is joined. Null keys group together. Returns one row per parent:
     ``level, <keys>, total, parts_sum, diff, ok``."""
-    gid = "_gid"
-    r = df.rollup(*keys).agg(F.sum(measure).alias("_total"), F.grouping_id().alias(gid))
     n = len(keys)
-    out = None
-    for lvl in range(n):
-        # rows grouped by exactly the first `lvl` keys, and by the first lvl+1
-        parent_gid = (1 << (n - lvl)) - 1
-        child_gid = (1 << (n - lvl - 1)) - 1
-        none = F.lit(None).cast(r.schema["_total"].dataType)
-        parents = r.where(F.col(gid) == parent_gid).select(*keys[:lvl], F.col("_total").alias("_t"), none.alias("_p"))
-        kids = r.where(F.col(gid) == child_gid).select(*keys[:lvl], none.alias("_t"), F.col("_total").alias("_p"))
-        j = (parents.unionByName(kids).groupBy(*keys[:lvl])
-             .agg(F.sum("_t").alias("total"), F.sum("_p").alias("parts_sum"), F.count("_t").alias("_np"))
-             .where(F.col("_np") > 0))
-        j = j.select(F.lit(lvl).alias("level"),
-                     *[F.col(k) if i < lvl else F.lit(None).cast(df.schema[k].dataType).alias(k)
-                       for i, k in enumerate(keys)], "total", "parts_sum")
-        out = j if out is None else out.unionByName(j)
-    diff = F.col("total") - F.coalesce(F.col("parts_sum"), F.lit(0))
+    finest = df.groupBy(*keys).agg(F.sum(measure).alias("_sum"))
+    sums = finest.rollup(*keys).agg(F.sum("_sum").alias("_sum"), (n - F.bit_count(F.grouping_id())).cast("int").alias("_level"))
+    none = F.lit(None).cast(sums.schema["_sum"].dataType)
+
+    def role(level: Column, total: Column, part: Column) -> Column:
+        masked = [F.when(level > i, F.col(k)).alias(k) for i, k in enumerate(keys)]
+        return F.struct(level.alias("level"), *masked, total.alias("_t"), part.alias("_p"))
+
+    both = sums.select(F.explode(F.array(role(F.col("_level"), F.col("_sum"), none),
+                                         role(F.col("_level") - 1, none, F.col("_sum")))).alias("_r")).select("_r.*")
+    out = (both.where((F.col("level") >= 0) & (F.col("level") < n)).groupBy("level", *keys)
+           .agg(F.sum("_t").alias("total"), F.sum("_p").alias("parts_sum")))
+    diff = F.coalesce(F.col("total"), F.lit(0)) - F.coalesce(F.col("parts_sum"), F.lit(0))
     return out.withColumn("diff", diff).withColumn("ok", F.abs(F.col("diff")) <= F.lit(tolerance))
 
 
@@ -183,7 +214,8 @@ def reconcile_claims(df: DataFrame, keys: list[str], measure: str, claims: DataF
     claim whose group has no rows gets a null ``actual`` and ``ok`` false."""
     gid = "_gid"
     n = len(keys)
-    r = (df.rollup(*keys).agg(F.sum(measure).alias("actual"), F.grouping_id().alias(gid))
+    finest = df.groupBy(*keys).agg(F.sum(measure).alias("_sum"))
+    r = (finest.rollup(*keys).agg(F.sum("_sum").alias("actual"), F.grouping_id().alias(gid))
          .withColumn("level", F.lit(n) - F.bit_count(F.col(gid)).cast("int")))
     # only prefix levels (first i keys grouped) are meaningful claims
     prefix_gids = [(1 << (n - i)) - 1 for i in range(n + 1)]

@@ -10,14 +10,14 @@ Work layout (what Spark runs):
   (128-bit value fingerprint) and all tables are unioned, so one exchange
   serves every column of every table. Partial aggregation runs map-side, so a
   hot value (one value in a third of the rows) is folded before the shuffle.
-* **samples** - ``orderBy(keys).limit(10*n)`` is a TakeOrderedAndProject: a
-  bounded heap per partition, 100 rows reach the final stage.
+* **samples** - the first rows come by a filter found column by column
+  (:mod:`colscope.operators.heads`); only the rows that pass it are sorted.
 * **enum values** - a second scan of only the columns found to have at most
   ``enum_limit`` values; the partial aggregate keeps at most that many rows per
   task and column.
-* **inclusion (FK) candidates** - pairs pruned by family, distinct count and
-  min/max on the small stats table, then one semi-join on
-  ``(key column, h1, h2)``.
+* **inclusion (FK) candidates and composite keys** -
+  :mod:`colscope.operators.keys`: pruned on the stats and on value sketches that the same
+  job leaves, then one semi-join on ``(key column, h1, h2)``.
 
 Per-column results are metadata (one row per column); they are collected to
 the driver between phases, never data rows.
@@ -29,16 +29,23 @@ import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors.exceptions.captured import CapturedException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colscope.functions.text import _SEED2 as SEED2
 from colscope.functions.text import norm_key
+from colscope.operators.heads import head_filters
+from colscope.operators.keys import SKETCH_SLOTS, composite_keys, inclusion_candidates, value_hash
 from colscope.plans.sizing import broadcast_if_small, dealt
 from colscope.schemas import SCHEMA_COLUMNS
+from colscope.sources.store import kept
 from colscope.sources.tables import readable_tables, table_columns_meta
 
+APPROX_RSD = 0.02       # relative standard error of approximate distinct counts
+
 STATS_SCHEMA = T.StructType([
     T.StructField("col_id", T.IntegerType(), False),
     T.StructField("row_count", T.LongType(), True),
@@ -166,7 +173,7 @@ def column_stats(tables: Mapping[str, DataFrame], meta: Sequence[tuple], approx:
                 mn, mx = F.col(f"__mn{pos}"), F.col(f"__mx{pos}")
             apx = F.lit(None)
             if approx:
-                aggs.append(F.approx_count_distinct(norm_key(c, dt)).alias(f"__apx{pos}"))
+                aggs.append(F.approx_count_distinct(norm_key(c, dt), rsd=APPROX_RSD).alias(f"__apx{pos}"))
                 apx = F.col(f"__apx{pos}")
             structs.append(F.struct(
                 F.lit(col_id).alias("col_id"), F.col("__n").alias("row_count"),
@@ -205,13 +212,15 @@ def distinct_counts(tables: Mapping[str, DataFrame], meta: Sequence[tuple]) -> D
             .groupBy("col_id").agg(F.count(F.lit(1)).alias("distinct_count")))
 
 
-def exact_column_stats(tables: Mapping[str, DataFrame], meta: Sequence[tuple]) -> DataFrame:
-    """Row count, nulls, exact distinct count and min/max order codes of every
+def exact_column_sketches(tables: Mapping[str, DataFrame], meta: Sequence[tuple]) -> DataFrame:
+    """Row count, nulls, exact distinct count, min/max order codes and a value sketch of every
     column of every table in ONE job: each table is unpivoted to
     ``(col_id, h1, h2, code)`` with nulls kept (their group counts the nulls),
     all tables are unioned into one scan stage, and two hash aggregations
     (map-side partial first) give
-    ``(col_id, row_count, non_null, distinct_count, min_code, max_code)``.
+    ``(col_id, slot, freq, distinct_count, low, min_code, max_code)``: at most
+    ``SKETCH_SLOTS`` slots of value hashes per column, each with the least hash in it
+    (:mod:`colscope.operators.keys`), and a slot of nulls.
     """
     parts = []
     for t, cols in _meta_by_table(meta).items():
@@ -225,67 +234,38 @@ def exact_column_stats(tables: Mapping[str, DataFrame], meta: Sequence[tuple]) -
             parts.append(long_form(df, structs))
     groups = (_union_all(parts).groupBy("col_id", "h1", "h2")
               .agg(F.count(F.lit(1)).alias("freq"), F.min("code").alias("code")))
-    return groups.groupBy("col_id").agg(
-        F.sum("freq").alias("row_count"),
-        F.coalesce(F.sum(F.when(F.col("h1").isNotNull(), F.col("freq"))), F.lit(0)).alias("non_null"),
-        F.count("h1").alias("distinct_count"),
+    slot = F.when(F.col("h1").isNotNull(), value_hash().bitwiseAND(SKETCH_SLOTS - 1))
+    return groups.groupBy("col_id", slot.alias("slot")).agg(
+        F.sum("freq").alias("freq"), F.count("h1").alias("distinct_count"), F.min(value_hash()).alias("low"),
         F.min("code").alias("min_code"), F.max("code").alias("max_code"))
 
 
-def _top_unique_keys(tables: Mapping[str, DataFrame], names: Sequence[str], n: int) -> dict[str, list[str]]:
-    """For each table, the first ``n`` values (as text) of its first column,
-    which is known to be unique and non-null. One job for all tables: each
-    part reads that column only (a TakeOrderedAndProject per table)."""
-    parts = []
-    for t in names:
-        key = tables[t].schema.fields[0].name
-        parts.append(tables[t].select(F.col(f"`{key}`").alias("_k")).orderBy(F.col("_k").asc()).limit(n)
-                     .select(F.lit(t).alias("_t"), F.col("_k").cast("string").alias("_v")))
-    out: dict[str, list[str]] = {t: [] for t in names}
-    if parts:
-        for r in _union_all(parts).collect():
-            out[r["_t"]].append(r["_v"])
-    return out
-
-
-def _head_by_unique_key(df: DataFrame, values: list[str]) -> DataFrame:
-    """Rows of the given first-column values, fetched with an ``IN`` filter of
-    typed literals that Parquet pushes down (row groups outside the values'
-    min/max are skipped)."""
-    f = df.schema.fields[0]
-    if not values:
-        return df.limit(0)
-    typ = f.dataType.simpleString()
-    lits = ", ".join("CAST('" + v.replace("\\", "\\\\").replace("'", "\\'") + f"' AS {typ})" for v in values)
-    return df.where(f"{_q(f.name)} IN ({lits})")
+def stats_of_sketches(sketches: DataFrame) -> DataFrame:
+    """``(col_id, row_count, non_null, distinct_count, min_code, max_code)`` of every column."""
+    return sketches.groupBy("col_id").agg(
+        F.sum("freq").alias("row_count"),
+        F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("freq"))), F.lit(0)).alias("non_null"),
+        F.sum("distinct_count").alias("distinct_count"),
+        F.min("min_code").alias("min_code"), F.max("max_code").alias("max_code"))
 
 
 def sample_values(tables: Mapping[str, DataFrame], meta: Sequence[tuple], limit: int = 10,
-                  order_by: Mapping[str, Sequence[str]] | None = None,
-                  unique_first: set[str] | None = None) -> DataFrame:
+                  order_by: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """``(col_id, rank, value)``: per column the first ``limit`` distinct non-null
     canonical values, in row order of the first ``10*limit`` rows by the table's
-    order (default: all orderable columns ascending, nulls first).
-
-    For tables in ``unique_first`` (first column is a candidate key: unique,
-    no nulls) that order equals the order of the first column alone, so the
-    head is taken by key without reading every column of every row."""
+    order (default: all orderable columns ascending, nulls first). The rows come by the
+    filters of :mod:`colscope.operators.heads`: no table is sorted."""
     parts = []
     by_table = _meta_by_table(meta)
-    keyed = sorted(t for t in (unique_first or set()) if t in by_table and not (order_by or {}).get(t))
-    top = _top_unique_keys(tables, keyed, limit * 10)
+    orders = {t: list((order_by or {}).get(t) or [f.name for f in tables[t].schema.fields if _orderable(f.dataType)]) for t in by_table}
+    first = head_filters({t: tables[t] for t in by_table if orders[t]}, orders, limit * 10)
     for t, cols in by_table.items():
         df = tables[t]
-        keys = (order_by or {}).get(t) or [f.name for f in df.schema.fields if _orderable(f.dataType)]
-        ordering = [df[f"`{k}`"].asc_nulls_first() for k in keys]
-        if t in top:
-            keys = [df.schema.fields[0].name]
-            head = _head_by_unique_key(df, top[t])
-        else:
-            head = df.orderBy(*ordering).limit(limit * 10) if ordering else df.limit(limit * 10)
+        keys = [F.col(_q(k)).asc_nulls_first() for k in orders[t]]
+        # a few rows pass the filter: sorting them is cheap
+        head = df.where(first[t]).orderBy(*keys).limit(limit * 10) if keys else df.limit(limit * 10)
         # at most 10*limit rows here: a single-partition window is fine
-        w = Window.orderBy(*[F.col(f"`{k}`").asc_nulls_first() for k in keys]) if keys else \
-            Window.orderBy(F.monotonically_increasing_id())
+        w = Window.orderBy(*keys) if keys else Window.orderBy(F.monotonically_increasing_id())
         head = head.withColumn("__rn", F.row_number().over(w))
         structs = [f"named_struct('col_id', {col_id}, 'value', {canonical_text_sql(name, df.schema[name].dataType)})"
                    for (_, _, _, name, _, _, _, _, col_id, _) in cols]
@@ -359,6 +339,7 @@ class Profile:
     inclusions: DataFrame | None  # FK candidates
     columns: DataFrame       # catalog_columns
     tables: DataFrame        # catalog_tables
+    inclusion_checks: DataFrame | None = None   # column pairs and whether sketches refuted them or all values were checked
 
 
 def _unreadable(tables: Mapping[str, DataFrame]) -> dict[str, str]:
@@ -377,7 +358,7 @@ def profile_tables(spark: SparkSession, tables: Mapping[str, DataFrame], databas
                    order_by: Mapping[str, Sequence[str]] | None = None,
                    primary_keys: Mapping[str, Sequence[str]] | None = None,
                    foreign_keys: Sequence[tuple[str, str, str, str]] | None = None,
-                   inclusions: bool = True) -> Profile:
+                   inclusions: bool = True, comments: Mapping[str, str] | None = None) -> Profile:
     """P10: profile all tables.
 
     Runs the stats pass (and the exact distinct pass unless ``approx``) and
@@ -385,28 +366,34 @@ def profile_tables(spark: SparkSession, tables: Mapping[str, DataFrame], databas
     samples, enum values and inclusion candidates stay lazy.
     Declared keys (``primary_keys``, ``foreign_keys`` as
     ``(table, column, ref_table, ref_column)``) set the catalogue flags; files
-    declare none, so inferred candidates are reported separately.
+    declare none, so inferred candidates are reported separately. ``comments`` gives the tables'
+    comments, e.g. :func:`colscope.sources.tables.catalog_comments`.
     """
     tables, failed = readable_tables(tables)
     for name, err in failed.items():      # a failing table is skipped, not fatal
         warnings.warn(f"profile: table {name} skipped: {err}", stacklevel=2)
-    def stats_of(some: Mapping[str, DataFrame]) -> tuple[list[tuple], list]:
+    def stats_of(some: Mapping[str, DataFrame]) -> tuple[list[tuple], list, DataFrame | None]:
         rows = table_columns_meta(database, some)
         if not rows:
-            return rows, []
-        return rows, (column_stats(some, rows, approx=True) if approx else exact_column_stats(some, rows)).collect()
+            return rows, [], None
+        if approx:
+            return rows, column_stats(some, rows, approx=True).collect(), None
+        # at most SKETCH_SLOTS + 1 short rows a column, kept in the shared folder
+        sketch = kept(exact_column_sketches(some, rows), "sketches")
+        return rows, stats_of_sketches(sketch).collect(), sketch
 
     try:
-        meta_rows, stats_rows = stats_of(tables)        # one job for all tables
-    except Exception as e:  # noqa: BLE001 - find the tables that cannot be read, go on with the rest
+        meta_rows, stats_rows, sketch = stats_of(tables)        # one job for all tables
+    except (Py4JJavaError, CapturedException) as e:     # find the tables that cannot be read, go on with the rest
+        if "OutOfMemory" in str(e) or "cancelled" in str(e):
+            raise
         bad = _unreadable(tables)
         if not bad:
             raise
         for name, err in bad.items():
             warnings.warn(f"profile: table {name} skipped: {err}", stacklevel=2)
         tables = {t: df for t, df in tables.items() if t not in bad}
-        del e
-        meta_rows, stats_rows = stats_of(tables)
+        meta_rows, stats_rows, sketch = stats_of(tables)
     meta_df = spark.createDataFrame(meta_rows, SCHEMA_COLUMNS)
     # empty tables give no group at all: their columns get zero counts
     seen = {r["col_id"] for r in stats_rows}
@@ -437,18 +424,13 @@ def profile_tables(spark: SparkSession, tables: Mapping[str, DataFrame], databas
         "null_ratio", F.when(F.col("row_count") > 0,
                              F.round(F.col("nulls") / F.col("row_count"), 4)))
 
-    key_ids = {r["col_id"] for r in stats_rows
-               if r["row_count"] and r["row_count"] > 0 and r["non_null"] == r["row_count"]
-               and nd.get(r["col_id"]) == r["row_count"]}
-    # approximate counts cannot prove uniqueness: keyed heads only in exact mode
-    unique_first = set() if approx else {m[1] for m in meta_rows
-                                         if m[2] == 1 and m[8] in key_ids and m[9] is not None}
-    samples = sample_values(tables, meta_rows, sample_limit, order_by, unique_first) if meta_rows else None
+    samples = sample_values(tables, meta_rows, sample_limit, order_by) if meta_rows else None
     low_card = {c for c, d in nd.items() if d is not None and 0 < d <= enum_limit}
     enums = enum_values(tables, meta_rows, low_card) if low_card else None
 
     keys = stats.where("is_candidate_key").join(meta_df, "col_id")
-    incl = inclusion_candidates(spark, tables, meta_rows, meta_df, stats) if inclusions else None
+    incl, checks = (inclusion_candidates(spark, lambda ids: fingerprints(tables, meta_rows, ids), meta_df, stats, sketch)
+                    if inclusions else (None, None))
 
     columns = _catalog_columns(spark, meta_df, stats, samples, primary_keys, foreign_keys)
     tbl_rows = sorted({(r[0], r[1]) for r in meta_rows})
@@ -458,10 +440,10 @@ def profile_tables(spark: SparkSession, tables: Mapping[str, DataFrame], databas
         row_count[by_id[r["col_id"]]] = r["row_count"]
     pk = primary_keys or {}
     catalog_tables = spark.createDataFrame(
-        [(db, t, None, row_count.get(t), None, None, None, list(pk.get(t, []))) for db, t in tbl_rows],
+        [(db, t, None, row_count.get(t), (comments or {}).get(t) or None, None, None, list(pk.get(t, []))) for db, t in tbl_rows],
         "database string, table string, schema string, row_count bigint, comment string, "
         "business_name string, description string, primary_keys array<string>")
-    return Profile(database, meta_df, stats, samples, enums, keys, incl, columns, catalog_tables)
+    return Profile(database, meta_df, stats, samples, enums, keys, incl, columns, catalog_tables, checks)
 
 
 def _catalog_columns(spark, meta_df, stats, samples, primary_keys, foreign_keys) -> DataFrame:
@@ -489,45 +471,6 @@ def _catalog_columns(spark, meta_df, stats, samples, primary_keys, foreign_keys)
     )
 
 
-def inclusion_candidates(spark: SparkSession, tables: Mapping[str, DataFrame], meta_rows: Sequence[tuple],
-                         meta_df: DataFrame, stats: DataFrame, max_broadcast_pairs: int = 200_000) -> DataFrame:
-    """P8 (re-aimed): column A.x is an FK candidate of B.y when B.y is a candidate
-    key of the same value family and every distinct value of A.x occurs in B.y.
-
-    Pairs are pruned on the stats table (family, distinct count, min/max range)
-    before any data is touched; survivors are checked by one semi-join on the
-    fingerprints ``(key col_id, h1, h2)``.
-    """
-    m = meta_df.select("col_id", "table", "column", "family").join(stats, "col_id")
-    fk = m.where(F.col("family").isNotNull() & (F.col("unique_count") > 0)).alias("a")
-    kk = m.where(F.col("is_candidate_key") & F.col("family").isNotNull()).alias("b")
-    # a column without order codes is not pruned by range
-    range_ok = F.coalesce((F.col("a.min_code") >= F.col("b.min_code")) & (F.col("a.max_code") <= F.col("b.max_code")), F.lit(True))
-    pairs = (fk.join(kk, (F.col("a.family") == F.col("b.family")) & (F.col("a.col_id") != F.col("b.col_id"))
-                     & (F.col("a.unique_count") <= F.col("b.unique_count")) & range_ok)
-             .select(F.col("a.col_id").alias("fk_col_id"), F.col("b.col_id").alias("key_col_id"),
-                     F.col("a.table").alias("fk_table"), F.col("a.column").alias("fk_column"),
-                     F.col("b.table").alias("key_table"), F.col("b.column").alias("key_column"),
-                     F.col("a.unique_count").alias("fk_distinct")))
-    # pairs come from the per-column stats (a local relation): counting them and
-    # listing the involved column ids touches metadata only, never data rows
-    n_pairs = pairs.count()
-    if n_pairs == 0:
-        return spark.createDataFrame([], "fk_table string, fk_column string, key_table string, "
-                                         "key_column string, fk_distinct bigint")
-    ids = pairs.select(F.collect_set("fk_col_id").alias("f"), F.collect_set("key_col_id").alias("k")).first()
-    fk_vals = (fingerprints(tables, meta_rows, set(ids["f"])).groupBy("col_id", "h1", "h2")
-               .agg(F.lit(1).alias("_one")).withColumnRenamed("col_id", "fk_col_id"))
-    key_vals = fingerprints(tables, meta_rows, set(ids["k"])).select(F.col("col_id").alias("key_col_id"), "h1", "h2")
-    p_small = broadcast_if_small(pairs.select("fk_col_id", "key_col_id"), n_pairs, max_broadcast_pairs)
-    expanded = fk_vals.join(p_small, "fk_col_id").select("fk_col_id", "key_col_id", "h1", "h2")
-    matched = (expanded.join(key_vals, ["key_col_id", "h1", "h2"], "left_semi")
-               .groupBy("fk_col_id", "key_col_id").agg(F.count(F.lit(1)).alias("matched")))
-    return (pairs.join(matched, ["fk_col_id", "key_col_id"])
-            .where(F.col("matched") == F.col("fk_distinct"))
-            .select("fk_table", "fk_column", "key_table", "key_column", "fk_distinct"))
-
-
 def null_stats(tables: Mapping[str, DataFrame], meta: Sequence[tuple]) -> DataFrame:
     """P3/P5 alone: ``(col_id, row_count, nulls, null_ratio)`` from one single-row
     aggregate per table (``count(*)`` and ``count(c)``; no shuffle of values).
@@ -537,3 +480,13 @@ def null_stats(tables: Mapping[str, DataFrame], meta: Sequence[tuple]) -> DataFr
                      F.when(F.col("row_count") > 0,
                             F.round((F.col("row_count") - F.col("non_null")) / F.col("row_count"), 4))
                      .alias("null_ratio"))
+
+
+def composite_candidate_keys(spark: SparkSession, tables: Mapping[str, DataFrame], database: str, max_columns: int = 3,
+                             **options) -> DataFrame:
+    """Minimal keys of two or more columns, ``(table, columns)`` (:func:`keys.composite_keys`)."""
+    meta = table_columns_meta(database, tables)
+    got = {r["col_id"]: r for r in stats_of_sketches(exact_column_sketches(tables, meta)).collect()} if meta else {}
+    columns = [(m[1], m[2], m[3], m[9], r["row_count"], r["non_null"], r["distinct_count"])
+               for m in meta if (r := got.get(m[8])) is not None]
+    return composite_keys(spark, tables, columns, long_form, max_columns, **options)

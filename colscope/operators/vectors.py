@@ -4,38 +4,45 @@ V1 (built in, no model): tokens -> bucket = md5 prefix mod B -> term
 frequency -> unit length. A dense model's vectors plug in as an
 ``array<float>`` column instead (e.g. from the caller's pandas UDF).
 
-V2 is an exact block nested-loop join with local pruning:
-
-* items are hashed into ``item_blocks`` blocks by id; queries into
-  ``query_blocks`` blocks of bounded size;
-* each query block is replicated to every item block and each item block to
-  every query block with ``explode(sequence(...))`` - rows grow by the block
-  counts, never by item x query pairs;
-* ``cogroup(...).applyInPandas`` scores one (item block, query block) pair as a
-  matrix product in numpy and emits only each query's local top-k;
-* a ``row_number`` window per query over at most ``item_blocks * k`` rows
-  gives the global top-k (ties broken by item id).
-
-Nothing passes through the driver, no group holds more than one block of
-each side, and no pair is emitted beyond the local top-k.
+V2 streams the items past blocks of questions:
+
+* both sides are packed where they lie, a block of vectors per row (``mapInArrow``, no
+  exchange): unit vectors as one matrix, or, for sparse ones, the stored terms - the
+  questions' as posting lists (bucket -> question, weight);
+* the question blocks are broadcast while Spark's size estimate of the questions is under a
+  bound; beyond it they are rebalanced into parts of the advisory size, and each partition of
+  items is read once per part (a nested loop over blocks). The item vectors cross no exchange
+  either way;
+* ``mapInArrow`` scores a pair of blocks at a time, as a matrix product or by the posting
+  lists of the terms that both hold, and keeps a running top-k per question; a score below a
+  question's least kept one is dropped at once;
+* a ``row_number`` window per question over the partitions' top-k gives the global one
+  (ties broken by item id).
+
+Nothing passes through the driver, building the result runs no job, and no pair leaves a
+task beyond its local top-k. What a task holds is bounded: a block of each side,
+``chunk_cells`` scores and ``STATE_CELLS`` kept scores (more are let go and merged later).
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from colscope.plans.sizing import dealt
+from colscope.plans.sizing import DEFAULT_MAX_BYTES, dealt, estimated_bytes
 from colscope.session import ship_package
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 SCORE_DECIMALS = 12
-CHUNK_CELLS = 4_000_000      # bound on chunk x width and queries x chunk matrix cells
+CHUNK_CELLS = 2_000_000      # scores held at a time
+STATE_CELLS = 4_000_000      # kept scores of a task
 
 
 def tokens(text: F.Column) -> F.Column:
@@ -52,7 +59,7 @@ def packed_terms(df: DataFrame, id_col: str, text_col: str, buckets: int = 4096)
     """V1: ``(id, idx array<int>, val array<double>)`` - one unit-length term-frequency vector
     per row, computed inside the row (no exchange). A text without a token keeps its row,
     with empty arrays: its cosine with anything is 0."""
-    rows = dealt(df.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.array_sort(F.transform(
+    rows = dealt(df.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.sort_array(F.transform(
         F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")), lambda t: bucket_of(t, buckets))).alias("_b"))
     # runs of equal buckets in the sorted array: where they start, and how long they are
     rows = rows.select("id", "_b", F.expr(
@@ -60,7 +67,8 @@ def packed_terms(df: DataFrame, id_col: str, text_col: str, buckets: int = 4096)
     rows = rows.select("id", F.expr("transform(_s, i -> _b[i])").alias("idx"), F.expr(
         "transform(_s, (i, j) -> CAST(coalesce(get(_s, j + 1), size(_b)) - i AS DOUBLE))").alias("_tf"))
     norm = F.sqrt(F.aggregate("_tf", F.lit(0.0), lambda s, x: s + x * x))
-    return rows.select("id", "idx", F.transform("_tf", lambda x: x / norm).alias("val"))
+    # the norm as an array beside the counts: inside a lambda it would be taken anew for every term
+    return rows.select("id", "idx", F.zip_with("_tf", F.array_repeat(norm, F.size("_tf")), lambda x, n: x / n).alias("val"))
 
 
 def term_vectors(df: DataFrame, id_col: str, text_col: str, buckets: int = 4096) -> DataFrame:
@@ -70,132 +78,204 @@ def term_vectors(df: DataFrame, id_col: str, text_col: str, buckets: int = 4096)
         "id", F.col("_t.idx").alias("bucket"), F.col("_t.val").alias("weight"))
 
 
-def pack_sparse(terms: DataFrame) -> DataFrame:
-    """``(id, bucket, weight)`` rows -> one row per id: ``(id, idx array<int>, val array<double>)``."""
-    packed = terms.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("_t"))
-    return packed.select("id", F.col("_t.bucket").alias("idx"), F.col("_t.weight").alias("val"))
-
-
-def _dense(vals: pd.Series) -> np.ndarray:
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in vals]) if len(vals) else np.zeros((0, 0))
-
-
-def _sparse_to_dense(idx: pd.Series, val: pd.Series, dim: int) -> np.ndarray:
-    out = np.zeros((len(idx), dim), dtype=np.float64)
-    lens = np.fromiter((len(i) for i in idx), dtype=np.int64, count=len(idx))
-    if lens.sum():
-        rows = np.repeat(np.arange(len(idx)), lens)
-        cols = np.concatenate([np.asarray(i, dtype=np.int64) for i in idx if len(i)])
-        vs = np.concatenate([np.asarray(v, dtype=np.float64) for v in val if len(v)])
-        np.add.at(out, (rows, cols), vs)
-    return out
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    n[n == 0] = 1.0
-    return m / n
-
-
-def _topk_idx(scores: np.ndarray, k: int, rank: np.ndarray) -> np.ndarray:
-    """Row-wise positions of the top-k by (score desc, id asc), as a (q, min(k, n))
-    matrix. ``rank`` gives each position's id order, shape (n,) or (q, n)."""
+def _topk_columns(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Row-wise positions of the top-k by (score desc, id asc), as a (q, min(k, n)) matrix.
+    ``ids`` gives each position's id, shape (n,) or (q, n); it is looked at only where exact
+    ties stand at the cut."""
     q, n = scores.shape
     if n <= k:
         return np.tile(np.arange(n), (q, 1))
     part = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    thr = np.take_along_axis(scores, part, axis=1).min(axis=1)
-    ties = (scores >= thr[:, None]).sum(axis=1) > k
-    for r in np.nonzero(ties)[0]:          # rare: exact ties at the cut
-        cand = np.nonzero(scores[r] >= thr[r])[0]
-        rr = rank[r] if rank.ndim == 2 else rank
-        part[r] = cand[np.lexsort((rr[cand], -scores[r, cand]))[:k]]
+    least = np.take_along_axis(scores, part, axis=1).min(axis=1)
+    for r in np.flatnonzero((scores >= least[:, None]).sum(axis=1) > k):
+        mine = ids[r] if ids.ndim == 2 else ids
+        tied = np.flatnonzero(scores[r] >= least[r])
+        part[r] = sorted(tied, key=lambda c: (-scores[r, c], mine[c] is not None, mine[c]))[:k]
     return part
 
 
+def _ids(col: pa.Array) -> np.ndarray:
+    if pa.types.is_integer(col.type) and not col.null_count:
+        return col.to_numpy(zero_copy_only=False)
+    out = np.empty(len(col), object)
+    out[:] = col.to_pylist()
+    return out
+
+
+def _usable(rows: np.ndarray, owner: np.ndarray, flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``rows`` have only non-null, finite entries, and the entries as doubles."""
+    value = pc.fill_null(flat.cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)
+    bad = np.zeros(len(rows), bool)
+    bad[owner[~np.isfinite(value)]] = True
+    return ~bad, value
+
+
+def _unit_rows(value: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    norm = np.sqrt(np.bincount(owner, value * value, n))
+    norm[norm == 0] = 1.0
+    return value / norm[owner]
+
+
+def _packed(df: DataFrame, id_col: str, vec_cols: list[str], dim: int | None, block: int, side: str) -> DataFrame:
+    """Blocks of at most ``block`` vectors of one width as single rows, packed where they lie (no
+    exchange): ``{side}_block`` (a number of its own), ``{side}_w``, ``{side}_ids``, ``{side}_val`` (unit
+    vectors, doubles) and, for sparse vectors, ``{side}_row`` and ``{side}_idx``: an entry per stored
+    term, by row for items (side i) and by bucket, as posting lists, for questions (side q)."""
+    kind = T.StructType([T.StructField(f"{side}_block", T.LongType()), T.StructField(f"{side}_w", T.IntegerType()),
+                         T.StructField(f"{side}_ids", T.ArrayType(df.schema[id_col].dataType))]
+                        + [T.StructField(f"{side}_{c}", T.BinaryType()) for c in ("val", "row", "idx")])
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            length = pc.fill_null(pc.list_value_length(batch.column(1)), -1).to_numpy(zero_copy_only=False)
+            for w in np.unique(length[length >= 0]) if dim is None else [dim]:
+                here = np.flatnonzero(length == w if dim is None else length >= 0)
+                # at most ``block`` vectors and about a million stored terms in a block
+                terms = np.cumsum(np.maximum(length[here], 1))
+                cut = np.unique(np.concatenate([np.arange(0, len(here), block), np.searchsorted(terms, np.arange(1, terms[-1] // 1_000_000 + 1) * 1_000_000)])
+                                ) if len(here) else []
+                for rows in np.split(here, cut[1:]) if len(here) else []:
+                    if not len(rows):
+                        continue
+                    part = batch.take(pa.array(rows))
+                    owner = np.repeat(np.arange(len(rows)), length[rows])
+                    good, value = _usable(rows, owner, part.column(part.num_columns - 1).flatten())
+                    if not good.all():
+                        part, keep = part.filter(pa.array(good)), good[owner]
+                        value, owner = value[keep], (np.cumsum(good) - 1)[owner[keep]]
+                    n = part.num_rows
+                    value = _unit_rows(value, owner, n)
+                    extra = [None, None]
+                    if dim is not None:
+                        bucket = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+                        if side == "q":
+                            order = np.argsort(bucket, kind="stable")
+                            value, owner, bucket = value[order], owner[order], bucket[order]
+                        extra = [owner.astype(np.int32).tobytes(), bucket.tobytes()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([number]), pa.array([int(w)], pa.int32()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), part.column(0)),
+                         *[pa.array([x], pa.binary()) for x in (value.tobytes(), *extra)]], [f.name for f in kind.fields])
+                    number += 1
+
+    return df.select(id_col, *vec_cols).mapInArrow(run, kind)
+
+
+def _dense_scores(x: np.ndarray, q: np.ndarray, cells: int):
+    """(first item, scores of the questions against the items from there), in parts of at most ``cells`` cells."""
+    step = max(1, cells // max(1, len(q)))
+    for lo in range(0, len(x), step):
+        yield lo, q @ x[lo:lo + step].T
+
+
+def _sparse_scores(item: tuple, n: int, postings: tuple, n_q: int, dim: int, cells: int):
+    """The same from posting lists: work and memory go by the terms that items and questions share."""
+    row, idx, val = item
+    q_row, q_idx, q_val = postings
+    first = np.searchsorted(q_idx, np.arange(dim + 1))
+    many = (first[1:] - first[:-1])[idx]                # questions that hold each of the items' terms
+    per_item = np.bincount(row, many, n).astype(np.int64)
+    done = np.concatenate([[0], np.cumsum(per_item)])
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
+    lo = 0
+    while lo < n:
+        hi = int(np.searchsorted(done, done[lo] + cells, "right")) - 1
+        hi = min(max(hi, lo + 1), lo + max(1, cells // max(1, n_q)), n)
+        t = slice(ends[lo], ends[hi])
+        m, total = many[t], int(done[hi] - done[lo])
+        at = np.arange(total) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[idx[t]], m)
+        cell = q_row[at] * (hi - lo) + np.repeat(row[t] - lo, m)
+        yield lo, np.bincount(cell, np.repeat(val[t], m) * q_val[at], n_q * (hi - lo)).reshape(n_q, hi - lo)
+        lo = hi
+
+
+class _Best:
+    """Running top-k of one block of questions."""
+
+    def __init__(self, question_ids: pa.Array, k: int):
+        self.question_ids, self.k = question_ids, k
+        self.score = np.empty((len(question_ids), 0))
+        self.ids = np.empty((len(question_ids), 0), object)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        rows = np.arange(len(scores))
+        if self.score.shape[1] == self.k:       # full: only questions with a score that reaches their least one
+            rows = np.flatnonzero(scores.max(axis=1, initial=-np.inf) >= self.score.min(axis=1))
+            if not len(rows):
+                return
+        new = _topk_columns(scores[rows], ids, self.k)
+        both = np.concatenate([self.score[rows], np.take_along_axis(scores[rows], new, axis=1)], axis=1)
+        named = np.concatenate([self.ids[rows], ids[new].astype(object)], axis=1)
+        keep = _topk_columns(both, named, self.k)
+        if len(rows) == len(scores):
+            self.score, self.ids = np.take_along_axis(both, keep, axis=1), np.take_along_axis(named, keep, axis=1)
+        else:
+            self.score[rows], self.ids[rows] = np.take_along_axis(both, keep, axis=1), np.take_along_axis(named, keep, axis=1)
+
+    def batch(self, id_type: pa.DataType) -> pa.RecordBatch:
+        row = pa.array(np.repeat(np.arange(len(self.question_ids)), self.score.shape[1]))
+        return pa.RecordBatch.from_arrays([self.question_ids.take(row), pa.array(self.ids.ravel().tolist(), id_type),
+                                           pa.array(self.score.ravel())], ["_qid", "_iid", "score"])
+
+
 def cosine_topk(items: DataFrame, queries: DataFrame, k: int, *, item_id: str = "id", query_id: str = "query_id",
                 item_vec: str = "vector", query_vec: str = "vector", sparse_dim: int | None = None,
-                item_blocks: int | None = None, items_per_block: int = 50_000,
-                queries_per_block: int = 1024, chunk_cells: int = CHUNK_CELLS,
-                n_items: int | None = None, n_queries: int | None = None) -> DataFrame:
+                items_per_block: int = 2048, queries_per_block: int = 512, chunk_cells: int = CHUNK_CELLS,
+                broadcast_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
     """V2: exact cosine top-k of every query over all items.
 
     Dense: ``item_vec``/``query_vec`` are ``array<float|double>`` columns.
-    Sparse (``sparse_dim`` set): both sides are packed ``(idx, val)`` arrays as
-    from :func:`pack_sparse` (column names ``idx``/``val``).
-    Returns ``(query_id, item_id, score, rank)`` with rank 1..k by
-    (score desc, item id asc); score is the raw cosine. ``n_items`` and
-    ``n_queries`` only size the blocks (an estimate is fine); when not given
-    they are counted. Rows with a null vector have no score and are left out;
-    dense vectors are compared with those of the same length only.
+    Sparse (``sparse_dim`` set): both sides are ``(idx, val)`` arrays as from :func:`packed_terms`.
+    Returns ``(query_id, item_id, score, rank)`` with rank 1..k by (score desc, item id asc);
+    score is the raw cosine, rounded to 12 decimals so that exact copies tie. Nothing runs while
+    the result is built. Rows whose vector is null or holds a null or non-finite entry have no
+    score and are left out; dense vectors are compared with those of the same length only.
     """
-    spark = items.sparkSession
-    ship_package(spark)
-    if item_blocks is None:
-        # ~items_per_block items per block, and at least the cluster's cores
-        # when there are enough items; each query is replicated once per block
-        # callers that know the item count (e.g. from the source table's
-        # Parquet footers) pass it and save a pass over derived items
-        n_items = items.count() if n_items is None else n_items
-        cores = spark.sparkContext.defaultParallelism
-        item_blocks = max(1, math.ceil(n_items / items_per_block), min(cores, math.ceil(n_items / 1000)))
-    n_q = queries.count() if n_queries is None else n_queries
-    q_blocks = max(1, math.ceil(n_q / queries_per_block))
-    id_type = items.schema[item_id].dataType
-    qid_type = queries.schema[query_id].dataType
-    if sparse_dim is None:
-        item_cols = [F.col(item_id).alias("_iid"), F.col(item_vec).alias("_iv")]
-        q_cols = [F.col(query_id).alias("_qid"), F.col(query_vec).alias("_qv")]
-    else:
-        item_cols = [F.col(item_id).alias("_iid"), F.col("idx").alias("_ii"), F.col("val").alias("_iv")]
-        q_cols = [F.col(query_id).alias("_qid"), F.col("idx").alias("_qi"), F.col("val").alias("_qv")]
-    vec_i, vec_q = (item_vec, query_vec) if sparse_dim is None else ("val", "val")
-    items, queries = items.where(F.col(vec_i).isNotNull()), queries.where(F.col(vec_q).isNotNull())
-    if sparse_dim is None:
-        # one width per block: vectors of another length never meet
-        width_i, width_q = [F.size(vec_i).alias("_w")], [F.size(vec_q).alias("_w")]
-    else:
-        width_i = width_q = [F.lit(sparse_dim).alias("_w")]
-    ib = items.select(*width_i, F.pmod(F.xxhash64(F.col(item_id)), F.lit(item_blocks)).alias("_b"),
-                      F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("_qb"), *item_cols)
-    qb = queries.select(*width_q, F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("_b"),
-                        F.pmod(F.xxhash64(F.col(query_id)), F.lit(q_blocks)).alias("_qb"), *q_cols)
-    out_schema = T.StructType([T.StructField("_qid", qid_type), T.StructField("_iid", id_type),
-                               T.StructField("score", T.DoubleType())])
-    dim = sparse_dim
-    cells = chunk_cells
-
-    def score_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"_qid": pd.Series(dtype=object), "_iid": pd.Series(dtype=object),
-                                 "score": pd.Series(dtype="float64")})
-        q = _unit(_dense(right["_qv"]) if dim is None else _sparse_to_dense(right["_qi"], right["_qv"], dim))
-        ids = left["_iid"].to_numpy()
-        id_rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-        width = q.shape[1]
-        # items are densified and scored in chunks, so memory stays bounded
-        # whatever the block size; a running top-k per query is kept
-        chunk = max(k, min(len(ids), cells // max(1, width), cells // max(1, len(q))))
-        best_s = np.empty((len(q), 0))
-        best_c = np.empty((len(q), 0), dtype=np.int64)
-        for c0 in range(0, len(ids), chunk):
-            part = left.iloc[c0:c0 + chunk]
-            x = _unit(_dense(part["_iv"]) if dim is None else _sparse_to_dense(part["_ii"], part["_iv"], dim))
-            # 12 decimals: exact copies tie whatever row order the BLAS kernel used
-            s = np.round(q @ x.T, SCORE_DECIMALS)
-            sel = _topk_idx(s, k, id_rank[c0:c0 + chunk])
-            all_s = np.concatenate([best_s, np.take_along_axis(s, sel, axis=1)], axis=1)
-            all_c = np.concatenate([best_c, sel + c0], axis=1)
-            keep = _topk_idx(all_s, k, id_rank[all_c])
-            best_s = np.take_along_axis(all_s, keep, axis=1)
-            best_c = np.take_along_axis(all_c, keep, axis=1)
-        rows = np.repeat(np.arange(len(q)), best_c.shape[1])
-        return pd.DataFrame({"_qid": right["_qid"].to_numpy()[rows], "_iid": ids[best_c.ravel()],
-                             "score": best_s.ravel()})
-
-    local = ib.groupBy("_w", "_b", "_qb").cogroup(qb.groupBy("_w", "_b", "_qb")).applyInPandas(score_block, out_schema)
-    w = Window.partitionBy("_qid").orderBy(F.col("score").desc(), F.col("_iid").asc())
-    return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ship_package(items.sparkSession)
+    width = sparse_dim
+    i_cols, q_cols = ([item_vec], [query_vec]) if width is None else (["idx", "val"], ["idx", "val"])
+    id_type = to_arrow_type(items.schema[item_id].dataType)
+    if width is None:
+        items = dealt(items)        # V1 has done so
+    known = estimated_bytes(queries.select(query_id, *q_cols))
+    ib = _packed(items, item_id, i_cols, width, items_per_block, "i")
+    qb = _packed(queries, query_id, q_cols, width, queries_per_block, "q")
+    # a batch of questions goes to every executor once. Of a set that is not known to be small, Spark
+    # makes parts of about its advisory size, measured while it runs, and each meets the partitions
+    # of items in turn; if it turns out small after all, it is broadcast. The items stay where they
+    # are read either way.
+    pairs = ib.crossJoin(F.broadcast(qb) if known <= broadcast_bytes else qb.hint("rebalance"))
+
+    def run(batches):
+        best: dict[int, _Best] = {}
+        for batch in batches:
+            col = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
+            for r in range(batch.num_rows):
+                w = col["i_w"][r].as_py()
+                if w != col["q_w"][r].as_py():
+                    continue
+                arr = lambda c, kind: np.frombuffer(col[c][r].as_buffer(), kind)
+                ids, number = col["i_ids"][r].values, col["q_block"][r].as_py()
+                if number not in best:
+                    best[number] = _Best(col["q_ids"][r].values, k)
+                n, n_q = len(ids), len(best[number].question_ids)
+                if width is None:
+                    parts = _dense_scores(arr("i_val", np.float64).reshape(n, w), arr("q_val", np.float64).reshape(n_q, w), chunk_cells)
+                else:
+                    parts = _sparse_scores((arr("i_row", np.int32), arr("i_idx", np.int32), arr("i_val", np.float64)), n,
+                                           (arr("q_row", np.int32), arr("q_idx", np.int32), arr("q_val", np.float64)), n_q, w, chunk_cells)
+                ids = _ids(ids)
+                for lo, s in parts:
+                    best[number].add(np.round(s, SCORE_DECIMALS), ids[lo:lo + s.shape[1]])
+            if sum(b.score.size for b in best.values()) > STATE_CELLS:      # let go; the window below merges
+                yield from (b.batch(id_type) for b in best.values())
+                best = {}
+        yield from (b.batch(id_type) for b in best.values())
+
+    out = T.StructType([T.StructField("_qid", queries.schema[query_id].dataType), T.StructField("_iid", items.schema[item_id].dataType),
+                        T.StructField("score", T.DoubleType())])
+    window = Window.partitionBy("_qid").orderBy(F.col("score").desc(), F.col("_iid").asc())
+    return (pairs.mapInArrow(run, out).withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
             .select(F.col("_qid").alias(query_id), F.col("_iid").alias(item_id), "score", "rank"))
 
 

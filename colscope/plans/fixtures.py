@@ -24,6 +24,9 @@ FOREIGN_KEYS = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer",
                 ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
                 ("lineitem", "l_suppkey", "supplier", "s_suppkey")]
 
+# what a live system says of some of its tables
+TABLE_COMMENTS = {"orders": "one row per order", "lineitem": "positions of orders", "documents": "texts, in 4 languages"}
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -8,7 +8,7 @@ Java's float/double text (scientific below 1e-3 and from 1e7), arrays as
 
 from __future__ import annotations
 
-from colscope.plans.fixtures import FOREIGN_KEYS, PRIMARY_KEYS
+from colscope.plans.fixtures import FOREIGN_KEYS, PRIMARY_KEYS, TABLE_COMMENTS
 
 # ---- fixed values: the given tables, their columns and Spark types ----
 SCHEMAS: dict[str, list[tuple[str, str]]] = {
@@ -152,6 +152,32 @@ def enum_sql(schemas=PROFILE_SCHEMAS, limit: int = 10) -> str:
     return " UNION ALL ".join(parts)
 
 
+def composite_keys_sql(schemas=SCHEMAS, max_columns: int = 3) -> str:
+    """Minimal unique sets of two to three columns without nulls, of value families other than text."""
+    from itertools import combinations
+
+    parts = []
+    for t in sorted_tables(schemas):
+        cols = [c for c, typ in schemas[t] if family(typ) in ("integral", "date", "timestamp")]
+        flag = {}
+        for size in range(1, max_columns + 1):
+            for some in combinations(cols, size):
+                flag[some] = f"u{len(flag)}"
+        if len(cols) < 2:
+            continue
+        unique = ", ".join(
+            f"count(DISTINCT ({', '.join(q(c) for c in some)})) = count(*) AS {name}" if len(some) > 1 else
+            f"count(DISTINCT {q(some[0])}) = count(*) AS {name}" for some, name in flag.items())
+        nulls = ", ".join(f"count({q(c)}) = count(*) AS {q('full_' + c)}" for c in cols)
+        for some, name in flag.items():
+            if len(some) > 1:
+                smaller = [flag[x] for n in range(1, len(some)) for x in combinations(some, n)]
+                test = " AND ".join([name, "n > 0", *(f"NOT {x}" for x in smaller), *(q("full_" + c) for c in some)])
+                parts.append(f"SELECT {lit(t)} AS {q('table')}, {lit(', '.join(some))} AS columns FROM "
+                             f"(SELECT count(*) AS n, {unique}, {nulls} FROM {t}) WHERE {test}")
+    return " UNION ALL ".join(parts)
+
+
 def inclusion_sql(schemas=SCHEMAS) -> str:
     vals = []
     for t in sorted_tables(schemas):
@@ -209,8 +235,9 @@ def catalog_columns_sql(annotated: bool = True) -> str:
 
 
 def catalog_tables_sql(annotated: bool = True) -> str:
+    comments = " ".join(f"WHEN {lit(t)} THEN {lit(c)}" for t, c in TABLE_COMMENTS.items())
     base = (f"SELECT {lit(DB)} AS database, {q('table')}, CAST(NULL AS VARCHAR) AS schema, row_count, "
-            f"CAST(NULL AS VARCHAR) AS comment FROM ({row_counts_sql(SCHEMAS)})")
+            f"CASE {q('table')} {comments} END AS comment FROM ({row_counts_sql(SCHEMAS)})")
     if not annotated:
         return f"(SELECT *, CAST(NULL AS VARCHAR) AS business_name, CAST(NULL AS VARCHAR) AS description FROM ({base}))"
     return (f"(SELECT database, {q('table')}, schema, row_count, comment, "
@@ -542,10 +569,16 @@ def oracle_queries() -> dict[str, str]:
         f"'<bytes:' || CAST(octet_length(encode(l_returnflag || l_linestatus)) AS VARCHAR) || '>' AS t_bytes, "
         f"l_linestatus FROM lineitem")
     out["candidate_keys"] = f"SELECT \"table\", \"column\" FROM ({col_stats_sql(SCHEMAS)}) WHERE is_key"
+    out["candidate_keys_composite"] = composite_keys_sql()
     out["inclusion_keys"] = inclusion_sql()
     out["distinct_count_approx_within"] = " UNION ALL ".join(
         f"SELECT {lit(t)} AS \"table\", {lit(c)} AS \"column\", true AS within FROM (SELECT count(*) FROM {t})"
         for t, cols in SCHEMAS.items() for c, _ in cols)
+    out["distinct_count_merged"] = out["distinct_count_approx_within"]
+    out["annotation_strict"] = (
+        f"SELECT 'all' AS replies, 'merged' AS state, count(*) AS tables FROM {ct} UNION ALL "
+        f"SELECT 'one missing', 'table annotation failed for: [''orders'']', 0 UNION ALL "
+        f"SELECT 'one no object', 'table annotation failed for: [''part'']', 0")
     out["inclusion_keys_decimal"] = (
         "SELECT 'sold' AS fk_table, 'price' AS fk_column, 'prices' AS key_table, 'listed' AS key_column, "
         "count(DISTINCT CAST(l_extendedprice AS DECIMAL(12, 2))) AS fk_distinct FROM lineitem")
@@ -612,18 +645,16 @@ def oracle_queries() -> dict[str, str]:
     out["schema_text_raw"] = schema_text_sql("raw")
     out["schema_text_full"] = schema_text_sql("full")
     out["schema_text_tables"] = schema_text_sql("tables")
-    item = "\"column\" || '(' || coalesce(business_name, '') || ')'"
     out["schema_summary"] = (
-        f"SELECT database, \"table\", '- ' || \"table\" || ' (' || coalesce(t.business_name, '') || '): ' || "
-        f"coalesce(c.cols, '') AS line FROM {ct} t LEFT JOIN (SELECT database, \"table\", string_agg({item}, ', ' "
+        f"SELECT database, \"table\", coalesce(t.business_name, '-') AS label, coalesce(c.n, 0) AS column_count, "
+        f"coalesce(c.cols, '') AS columns FROM {ct} t LEFT JOIN (SELECT database, \"table\", count(*) AS n, "
+        f"string_agg(\"column\" || CASE WHEN coalesce(business_name, '') <> '' THEN '=' || business_name ELSE '' END, ' | ' "
         f"ORDER BY position) AS cols FROM {cc} GROUP BY ALL) c USING (database, \"table\")")
     creq = (
-        "concat_ws(chr(10), 'table: ' || c.\"table\", 'table comment: ' || coalesce(t.comment, 'none'), "
-        "'column: ' || c.\"column\", 'type: ' || c.data_type, 'nullable: ' || CAST(c.nullable AS VARCHAR), "
-        "'primary key: ' || CAST(c.is_primary_key AS VARCHAR), 'foreign key: ' || coalesce(c.foreign_key_ref, 'none'), "
-        "'comment: ' || coalesce(c.comment, 'none'), "
-        "'distinct values: ' || coalesce(CAST(c.unique_count AS VARCHAR), 'unknown'), "
-        "'samples: ' || CAST(to_json(c.sample_values[1:10]) AS VARCHAR))")
+        "CAST(to_json({'item': c.\"table\" || '.' || c.\"column\", 'values': {'type': c.data_type, 'optional': c.nullable, "
+        "'examples': c.sample_values[1:10], 'distinct': coalesce(c.unique_count, -1)}, "
+        "'keys': {'primary': c.is_primary_key, 'references': coalesce(c.foreign_key_ref, '')}, "
+        "'notes': [coalesce(c.comment, ''), coalesce(t.comment, '')]}) AS VARCHAR)")
     facts = ("{'name': \"column\", 'type': data_type, 'key': is_primary_key, 'references': coalesce(foreign_key_ref, '')}")
     treq = ("CAST(to_json({'table': t.\"table\", 'comment': coalesce(t.comment, ''), 'rows': coalesce(t.row_count, 0), "
             "'columns': l.facts}) AS VARCHAR)")

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.functions.text import canonical_text, name_variants
-from colscope.operators import annotate, catalog, documents, examples, execute, guard, search
-from colscope.operators.profile import column_stats, distinct_counts, null_stats, profile_tables
+from colscope.operators import annotate, catalog, documents, examples, execute, guard, search, sketches
+from colscope.operators.profile import column_stats, composite_candidate_keys, distinct_counts, null_stats, profile_tables
 from colscope.operators.vectors import cosine_topk, packed_terms, term_vectors
 from colscope.plans import fixtures as fx
 from colscope.session import ensure_checkpoint_dir
@@ -35,7 +35,7 @@ def _named(p, df):
 def annotated_catalog(spark: SparkSession, sf_dir: str, annotated: bool = True) -> tuple[DataFrame, DataFrame]:
     """Profile of the 14 given tables, merged with the model-reply fixtures."""
     p = profile_tables(spark, fx.all_tables(spark, sf_dir), fx.DB, inclusions=False,
-                       primary_keys=fx.PRIMARY_KEYS, foreign_keys=fx.FOREIGN_KEYS)
+                       primary_keys=fx.PRIMARY_KEYS, foreign_keys=fx.FOREIGN_KEYS, comments=fx.TABLE_COMMENTS)
     if not annotated:
         return p.tables, p.columns
     cols = annotate.merge_column_replies(p.columns, annotate.parse_replies(fx.column_replies(p.columns)))
@@ -126,21 +126,46 @@ def q_candidate_keys(spark, sf_dir):
     return p.keys.select("table", "column")
 
 
+def q_candidate_keys_composite(spark, sf_dir):
+    found = composite_candidate_keys(spark, fx.all_tables(spark, sf_dir), fx.DB)
+    return found.select("table", F.array_join("columns", ", ").alias("columns"))
+
+
 def q_inclusion_keys(spark, sf_dir):
     p = profile_tables(spark, fx.all_tables(spark, sf_dir), fx.DB)
     return p.inclusions
 
 
+def _within(m, counted, exact):
+    """``within``: the counted number of distinct values is at most 10 % or one value off the exact one."""
+    gap = F.abs(F.coalesce("counted", F.lit(0)) - F.coalesce("distinct_count", F.lit(0)))
+    return (m.join(counted, ["table", "column"]).join(exact, "col_id", "left")
+            .select("table", "column", (gap <= F.greatest(F.lit(1.0), 0.1 * F.coalesce("distinct_count", F.lit(0)))).alias("within")))
+
+
+def _columns_of(spark, tabs):
+    meta = table_columns_meta(fx.DB, tabs)
+    return meta, spark.createDataFrame([(r[8], r[1], r[3]) for r in meta], "col_id int, table string, column string")
+
+
 def q_distinct_count_approx_within(spark, sf_dir):
-    """Approximate against exact distinct counts: within 15 % (three standard errors) or one value."""
+    """Approximate against exact distinct counts."""
     tabs = fx.all_tables(spark, sf_dir)
-    meta = table_columns_meta(fx.DB, tabs)
-    m = spark.createDataFrame([(r[8], r[1], r[3]) for r in meta], "col_id int, table string, column string")
-    approx = column_stats(tabs, meta, approx=True).select("col_id", "approx_distinct")
-    exact = distinct_counts(tabs, meta)
-    gap = F.abs(F.coalesce("approx_distinct", F.lit(0)) - F.coalesce("distinct_count", F.lit(0)))
-    return (m.join(approx, "col_id").join(exact, "col_id", "left")
-            .select("table", "column", (gap <= F.greatest(F.lit(1.0), 0.15 * F.coalesce("distinct_count", F.lit(0)))).alias("within")))
+    meta, m = _columns_of(spark, tabs)
+    approx = column_stats(tabs, meta, approx=True).join(m, "col_id").select("table", "column", F.col("approx_distinct").alias("counted"))
+    return _within(m, approx, distinct_counts(tabs, meta))
+
+
+def q_distinct_count_merged(spark, sf_dir):
+    """Stored sketches of one half of every table, updated by those of the other half, against exact counts."""
+    tabs = fx.all_tables(spark, sf_dir)
+    meta, m = _columns_of(spark, tabs)
+    root = os.path.join(_store_root(spark), "states")
+    for half in (0, 1):
+        part = {t: df.where(F.pmod(F.xxhash64(*df.columns), F.lit(2)) == half) for t, df in tabs.items()}
+        states = sketches.update_states(spark, root, sketches.column_states(part, fx.DB), fx.DB)
+    counted = sketches.estimates(states).select("table", "column", F.col("distinct_estimate").alias("counted"))
+    return _within(m, counted, distinct_counts(tabs, meta))
 
 
 def q_inclusion_keys_decimal(spark, sf_dir):
@@ -303,6 +328,21 @@ def q_annotation_merge(spark, sf_dir):
                                              "keywords_text")
 
 
+def q_annotation_strict(spark, sf_dir):
+    """A3 in strict mode: replies for all tables are merged; one that is missing, or no object, refuses the whole run."""
+    tabs, _ = annotated_catalog(spark, sf_dir, annotated=False)
+    replies = fx.table_replies(tabs)
+    out = []
+    for name, some in (("all", replies), ("one missing", replies.where("table <> 'orders'")),
+                       ("one no object", replies.withColumn("reply", F.when(F.col("table") == "part", F.lit("[1]")).otherwise(F.col("reply"))))):
+        try:
+            merged = annotate.merge_table_replies(tabs, annotate.parse_replies(some, schema=annotate.TABLE_REPLY), strict=True)
+            out.append((name, "merged", merged.where("business_name is not null").count()))
+        except ValueError as e:
+            out.append((name, str(e), 0))
+    return spark.createDataFrame(out, "replies string, state string, tables bigint")
+
+
 # ------------------------------------------------------------------ D
 def q_name_variants(spark, sf_dir):
     cols = schema_columns(spark, fx.DB, fx.all_tables(spark, sf_dir))
@@ -321,8 +361,8 @@ def q_index_items(spark, sf_dir):
     tabs, cols = annotated_catalog(spark, sf_dir)
     items = documents.index_items(tabs, cols)
     root = _store_root(spark)
-    store.write_partitioned(items, os.path.join(root, "index"))
-    return (spark.read.parquet(os.path.join(root, "index")).where(F.col("database") == fx.DB)
+    store.publish({"items": items}, os.path.join(root, "index"))
+    return (store.read_index(spark, os.path.join(root, "index"), fx.DB)
             .select("id", "type", "database", "table", "column", "data_type", "business_name", "document"))
 
 
@@ -347,10 +387,7 @@ def _sparse_docs(spark, sf_dir):
 
 def q_cosine_topk_sparse(spark, sf_dir):
     docs, qs = _sparse_docs(spark, sf_dir)
-    n_docs = fx.read(spark, sf_dir, "documents").count()       # Parquet footers, no scan
-    n_q = fx.read(spark, sf_dir, "benchmark").count()
-    top = cosine_topk(docs, qs, 5, item_id="id", query_id="query_id", sparse_dim=4096, n_items=n_docs,
-                      n_queries=n_q)
+    top = cosine_topk(docs, qs, 5, item_id="id", query_id="query_id", sparse_dim=4096)
     return top.select("query_id", "id", F.col("rank").cast("bigint"), F.round("score", R6).alias("score"))
 
 
@@ -571,8 +608,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "null_ratio": q_null_ratio,
     "distinct_count": q_distinct_count,
     "distinct_count_approx": q_distinct_count_approx,
+    "distinct_count_merged": q_distinct_count_merged,
     "canonical_text": q_canonical_text,
     "candidate_keys": q_candidate_keys,
+    "candidate_keys_composite": q_candidate_keys_composite,
     "inclusion_keys": q_inclusion_keys,
     "enum_values": q_enum_values,
     "profile_all": q_profile_all,
@@ -602,6 +641,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "annotation_requests": q_annotation_requests,
     "annotation_parse": q_annotation_parse,
     "annotation_merge": q_annotation_merge,
+    "annotation_strict": q_annotation_strict,
     "name_variants": q_name_variants,
     "table_documents": q_table_documents,
     "column_documents": q_column_documents,

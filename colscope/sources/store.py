@@ -1,22 +1,24 @@
-"""The catalogue as two Parquet tables partitioned by ``database``.
-
-``<root>/tables`` holds one row per table, ``<root>/columns`` one row per
-column, both with ``version`` and ``generated_at``. Saving one database
-replaces only its partition (dynamic partition overwrite); a frame that reads
-the same store is first cut from its lineage with ``checkpoint()`` so that no
-job reads and overwrites one path.
+"""Stores of databases as versions with a commit marker.
+
+A save writes all its parts (``tables`` and ``columns`` of a catalogue, the ``items`` of an
+index) as Parquet under a fresh folder ``<root>/v-<uuid>`` and then, for each database in it, one
+empty file ``<root>/_current/<database>/<number>-v-<uuid>``. The file's *name* is the pointer:
+creating an empty file is one step on every file system, so a reader sees the old version or the
+new one, all parts of it, and a save that fails at any point leaves the old one as it is. Since
+nothing is overwritten, a frame that reads a store may be saved back to it. The version before
+the current one is kept for jobs that still read it; older ones are deleted.
 """
 
 from __future__ import annotations
 
 import os
-import posixpath
-import re
+import time
 import uuid
+from collections.abc import Mapping, Sequence
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from colscope.schemas import CATALOG_VERSION
 from colscope.session import ensure_checkpoint_dir
@@ -28,98 +30,117 @@ COLUMN_COLS = ["database", "table", "position", "column", "data_type", "nullable
                "null_ratio", "unique_count", "business_name", "description", "keywords"]
 
 
-def qualified(path: str, default_fs: str = "file:///") -> str:
-    """``path`` as ``scheme://authority/absolute/path`` without a closing slash; a path without
-    a scheme belongs to ``default_fs``. Text only: no file system is asked."""
-    m = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):(.*)", path)
-    if m is None:
-        base = re.match(r"([A-Za-z][A-Za-z0-9+.-]*)://([^/]*)", default_fs)
-        scheme, authority = (base[1], base[2]) if base else ("file", "")
-        rest = os.path.abspath(path) if scheme == "file" else posixpath.normpath("/" + path.lstrip("/"))
-        return f"{scheme}://{authority}{rest}".rstrip("/")
-    scheme, rest = m[1].lower(), m[2]
-    authority = ""
-    if rest.startswith("//"):
-        authority, _, rest = rest[2:].partition("/")
-    return f"{scheme}://{authority}{posixpath.normpath('/' + rest.lstrip('/'))}".rstrip("/")
-
-
-def _default_fs(spark: SparkSession) -> str:
-    return spark._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
-
-
-def lies_under(files: list[str], root: str, default_fs: str = "file:///") -> bool:
-    """Whether any of the files is ``root`` or below it."""
-    root = qualified(root, default_fs) + "/"
-    return any((qualified(f, default_fs) + "/").startswith(root) for f in files)
-
-
-def _reads_from(df: DataFrame, root: str) -> bool:
-    try:
-        files = df.inputFiles()
-    except Exception:  # noqa: BLE001 - non-file relations
-        return False
-    return lies_under(files, root, _default_fs(df.sparkSession))
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def write_partitioned(df: DataFrame, path: str, partition_col: str = "database") -> None:
-    """Dynamic partition overwrite: only the partitions present in ``df`` are replaced."""
-    if _reads_from(df, path):
-        df = _cut(df)
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition_col).parquet(path))
-
-
-def drop_partition(spark: SparkSession, path: str, value: str, partition_col: str = "database") -> None:
-    """Delete one partition folder (if there is one) on whatever file system holds ``path``."""
-    part = spark._jvm.org.apache.hadoop.fs.Path(path, f"{partition_col}={value}")
-    part.getFileSystem(spark._jsc.hadoopConfiguration()).delete(part, True)
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path`` and the path as it wants it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _files(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _markers(spark: SparkSession, root: str, database: str) -> list[tuple[int, str]]:
+    """(number, version) of the database's commits, the current one last."""
+    names = _names(spark, f"{root}/_current/{quote(database, safe='')}")
+    return sorted((int(n), v) for n, _, v in (x.partition("-") for x in names) if n.isdigit())
+
+
+def publish(parts: Mapping[str, DataFrame], root: str, databases: Sequence[str] | None = None) -> str:
+    """Write ``parts`` (frames with a column ``database``) as a new version and make it the current
+    one of ``databases`` (default: those present in the first part). Returns its folder."""
+    first = next(iter(parts.values()))
+    spark = first.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{version}"
+    for name, df in parts.items():
+        df.write.mode("errorifexists").parquet(f"{folder}/{name}")
+    if databases is None:       # one short row per database
+        have = spark.read.schema(first.schema).parquet(f"{folder}/{next(iter(parts))}")
+        databases = sorted(r[0] for r in have.select("database").distinct().collect() if r[0] is not None)
+    for d in databases:
+        number = max((n for n, _ in _markers(spark, root, d)), default=0) + 1
+        fs, marker = _files(spark, f"{root.rstrip('/')}/_current/{quote(d, safe='')}/{number:012d}-{version}")
+        fs.create(marker, False).close()
+    _clean(spark, root)
+    return folder
+
+
+def _clean(spark: SparkSession, root: str) -> None:
+    """Delete markers older than each database's last two, and versions that no marker names,
+    unless a save may still be writing them (they are younger than a day)."""
+    keep = set()
+    for d in _names(spark, f"{root}/_current"):
+        marks = _markers(spark, root, unquote(d))
+        keep |= {v for _, v in marks[-2:]}
+        for number, version in marks[:-2]:
+            fs, p = _files(spark, f"{root}/_current/{d}/{number:012d}-{version}")
+            fs.delete(p, False)
+    fs, p = _files(spark, root)
+    now = time.time()
+    for f in fs.listStatus(p):
+        name = f.getPath().getName()
+        if name.startswith("v-") and name not in keep and now - f.getModificationTime() / 1000 > 86_400:
+            fs.delete(f.getPath(), True)
+
+
+def current(spark: SparkSession, root: str, database: str) -> str | None:
+    """Folder of the database's current version."""
+    marks = _markers(spark, root, database)
+    return f"{root.rstrip('/')}/{marks[-1][1]}" if marks else None
+
+
+def databases(spark: SparkSession, root: str) -> list[str]:
+    return sorted(unquote(n) for n in _names(spark, f"{root}/_current"))
+
+
+def read_part(spark: SparkSession, root: str, part: str, database: str | None = None) -> DataFrame | None:
+    """Rows of one part of the current version of one database or of all."""
+    by_folder: dict[str, list[str]] = {}
+    for d in [database] if database is not None else databases(spark, root):
+        folder = current(spark, root, d)
+        if folder is not None:
+            by_folder.setdefault(folder, []).append(d)
+    out = None
+    for folder, names in sorted(by_folder.items()):
+        df = spark.read.parquet(f"{folder}/{part}").where(F.col("database").isin(names))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
 
 
 def rebuild_index(items: DataFrame, path: str, database: str) -> int:
     """V3: the index of one database anew: its old items go, also if there are no new ones.
     Returns the number of items written."""
-    spark = items.sparkSession
-    items = items.where(F.col("database") == database)
-    if _reads_from(items, path):
-        items = _cut(items)
-    drop_partition(spark, path, database)
-    items.write.mode("append").partitionBy("database").parquet(path)
-    now = _read(spark, path)
-    return 0 if now is None else now.where(F.col("database") == database).count()
+    publish({"items": items.where(F.col("database") == database)}, path, [database])
+    return read_index(items.sparkSession, path, database).count()
+
+
+def read_index(spark: SparkSession, path: str, database: str | None = None) -> DataFrame | None:
+    """The current items of one database or of all; None if there never were any."""
+    return read_part(spark, path, "items", database)
 
 
 def write_versioned(df: DataFrame, root: str, name: str) -> str:
-    """Write ``df`` under a fresh version folder and return its path (the caller
-    keeps the pointer). Used for stores rewritten from themselves."""
+    """Write ``df`` under a fresh version folder and return its path (the caller keeps it)."""
     path = os.path.join(root, name, f"v-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
     return path
 
 
-def save_catalog(tables: DataFrame, columns: DataFrame, root: str) -> None:
-    """Store the catalogue of the database(s) present in the frames.
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once in the shared folder and read again: what follows neither computes it
+    again nor depends on the executors that made it."""
+    path = write_versioned(df, ensure_checkpoint_dir(df.sparkSession), f"colscope-{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-    Both parts carry one stamp. The columns are written first and the tables last, so a
-    catalogue counts as saved (C2, C3 look at the tables) only when both are there."""
-    # loaded frames read both parts of the store: cut them before either is replaced
-    tables, columns = (_cut(df) if _reads_from(df, root) else df for df in (tables, columns))
+def save_catalog(tables: DataFrame, columns: DataFrame, root: str) -> None:
+    """Store the catalogue of the database(s) present in ``tables``: both parts, with one
+    stamp, become visible together."""
     now = tables.sparkSession.sql("SELECT current_timestamp()").first()[0]
     stamp = [F.lit(CATALOG_VERSION).alias("version"), F.lit(now).alias("generated_at")]
-    write_partitioned(columns.select(*COLUMN_COLS, *stamp), os.path.join(root, "columns"))
-    write_partitioned(tables.select(*TABLE_COLS, *stamp), os.path.join(root, "tables"))
-
-
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    publish({"tables": tables.select(*TABLE_COLS, *stamp), "columns": columns.select(*COLUMN_COLS, *stamp)}, root)
 
 
 def load_catalog(spark: SparkSession, root: str, database: str) -> tuple[DataFrame, DataFrame] | None:
@@ -127,14 +148,9 @@ def load_catalog(spark: SparkSession, root: str, database: str) -> tuple[DataFra
 
     Missing optional fields get their defaults; ``primary_keys`` is rebuilt from
     the column flags in position order."""
-    t = _read(spark, os.path.join(root, "tables"))
-    c = _read(spark, os.path.join(root, "columns"))
+    t, c = (read_part(spark, root, part, database) for part in ("tables", "columns"))
     if t is None or c is None:
         return None
-    t = t.where(F.col("database") == database)   # partition pruning
-    c = c.where(F.col("database") == database)
-    if t.limit(1).count() == 0:
-        return None
     c = (c.withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
          .withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>"))))
     pk = (c.where("is_primary_key").groupBy("database", "table")
@@ -147,15 +163,11 @@ def load_catalog(spark: SparkSession, root: str, database: str) -> tuple[DataFra
 
 def list_catalogs(spark: SparkSession, root: str) -> DataFrame:
     """The stored database names."""
-    t = _read(spark, os.path.join(root, "tables"))
-    if t is None:
-        return spark.createDataFrame([], "database string")
-    return t.select("database").distinct()
+    return spark.createDataFrame([(d,) for d in databases(spark, root)], "database string")
 
 
 def catalog_exists(spark: SparkSession, root: str, database: str) -> bool:
-    t = _read(spark, os.path.join(root, "tables"))
-    return t is not None and t.where(F.col("database") == database).limit(1).count() > 0
+    return current(spark, root, database) is not None
 
 
 def clear_store(spark: SparkSession, path: str, like: DataFrame) -> None:

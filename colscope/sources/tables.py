@@ -31,18 +31,47 @@ def _listed(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(folder)]
 
 
+def jdbc_range_options(column: str, lower, upper, num_partitions: int) -> dict[str, str]:
+    """Options of a read in ``num_partitions`` ranges of a numeric, date or timestamp column. The
+    bounds only place the ranges: rows outside them fall into the first or last one. No bounds
+    (an empty table) or equal ones need no split."""
+    if lower is None or upper is None or lower == upper:
+        return {}
+    return {"partitionColumn": column, "lowerBound": str(lower), "upperBound": str(upper), "numPartitions": str(num_partitions)}
+
+
+def jdbc_bounds_query(table: str, column: str) -> str:
+    """The text by which the database itself finds a column's bounds (one row comes back, and an
+    index on the column answers it without a scan)."""
+    return f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {table}"
+
+
+def jdbc_hash_predicates(column: str, num_partitions: int, hash_sql: str = "MOD(ABS({column}), {n})") -> list[str]:
+    """Disjoint conditions that together cover all rows, for a key without useful ranges: a row
+    belongs to the part of its hash, and rows without a key to part 0. ``hash_sql`` is the text of
+    a hash below ``{n}`` in the database's own dialect (e.g. ``MOD(ABS(HASHTEXT({column})), {n})``)."""
+    h = hash_sql.format(column=column, n=num_partitions)
+    return [f"{h} = {i}" + (f" OR {column} IS NULL" if i == 0 else "") for i in range(num_partitions)]
+
+
 def load_jdbc_table(spark: SparkSession, url: str, table: str, partition_column: str | None = None,
-                    lower: int | None = None, upper: int | None = None, num_partitions: int = 64,
-                    properties: Mapping[str, str] | None = None) -> DataFrame:
-    """One JDBC table, split into ``num_partitions`` range reads when a numeric key is given."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    for k, v in (properties or {}).items():
-        reader = reader.option(k, v)
+                    lower=None, upper=None, num_partitions: int = 64, properties: Mapping[str, str] | None = None,
+                    hash_sql: str | None = None) -> DataFrame:
+    """One JDBC table. With a ``partition_column`` it is read in ``num_partitions`` tasks: by ranges,
+    whose bounds are looked up in the database (``jdbc_bounds_query``) unless given, or, with
+    ``hash_sql``, by hash conditions. Without one the read is a single task."""
+    properties = dict(properties or {})
+    if partition_column is not None and hash_sql is not None:
+        return spark.read.jdbc(url, table, predicates=jdbc_hash_predicates(partition_column, num_partitions, hash_sql), properties=properties)
+    reader = spark.read.format("jdbc").option("url", url).options(**properties)
+    split = {}
     if partition_column is not None:
-        reader = (reader.option("partitionColumn", partition_column)
-                  .option("lowerBound", lower).option("upperBound", upper)
-                  .option("numPartitions", num_partitions))
-    return reader.load()
+        if lower is None or upper is None:
+            found = reader.option("query", jdbc_bounds_query(table, partition_column)).load().first()
+            lower, upper = (found[0] if lower is None else lower), (found[1] if upper is None else upper)
+            reader = spark.read.format("jdbc").option("url", url).options(**properties)
+        split = jdbc_range_options(partition_column, lower, upper, num_partitions)
+    return reader.option("dbtable", table).options(**split).load()
 
 
 def register_views(tables: Mapping[str, DataFrame]) -> None:
@@ -101,6 +130,11 @@ def catalog_tables(spark: SparkSession, database: str | None = None,
     return out
 
 
+def catalog_comments(spark: SparkSession, database: str | None = None) -> dict[str, str]:
+    """Comments of the tables that a Spark catalog describes (name -> text), metadata only."""
+    return {t.name: t.description for t in spark.catalog.listTables(database) if t.description}
+
+
 def readable_tables(tables: Mapping[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """Split tables into those whose schema resolves and those that fail
     (name -> error text), so one broken table does not stop a profile run."""

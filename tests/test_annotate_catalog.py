@@ -96,7 +96,9 @@ def test_model_hook_and_skip_broken_table(spark):
     req = annotate.column_requests(tables, columns)
 
     def fake_model(texts):
-        return ['{"business_name": "' + t.split("\n")[2].split(": ")[1].upper() + '"}' for t in texts]
+        import json
+
+        return [json.dumps({"business_name": json.loads(t)["item"].split(".")[1].upper()}) for t in texts]
 
     replies = annotate.call_model(req, fake_model)
     out = {r["column"]: r["business_name"] for r in

@@ -23,6 +23,22 @@ TEXTS = [
     "/* a\n1 */ SELECT 1 AS x", "/* a\n' */ SELECT no_such FROM orders", "SELECT o_orderkey FROM orders LIMIT 5", "SELECT o_orderkey FROM orders LIMIT -5",
     "SELECT if(o_custkey = 5, 1, 2) AS x FROM orders WHERE o_orderstatus = 'a = 5'", "SELECT o_custkey FROM orders WHERE o_custkey = ?",
     "SELECT o_custkey FROM orders WHERE o_custkey = 3", "SELECT 1 AS \"a 5", "SELECT 1 AS \"a 5\"", "SELECT 1 AS \"b 5\" FROM orders", "", "  \n ", None, "DROP TABLE orders", "SHOW TABLES",
+    "SELECT o_orderkey FROM orders WHERE o_orderpriority = 'a'", "SELECT o_orderkey FROM orders WHERE o_orderpriority = 'it''s b'",
+    "SELECT no_such FROM orders WHERE o_orderpriority = 'c'", "SELECT o_orderkey FROM orders WHERE `o_orderpriority` = 'd' AND o_custkey = 7",
+    "SELECT o_orderkey FROM orders WHERE o_custkey = 'x'", "SELECT o_orderkey FROM orders WHERE o_orderdate = 'not a date'",
+    "SELECT o_orderkey FROM orders WHERE o_custkey IN (1, 2)", "SELECT o_orderkey FROM orders WHERE o_custkey IN (33, 4, 555)",
+    "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('a', 'b')", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('c')",
+    "SELECT o_orderkey FROM orders WHERE o_custkey IN (1, 'b')", "SELECT o_orderkey FROM orders WHERE nowhere IN (1, 2)",
+    "SELECT o_orderkey FROM orders WHERE o_custkey BETWEEN 5 AND 7", "SELECT o_orderkey FROM orders WHERE o_custkey BETWEEN 50 AND 7000",
+    "SELECT o_orderkey FROM orders WHERE o_orderpriority BETWEEN 'a' AND 'b'", "SELECT o_orderkey FROM orders WHERE o_custkey BETWEEN 5 AND 'b'",
+    "SELECT o_orderkey FROM orders LIMIT 10", "SELECT o_orderkey FROM orders LIMIT 2000", "SELECT o_orderkey FROM orders LIMIT 10 OFFSET 20",
+    "SELECT o_orderpriority = 'a' FROM orders GROUP BY o_orderpriority = 'a'", "SELECT o_orderpriority = 'b' FROM orders GROUP BY o_orderpriority = 'a'",
+    "SELECT o_orderpriority = 'b' FROM orders GROUP BY o_orderpriority = 'b'", "SELECT o_custkey IN (1, 2) FROM orders GROUP BY o_custkey IN (1, 3)",
+    "SELECT o_custkey IN (4, 2) FROM orders GROUP BY o_custkey IN (4, 2)", "SELECT count(*) FROM orders WHERE o_orderpriority = 'zz 1' GROUP BY o_custkey",
+    "SELECT `(o_orderpriority = a)` FROM (SELECT o_orderpriority = 'a' FROM orders)", "SELECT `(o_orderpriority = a)` FROM (SELECT o_orderpriority = 'b' FROM orders)",
+    "SELECT (SELECT o_custkey FROM orders b WHERE b.o_orderkey = a.o_orderkey LIMIT 1) FROM orders a",
+    "SELECT (SELECT o_custkey FROM orders b WHERE b.o_orderkey = a.o_orderkey LIMIT 5) FROM orders a",
+    "SELECT array(1) = 'a'", "SELECT o_orderkey FROM orders WHERE o_orderpriority <> 'a' AND o_orderdate >= DATE '1995-13-01'",
 ]
 
 
@@ -45,3 +61,17 @@ def test_all_texts_of_the_log_have_a_state(spark, sf):
 def test_values_make_no_forms_of_their_own(spark, sf):
     log = fx.sql_log(spark, sf).filter("query_id % 22 in (0, 1, 9, 11, 16, 17, 18, 19, 20, 21)")
     assert log.count() > 500 and log.select(execute._form(log["sql"])).distinct().count() < 150
+
+
+def test_values_of_a_usual_log_make_no_forms(spark, sf):
+    """A text for every order, each with strings, lists, ranges and limits of its own."""
+    from pyspark.sql import functions as F
+
+    o = fx.read(spark, sf, "orders")
+    k = F.col("o_orderkey").cast("string")
+    texts = [("SELECT o_orderkey FROM orders WHERE o_orderpriority = 'p", "'"), ("SELECT * FROM orders WHERE o_custkey IN (1, ", ", 3)"),
+             ("SELECT * FROM orders WHERE o_custkey BETWEEN 3 AND ", ""), ("SELECT * FROM orders WHERE o_orderpriority IN ('a', 'b ", "') LIMIT 20"),
+             ("SELECT o_custkey, count(*) FROM orders WHERE o_orderpriority = 'c", "' GROUP BY o_custkey"), ("SELECT o_custkey FROM orders LIMIT 1", "")]
+    log = o.select("o_orderkey", F.explode(F.array(*[F.concat(F.lit(a), k, F.lit(b)) for a, b in texts])).alias("sql"))
+    assert log.select("sql").distinct().count() > 5000
+    assert log.select(execute._form(log["sql"])).distinct().count() <= len(texts) + 4       # 0 is no value of its own

@@ -85,11 +85,11 @@ def test_approx_mode_close(spark, sf):
 
 
 def test_stats_pass_reads_each_table_once(spark, sf):
-    from colscope.operators.profile import exact_column_stats
+    from colscope.operators.profile import exact_column_sketches
     from colscope.plans.fixtures import all_tables
     from colscope.sources.tables import table_columns_meta
     t = all_tables(spark, sf)
-    plan = exact_column_stats(t, table_columns_meta("db", t))._jdf.queryExecution().executedPlan().toString()
+    plan = exact_column_sketches(t, table_columns_meta("db", t))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == len(t)
     assert "SortAggregate" not in plan
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colscope.operators import search
-from colscope.operators.vectors import cosine_topk, pack_sparse, term_vectors
+from colscope.operators.vectors import cosine_topk, packed_terms
 
 
 def _items(spark, rows):
@@ -18,9 +18,9 @@ def test_cosine_topk_matches_brute_force(spark):
     Q = rng.normal(size=(23, 16))
     items = spark.createDataFrame([(int(i), X[i].tolist()) for i in range(len(X))], "id long, vector array<double>")
     qs = spark.createDataFrame([(int(i), Q[i].tolist()) for i in range(len(Q))], "query_id long, vector array<double>")
-    got = cosine_topk(items, qs, 7, item_blocks=5, queries_per_block=4).collect()
+    got = cosine_topk(items, qs, 7, items_per_block=60, queries_per_block=4).collect()
     # tiny chunks: the running top-k merge across chunks gives the same answer
-    small = cosine_topk(items, qs, 7, item_blocks=2, chunk_cells=50).collect()
+    small = cosine_topk(items, qs, 7, items_per_block=150, chunk_cells=50).collect()
     assert sorted(map(tuple, small)) == sorted(map(tuple, got))
     Xn = X / np.linalg.norm(X, axis=1, keepdims=True)
     Qn = Q / np.linalg.norm(Q, axis=1, keepdims=True)
@@ -36,15 +36,15 @@ def test_topk_ties_break_by_id_and_larger_k_contains_smaller(spark):
     items = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(20)] + [(99, [0.0, 1.0])],
                                   "id long, vector array<double>")
     qs = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>")
-    a = [r["id"] for r in cosine_topk(items, qs, 5, item_blocks=3).orderBy("rank").collect()]
-    b = [r["id"] for r in cosine_topk(items, qs, 9, item_blocks=3).orderBy("rank").collect()]
+    a = [r["id"] for r in cosine_topk(items, qs, 5, items_per_block=7).orderBy("rank").collect()]
+    b = [r["id"] for r in cosine_topk(items, qs, 9, items_per_block=7).orderBy("rank").collect()]
     assert a == [0, 1, 2, 3, 4] and b[:5] == a
 
 
 def test_sparse_equals_dense(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "b b d"), (3, "e f"), (4, "a a a")], "id long, text string")
     qs = spark.createDataFrame([(10, "a b"), (11, "f")], "qid long, text string")
-    dv, qv = pack_sparse(term_vectors(docs, "id", "text", 64)), pack_sparse(term_vectors(qs, "qid", "text", 64))
+    dv, qv = packed_terms(docs, "id", "text", 64), packed_terms(qs, "qid", "text", 64)
     sp = {(r["query_id"], r["id"]): r["score"] for r in
           cosine_topk(dv, qv.withColumnRenamed("id", "query_id"), 4, sparse_dim=64).collect()}
 
@@ -142,8 +142,6 @@ def test_text_search_over_catalogue(spark, sf):
 
 
 def test_rows_without_tokens_or_vectors(spark):
-    from colscope.operators.vectors import packed_terms
-
     texts = spark.createDataFrame([(1, "a b a"), (2, "!!"), (3, None), (4, "b")], "id int, text string")
     got = {r["id"]: r for r in packed_terms(texts, "id", "text", 64).collect()}
     assert len(got) == 4 and got[2]["idx"] == [] and got[3]["val"] == []
@@ -168,3 +166,40 @@ def test_building_a_profile_input_runs_no_job(spark):
     dealt(df), term_vectors(df, "id", "text")
     assert list(tracker.getJobIdsForGroup("build-only")) == []
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_topk_moves_no_item_vector_and_runs_nothing_while_built(spark, tmp_path):
+    """Exchanges of the plan carry questions or scores only, broadcast or not; building runs no job."""
+    rng = np.random.default_rng(4)
+    spark.createDataFrame([(f"i{i % 90}", rng.normal(size=8).tolist()) for i in range(400)], "id string, vector array<float>").repartition(5).write.parquet(f"{tmp_path}/i")
+    items = spark.read.parquet(f"{tmp_path}/i")
+    made = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(40)], "query_id long, vector array<float>")
+    made.write.parquet(f"{tmp_path}/q")
+    qs = spark.read.parquet(f"{tmp_path}/q")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("topk-build", "")
+    plans = [cosine_topk(items, qs, 6), cosine_topk(items, qs, 6, broadcast_bytes=100, queries_per_block=9)]
+    assert list(tracker.getJobIdsForGroup("topk-build")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for df in plans:
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        at = next(i for i, x in enumerate(lines) if "NestedLoopJoin" in x or "CartesianProduct" in x)
+        depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+        inner = [x for x in lines[at + 1:] if depth(x) > depth(lines[at])]
+        left = inner[:next(i for i, x in enumerate(inner) if i and depth(x) == depth(inner[0]))]
+        assert any("i_val" in x for x in left)
+        assert not any("Exchange" in x for x in left)      # items: read and packed
+    assert "BroadcastNestedLoopJoin" in plans[0]._jdf.queryExecution().executedPlan().toString()
+    first, second, third = (sorted(map(tuple, p.collect())) for p in (*plans, cosine_topk(items, made, 6)))
+    assert first == second == third and len(first) == 240
+
+
+def test_topk_lets_kept_scores_go(spark, monkeypatch):
+    from colscope.operators import vectors
+
+    rng = np.random.default_rng(5)
+    items = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(200)], "id long, vector array<double>").coalesce(1)
+    qs = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(10)], "query_id long, vector array<double>")
+    want = sorted(map(tuple, cosine_topk(items, qs, 3).collect()))
+    monkeypatch.setattr(vectors, "STATE_CELLS", 1)
+    assert sorted(map(tuple, cosine_topk(items, qs, 3, items_per_block=20).collect())) == want

@@ -36,11 +36,11 @@ def test_catalog_save_load_edit_rewrite(spark, sf):
     # index rebuild is idempotent
     items = documents.index_items(t3, c3)
     p = os.path.join(root, "index")
-    store.write_partitioned(items, p)
-    store.write_partitioned(spark.read.parquet(p), p)
-    assert spark.read.parquet(p).count() == items.count()
+    store.publish({"items": items}, p)
+    store.publish({"items": store.read_index(spark, p)}, p)
+    assert store.read_index(spark, p).count() == items.count()
     store.clear_store(spark, p, items)
-    assert spark.read.parquet(p).count() == 0
+    assert spark.read.parquet(p).count() == 0 and store.read_index(spark, p) is None
 
 
 def test_status(spark, sf):
@@ -49,7 +49,7 @@ def test_status(spark, sf):
     tabs, cols = annotated_catalog(spark, sf)
     root = _root(spark)
     store.save_catalog(tabs, cols, root)
-    st = catalog.status(spark.read.parquet(os.path.join(root, "tables")), None).first()
+    st = catalog.status(store.read_part(spark, root, "tables"), None).first()
     assert st["table_count"] == 14 and st["age_text"] == "today" and st["example_count"] == 0
 
 
@@ -100,25 +100,45 @@ def test_stream_rule_counts_by_event_time(spark, sf):
     assert got.agg(F.sum("n")).first()[0] == log.count()
 
 
-def test_paths_off_the_local_disk():
-    from colscope.sources.store import lies_under, qualified
-
-    assert qualified("s3a://b/x/../y/") == "s3a://b/y" and qualified("hdfs://nn:8020//d//e") == "hdfs://nn:8020/d/e"
-    assert qualified("/a/b", "hdfs://nn:8020") == "hdfs://nn:8020/a/b" and qualified("file:/tmp/x") == "file:///tmp/x"
-    assert lies_under(["s3a://b/store/tables/database=x/p.parquet"], "s3a://b/store/tables")
-    assert not lies_under(["s3a://b/store/tables2/p.parquet"], "s3a://b/store/tables")
-    assert not lies_under(["s3a://c/store/tables/p.parquet"], "s3a://b/store/tables")
-    assert lies_under(["hdfs://nn/d/p.parquet"], "/d", "hdfs://nn")
-
-
 def test_empty_rebuild_leaves_nothing(spark):
     root = _root(spark)
     p = os.path.join(root, "index")
     items = spark.createDataFrame([("a", "db"), ("b", "db"), ("c", "other")], "id string, database string")
     assert store.rebuild_index(items, p, "db") == 2 and store.rebuild_index(items, p, "other") == 1
     assert store.rebuild_index(items.limit(0), p, "db") == 0
-    assert [r["id"] for r in spark.read.parquet(p).collect()] == ["c"]
-    assert store.rebuild_index(spark.read.parquet(p), p, "other") == 1
+    assert [r["id"] for r in store.read_index(spark, p).collect()] == ["c"]
+    assert store.rebuild_index(store.read_index(spark, p), p, "other") == 1
+
+
+def test_a_write_that_fails_leaves_the_old_version(spark, sf):
+    """Also when the second part of a catalogue fails; readers see whole versions only."""
+    import pytest
+
+    root = _root(spark)
+    items = spark.createDataFrame([("a", "a/b c"), ("b", "a/b c")], "id string, database string")
+    assert store.rebuild_index(items, f"{root}/i", "a/b c") == 2 and store.databases(spark, f"{root}/i") == ["a/b c"]
+    broken = items.withColumn("id", F.when(F.col("id") == "b", F.raise_error(F.lit("no"))).otherwise(F.col("id")))
+    with pytest.raises(Exception):
+        store.rebuild_index(broken, f"{root}/i", "a/b c")
+    assert sorted(r["id"] for r in store.read_index(spark, f"{root}/i", "a/b c").collect()) == ["a", "b"]
+    from colscope.plans.registry import annotated_catalog
+    tabs, cols = annotated_catalog(spark, sf)
+    store.save_catalog(tabs, cols, f"{root}/c")
+    with pytest.raises(Exception):
+        store.save_catalog(tabs.withColumn("description", F.lit("new")), cols.withColumn("column", F.raise_error(F.lit("no"))), f"{root}/c")
+    t, c = store.load_catalog(spark, f"{root}/c", "testdata")
+    assert t.where("description = 'new'").count() == 0 and c.count() == cols.count()
+
+
+def test_versions_before_the_last_two_are_deleted(spark, monkeypatch):
+    root = _root(spark)
+    items = spark.createDataFrame([("a", "db")], "id string, database string")
+    folders = [store.publish({"items": items}, root) for _ in range(3)]
+    assert len(store._markers(spark, root, "db")) == 2 and all(os.path.isdir(f) for f in folders)
+    later = store.time.time() + 100_000
+    monkeypatch.setattr(store.time, "time", lambda: later)
+    last = store.publish({"items": items}, root)
+    assert [os.path.isdir(f) for f in [*folders, last]] == [False, False, True, True]
 
 
 def test_a_cluster_needs_a_named_checkpoint_folder():

@@ -10,7 +10,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from colscope.operators.profile import exact_column_stats  # noqa: E402
+from colscope.operators.profile import exact_column_sketches  # noqa: E402
 from colscope.plans import fixtures as fx  # noqa: E402
 from colscope.plans.registry import QUERIES  # noqa: E402
 from colscope.session import local_session  # noqa: E402
@@ -42,7 +42,7 @@ def main():
     for title, name in SHOW.items():
         if name is None:
             t = fx.all_tables(spark, sf)
-            df = exact_column_stats(t, table_columns_meta("testdata", t))
+            df = exact_column_sketches(t, table_columns_meta("testdata", t))
         else:
             df = QUERIES[name](spark, sf)
         text = plan_text(df)
