@@ -28,14 +28,14 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept per process up to 4 M entries."""
+    """base**0 .. base**(n-1) modulo 2**64, kept per process up to the size of a block (8 MB)."""
     have = _powers.get(name)
     if have is None or len(have) < n:
         size = max(n, BLOCK_BYTES + 1)
         have = np.full(size, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 1 << 22:
+        if size == BLOCK_BYTES + 1:
             _powers[name] = have
     return have[:n]
 

@@ -3,8 +3,10 @@
 A byte-level BPE with the usual split pattern (`` ?letters| ?digits| ?marks|spaces``)
 always starts a new pre-token at a space that follows a non-space character. So a text
 is the join of the parts before such spaces, and its ids are the join of the parts' ids.
-Each task keeps the ids of the parts it has met (bounded by ``CACHE_CHARS``); the
-tokenizers library encodes only the others, in one batch per block of texts. A text that
+Each worker keeps the ids of the parts it has met (bounded by ``CACHE_BYTES``) while its tasks
+encode, and lets go of them, and of the tokenizer, ``IDLE_SECONDS`` after the last text: Spark
+uses workers again for other stages. The tokenizers library encodes only the other parts, in
+one batch per block of texts. A text that
 holds the literal of an added token (``<|endoftext|>``) has that token's id there, and no
 pre-token crosses it: such a text is encoded as a whole. Every id comes from the library as
 it is loaded, and ``tests/llm`` compares with the library's ids of whole texts.
@@ -14,10 +16,14 @@ from __future__ import annotations
 
 import os
 import re
+import threading
+import time
 import zlib
 from array import array
 
-CACHE_CHARS = 36_000_000     # with 40 for each part: about 700,000 parts, 150 MB
+CACHE_BYTES = 280 << 20      # parts of a worker: about 700,000
+PART_BYTES = 400             # of one part, its ids and its place in the dictionary, as measured
+IDLE_SECONDS = 2.0
 _SEEN_MASK = (1 << 23) - 1
 _MARKS = ".,;:!?)]}>\"%$#&*|"     # neither letters, digits, white space nor an apostrophe
 _SPACES = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
@@ -26,7 +32,8 @@ _SPACES = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
 class Encoder:
     """Text to ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int | None = None):
+        self.cache_bytes = cache_bytes or CACHE_BYTES
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -36,17 +43,17 @@ class Encoder:
         self.parts: dict[str, bytes] = {}      # part after a space -> ids of " " + part; no part ends in white space
         self.marks: dict[str, bytes] = {}       # marks that end a part -> their ids
         self.seen = bytearray(_SEEN_MASK + 1)   # by hash: met before
-        self.chars = 0
+        self.held = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _make_room(self) -> None:
         """Past the bound, keep the shorter half of the parts: they come again most."""
-        if self.chars > CACHE_CHARS:
+        if self.held > self.cache_bytes:
             kept = sorted(self.parts, key=len)[:len(self.parts) // 2]
             self.parts = {p: self.parts[p] for p in kept if len(p) <= 64}
-            self.chars = sum(map(len, self.parts)) + 40 * len(self.parts)
+            self.held = sum(map(len, self.parts)) + PART_BYTES * len(self.parts)
             self.seen = bytearray(_SEEN_MASK + 1)
 
     def _keep(self, p: str, ids: bytes, once: list[str]) -> None:
@@ -57,7 +64,7 @@ class Encoder:
             once.append(p)
             self.seen[h] = 1
         else:
-            self.chars += len(p) + 40
+            self.held += len(p) + PART_BYTES
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if self.added and self.added.search(t)]
@@ -121,15 +128,44 @@ def _join_glued(parts: list[str]) -> list[str]:
     return out
 
 
-def encode_ids(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of ``texts`` with this process's encoder for ``path``."""
-    enc = _ENCODERS.get(path)
-    if enc is None:
-        enc = _ENCODERS[path] = Encoder(path)
-    return enc(texts)
+class _Shared:
+    """The encoders of a worker process. A thread lets go of one that was idle for ``IDLE_SECONDS``;
+    the next text makes a new one."""
+
+    def __init__(self):
+        self.lock = threading.Lock()
+        self.encoders: dict[tuple, tuple[Encoder, float]] = {}
+        self.watched = False
+
+    def __call__(self, path: str, texts: list[str], cache_bytes: int | None) -> list[bytes]:
+        key = (path, cache_bytes)
+        with self.lock:
+            enc = self.encoders[key][0] if key in self.encoders else Encoder(path, cache_bytes)
+            try:
+                return enc(texts)
+            finally:
+                self.encoders[key] = (enc, time.monotonic())
+                if not self.watched:
+                    self.watched = True
+                    threading.Thread(target=self._watch, daemon=True).start()
+
+    def _watch(self) -> None:
+        while True:
+            time.sleep(IDLE_SECONDS / 2)
+            with self.lock:
+                now = time.monotonic()
+                self.encoders = {k: (e, t) for k, (e, t) in self.encoders.items() if now - t < IDLE_SECONDS}
+                if not self.encoders:
+                    self.watched = False
+                    return
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_SHARED = _Shared()
+
+
+def encode_ids(path: str, texts: list[str], cache_bytes: int | None = None) -> list[bytes]:
+    """Ids of ``texts`` with this process's encoder for ``path``."""
+    return _SHARED(path, texts, cache_bytes)
 
 
 def crc(ids: bytes) -> int:
