@@ -12,9 +12,11 @@
    so only the last sequence has padding.
 
 The layout says for each length which ranks go to which sequence and offset; a piece's
-rank is its running number plus the pieces of that length in earlier tasks. So assigning
-sequences needs no sort and no shuffle of ids, and a length that a third of all pieces
-share is spread over all tasks.
+rank is its running number plus the pieces of that length in earlier tasks. The pieces are
+written bucketed by their task, so what a task needs of that - one row with a number per
+length - comes to them by a join that moves these rows only: assigning sequences needs no
+shuffle of ids at any size, and a length that a third of all pieces share is spread over all
+tasks.
 
 Defined results: a null or empty text is one piece of the end id; null or repeated ids
 are carried along (rows are packed one by one); an empty table gives no rows.
@@ -22,6 +24,8 @@ are carried along (rows are packed one by one); an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,13 +33,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colscope.llm.blocks import text_blocks
-from colscope.llm.tables import written
+from colscope.llm.tables import shared_path, written
 from colscope.llm.tokens import encode_ids
-from colscope.plans.sizing import DEFAULT_MAX_BYTES
 from colscope.session import ship_package
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, window: int, cache_bytes: int | None = None) -> DataFrame:
     """(part, number, doc_id, start, length, doc_tokens, ids): ids as little-endian 32-bit bytes."""
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -43,7 +46,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> Data
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for b in text_blocks(batch.column(1), 2 << 20):
-                encoded = [x + end for x in encode_ids(tokenizer, [b.text(i).decode() for i in range(b.n)])]
+                encoded = [x + end for x in encode_ids(tokenizer, [b.text(i).decode() for i in range(b.n)], cache_bytes)]
                 doc, start, length, total, ids, number = [], [], [], [], [], []
                 for i, x in enumerate(encoded):
                     n = len(x) // 4
@@ -64,6 +67,18 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> Data
     return docs.mapInArrow(run, "part long, number long, doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
+def _by_task(pieces: DataFrame) -> DataFrame:
+    """``pieces`` written once in the shared folder, bucketed by ``part``: a join on it reads them where
+    they lie. The table's name is given back at once; the frame keeps the files."""
+    spark = pieces.sparkSession
+    name = f"colscope_pieces_{uuid.uuid4().hex}"
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    pieces.write.bucketBy(n, "part").option("path", shared_path(spark, "pieces")).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
     """All rows (a <= b <= c) of lengths (0: unused) with a sum of ``window``."""
     have = np.zeros(window + 1, bool)
@@ -163,13 +178,13 @@ class Layout:
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of all documents with their place: id_col, start, length, ids, doc_tokens, sequence_id, offset."""
+         id_col: str = "doc_id", text_col: str = "text", cache_bytes: int | None = None) -> DataFrame:
+    """Pieces of all documents with their place: id_col, start, length, ids, doc_tokens, sequence_id,
+    offset. ``cache_bytes`` bounds what a worker keeps of parts of text it has encoded (``tokens``)."""
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = pieces_of(docs, tokenizer, end_id, window)
-    pieces = written(pieces, "pieces")
+    pieces = _by_task(pieces_of(docs, tokenizer, end_id, window, cache_bytes))
     counts = written(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     hist = np.zeros(window + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():     # at most ``window`` rows
@@ -177,9 +192,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0,
     layout = spark.sparkContext.broadcast(Layout(hist, window))
     before = counts.select("part", "length", F.coalesce(F.sum("n").over(
         Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    # (part, length, before) of each task and length: broadcast only while small
-    small = F.broadcast if counts.count() * 64 <= DEFAULT_MAX_BYTES else lambda x: x
-    ranked = pieces.join(small(before), ["part", "length"])
+    before = before.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "before"))).alias("before"))
+    ranked = (pieces.join(before.hint("shuffle_hash"), "part")
+              .withColumn("before", F.element_at("before", F.col("length"))))
 
     def run(batches):
         lay = layout.value
