@@ -16,9 +16,11 @@
    linked to the pivot p, can only be alike if what both have beyond p makes up for what
    they lack: |x & y| <= min(|x & p|, |y & p|) + |(x - p) & (y - p)|. So the nodes of a pivot
    are joined on the shingles they have beyond it, not on the group, and only pairs whose
-   shared ones reach the missing overlap (and the few that need none) are compared. No link
-   between nodes that share a band is lost, and the pairs within a group are never listed:
-   a group of n copies, exact or near, costs about n comparisons.
+   shared ones reach the missing overlap are compared, and pairs of extracts: nodes that lie in
+   the pivot to four fifths or more may need none, and are compared with those of their size.
+   No link between nodes that share a band is lost. A group of n copies, exact or near, costs
+   about n comparisons; n extracts of one size of one long text that differ from it may still
+   cost n squared.
 
 Result: one row per input row: the id, ``class_id`` (the least id of its class) and
 ``class_size`` (rows of the class). Defined results: null text counts as empty; a text
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colscope.llm.blocks import grams, mix, seeded, text_blocks, words
-from colscope.llm.tables import written
+from colscope.llm.tables import by_key, written
 from colscope.session import ship_package
 
 SHINGLE = 5
@@ -46,6 +48,7 @@ BANDS = 36
 ROWS = 7
 LIMIT = 0.8
 _KEEP = np.uint64((1 << 44) - 1)
+_SALTS = 16             # parts that rows of one key are dealt to
 
 
 def bags(b, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,8 +192,12 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         near = (both.join(labels.select(F.col("id").alias("y"), "label"), "y")
                 .groupBy(F.col("x").alias("id")).agg(F.min("label").alias("near")))
         step = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("next"))
-        hop = step.select(F.col("id").alias("next"), F.col("next").alias("hop"))
-        new = written(step.join(hop, "next", "left")
+        # most rows of a large component point to one label: they are dealt over _SALTS parts; labels
+        # that point to themselves need no hop
+        hop = (step.filter("next < id").select(F.col("id").alias("next"), F.col("next").alias("hop"))
+               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))))
+        step = step.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int"))
+        new = written(step.join(hop, ["next", "salt"], "left")
                       .select("id", F.least("next", "hop").alias("label"), F.col("label").alias("before")), name)
         moved = new.filter(F.col("label") != F.col("before")).limit(1).count()
         labels = new.select("id", "label")
@@ -238,9 +245,18 @@ def _still_possible(compared: DataFrame, stars: DataFrame, labels: DataFrame, ne
     shared = (x.join(y, ["a", "e"]).filter(due).groupBy("a", "nx", "ny")
               .agg(F.sum(F.least("wx", "wy")).alias("both"), F.first(missing - F.col("dx") - F.col("dy")).alias("missing"))
               .filter("both >= missing"))
-    # only a node smaller than the pivot can be alike to an unlinked one without sharing more
-    free = (nodes.filter("sb < sa").select("a", *side("x")).join(nodes.filter("apart").select("a", *side("y")), "a")
-            .filter(due & (missing <= 0)))
+    # missing <= 0 asks that both nodes lie in the pivot to at least limit of their size (the sizes of
+    # alike nodes differ by that factor at most): extracts of it that are smaller than what would
+    # link them. Only those of neighbouring size classes are joined, dealt over _SALTS parts.
+    size_class = lambda c: F.floor(F.log(F.col(c)) / float(-np.log(limit)) + 1e-9)
+    extract = nodes.filter((F.col("sb") < F.col("sa")) & (F.col("overlap") >= limit * F.col("sb") - 1e-6))
+    inner = (extract.select("a", *side("x"), size_class("sb").alias("class"))
+             .withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))))
+    outer = (nodes.filter(F.col("apart") & (F.col("overlap") >= limit * F.col("sb") - 1e-6))
+             .select("a", *side("y"), size_class("sb").alias("class"))
+             .withColumn("salt", F.pmod(F.xxhash64("ny"), F.lit(_SALTS)).cast("int")))
+    free = inner.join(outer, ["a", "class", "salt"]).filter(due & (missing <= 0))
     return (shared.select("nx", "ny").union(free.select("nx", "ny"))
             .select(F.least("nx", "ny").alias("a"), F.greatest("nx", "ny").alias("b")).distinct())
 
@@ -252,8 +268,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sig = written(_signatures(docs, k, bands, rows), "signatures")
     known = sig.filter(F.col("doc_id").isNotNull())
-    reps = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
-    node_of = written(known.select("doc_id", "d1", "d2").join(reps, ["d1", "d2"]).select("doc_id", "node").distinct(), "nodes")
+    reps = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "bags")
+    node_of = written(by_key(known.select("doc_id", "d1", "d2"), reps, ["d1", "d2"]).select("doc_id", "node").distinct(), "nodes")
     own = node_of.filter(F.col("doc_id") == F.col("node")).select("doc_id")
     groups = (known.join(own, "doc_id", "left_semi")
               .select(F.explode("codes").alias("g"), F.col("doc_id").alias("node")).distinct())
@@ -275,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = (node_of.join(labels.withColumnRenamed("id", "node"), "node", "left")
                .select("doc_id", F.coalesce("label", "node").alias("class_id"))
                .groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
-    result = docs.select("doc_id").join(classes, "doc_id", "left")
-    sizes = result.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return (result.join(sizes, "class_id", "left")
-            .select(F.col("doc_id").alias(id_col), "class_id", "class_size"))
+    result = written(docs.select("doc_id").join(classes, "doc_id", "left"), "classes")
+    sizes = written(result.filter("class_id is not null").groupBy("class_id").agg(F.count("*").alias("n"))
+                    .withColumn("class_size", F.col("n")), "sizes")
+    return by_key(result, sizes, "class_id").select(F.col("doc_id").alias(id_col), "class_id", "class_size")

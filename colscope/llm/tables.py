@@ -41,17 +41,21 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> Data
     return docs.join(small_or_shuffled(gone), id_col, "left_anti").select(*docs.columns)
 
 
-def by_key(rows: DataFrame, values: DataFrame, key: str, count: str = "n") -> DataFrame:
+def by_key(rows: DataFrame, values: DataFrame, keys: str | list[str], count: str = "n") -> DataFrame:
     """``rows`` left-joined with ``values`` (one row per key, already written) on a key that a
     third of all rows may share; ``count`` of ``values`` says how many rows have the key. Keys
     with more rows than a thousand and than a millionth of all rows are broadcast, which are
     fewer than a million whatever the data; rows with another key are shuffled, rows without a
     key are not joined."""
+    keys = [keys] if isinstance(keys, str) else keys
     most = max(1000, (values.agg(F.sum(count)).first()[0] or 0) // 1_000_000)
     hot = F.broadcast(values.filter(F.col(count) > most).drop(count))
     cold = values.filter(F.col(count) <= most).drop(count)
-    extra = [f for f in values.schema.fields if f.name not in (key, count)]
-    known = rows.filter(F.col(key).isNotNull())
-    found = known.join(hot, key).unionByName(known.join(hot.select(key), key, "left_anti").join(cold, key, "left"))
-    none = rows.filter(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
+    extra = [f for f in values.schema.fields if f.name not in (*keys, count)]
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    known = rows.filter(~missing)
+    found = known.join(hot, keys).unionByName(known.join(hot.select(*keys), keys, "left_anti").join(cold, keys, "left"))
+    none = rows.filter(missing).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
     return found.unionByName(none)
