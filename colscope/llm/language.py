@@ -3,8 +3,8 @@
 The kernel of two texts is the share of n-grams (1 to ``MAX_GRAM`` bytes, a blended
 spectrum) present in both, |x & y| / sqrt(|x| |y|), over lower-cased texts in which all but
 letters is a space; n-grams are hashed to ``DIMS`` presence bits. ``fit`` takes a bounded
-sample of labelled rows (``per_language`` rows of each of at most ``max_languages`` languages),
-some of them as Nystroem landmarks; the kernel to the landmarks, whitened, gives a row's
+sample of labelled rows (``per_language`` rows of each language, fewer of each if ``max_rows``
+is shared by many, one at least), some of them as Nystroem landmarks; the kernel to the landmarks, whitened, gives a row's
 features, and kernel ridge regression, one against the rest, its scores. The sample's presence
 bits alone reach the driver. Scoring multiplies blocks of presence rows by one matrix of
 ``DIMS`` rows: no shuffle.
@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colscope.llm.blocks import Block, mix, text_blocks
+from colscope.llm.tables import small_or_shuffled, written
 from colscope.session import ship_package
 
 MAX_GRAM = 4
 DIMS = 8192
 LANDMARKS = 128
 PER_LANGUAGE = 400
-MAX_LANGUAGES = 64
+MAX_ROWS = 25_600
 
 _FOLD = np.full(256, 32, np.uint8)
 for _c in range(256):
@@ -73,17 +74,20 @@ def _parts(col, rows: int = 128):
             yield Block(b.first + lo, b.data[b.offsets[lo]:b.offsets[hi]], b.offsets[lo:hi + 1] - b.offsets[lo])
 
 
-def _sample(rows: DataFrame, per_language: int, max_languages: int, seed: int) -> list[tuple[str, np.ndarray]]:
+def _sample(rows: DataFrame, per_language: int, max_rows: int, seed: int) -> list[tuple[str, np.ndarray]]:
     """(language, presence) of the bounded sample, in a fixed order. ``rows``: id, text, lang."""
-    counts = (rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect())
-    if not counts:
-        return []
-    # a row is in if its hash is under its language's rate; about 1.3 x per_language rows of each
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * per_language / r["n"])))])
     order = F.xxhash64(F.lit(seed), F.col("id"), F.col("text"))
-    unit = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
-    picked = (rows.filter(F.col("lang").isin([r["lang"] for r in counts])).filter(unit < F.element_at(rate, F.col("lang")))
-              .select("lang", order.alias("h"), F.lower("text").alias("text")))
+    rows = rows.withColumn("h", order)
+    counts = written(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")), "languages")
+    languages = counts.count()
+    if not languages:
+        return []
+    each = max(1, min(per_language, max_rows // languages))
+    # a row is in if its hash is under its language's rate, about 1.3 x each rows, or is the least one
+    unit = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
+    rate = F.least(F.lit(1.0), F.lit(1.3 * each) / F.col("n"))
+    picked = (rows.join(small_or_shuffled(counts, 64), "lang").filter((unit < rate) | (F.col("h") == F.col("least")))
+              .select("lang", "h", F.lower("text").alias("text")))
 
     def run(batches):
         for batch in batches:
@@ -98,20 +102,20 @@ def _sample(rows: DataFrame, per_language: int, max_languages: int, seed: int) -
         got.setdefault(r["lang"], []).append((r["h"], bytes(r["bits"])))
     out = []
     for lang in sorted(got):
-        for _, bits in sorted(got[lang])[:per_language]:
+        for _, bits in sorted(got[lang])[:each]:
             x = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(np.float32)
             out.append((lang, x / max(np.sqrt(x.sum()), 1)))
     return out
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, landmarks: int = LANDMARKS,
+        per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS, landmarks: int = LANDMARKS,
         ridge: float = 1e-2, seed: int = 5) -> Model:
     """Learn from rows with a non-null language and a letter."""
     ship_package(labelled.sparkSession)
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sample = _sample(rows, per_language, max_languages, seed)
+    sample = _sample(rows, per_language, max_rows, seed)
     languages = sorted({lang for lang, _ in sample})
     if not languages:
         return Model([], np.zeros((DIMS, 0), np.float32), np.zeros(0, np.float32))
