@@ -157,9 +157,9 @@ def labelled_tokens(docs: DataFrame, rows: int = 2000, random_strings: int = 400
     the pattern matches' values as random strings and their other tokens, single and joined
     as identifiers, as ordinary ones; seeded random strings over common alphabets join the former."""
     spark = docs.sparkSession
-    ids = docs.select(F.col(id_col).alias("_id")).filter("_id is not null").orderBy(
-        F.xxhash64(F.lit(seed), "_id"), "_id").limit(rows)
-    texts = docs.join(F.broadcast(ids), docs[id_col] == F.col("_id"), "left_semi").select(F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ids = docs.select("id").filter("id is not null").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(rows)
+    texts = docs.join(F.broadcast(ids), "id", "left_semi").select("text")
     found = texts.select(F.expr(r"""regexp_extract_all(text, '(?i)(?:password|passwd|secret|token|api_?key)["\']? *[:=] *["\']?([A-Za-z0-9+/_.=-]{12,})', 1)""").alias("a"),
                          F.expr(r"regexp_extract_all(text, 'AKIA[A-Z0-9]{14,}', 0)").alias("b"),
                          F.expr(r"regexp_extract_all(text, '\\b[0-9a-f]{16,}\\b', 0)").alias("c"))
