@@ -47,5 +47,4 @@ def encoder_ids(tokenizer_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path)
-    t.encode_special_tokens = True
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4").tobytes()

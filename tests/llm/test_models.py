@@ -64,6 +64,28 @@ def test_quality_gradient_descends():
     assert ((z > 0) == (y > 0)).mean() > 0.9
 
 
+def _features(model, r):
+    x, stats = quality.features(block(r["text"]))
+    meta = np.zeros(quality.META_BUCKETS)
+    meta[int(np.log2(r["n_chars"] + 1))] = 1
+    return np.hstack([x[0], np.clip((stats[0] - model.mean) / model.scale, -6, 6) / 2, meta])
+
+
+def test_score_of_a_whole_document_is_the_machine_by_its_definition(spark, sf):
+    """``score`` uses the sum-of-squares identity on blocks; here the pairs of features are added up one by one."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) between 1 and 2000").limit(12)
+    model = queries.quality_model(spark, sf)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    for r in docs.collect():
+        f = _features(model, r)
+        at = np.flatnonzero(f)
+        z = float(model.bias) + float(f[at] @ model.w[at].astype(float))
+        for i, a in enumerate(at):
+            for b in at[:i]:
+                z += float(model.v[a].astype(float) @ model.v[b].astype(float)) * f[a] * f[b]
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
 def test_quality_edges(docs, rows, nothing, spark):
     none = spark.createDataFrame([], "doc_id long, label int")
     model = quality.fit(docs, none)
@@ -106,6 +128,40 @@ def test_presence_kernel_is_the_share_of_common_grams():
             assert abs(x[i] @ x[j] - want) < 0.02
 
 
+def test_every_language_is_learned(spark):
+    """Also when there are more languages than the bound on sample rows gives ten rows each."""
+    rng = random.Random(8)
+    rows = []
+    for n in range(90):
+        letters = [chr(0x4E00 + 40 * n + j) for j in range(20)]
+        rows += [(4 * n + j, " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(12)), f"l{n:03d}") for j in range(4)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(table.filter("doc_id % 4 <> 3"), max_rows=180, landmarks=90)
+    assert len(model.languages) == 90
+    got = language.predict(table.filter("doc_id % 4 = 3"), model).collect()
+    assert np.mean([r["lang_pred"] == f"l{r['doc_id'] // 4:03d}" for r in got]) > 0.9
+
+
+def test_scores_are_those_of_a_direct_ridge_solve(language_docs):
+    """``fit`` folds landmarks, whitening and weights into one matrix; here they are solved one by one."""
+    model = language.fit(language_docs, per_language=30, landmarks=24)
+    sample = language._sample(language_docs.selectExpr("doc_id as id", "text", "lang"), 30, 25_600, 5)
+    x = np.stack([v for _, v in sample]).astype(float)
+    y = np.array([[1.0 * (lang == k) for k in model.languages] for lang, _ in sample])
+    seen: dict = {}
+    marks = [i for i, (lang, _) in enumerate(sample) if seen.setdefault(lang, []).append(i) or len(seen[lang]) <= 8]
+    m = x[marks]
+    values, vectors = np.linalg.eigh(m @ m.T)
+    use = values > 1e-6 * values[-1]
+    z = (x @ m.T) @ (vectors[:, use] / np.sqrt(values[use]))
+    s = (y / y.sum(0)).sum(1)
+    zc = z - z.mean(0)
+    a = np.vstack([np.sqrt(s)[:, None] * zc, np.sqrt(1e-2 * 3 / len(sample)) * np.eye(zc.shape[1])])
+    w = np.linalg.lstsq(a, np.vstack([np.sqrt(s)[:, None] * (y - 1 / 3), np.zeros((zc.shape[1], 3))]), rcond=None)[0]
+    want = zc @ w + 1 / 3
+    assert np.abs(x @ model.weights + model.bias - want).max() < 1e-3
+
+
 def test_language_edges(spark, docs, rows, nothing, language_docs):
     model = language.fit(language_docs, per_language=20, landmarks=12)
     got = language.predict(docs, model).collect()
@@ -213,6 +269,36 @@ def test_random_strings_and_identifiers_are_told_apart(model):
     assert np.mean([hit(t) for t in names]) < 0.02
 
 
+def test_planted_secrets_in_given_texts(spark, sf):
+    """What only the model can find: random strings without a prefix, put between the words of the given
+    documents, beside ordinary identifiers; trained as the registered query is."""
+    rng = random.Random(21)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    alphabets = [secrets.CHARS[:62], secrets.CHARS[:26] + secrets.CHARS[52:62], secrets.CHARS[26:62], secrets.CHARS[:64]]
+    rows, planted, names = [], {}, {}
+    for r in docs.collect():
+        words = (r["text"] or "").split(" ")
+        at = rng.randrange(len(words) + 1)
+        if r["doc_id"] % 2 == 0:
+            token = "".join(rng.choice(alphabets[r["doc_id"] // 2 % 4]) for _ in range(rng.randint(20, 40)))
+            planted[r["doc_id"]] = token
+        else:
+            a, b = rng.sample([w for w in words if w.isalpha()] or ["total", "count"], 2) if len(set(words)) > 4 else ("total", "count")
+            token = rng.choice([f"{a}_{b}_by_date_2024", f"get{a.title()}For{b.title()}V2", f"{a}-{b}-section-12", f"lib/{a}/{b}/v2"])
+            names[r["doc_id"]] = token
+        words.insert(at, token)
+        rows.append((r["doc_id"], " ".join(words)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(table, queries.secret_model(docs)).collect()}
+    text = dict(rows)
+    own = {i: {text[i][x["start"]:x["end"]] for x in found[i] if x["kind"] == "random"} for i in found}
+    can = [i for i, t in planted.items() if re.search(r"\d", t) and re.search("[A-Za-z]", t)]
+    hit = sum(any(planted[i] in x or x in planted[i] for x in own[i]) or any(x["kind"] != "random" for x in found[i]) for i in can)
+    wrong = sum(len([x for x in s if x not in planted.get(i, "") and planted.get(i, "\0") not in x]) for i, s in own.items())
+    print(f"planted {len(can)}, found {hit}; other spans of the model {wrong}, identifiers flagged {sum(names[i] in own[i] for i in names)} of {len(names)}")
+    assert hit >= 0.95 * len(can) and wrong <= 0.05 * hit
+
+
 def test_redaction(spark, docs, rows, model):
     table = docs.limit(0).union(spark.createDataFrame([(i, t, None, None, 5, 0.1, "b", 1) for i, t in enumerate(SECRETS)], docs.schema))
     got = {r["doc_id"]: r for r in secrets.redact(table, model).collect()}
