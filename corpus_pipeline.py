@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns
 a DataFrame with the columns of ``documents`` (the last one: packed pieces). ``run`` writes
 every stage's result as Parquet in the shared folder and reads it again for the next one.
-Rows with a null id or text pass each stage as its operator defines; an empty table stays
-empty.
+Rows with a null text pass each stage as its operator defines; rows with a null or repeated id
+are judged row by row, like the others; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from colscope.llm import decontaminate, neardup, packing, quality, queries, secr
 from colscope.llm.tables import small_or_shuffled, table, without_ids, written
 
 TOKENIZER = "byte_bpe_50k.json"
+#: What a worker may keep of the parts of text it has encoded: less than in op2, as the JVM beside it
+#: has grown in the stages before.
+PARTS_BYTES = 96 << 20
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,30 +27,39 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, queries.quality_model(spark, sf_dir))
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the least id. A row without id stays."""
-    classes = neardup.near_duplicates(docs).select("doc_id", "class_id")
-    return _one_per_id(without_ids(docs, classes.filter(F.col("doc_id") != F.col("class_id"))))
+def with_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key ``_key`` of every row: its id where that is its alone, otherwise (a null or
+    repeated id) a number of its own from 2^62 on, the hash of all its columns. Rows that are alike
+    in every column share a key."""
+    twice = written(docs.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1 or doc_id is null").select(
+        "doc_id", F.lit(True).alias("_twice")), "repeated-ids")
+    own = F.lit(1 << 62) + F.xxhash64(F.to_json(F.struct(*docs.columns))).bitwiseAND((1 << 60) - 1)
+    if not twice.limit(1).count():
+        return docs.withColumn("_key", F.col("doc_id").cast("long"))
+    flagged = docs.join(small_or_shuffled(twice.filter("doc_id is not null")), "doc_id", "left")
+    return flagged.select(*docs.columns, F.when(F.col("_twice") | F.col("doc_id").isNull(), own)
+                          .otherwise(F.col("doc_id").cast("long")).alias("_key"))
 
 
-def _one_per_id(docs: DataFrame) -> DataFrame:
-    """Rows that share an id are one document: the first by text stays. Only ids that occur
-    twice or more are looked at again."""
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1 and doc_id is not null").select("doc_id")
-    twice = written(twice, "repeated-ids")
-    if not twice.limit(1).count():
-        return docs
-    twice = small_or_shuffled(twice)
-    whole = docs.join(twice, "doc_id", "left_anti")
-    rest = docs.join(twice, "doc_id", "left_semi")
-    cols = [c for c in docs.columns if c != "doc_id"]
-    first = rest.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in cols if c != "text"])).alias("_r"))
-    return whole.select(*docs.columns).unionByName(first.select("doc_id", "_r.*").select(*docs.columns))
+def _kept(keyed: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``keyed`` whose key is not in ``gone`` (column ``_key``)."""
+    return without_ids(keyed, gone, "_key").select(*columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates, one document: the least id, or a row with a null or repeated
+    id where the class has no other. Rows alike in every column are one."""
+    keyed = with_keys(docs)
+    classes = neardup.near_duplicates(keyed, id_col="_key").select("_key", "class_id")
+    left = without_ids(keyed, classes.filter(F.col("_key") != F.col("class_id")), "_key")
+    odd = left.filter(F.col("_key") >= 1 << 62).dropDuplicates(["_key"])
+    return left.filter(F.col("_key") < 1 << 62).unionByName(odd).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item to half its words."""
-    return without_ids(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
+    keyed = with_keys(docs)
+    return _kept(keyed, decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="_key"), docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +69,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces in sequences of 1024 tokens: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER), window=1024, end_id=0)
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), window=1024, end_id=0, cache_bytes=PARTS_BYTES)
 
 
 STAGES = [
