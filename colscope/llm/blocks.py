@@ -9,6 +9,7 @@ bytes, computed for all words of a block from one running sum.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -28,7 +29,7 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept per process up to the size of a block (8 MB)."""
+    """base**0 .. base**(n-1) modulo 2**64, kept per process up to the size of a block (4 MB)."""
     have = _powers.get(name)
     if have is None or len(have) < n:
         size = max(n, BLOCK_BYTES + 1)
@@ -51,6 +52,23 @@ def seeded(x: np.ndarray, seed: int) -> np.ndarray:
     return mix(x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x1234567) & 0xFFFFFFFFFFFFFFFF))
 
 
+def lean(run):
+    """``run`` for ``mapInArrow``, after whose last batch the worker gives freed memory back to the
+    system: Spark uses its workers again for other stages, and what the allocators keep counts
+    as the executor's."""
+    def lean_run(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):       # not glibc
+                pass
+
+    return lean_run
+
+
 @dataclass
 class Block:
     """Rows ``first..first+n`` of a batch: their bytes and where each text starts."""

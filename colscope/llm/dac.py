@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colscope.llm.blocks import text_blocks
+from colscope.llm.blocks import lean, text_blocks
+from colscope.llm.tables import short_batches
 from colscope.llm.tokens import encode_ids
 from colscope.session import ship_package
 
@@ -102,7 +103,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, files: in
                 "levels": encode(flat)}], _ARROW)
 
         for batch in batches:
-            for b in text_blocks(batch.column(1), 2 << 20):
+            for b in text_blocks(batch.column(1)):
                 for i, x in enumerate(encode_ids(tokenizer, [b.text(i).decode() for i in range(b.n)])):
                     ids.append(x + end)
                     sizes.append(len(x) // 4 + 1)
@@ -115,7 +116,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, files: in
         if ids:
             yield segment()
 
-    rows.mapInArrow(run, _SCHEMA).write.parquet(path)
+    with short_batches(spark):
+        rows.mapInArrow(lean(run), _SCHEMA).write.parquet(path)
 
 
 _ARROW = pa.schema([

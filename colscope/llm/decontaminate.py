@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.blocks import Block, grams, text_blocks, words
+from colscope.llm.blocks import Block, grams, lean, text_blocks, words
 from colscope.llm.tables import written
 from colscope.plans.sizing import DEFAULT_MAX_BYTES
 from colscope.session import ship_package
@@ -61,7 +61,7 @@ def seed_table(items: DataFrame, k: int) -> DataFrame:
                         ["item", "pos", "seed", "size", "tokens"])
 
     return items.select("item", F.lower("item_text").alias("text")).mapInArrow(
-        run, "item long, pos long, seed long, size int, tokens long")
+        lean(run), "item long, pos long, seed long, size int, tokens long")
 
 
 def _bit_table(seeds: DataFrame, bits: int) -> np.ndarray:
@@ -109,7 +109,7 @@ def _seeded_docs(docs: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFr
                     pa.ListArray.from_arrays(pa.array(np.append(first, len(h)).astype(np.int32)), pa.array(h.view(np.int64)))],
                     ["doc_id", "text", "seeds"])
 
-    return docs.mapInArrow(run, "doc_id long, text string, seeds array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, text string, seeds array<long>")
 
 
 def tile(item: np.ndarray, doc: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -182,7 +182,7 @@ def _tiled(pairs: DataFrame, k: int) -> DataFrame:
                     [pa.array(c, pa.int64()) for c in cols], ["row", "doc_id", "item", "matched", "item_tokens", "tiles"])
 
     return pairs.select("row", "doc_id", "item", "text", "item_text").mapInArrow(
-        run, "row long, doc_id long, item long, matched long, item_tokens long, tiles long")
+        lean(run), "row long, doc_id long, item long, matched long, item_tokens long, tiles long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = SEED_WORDS, coverage: float = COVERAGE,

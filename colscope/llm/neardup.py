@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colscope.llm.blocks import grams, mix, seeded, text_blocks, words
+from colscope.llm.blocks import grams, lean, mix, seeded, text_blocks, words
 from colscope.llm.tables import by_key, written
 from colscope.session import ship_package
 
@@ -113,7 +113,7 @@ def bag_minhash(rows: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, m: i
 def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for b in text_blocks(batch.column(1), 1 << 19):
+            for b in text_blocks(batch.column(1), 1 << 18):
                 r, h, c = bags(b, k)
                 size = np.bincount(r, weights=c, minlength=b.n).astype(np.int64)
                 sig = bag_minhash(r, h, c, b.n, bands * rows)
@@ -136,7 +136,7 @@ def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     ["doc_id", "size", "d1", "d2", "codes"])
 
     return docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(
-        run, "doc_id long, size long, d1 long, d2 long, codes array<long>")
+        lean(run), "doc_id long, size long, d1 long, d2 long, codes array<long>")
 
 
 def _overlaps(pairs: DataFrame, k: int) -> DataFrame:
@@ -149,7 +149,7 @@ def _overlaps(pairs: DataFrame, k: int) -> DataFrame:
                 m, sides = part.num_rows, []
                 for c in (2, 3):
                     keys, counts = [], []
-                    for b in text_blocks(part.column(c), 1 << 19):
+                    for b in text_blocks(part.column(c), 1 << 18):
                         r, h, cnt = bags(b, k)
                         keys.append(((r + b.first).astype(np.uint64) << np.uint64(44)) | h)
                         counts.append(cnt)
@@ -169,7 +169,7 @@ def _overlaps(pairs: DataFrame, k: int) -> DataFrame:
                     ["a", "b", "sa", "sb", "overlap", "beyond"])
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(
-        run, "a long, b long, sa long, sb long, overlap long, beyond array<struct<e:long,w:long>>")
+        lean(run), "a long, b long, sa long, sb long, overlap long, beyond array<struct<e:long,w:long>>")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:

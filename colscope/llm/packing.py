@@ -32,8 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colscope.llm.blocks import text_blocks
-from colscope.llm.tables import shared_path, written
+from colscope.llm.blocks import lean, text_blocks
+from colscope.llm.tables import shared_path, short_batches, written
 from colscope.llm.tokens import encode_ids
 from colscope.session import ship_package
 
@@ -45,7 +45,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, window: int, cache_b
         seen = np.zeros(window + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for b in text_blocks(batch.column(1), 2 << 20):
+            for b in text_blocks(batch.column(1)):
                 encoded = [x + end for x in encode_ids(tokenizer, [b.text(i).decode() for i in range(b.n)], cache_bytes)]
                 doc, start, length, total, ids, number = [], [], [], [], [], []
                 for i, x in enumerate(encoded):
@@ -64,7 +64,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, window: int, cache_b
                     pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())],
                     ["part", "number", "doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return docs.mapInArrow(run, "part long, number long, doc_id long, start long, length long, doc_tokens long, ids binary")
+    return docs.mapInArrow(lean(run), "part long, number long, doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
 def _by_task(pieces: DataFrame) -> DataFrame:
@@ -73,7 +73,8 @@ def _by_task(pieces: DataFrame) -> DataFrame:
     spark = pieces.sparkSession
     name = f"colscope_pieces_{uuid.uuid4().hex}"
     n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
-    pieces.write.bucketBy(n, "part").option("path", shared_path(spark, "pieces")).saveAsTable(name)
+    with short_batches(spark):
+        pieces.write.bucketBy(n, "part").option("path", shared_path(spark, "pieces")).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return out
@@ -218,4 +219,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0,
                 [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     return ranked.select("doc_id", "start", "length", "number", "before", "doc_tokens", "ids").mapInArrow(
-        run, f"`{id_col}` long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+        lean(run), f"`{id_col}` long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.blocks import Block, text_blocks, words
+from colscope.llm.blocks import Block, lean, text_blocks, words
 from colscope.session import ship_package
 
 WORD_DIMS = 4096
@@ -233,7 +233,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 [batch.column(0).slice(first, n), pa.array(_scores(shared.value, x, stats, m))], [id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return rows.mapInArrow(lean(run), f"`{id_col}` {kind}, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text",
@@ -247,4 +247,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: s
             keep = pa.array(_scores(shared.value, x, stats, m) >= threshold)
             yield batch.slice(first, n).filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

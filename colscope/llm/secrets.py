@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.blocks import Block, text_blocks
+from colscope.llm.blocks import Block, lean, text_blocks
 from colscope.session import ship_package
 
 # The base patterns and their least lengths.
@@ -191,7 +191,7 @@ def find_secrets(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
                     pa.array([[dict(zip(("kind", "start", "end", "score"), x)) for x in spans.get(i, ())] for i in range(b.n)], kind)],
                     [id_col, "spans"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, f"`{id_col}` long, spans {SPAN}")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(run), f"`{id_col}` long, spans {SPAN}")
 
 
 def redact(docs: DataFrame, model: Model, text_col: str = "text", chars_col: str | None = "n_chars",
@@ -224,4 +224,4 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text", chars_col: str
                 cols[size] = pa.array([len(new[i]) if i in new else n for i, n in enumerate(cols[size].to_pylist())], cols[size].type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
