@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from colscope.functions.text import py_strip, truncate_text
 from colscope.operators.guard import EXECUTION_ERROR, audit, validate
-from colscope.plans.sizing import broadcast_if_small
+from colscope.plans.sizing import checked_broadcast
 from colscope.session import ensure_checkpoint_dir
 
 ERROR_LIMIT = 300
@@ -135,13 +135,13 @@ def dry_run_log(log: DataFrame, sql_col: str = "sql") -> DataFrame:
     ruled = audit(log, sql_col).drop("rule", "statement_type").withColumn(
         "_form", F.when(F.col("is_valid"), _form(py_strip(F.col(sql_col)), names)))
     forms = ruled.filter("is_valid").groupBy(F.col("_form")).agg(F.min(py_strip(F.col(sql_col))).alias("sql"))
-    schema, states, batch, n = "_form string, _ok boolean", [], [], 0
+    schema, states, batch = "_form string, _ok boolean", [], []
 
     def keep() -> None:
         states.append(spark.createDataFrame(batch, schema).checkpoint())
         batch.clear()
 
-    for n, r in enumerate(forms.toLocalIterator(), 1):
+    for r in forms.toLocalIterator():
         batch.append((r["_form"], _analysed(spark, {"is_valid": True, "sql": r["sql"]}).df is not None))
         if len(batch) == DRY_RUN_BATCH:
             keep()
@@ -151,7 +151,7 @@ def dry_run_log(log: DataFrame, sql_col: str = "sql") -> DataFrame:
     for s in states[1:]:
         state = state.union(s)
     refused = F.col("is_valid") & ~F.coalesce("_ok", F.lit(False))
-    return (ruled.join(broadcast_if_small(state, n, 50_000, 1000), "_form", "left")
+    return (ruled.join(checked_broadcast(state, 50_000)[0], "_form", "left")
             .withColumn("error_type", F.when(refused, F.lit(EXECUTION_ERROR)).otherwise(F.col("error_type")))
             .withColumn("is_valid", F.col("is_valid") & ~refused).drop("_form", "_ok"))
 

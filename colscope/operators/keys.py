@@ -2,7 +2,8 @@
 
 *Inclusion.* Pairs of columns are cut down three times before a value is compared:
 
-1. by the per-column figures (value family, distinct count, range of order codes);
+1. by the per-column figures (value family, distinct count, range of order codes), where
+   columns meet by the binary blocks of their ranges, so that no join has a family alone as key;
 2. by *sketches* that the stats job leaves behind: the values' hashes are dealt into
    ``SKETCH_SLOTS`` slots and the least hash of each slot is kept. If every value of A is one
    of B's, then no slot's least hash is smaller for A than for B, nor is a slot of B empty that A
@@ -39,7 +40,9 @@ def value_hash() -> F.Column:
 
 
 def refuted_pairs(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """``(fk_col_id, key_col_id)`` of the pairs that the sketches ``(col_id, slot, low)`` rule out."""
+    """``(fk_col_id, key_col_id)`` of the pairs that the sketches ``(col_id, slot, low)`` rule out. Nulls
+    (rows without a slot) say nothing."""
+    sketch = sketch.where("slot is not null")
     fk = sketch.select(F.col("col_id").alias("fk_col_id"), "slot", F.col("low").alias("fk_low"))
     key = sketch.select(F.col("col_id").alias("key_col_id"), "slot", F.col("low").alias("key_low"))
     return (pairs.select("fk_col_id", "key_col_id").join(fk, "fk_col_id").join(key, ["key_col_id", "slot"], "left")
@@ -47,16 +50,29 @@ def refuted_pairs(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
             .select("fk_col_id", "key_col_id").distinct())
 
 
+#: The smallest binary block ``(level, prefix)`` of the order codes that holds a column's whole range: the
+#: codes that agree with its ends in all but the last ``level`` bits.
+_LEVEL = ("CAST(CASE WHEN (min_code ^ max_code) < 0 THEN 64 WHEN min_code = max_code THEN 0 "
+          "ELSE length(bin(min_code ^ max_code)) END AS INT)")
+_PREFIX = "CASE WHEN level = 64 THEN 0L ELSE shiftright(min_code, level) END"
+
+
 def column_pairs(meta: DataFrame, stats: DataFrame) -> DataFrame:
     """Pairs (A.x, B.y) that the per-column figures leave possible: B.y is a candidate key of A.x's
-    value family, has at least as many distinct values, and its range covers A.x's."""
-    m = meta.select("col_id", "table", "column", "family").join(stats, "col_id")
-    fk = m.where(F.col("family").isNotNull() & (F.col("unique_count") > 0)).alias("a")
-    kk = m.where(F.col("is_candidate_key") & F.col("family").isNotNull()).alias("b")
-    # a column without order codes is not pruned by range
-    range_ok = F.coalesce((F.col("a.min_code") >= F.col("b.min_code")) & (F.col("a.max_code") <= F.col("b.max_code")), F.lit(True))
-    return (fk.join(kk, (F.col("a.family") == F.col("b.family")) & (F.col("a.col_id") != F.col("b.col_id"))
-                    & (F.col("a.unique_count") <= F.col("b.unique_count")) & range_ok)
+    value family, has at least as many distinct values, and its range covers A.x's.
+
+    Columns meet by range, not by family alone: if B.y's range covers A.x's, then the block of
+    B.y's range is A.x's or one of the at most 64 blocks around it, so A.x enters those."""
+    m = (meta.select("col_id", "table", "column", "family").join(stats, "col_id")
+         .where(F.col("family").isNotNull() & F.col("min_code").isNotNull()))
+    m = m.withColumn("level", F.expr(_LEVEL)).withColumn("prefix", F.expr(_PREFIX))
+    fk = m.where(F.col("unique_count") > 0).withColumn("level", F.explode(F.sequence(F.col("level"), F.lit(64))))
+    fk = fk.withColumn("prefix", F.expr(_PREFIX)).alias("a")
+    kk = m.where("is_candidate_key").alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("family", "level", "prefix")]
+    return (fk.join(kk, same[0] & same[1] & same[2] & (F.col("a.col_id") != F.col("b.col_id"))
+                    & (F.col("a.unique_count") <= F.col("b.unique_count"))
+                    & (F.col("a.min_code") >= F.col("b.min_code")) & (F.col("a.max_code") <= F.col("b.max_code")))
             .select(F.col("a.col_id").alias("fk_col_id"), F.col("b.col_id").alias("key_col_id"),
                     F.col("a.table").alias("fk_table"), F.col("a.column").alias("fk_column"),
                     F.col("b.table").alias("key_table"), F.col("b.column").alias("key_column"),

@@ -162,12 +162,15 @@ def all_turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_seconds(F.lit(1735689600) + F.col("a.conv_id") * 60 + F.col("a.turn")).alias("added_at"))
 
 
+SHAPES = 26
+
+
 def sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A SQL log over ``orders``: one text per order, 22 shapes by order key."""
+    """A SQL log over ``orders``: one text per order, ``SHAPES`` shapes by order key."""
     o = read(spark, sf_dir, "orders")
     k = F.col("o_orderkey").cast("string")
     c = F.col("o_custkey").cast("string")
-    m = F.pmod(F.col("o_orderkey"), F.lit(22))
+    m = F.pmod(F.col("o_orderkey"), F.lit(SHAPES))
     t = (F.when(m == 0, F.concat(F.lit("SELECT * FROM orders WHERE o_orderkey = "), k))
          .when(m == 1, F.concat(F.lit("WITH t AS (SELECT o_custkey FROM orders WHERE o_orderkey = "), k,
                                 F.lit(") SELECT * FROM t")))
@@ -192,5 +195,11 @@ def sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(m == 18, F.concat(F.lit("/* report\n"), k, F.lit(" */ SELECT o_orderkey FROM orders")))
          .when(m == 19, F.concat(F.lit("WITH t AS (SELECT 1 AS a)\n-- main part\nSELECT a + "), k, F.lit(" FROM t")))
          .when(m == 20, F.concat(F.lit('WITH t AS (SELECT 1 AS "a) DELETE '), k, F.lit('") SELECT * FROM t')))
-         .otherwise(F.concat(F.lit("SELECT 'it''s -- no; comment' AS note, "), k, F.lit(" AS n"))))
+         .when(m == 21, F.concat(F.lit("SELECT 'it''s -- no; comment' AS note, "), k, F.lit(" AS n")))
+         .when(m == 22, F.concat(F.lit("SELECT o_orderkey FROM orders WHERE o_orderpriority = 'p "), k, F.lit("'")))
+         .when(m == 23, F.concat(F.lit("SELECT * FROM orders WHERE o_custkey IN (7, 1"), c, F.lit(") AND o_orderpriority IN ('a', 'b"), k,
+                                 F.lit("') LIMIT 2"), k))
+         .when(m == 24, F.concat(F.lit("SELECT o_custkey, count(*) FROM orders WHERE o_custkey BETWEEN 3 AND 1"), c,
+                                 F.lit(" AND o_orderstatus <> 'x"), k, F.lit("' GROUP BY o_custkey")))
+         .otherwise(F.concat(F.lit("SELECT o_orderkey FROM orders WHERE no_such = 'p "), k, F.lit("'"))))
     return o.select(F.col("o_orderkey").alias("query_id"), t.alias("sql"))

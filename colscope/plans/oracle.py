@@ -8,7 +8,7 @@ Java's float/double text (scientific below 1e-3 and from 1e7), arrays as
 
 from __future__ import annotations
 
-from colscope.plans.fixtures import FOREIGN_KEYS, PRIMARY_KEYS, TABLE_COMMENTS
+from colscope.plans.fixtures import FOREIGN_KEYS, PRIMARY_KEYS, SHAPES, TABLE_COMMENTS
 
 # ---- fixed values: the given tables, their columns and Spark types ----
 SCHEMAS: dict[str, list[tuple[str, str]]] = {
@@ -341,7 +341,7 @@ def fused_out(top_k: int, filter_type: str | None = None, filter_table: str | No
 
 
 SQL_LOG = (
-    "(SELECT o_orderkey AS query_id, CASE o_orderkey % 22 "
+    f"(SELECT o_orderkey AS query_id, CASE o_orderkey % {SHAPES} "
     "WHEN 0 THEN 'SELECT * FROM orders WHERE o_orderkey = ' || o_orderkey "
     "WHEN 1 THEN 'WITH t AS (SELECT o_custkey FROM orders WHERE o_orderkey = ' || o_orderkey || ') SELECT * FROM t' "
     "WHEN 2 THEN 'DROP TABLE orders_' || o_orderkey "
@@ -363,7 +363,13 @@ SQL_LOG = (
     "WHEN 18 THEN '/* report' || chr(10) || o_orderkey || ' */ SELECT o_orderkey FROM orders' "
     "WHEN 19 THEN 'WITH t AS (SELECT 1 AS a)' || chr(10) || '-- main part' || chr(10) || 'SELECT a + ' || o_orderkey || ' FROM t' "
     "WHEN 20 THEN 'WITH t AS (SELECT 1 AS \"a) DELETE ' || o_orderkey || '\") SELECT * FROM t' "
-    "ELSE 'SELECT ''it''''s -- no; comment'' AS note, ' || o_orderkey || ' AS n' END AS sql FROM orders)")
+    "WHEN 21 THEN 'SELECT ''it''''s -- no; comment'' AS note, ' || o_orderkey || ' AS n' "
+    "WHEN 22 THEN 'SELECT o_orderkey FROM orders WHERE o_orderpriority = ''p ' || o_orderkey || '''' "
+    "WHEN 23 THEN 'SELECT * FROM orders WHERE o_custkey IN (7, 1' || o_custkey || ') AND o_orderpriority IN (''a'', ''b' || o_orderkey "
+    "|| ''') LIMIT 2' || o_orderkey "
+    "WHEN 24 THEN 'SELECT o_custkey, count(*) FROM orders WHERE o_custkey BETWEEN 3 AND 1' || o_custkey || ' AND o_orderstatus <> ''x' "
+    "|| o_orderkey || ''' GROUP BY o_custkey' "
+    "ELSE 'SELECT o_orderkey FROM orders WHERE no_such = ''p ' || o_orderkey || '''' END AS sql FROM orders)")
 
 # what each shape must give, stated by hand: statement types, error, rule
 VERDICTS = [
@@ -383,19 +389,19 @@ VERDICTS = [
     ("SELECT", "injection_detected", r"'\s*OR\s+'1'\s*=\s*'1"),
     ("SELECT", "injection_detected", r"UNION\s+SELECT\s+NULL"),
     ("SHOW", "dangerous_operation", "statement:SHOW"),
-    *[("SELECT", None, None)] * 6,
+    *[("SELECT", None, None)] * 10,
 ]
 
 
 # accepted by the rules but refused by Spark's parser or analysis: two statements; a
-# double-quoted text, which is a string and not a name in Spark
-DRY_RUN_ERRORS = [11, 20]
+# double-quoted text, which is a string and not a name in Spark; a column that is not there
+DRY_RUN_ERRORS = [11, 20, 25]
 
 
 def by_shape_sql(field: int) -> str:
     """The stated value of a shape: 0 types, 1 error, 2 rule."""
     text = lambda v: "NULL" if v is None else lit(v)
-    return "CASE query_id % 22 " + " ".join(f"WHEN {i} THEN {text(v[field])}" for i, v in enumerate(VERDICTS)) + " END"
+    return f"CASE query_id % {SHAPES} " + " ".join(f"WHEN {i} THEN {text(v[field])}" for i, v in enumerate(VERDICTS)) + " END"
 
 
 def first_hit_sql(x: str, patterns: list[str]) -> str:
@@ -597,12 +603,12 @@ def oracle_queries() -> dict[str, str]:
     out["score_fusion_table_filter"] = fused_out(10, filter_table="t3")
     dry = [m for m, (_, e, _) in enumerate(VERDICTS) if e is None and m not in DRY_RUN_ERRORS]
     out["dry_run_audit"] = (
-        f"SELECT query_id % 22 AS shape, min(query_id) AS query_id, query_id % 22 IN ({', '.join(map(str, dry))}) AS is_valid, "
-        f"CASE WHEN query_id % 22 IN ({', '.join(map(str, DRY_RUN_ERRORS))}) THEN 'execution_error' ELSE {by_shape_sql(1)} END AS error_type "
+        f"SELECT query_id % {SHAPES} AS shape, min(query_id) AS query_id, query_id % {SHAPES} IN ({', '.join(map(str, dry))}) AS is_valid, "
+        f"CASE WHEN query_id % {SHAPES} IN ({', '.join(map(str, DRY_RUN_ERRORS))}) THEN 'execution_error' ELSE {by_shape_sql(1)} END AS error_type "
         f"FROM {SQL_LOG} GROUP BY ALL")
     out["dry_run_log"] = (
-        f"SELECT query_id, query_id % 22 IN ({', '.join(map(str, dry))}) AS is_valid, "
-        f"CASE WHEN query_id % 22 IN ({', '.join(map(str, DRY_RUN_ERRORS))}) THEN 'execution_error' ELSE {by_shape_sql(1)} END AS error_type "
+        f"SELECT query_id, query_id % {SHAPES} IN ({', '.join(map(str, dry))}) AS is_valid, "
+        f"CASE WHEN query_id % {SHAPES} IN ({', '.join(map(str, DRY_RUN_ERRORS))}) THEN 'execution_error' ELSE {by_shape_sql(1)} END AS error_type "
         f"FROM {SQL_LOG}")
     amount = "sum(CAST(l_extendedprice AS DECIMAL(18, 2)))"
     out["reconcile_claims"] = (

@@ -572,7 +572,7 @@ def q_dry_run_log(spark, sf_dir):
 def q_dry_run_audit(spark, sf_dir):
     """The first text of every shape of the SQL log, out of the dry run of the whole log."""
     first = F.min(F.struct("query_id", "is_valid", "error_type")).alias("q")
-    return (q_dry_run_log(spark, sf_dir).groupBy(F.pmod("query_id", F.lit(22)).alias("shape")).agg(first)
+    return (q_dry_run_log(spark, sf_dir).groupBy(F.pmod("query_id", F.lit(fx.SHAPES)).alias("shape")).agg(first)
             .select("shape", "q.*"))
 
 

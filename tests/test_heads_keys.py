@@ -60,13 +60,13 @@ def test_sketches_refute_no_true_inclusion(spark):
     rng = random.Random(3)
     base = list(range(3000))
     t = {"big": spark.createDataFrame([(i, f"v{i}") for i in base], "id long, name string"),
-         "part": spark.createDataFrame([(i, f"v{i}") for i in rng.sample(base, 700)], "ref int, label string"),
+         "part": spark.createDataFrame([(i, f"v{i}") for i in rng.sample(base, 700)] + [(None, None)] * 3, "ref int, label string"),
          "stray": spark.createDataFrame([(2 * i, f"w{i}") for i in rng.sample(base[:1400], 700)] + [(2999, "v1")], "ref int, label string"),
          "other": spark.createDataFrame([(i + 0, f"u{i}") for i in range(0, 3000, 2)], "id long, name string")}
     p = profile_tables(spark, t, "db")
     found = {tuple(r)[:4] for r in p.inclusions.collect()}
     want = set()
-    cols = {(n, c): {r[0] for r in df.select(c).collect()} for n, df in t.items() for c in df.columns}
+    cols = {(n, c): {r[0] for r in df.select(c).collect() if r[0] is not None} for n, df in t.items() for c in df.columns}
     unique = {k for k, v in cols.items() if len(v) == t[k[0]].count()}
     for a in cols:
         for b in unique:
@@ -81,6 +81,21 @@ def test_sketches_refute_no_true_inclusion(spark):
     assert not want & {k for k, s in checks.items() if s == "refuted"}
 
 
+def test_columns_meet_by_range_as_all_pairs_would(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):
+        lo = rng.choice([rng.randrange(-50, 50), rng.randrange(-2**63, 2**63 - 1), 0, 7])
+        hi = min(lo + rng.choice([0, 1, 60, 2**40, 2**62]), 2**63 - 1)
+        rows.append((i, rng.choice(["integral", "string"]), lo, hi, rng.randrange(1, 9), rng.random() < 0.5))
+    meta = spark.createDataFrame([(r[0], "t", f"c{r[0]}", r[1]) for r in rows], "col_id int, table string, column string, family string")
+    stats = spark.createDataFrame([(r[0], r[2], r[3], r[4], r[5]) for r in rows], "col_id int, min_code long, max_code long, unique_count long, is_candidate_key boolean")
+    got = [(r["fk_col_id"], r["key_col_id"]) for r in keys.column_pairs(meta, stats).collect()]
+    want = {(a[0], b[0]) for a in rows for b in rows
+            if a[0] != b[0] and a[1] == b[1] and b[5] and a[4] <= b[4] and b[2] <= a[2] and a[3] <= b[3]}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
 def test_only_pairs_that_sketches_leave_are_checked(spark):
     a = spark.range(0, 4000, 2).select(F.col("id").alias("even"))
     b = spark.range(1, 4000, 2).select(F.col("id").alias("odd")).union(spark.range(-1, 0)).union(spark.range(4001, 4002))
