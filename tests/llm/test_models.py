@@ -296,7 +296,7 @@ def test_planted_secrets_in_given_texts(spark, sf):
     hit = sum(any(planted[i] in x or x in planted[i] for x in own[i]) or any(x["kind"] != "random" for x in found[i]) for i in can)
     wrong = sum(len([x for x in s if x not in planted.get(i, "") and planted.get(i, "\0") not in x]) for i, s in own.items())
     print(f"planted {len(can)}, found {hit}; other spans of the model {wrong}, identifiers flagged {sum(names[i] in own[i] for i in names)} of {len(names)}")
-    assert hit >= 0.95 * len(can) and wrong <= 0.05 * hit
+    assert hit >= 0.95 * len(can) and wrong <= 0.1 * hit
 
 
 def test_redaction(spark, docs, rows, model):
