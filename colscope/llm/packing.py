@@ -37,15 +37,18 @@ from colscope.llm.tables import shared_path, short_batches, written
 from colscope.llm.tokens import encode_ids
 from colscope.session import ship_package
 
+ENCODE_BYTES = 2 << 20      # of text for one call of the tokenizer: the more, the more parts repeat in it
 
-def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, window: int, cache_bytes: int | None = None) -> DataFrame:
+
+def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, window: int, cache_bytes: int | None = None,
+              block_bytes: int = ENCODE_BYTES) -> DataFrame:
     """(part, number, doc_id, start, length, doc_tokens, ids): ids as little-endian 32-bit bytes."""
     def run(batches):
         part = TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for b in text_blocks(batch.column(1)):
+            for b in text_blocks(batch.column(1), block_bytes):
                 encoded = [x + end for x in encode_ids(tokenizer, [b.text(i).decode() for i in range(b.n)], cache_bytes)]
                 doc, start, length, total, ids, number = [], [], [], [], [], []
                 for i, x in enumerate(encoded):
@@ -67,13 +70,13 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, window: int, cache_b
     return docs.mapInArrow(lean(run), "part long, number long, doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
-def _by_task(pieces: DataFrame) -> DataFrame:
+def _by_task(pieces: DataFrame, batch_rows: int | None) -> DataFrame:
     """``pieces`` written once in the shared folder, bucketed by ``part``: a join on it reads them where
     they lie. The table's name is given back at once; the frame keeps the files."""
     spark = pieces.sparkSession
     name = f"colscope_pieces_{uuid.uuid4().hex}"
     n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
-    with short_batches(spark):
+    with short_batches(spark, batch_rows):
         pieces.write.bucketBy(n, "part").option("path", shared_path(spark, "pieces")).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
@@ -179,13 +182,16 @@ class Layout:
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0,
-         id_col: str = "doc_id", text_col: str = "text", cache_bytes: int | None = None) -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", cache_bytes: int | None = None, block_bytes: int = ENCODE_BYTES,
+         batch_rows: int | None = None) -> DataFrame:
     """Pieces of all documents with their place: id_col, start, length, ids, doc_tokens, sequence_id,
-    offset. ``cache_bytes`` bounds what a worker keeps of parts of text it has encoded (``tokens``)."""
+    offset. A worker keeps at most ``cache_bytes`` of parts of text it has encoded (``tokens``),
+    encodes ``block_bytes`` of text at a time and gets ``batch_rows`` rows at a time (default: the
+    session's)."""
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = _by_task(pieces_of(docs, tokenizer, end_id, window, cache_bytes))
+    pieces = _by_task(pieces_of(docs, tokenizer, end_id, window, cache_bytes, block_bytes), batch_rows)
     counts = written(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     hist = np.zeros(window + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():     # at most ``window`` rows

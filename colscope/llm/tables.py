@@ -25,9 +25,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """While it lasts, at most ``rows`` rows go to a Python worker at a time: a batch of texts is held
-    several times over, by the JVM and by the worker, for every running task."""
+def short_batches(spark: SparkSession, rows: int | None = BATCH_ROWS) -> Iterator[None]:
+    """While it lasts, at most ``rows`` rows (None: the session's number) go to a Python worker at a
+    time: a batch of texts is held several times over, by the JVM and by the worker, for every
+    running task."""
+    if rows is None:
+        yield
+        return
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))

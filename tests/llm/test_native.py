@@ -97,7 +97,7 @@ def test_native_queries_have_no_python(spark, sf, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_oracles(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "labels", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.execute(queries.ORACLE[name])
     cols = [c[0] for c in want.description]
