@@ -67,7 +67,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, window: int, cache_b
                     pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())],
                     ["part", "number", "doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return docs.mapInArrow(lean(run), "part long, number long, doc_id long, start long, length long, doc_tokens long, ids binary")
+    return docs.mapInArrow(run if cache_bytes is None else lean(run), "part long, number long, doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
 def _by_task(pieces: DataFrame, batch_rows: int | None) -> DataFrame:
@@ -185,9 +185,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0,
          id_col: str = "doc_id", text_col: str = "text", cache_bytes: int | None = None, block_bytes: int = ENCODE_BYTES,
          batch_rows: int | None = None) -> DataFrame:
     """Pieces of all documents with their place: id_col, start, length, ids, doc_tokens, sequence_id,
-    offset. A worker keeps at most ``cache_bytes`` of parts of text it has encoded (``tokens``),
-    encodes ``block_bytes`` of text at a time and gets ``batch_rows`` rows at a time (default: the
-    session's)."""
+    offset. Where memory is short: a worker keeps at most ``cache_bytes`` of parts of text it has
+    encoded (``tokens``) and gives back what a task freed, encodes ``block_bytes`` of text at a time
+    and gets ``batch_rows`` rows at a time (default: the session's)."""
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

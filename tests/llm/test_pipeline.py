@@ -82,7 +82,8 @@ def test_rows_with_null_or_repeated_ids_are_judged_row_by_row(spark, tmp_path):
     texts = [t for _, t in corpus()]
     rows = [(1, texts[1]), (1, texts[2]), (2, texts[2]), (3, texts[3]), (None, texts[3]), (None, texts[4]), (None, texts[6]), (4, texts[7]),
             (1, texts[1]), (5, texts[8]), (5, texts[9]), (None, texts[10]), (None, texts[10])]
-    docs = spark.createDataFrame([(i, t, "en", "s", 5, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, class_id string")
+    docs = spark.createDataFrame([(i, t, "en", "s", 5, "x", None, 1) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, class_id string, _key string, _twice int")
     spark.createDataFrame([(0, texts[4]), (1, texts[9])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     once = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
     assert once.columns == docs.columns
