@@ -28,39 +28,43 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, queries.quality_model(spark, sf_dir))
 
 
-def with_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key ``_key`` of every row: its id where that is its alone, otherwise (a null or
-    repeated id) a number of its own from 2^62 on, the hash of all its columns. Rows that are alike
-    in every column share a key."""
-    twice = written(docs.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1 or doc_id is null").select(
-        "doc_id", F.lit(True).alias("_twice")), "repeated-ids")
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``docs`` has."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def with_keys(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of every row, and the key's column: its id where that is its alone, otherwise (a
+    null or repeated id) a number of its own from 2^62 on, the hash of all its columns. Rows that
+    are alike in every column share a key."""
+    key, flag = _free(docs, "_key"), _free(docs, "_twice")
+    twice = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(
+        "doc_id", F.lit(True).alias(flag)), "repeated-ids")
     own = F.lit(1 << 62) + F.xxhash64(F.to_json(F.struct(*docs.columns))).bitwiseAND((1 << 60) - 1)
     if not twice.limit(1).count():
-        return docs.withColumn("_key", F.col("doc_id").cast("long"))
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
     flagged = docs.join(small_or_shuffled(twice.filter("doc_id is not null")), "doc_id", "left")
-    return flagged.select(*docs.columns, F.when(F.col("_twice") | F.col("doc_id").isNull(), own)
-                          .otherwise(F.col("doc_id").cast("long")).alias("_key"))
-
-
-def _kept(keyed: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of ``keyed`` whose key is not in ``gone`` (column ``_key``)."""
-    return without_ids(keyed, gone, "_key").select(*columns)
+    return flagged.select(*docs.columns, F.when(F.col(flag) | F.col("doc_id").isNull(), own)
+                          .otherwise(F.col("doc_id").cast("long")).alias(key)), key
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, one document: the least id, or a row with a null or repeated
     id where the class has no other. Rows alike in every column are one."""
-    keyed = with_keys(docs)
-    classes = neardup.near_duplicates(keyed, id_col="_key").select("_key", "class_id")
-    left = without_ids(keyed, classes.filter(F.col("_key") != F.col("class_id")), "_key")
-    odd = left.filter(F.col("_key") >= 1 << 62).dropDuplicates(["_key"])
-    return left.filter(F.col("_key") < 1 << 62).unionByName(odd).select(*docs.columns)
+    keyed, key = with_keys(docs)
+    classes = neardup.near_duplicates(keyed, id_col=key)
+    left = without_ids(keyed, classes.filter(F.col(key) != F.col("class_id")), key)
+    odd = left.filter(F.col(key) >= 1 << 62).dropDuplicates([key])
+    return left.filter(F.col(key) < 1 << 62).unionByName(odd).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item to half its words."""
-    keyed = with_keys(docs)
-    return _kept(keyed, decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="_key"), docs.columns)
+    keyed, key = with_keys(docs)
+    leaks = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col=key)
+    return without_ids(keyed, leaks, key).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
