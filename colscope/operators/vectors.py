@@ -10,18 +10,20 @@ V2 streams the items past blocks of questions:
   exchange): unit vectors as one matrix, or, for sparse ones, the stored terms - the
   questions' as posting lists (bucket -> question, weight);
 * the question blocks are broadcast while Spark's size estimate of the questions is under a
-  bound; beyond it they are rebalanced into parts of the advisory size, and each partition of
+  bound; beyond it they are dealt into parts of that size, and each partition of
   items is read once per part (a nested loop over blocks). The item vectors cross no exchange
   either way;
 * ``mapInArrow`` scores a pair of blocks at a time, as a matrix product or by the posting
-  lists of the terms that both hold, and keeps a running top-k per question; a score below a
-  question's least kept one is dropped at once;
-* a ``row_number`` window per question over the partitions' top-k gives the global one
-  (ties broken by item id).
+  lists of the terms that both hold, and keeps a running top-k per question; only a score that
+  reaches its question's least kept one is looked at;
+* a task gives one row per question, with its top-k as an array: what is shuffled goes by
+  questions and partitions of items, not by pairs of blocks. A ``row_number`` window per question
+  over these gives the global one (ties broken by item id).
 
 Nothing passes through the driver, building the result runs no job, and no pair leaves a
 task beyond its local top-k. What a task holds is bounded: a block of each side,
-``chunk_cells`` scores and ``STATE_CELLS`` kept scores (more are let go and merged later).
+``chunk_cells`` scores and ``STATE_CELLS`` kept scores. More are let go and merged later; each
+question's least kept score stays and is the bound for what follows.
 """
 
 from __future__ import annotations
@@ -36,13 +38,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from colscope.plans.sizing import DEFAULT_MAX_BYTES, dealt, estimated_bytes
+from colscope.plans.sizing import dealt, estimated_bytes
 from colscope.session import ship_package
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 SCORE_DECIMALS = 12
 CHUNK_CELLS = 2_000_000      # scores held at a time
 STATE_CELLS = 4_000_000      # kept scores of a task
+QUESTION_BYTES = 8 << 20     # of questions that a task meets, as estimated: some 25,000 vectors of 64 floats
+MAX_PARTS = 1000             # of the questions; an estimate beyond that many says nothing
 
 
 def tokens(text: F.Column) -> F.Column:
@@ -87,10 +91,19 @@ def _topk_columns(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         return np.tile(np.arange(n), (q, 1))
     part = np.argpartition(-scores, k - 1, axis=1)[:, :k]
     least = np.take_along_axis(scores, part, axis=1).min(axis=1)
-    for r in np.flatnonzero((scores >= least[:, None]).sum(axis=1) > k):
-        mine = ids[r] if ids.ndim == 2 else ids
-        tied = np.flatnonzero(scores[r] >= least[r])
-        part[r] = sorted(tied, key=lambda c: (-scores[r, c], mine[c] is not None, mine[c]))[:k]
+    tied = np.flatnonzero(((scores >= least[:, None]).sum(axis=1) > k) & (least > -np.inf))
+    if len(tied):
+        some, cut = scores[tied], least[tied][:, None]
+        keep = some > cut
+        row, col = np.nonzero(some == cut)
+        # all rows at once, by row and then id, nulls first
+        order = pc.sort_indices(pa.table({"row": row, "id": pa.array((ids[tied][row, col] if ids.ndim == 2 else ids[col]).tolist())}),
+                                [("row", "ascending"), ("id", "ascending")], null_placement="at_start").to_numpy()
+        row, col = row[order], col[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        first = place < (k - keep.sum(axis=1))[row]
+        keep[row[first], col[first]] = True
+        part[tied] = np.nonzero(keep)[1].reshape(-1, k)
     return part
 
 
@@ -190,38 +203,69 @@ def _sparse_scores(item: tuple, n: int, postings: tuple, n_q: int, dim: int, cel
 
 
 class _Best:
-    """Running top-k of one block of questions."""
+    """Running top-k of one block of questions; places not filled yet have score -inf."""
 
     def __init__(self, question_ids: pa.Array, k: int):
-        self.question_ids, self.k = question_ids, k
-        self.score = np.empty((len(question_ids), 0))
-        self.ids = np.empty((len(question_ids), 0), object)
+        # a copy: a slice would hold the whole batch that it came in
+        self.question_ids, self.k = question_ids.take(pa.array(np.arange(len(question_ids)))), k
+        self.floor = np.full(len(question_ids), -np.inf)       # least of k scores, kept or let go
+        self.score: np.ndarray | None = None
+        self.ids: np.ndarray | None = None
+
+    @property
+    def cells(self) -> int:
+        return 0 if self.score is None else self.score.size
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        rows = np.arange(len(scores))
-        if self.score.shape[1] == self.k:       # full: only questions with a score that reaches their least one
-            rows = np.flatnonzero(scores.max(axis=1, initial=-np.inf) >= self.score.min(axis=1))
-            if not len(rows):
-                return
-        new = _topk_columns(scores[rows], ids, self.k)
-        both = np.concatenate([self.score[rows], np.take_along_axis(scores[rows], new, axis=1)], axis=1)
-        named = np.concatenate([self.ids[rows], ids[new].astype(object)], axis=1)
-        keep = _topk_columns(both, named, self.k)
-        if len(rows) == len(scores):
-            self.score, self.ids = np.take_along_axis(both, keep, axis=1), np.take_along_axis(named, keep, axis=1)
-        else:
-            self.score[rows], self.ids[rows] = np.take_along_axis(both, keep, axis=1), np.take_along_axis(named, keep, axis=1)
-
-    def batch(self, id_type: pa.DataType) -> pa.RecordBatch:
-        row = pa.array(np.repeat(np.arange(len(self.question_ids)), self.score.shape[1]))
-        return pa.RecordBatch.from_arrays([self.question_ids.take(row), pa.array(self.ids.ravel().tolist(), id_type),
-                                           pa.array(self.score.ravel())], ["_qid", "_iid", "score"])
+        """Take in raw scores of the questions against the items ``ids``."""
+        hit = scores >= (self.floor - 2 * 10.0 ** -SCORE_DECIMALS)[:, None]      # rounding may lift a score to the floor
+        count = np.count_nonzero(hit, axis=1)
+        many = np.flatnonzero(count > 4 * self.k)
+        if len(many):
+            rounded = np.round(scores[many], SCORE_DECIMALS)
+            top = _topk_columns(rounded, ids, self.k)
+            self._merge(many, np.take_along_axis(rounded, top, axis=1), ids[top])
+            hit[many] = False
+        row, col = np.divmod(np.flatnonzero(hit), scores.shape[1])
+        value = np.round(scores[row, col], SCORE_DECIMALS)
+        ok = value >= self.floor[row]
+        row, col, value = row[ok], col[ok], value[ok]
+        if not len(row):
+            return
+        rows, first, count = np.unique(row, return_index=True, return_counts=True)
+        line, place = np.repeat(np.arange(len(rows)), count), np.arange(len(row)) - np.repeat(first, count)
+        new = np.full((len(rows), count.max()), -np.inf)
+        named = np.full(new.shape, ids[0], ids.dtype)
+        new[line, place], named[line, place] = value, ids[col]
+        self._merge(rows, new, named)
+
+    def _merge(self, rows: np.ndarray, new: np.ndarray, named: np.ndarray) -> None:
+        if self.score is None:
+            self.score = np.full((len(self.floor), self.k), -np.inf)
+            self.ids = np.full(self.score.shape, named.flat[0], named.dtype)
+        if self.ids.dtype != named.dtype:
+            self.ids, named = self.ids.astype(object), named.astype(object)
+        both = np.concatenate([self.score[rows], new], axis=1)
+        all_ids = np.concatenate([self.ids[rows], named], axis=1)
+        keep = _topk_columns(both, all_ids, self.k)
+        self.score[rows], self.ids[rows] = np.take_along_axis(both, keep, axis=1), np.take_along_axis(all_ids, keep, axis=1)
+        self.floor[rows] = np.maximum(self.floor[rows], self.score[rows].min(axis=1))
+
+    def batches(self, id_type: pa.DataType):
+        """A row per question with its kept (item id, score); they are let go, the floor stays."""
+        if self.score is None:
+            return
+        filled = self.score > -np.inf
+        ends = np.concatenate([[0], np.cumsum(filled.sum(axis=1))]).astype(np.int32)
+        top = pa.StructArray.from_arrays([pa.array(self.ids[filled].tolist(), id_type), pa.array(self.score[filled])], ["_iid", "score"])
+        self.score = self.ids = None
+        yield pa.RecordBatch.from_arrays([self.question_ids, pa.ListArray.from_arrays(pa.array(ends), top)], ["_qid", "_top"])
 
 
 def cosine_topk(items: DataFrame, queries: DataFrame, k: int, *, item_id: str = "id", query_id: str = "query_id",
                 item_vec: str = "vector", query_vec: str = "vector", sparse_dim: int | None = None,
-                items_per_block: int = 2048, queries_per_block: int = 512, chunk_cells: int = CHUNK_CELLS,
-                broadcast_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
+                items_per_block: int = 5000, queries_per_block: int = 2500, chunk_cells: int = CHUNK_CELLS,
+                broadcast_bytes: int = QUESTION_BYTES) -> DataFrame:
     """V2: exact cosine top-k of every query over all items.
 
     Dense: ``item_vec``/``query_vec`` are ``array<float|double>`` columns.
@@ -240,14 +284,20 @@ def cosine_topk(items: DataFrame, queries: DataFrame, k: int, *, item_id: str =
     known = estimated_bytes(queries.select(query_id, *q_cols))
     ib = _packed(items, item_id, i_cols, width, items_per_block, "i")
     qb = _packed(queries, query_id, q_cols, width, queries_per_block, "q")
-    # a batch of questions goes to every executor once. Of a set that is not known to be small, Spark
-    # makes parts of about its advisory size, measured while it runs, and each meets the partitions
-    # of items in turn; if it turns out small after all, it is broadcast. The items stay where they
-    # are read either way.
-    pairs = ib.crossJoin(F.broadcast(qb) if known <= broadcast_bytes else qb.hint("rebalance"))
+    # a batch of questions goes to every executor once. A larger set is dealt into parts of about
+    # ``QUESTION_BYTES``, so that a task can keep the scores of its part, and each part meets the
+    # partitions of items in turn. Where the estimate says nothing, Spark makes parts of about its
+    # advisory size, measured while it runs. The items stay where they are read either way.
+    parts = -(-known // QUESTION_BYTES)
+    if known <= broadcast_bytes:
+        qb = F.broadcast(qb)
+    else:
+        qb = qb.repartition(parts) if parts <= MAX_PARTS else qb.hint("rebalance")
+    pairs = ib.crossJoin(qb)
 
     def run(batches):
         best: dict[int, _Best] = {}
+        names: dict[int, np.ndarray] = {}       # ids of the latest blocks of items: one object per id, not one per pair
         for batch in batches:
             col = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
             for r in range(batch.num_rows):
@@ -255,27 +305,34 @@ def cosine_topk(items: DataFrame, queries: DataFrame, k: int, *, item_id: str =
                 if w != col["q_w"][r].as_py():
                     continue
                 arr = lambda c, kind: np.frombuffer(col[c][r].as_buffer(), kind)
-                ids, number = col["i_ids"][r].values, col["q_block"][r].as_py()
+                block, number = col["i_block"][r].as_py(), col["q_block"][r].as_py()
+                if block not in names:
+                    if len(names) >= 16:
+                        names.clear()
+                    names[block] = _ids(col["i_ids"][r].values).copy()
                 if number not in best:
                     best[number] = _Best(col["q_ids"][r].values, k)
+                ids = names[block]
                 n, n_q = len(ids), len(best[number].question_ids)
                 if width is None:
                     parts = _dense_scores(arr("i_val", np.float64).reshape(n, w), arr("q_val", np.float64).reshape(n_q, w), chunk_cells)
                 else:
                     parts = _sparse_scores((arr("i_row", np.int32), arr("i_idx", np.int32), arr("i_val", np.float64)), n,
                                            (arr("q_row", np.int32), arr("q_idx", np.int32), arr("q_val", np.float64)), n_q, w, chunk_cells)
-                ids = _ids(ids)
                 for lo, s in parts:
-                    best[number].add(np.round(s, SCORE_DECIMALS), ids[lo:lo + s.shape[1]])
-            if sum(b.score.size for b in best.values()) > STATE_CELLS:      # let go; the window below merges
-                yield from (b.batch(id_type) for b in best.values())
-                best = {}
-        yield from (b.batch(id_type) for b in best.values())
-
-    out = T.StructType([T.StructField("_qid", queries.schema[query_id].dataType), T.StructField("_iid", items.schema[item_id].dataType),
-                        T.StructField("score", T.DoubleType())])
+                    best[number].add(s, ids[lo:lo + s.shape[1]])
+            if sum(b.cells for b in best.values()) > STATE_CELLS:      # let go; the window below merges
+                for b in best.values():
+                    yield from b.batches(id_type)
+        for b in best.values():
+            yield from b.batches(id_type)
+
+    found = T.StructType([T.StructField("_iid", items.schema[item_id].dataType), T.StructField("score", T.DoubleType())])
+    out = T.StructType([T.StructField("_qid", queries.schema[query_id].dataType), T.StructField("_top", T.ArrayType(found))])
     window = Window.partitionBy("_qid").orderBy(F.col("score").desc(), F.col("_iid").asc())
-    return (pairs.mapInArrow(run, out).withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    # dealt by question first: the arrays are opened, and their rows sorted, once and by the window's tasks
+    top = pairs.mapInArrow(run, out).repartition("_qid").select("_qid", F.explode("_top").alias("_t")).select("_qid", "_t._iid", "_t.score")
+    return (top.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
             .select(F.col("_qid").alias(query_id), F.col("_iid").alias(item_id), "score", "rank"))
 
 

@@ -203,3 +203,32 @@ def test_topk_lets_kept_scores_go(spark, monkeypatch):
     want = sorted(map(tuple, cosine_topk(items, qs, 3).collect()))
     monkeypatch.setattr(vectors, "STATE_CELLS", 1)
     assert sorted(map(tuple, cosine_topk(items, qs, 3, items_per_block=20).collect())) == want
+
+
+def _lines(df):
+    """(depth, text) of the lines of a frame's plan."""
+    text = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    return [(len(x) - len(x.lstrip(" :+-")), x) for x in text]
+
+
+def test_topk_sorts_no_scores_before_they_are_dealt_by_question(spark):
+    """A task gives a row per question; only what has been dealt by question is sorted."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(50)]
+    items, qs = spark.createDataFrame(rows, "id long, vector array<double>"), spark.createDataFrame(rows[:9], "query_id long, vector array<double>")
+    lines = _lines(cosine_topk(items, qs, 3))
+    dealt_at = next(i for i, (_, x) in enumerate(lines) if "Exchange hashpartitioning" in x)
+    assert not any("Sort" in x or "WindowGroupLimit" in x for _, x in lines[dealt_at + 1:])
+
+
+def test_topk_keeps_its_bound_when_it_lets_scores_go():
+    import pyarrow as pa
+    from colscope.operators.vectors import _Best
+
+    best = _Best(pa.array([7, None]), 2)
+    best.add(np.array([[0.9, 0.8, 0.1], [0.5, 0.5, 0.5]]), np.array([3, 4, 5]))
+    rows = [r for b in best.batches(pa.int64()) for r in b.to_pylist()]
+    assert [(r["_qid"], sorted((t["_iid"], t["score"]) for t in r["_top"])) for r in rows] == [(7, [(3, 0.9), (4, 0.8)]), (None, [(3, 0.5), (4, 0.5)])]
+    best.add(np.array([[0.7, 0.2], [0.4, 0.6]]), np.array([1, 2]))      # only the last one can still count
+    assert [[(t["_iid"], t["score"]) for t in r["_top"]] for b in best.batches(pa.int64()) for r in b.to_pylist()] == [[], [(2, 0.6)]]
+    assert best.cells == 0
