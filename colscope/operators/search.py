@@ -36,9 +36,13 @@ def fuse(cands: DataFrame, top_k: int = 10, filter_type: str | None = None,
     apply after the candidate cut and after table scores are known. Ranked by
     score desc, then candidate rank."""
     orig = F.greatest(F.col("score"), F.lit(0.0))
-    tscore = (cands.where(F.col("type") == "table")
-              .select("query_id", "database", "table", orig.alias("_tscore")))
-    f = cands.join(tscore, ["query_id", "database", "table"], "left")
+    # as a left join with the candidates that are tables, a row per match, but the candidates are
+    # found once only and dealt by question once for both windows
+    own = ["query_id", "database", "table"]
+    known = F.col("query_id").isNotNull() & F.col("database").isNotNull() & F.col("table").isNotNull()
+    tscores = F.collect_list(F.when((F.col("type") == "table") & known, orig)).over(Window.partitionBy(*own))
+    f = cands.repartition("query_id").withColumn("_tscores", F.when(known, tscores))
+    f = f.select(*cands.columns, F.explode_outer("_tscores").alias("_tscore"))
     boost = F.when(F.col("type") == "column", F.coalesce("_tscore", F.lit(0.0))).otherwise(F.lit(0.0))
     f = f.select("query_id", *[c for c in META if c in cands.columns], "cand_rank",
                  orig.alias("original_score"), boost.alias("table_boost"))

@@ -221,6 +221,33 @@ def test_topk_sorts_no_scores_before_they_are_dealt_by_question(spark):
     assert not any("Sort" in x or "WindowGroupLimit" in x for _, x in lines[dealt_at + 1:])
 
 
+def test_fusion_finds_its_candidates_once(spark):
+    rng = np.random.default_rng(7)
+    items = _items(spark, [(f"d.t{i % 3}" + (f".c{i}" if i > 2 else ""), "table" if i < 3 else "column", "d" if i % 7 else None, f"t{i % 3}", f"c{i}" if i > 2 else None,
+                            "float", f"b{i}", rng.normal(size=4).tolist()) for i in range(40)] + [("d.t0", "table", "d", "t0", None, None, "twice", [1.0, 0.0, 0.0, 0.0])])
+    qs = spark.createDataFrame([(i if i else None, rng.normal(size=4).tolist()) for i in range(6)], "query_id long, vector array<double>")
+    cands = search.candidates(items, qs, 30)
+    got = search.fuse(cands, 12)
+    assert sum("NestedLoopJoin" in x or "CartesianProduct" in x for _, x in _lines(got)) == 1
+    # the same as a join with the tables among the candidates, a row per match
+    rows = [r.asDict() for r in cands.collect()]
+    want = []
+    for r in rows:
+        own = [max(t["score"], 0.0) for t in rows if t["type"] == "table" and all(t[c] is not None and t[c] == r[c] for c in ("query_id", "database", "table"))]
+        for boost in own or [0.0]:
+            boost = boost if r["type"] == "column" else 0.0
+            want.append((r["query_id"], r["id"], r["cand_rank"], round(max(r["score"], 0.0) + boost, 9)))
+    key = lambda x: (x[0] is not None, x[0], -x[3], x[2])
+    best = {}
+    for x in sorted(want, key=key):
+        if len(best.setdefault(x[0], [])) < 12:
+            best[x[0]].append(x[3])
+    have = {}
+    for r in got.orderBy("rank").collect():
+        have.setdefault(r["query_id"], []).append(round(r["score"], 9))
+    assert have == best
+
+
 def test_topk_keeps_its_bound_when_it_lets_scores_go():
     import pyarrow as pa
     from colscope.operators.vectors import _Best
