@@ -14,7 +14,8 @@
 subset is a key already (its supersets are keys, but not minimal), or if the product of its
 columns' distinct counts is below the row count. Of the others, one job counts the groups
 of a hash sample of *values* (all rows of a sampled value are in, so two rows in one
-group refute the set for certain), and only sets that pass it are counted over all values.
+group refute the set for certain), and only sets that pass it are counted over all values: first
+by one 64-bit hash, and only the rows that share it, by both.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Mapping, Sequence
 from itertools import combinations
 from math import prod
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colscope.functions.text import _SEED2 as SEED2
@@ -31,6 +32,7 @@ from colscope.plans.sizing import broadcast_if_small
 from colscope.sources.store import kept
 
 SKETCH_SLOTS = 256
+FAMILIES = ("integral", "date", "timestamp", "decimal")      # of columns that a composite key may have
 INCLUSION = "fk_table string, fk_column string, key_table string, key_column string, fk_distinct bigint"
 
 
@@ -131,18 +133,34 @@ def _group_rows(tables: Mapping[str, DataFrame], sets: Sequence[tuple[int, str,
     return out
 
 
+def _set_ids(groups: DataFrame) -> set[int]:
+    return {r[0] for r in groups.select("set_id").distinct().collect()}
+
+
 def _not_unique(tables, sets, one_in: int, long_form, sets_per_job: int) -> set[int]:
     """Ids of the sets with two rows in one group; at most one number per set comes back."""
     bad: set[int] = set()
     for lo in range(0, len(sets), sets_per_job):
-        groups = (_group_rows(tables, sets[lo:lo + sets_per_job], one_in, long_form)
-                  .groupBy("set_id", "f1", "f2").agg(F.count(F.lit(1)).alias("n")))
-        bad |= {r[0] for r in groups.where("n > 1").select("set_id").distinct().collect()}
+        some = sets[lo:lo + sets_per_job]
+        if one_in > 1:
+            groups = _group_rows(tables, some, one_in, long_form).groupBy("set_id", "f1", "f2").agg(F.count(F.lit(1)).alias("n"))
+            bad |= _set_ids(groups.where("n > 1"))
+            continue
+        # Hardly any value comes twice here, as the sample has shown. Counting them where they are read
+        # would hold, and spill, nearly every row: they are dealt as they are, by one hash, and sorted.
+        same = Window.partitionBy("set_id", "f1").orderBy("f1")
+        rows = _group_rows(tables, some, 1, long_form).select("set_id", "f1").repartition("set_id", "f1")
+        twice = kept(rows.withColumn("n", F.row_number().over(same)).where("n = 2").select("set_id", "f1"), "shared-hashes")
+        again = _set_ids(twice)
+        if again:       # only the rows that share a hash are compared by both
+            few = broadcast_if_small(twice, twice.count(), 1_000_000)
+            rows = _group_rows(tables, [s for s in some if s[0] in again], 1, long_form).join(few, ["set_id", "f1"], "left_semi")
+            bad |= _set_ids(rows.groupBy("set_id", "f1", "f2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     return bad
 
 
 def composite_keys(spark: SparkSession, tables: Mapping[str, DataFrame], columns: Sequence[tuple], long_form,
-                   max_columns: int = 3, families: Sequence[str] = ("integral", "date", "timestamp", "decimal"),
+                   max_columns: int = 3, families: Sequence[str] = FAMILIES,
                    sample_one_in: int = 64, sets_per_job: int = 256) -> DataFrame:
     """Minimal unique sets of two to ``max_columns`` columns: ``(table, columns array<string>)``.
 

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from colscope.functions.text import _SEED2 as SEED2
 from colscope.functions.text import norm_key
 from colscope.operators.heads import head_filters
-from colscope.operators.keys import SKETCH_SLOTS, composite_keys, inclusion_candidates, value_hash
+from colscope.operators.keys import FAMILIES, SKETCH_SLOTS, composite_keys, inclusion_candidates, value_hash
 from colscope.plans.sizing import broadcast_if_small, dealt
 from colscope.schemas import SCHEMA_COLUMNS
 from colscope.sources.store import kept
@@ -484,8 +484,9 @@ def null_stats(tables: Mapping[str, DataFrame], meta: Sequence[tuple]) -> DataFr
 
 def composite_candidate_keys(spark: SparkSession, tables: Mapping[str, DataFrame], database: str, max_columns: int = 3,
                              **options) -> DataFrame:
-    """Minimal keys of two or more columns, ``(table, columns)`` (:func:`keys.composite_keys`)."""
-    meta = table_columns_meta(database, tables)
+    """Minimal keys of two or more columns, ``(table, columns)`` (:func:`keys.composite_keys`). Only
+    columns of families that may be part of one are counted."""
+    meta = [m for m in table_columns_meta(database, tables) if m[9] in options.get("families", FAMILIES)]
     got = {r["col_id"]: r for r in stats_of_sketches(exact_column_sketches(tables, meta)).collect()} if meta else {}
     columns = [(m[1], m[2], m[3], m[9], r["row_count"], r["non_null"], r["distinct_count"])
                for m in meta if (r := got.get(m[8])) is not None]

@@ -257,3 +257,18 @@ def test_a_vector_costs_time_by_its_terms_not_their_square(spark):
         return time.time() - t
 
     assert seconds(4000, 100) < 4 * seconds(200, 2000) + 1
+
+
+def test_composite_keys_look_at_all_rows_by_one_hash(spark, monkeypatch):
+    """Sets that pass the sample: rows leave with one hash; of a set with a row twice only those are compared by both."""
+    rows = [(i % 100, i // 100, i % 7) for i in range(3000)] + [(5, 40, 1), (5, 40, 2)]
+    df = spark.createDataFrame(rows, "a int, b int, c int")
+    texts = spark.createDataFrame([("x", [1.0])] * 3, "t string, v array<double>")
+    seen, counted = [], []
+    real, stats = keys.kept, keys.composite_keys
+    monkeypatch.setattr(keys, "kept", lambda d, name: seen.append((name, d.columns)) or real(d, name))
+    monkeypatch.setattr("colscope.operators.profile.composite_keys", lambda s, t, columns, *a, **o: counted.extend(columns) or stats(s, t, columns, *a, **o))
+    got = {(r["table"], tuple(r["columns"])) for r in composite_candidate_keys(spark, {"t": df, "u": texts}, "db", sample_one_in=1 << 20).collect()}
+    assert got == {("t", ("a", "b", "c"))}
+    assert ("shared-hashes", ["set_id", "f1"]) in seen
+    assert {c[0] for c in counted} == {"t"}        # texts and vectors can be part of no key
