@@ -52,19 +52,23 @@ def seeded(x: np.ndarray, seed: int) -> np.ndarray:
     return mix(x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x1234567) & 0xFFFFFFFFFFFFFFFF))
 
 
+def give_back() -> None:
+    """Freed memory of this process goes back to the system: what the allocators keep counts as the executor's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):       # not glibc
+        pass
+
+
 def lean(run):
-    """``run`` for ``mapInArrow``, after whose last batch the worker gives freed memory back to the
-    system: Spark uses its workers again for other stages, and what the allocators keep counts
-    as the executor's."""
+    """``run`` for ``mapInArrow``, after whose last batch the worker gives freed memory back: Spark uses
+    its workers again for other stages."""
     def lean_run(batches):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):       # not glibc
-                pass
+            give_back()
 
     return lean_run
 

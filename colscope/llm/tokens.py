@@ -21,6 +21,8 @@ import time
 import zlib
 from array import array
 
+from colscope.llm.blocks import give_back
+
 CACHE_BYTES = 280 << 20      # parts of a worker: about 700,000
 PART_BYTES = 400             # of one part, its ids and its place in the dictionary, as measured
 IDLE_SECONDS = 2.0
@@ -154,9 +156,14 @@ class _Shared:
             time.sleep(IDLE_SECONDS / 2)
             with self.lock:
                 now = time.monotonic()
+                held = len(self.encoders)
                 self.encoders = {k: (e, t) for k, (e, t) in self.encoders.items() if now - t < IDLE_SECONDS}
-                if not self.encoders:
+                over = not self.encoders
+                if over:
                     self.watched = False
+                if len(self.encoders) < held:
+                    give_back()     # the last task's own ``lean`` came while the parts were still held
+                if over:
                     return
 
 

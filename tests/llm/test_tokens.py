@@ -70,6 +70,23 @@ def test_an_idle_worker_holds_no_encoder(tokenizer_path, monkeypatch):
     assert shared(tokenizer_path, ["two words", "two more words"], None) == want and shared.watched
 
 
+def test_an_idle_worker_gives_the_memory_of_its_encoder_back(tokenizer_path, monkeypatch):
+    import time
+
+    import colscope.llm.tokens as tokens
+
+    given = []
+    monkeypatch.setattr(tokens, "IDLE_SECONDS", 0.2)
+    shared = tokens._Shared()
+    monkeypatch.setattr(tokens, "give_back", lambda: given.append(len(shared.encoders)), raising=False)
+    shared(tokenizer_path, ["two words"], None)
+    for _ in range(100):
+        time.sleep(0.05)
+        if 0 in given:      # encoders of other tests may be let go meanwhile
+            break
+    assert 0 in given
+
+
 def test_pack_places_every_id_once(docs, rows, encoder, tokenizer_path):
     got = packing.pack(docs, tokenizer_path, window=128, end_id=0).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
