@@ -53,6 +53,40 @@ def test_cache_bound_does_not_change_ids(encoder, monkeypatch):
     assert encoder(texts) == want
 
 
+def test_new_words_are_encoded_many_to_a_text(tokenizer_path, monkeypatch):
+    """The library gets texts of many new words, not a text for each, and nothing for words met before."""
+    encoder = Encoder(tokenizer_path)
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdeé") for _ in range(8)) for _ in range(3000)]
+    texts = [" ".join(words[i:i + 100]) + "." for i in range(0, 3000, 100)]
+    want = plain(encoder, texts)
+    given, encode = [], encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda some: given.extend(some) or encode(some))
+    assert encoder(texts) == want and len(given) < 100
+    given.clear()
+    assert encoder(texts[::-1]) == want[::-1] and not any(given)
+
+
+def test_ids_that_cannot_be_told_apart_are_encoded_one_by_one(tokenizer_path):
+    """Where the bytes of the ids do not say which word they belong to, each word is a text."""
+    encoder = Encoder(tokenizer_path)
+    texts = ["some words, and others", "words of  two\u2003spaces \u3000and é, "]
+    want = plain(encoder, texts)
+    encoder.size[:] = 1
+    assert encoder(texts) == want
+
+
+def test_parts_that_came_most_often_stay(tokenizer_path):
+    import colscope.llm.tokens as tokens
+
+    encoder = Encoder(tokenizer_path, 40 * (tokens.PART_BYTES + 8))
+    rng = random.Random(3)
+    for _ in range(6):
+        encoder(["a often often often often"] + [" ".join("".join(rng.choice("abcde") for _ in range(9)) for _ in range(30))])
+        assert encoder.held <= encoder.cache_bytes and len(encoder.parts) == len(encoder.n) == len(encoder.first) == len(encoder.met)
+        assert encoder.n.sum() == len(encoder.ids) and " often" in encoder.parts
+
+
 def test_an_idle_worker_holds_no_encoder(tokenizer_path, monkeypatch):
     import time
 
