@@ -100,3 +100,13 @@ def test_registered(spark):
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert set(__spark_entry__.oracle_sql()) <= names
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES][1] == "near_duplicates"
+
+
+def test_no_stage_leaves_texts_to_the_batches_of_the_caller(spark, tmp_path, docs):
+    """Whoever runs a stage's result sends no rows to Python with it: that was done in short batches."""
+    spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, corpus()[5][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in (corpus_pipeline.STAGES[i] for i in (0, 3, 4)):
+        plan = stage(spark, docs, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan" in plan and "MapInArrow" not in plan and "Python" not in plan, name
