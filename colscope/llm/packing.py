@@ -11,12 +11,12 @@
 3. Pieces left over are packed greedily one after another, cut where a window is full,
    so only the last sequence has padding.
 
-The layout says for each length which ranks go to which sequence and offset; a piece's
-rank is its running number plus the pieces of that length in earlier tasks. The pieces are
-written bucketed by their task, so what a task needs of that - one row with a number per
-length - comes to them by a join that moves these rows only: assigning sequences needs no
-shuffle of ids at any size, and a length that a third of all pieces share is spread over all
-tasks.
+The layout says for each length which ranks begin at which token; a piece's rank is its running
+number plus the pieces of that length in earlier tasks. The pieces are written bucketed by their
+task, so what a task needs of the layout - one row - comes to them by a join that moves these
+rows only: assigning sequences needs no shuffle of ids at any size, and a length that a third of
+all pieces share is spread over all tasks. It is done by Spark's expressions: ids are written
+once, and whoever runs the result sends none of them to Python.
 
 Defined results: a null or empty text is one piece of the end id; null or repeated ids
 are carried along (rows are packed one by one); an empty table gives no rows.
@@ -143,42 +143,51 @@ def solve(hist: np.ndarray, window: int, steps: int = 400) -> tuple[np.ndarray,
     return combos[keep], whole[keep]
 
 
-class Layout:
-    """Where the piece of a length with a rank goes. Holds at most three entries per
-    combination and two numbers per length."""
-
-    def __init__(self, hist: np.ndarray, window: int):
-        combos, repeat = solve(hist, window)
-        self.window = window
-        self.used = np.zeros(window + 1, np.int64)
-        entries = []
-        sequence = 0
-        for combo, r in zip(combos.tolist(), repeat.tolist()):
-            offset = 0
-            for length in (x for x in combo if x):
-                entries.append((length, int(self.used[length]), sequence, offset))
-                self.used[length] += r
-                offset += length
-            sequence += r
-        entries.append((window, 0, sequence, 0))
-        self.used[window] = hist[window]
-        sequence += int(hist[window])
-        entries.sort()
-        self.length, self.first, self.sequence, self.offset = np.array(entries, np.int64).T
-        rest = (hist - self.used) * np.arange(window + 1)
-        self.rest_token = np.cumsum(rest) - rest
-        self.rest_sequence = sequence
-        self._shift = int(max(hist.max(), 1)).bit_length() + 1
-        self._key = (self.length << self._shift) + self.first
-
-    def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence and offset of each piece; a left-over piece may run past its window."""
-        at = np.maximum(np.searchsorted(self._key, (length << self._shift) + rank, "right") - 1, 0)
-        seq, off = self.sequence[at] + rank - self.first[at], self.offset[at]
-        rest = rank >= self.used[length]
-        token = self.rest_token[length] + (rank - self.used[length]) * length
-        return (np.where(rest, self.rest_sequence + token // self.window, seq),
-                np.where(rest, token % self.window, off))
+def layout(hist: np.ndarray, window: int) -> np.ndarray:
+    """Rows (length, first, at, step): the piece of a length with a rank from ``first`` to the next row's
+    begins at token at + (rank - first) * step of all sequences one after another. At most three
+    rows per combination and two per length. A left-over piece may run past its window."""
+    combos, repeat = solve(hist, window)
+    used = np.zeros(window + 1, np.int64)
+    runs = []
+    sequence = 0
+    for combo, r in zip(combos.tolist(), repeat.tolist()):
+        offset = 0
+        for length in (x for x in combo if x):
+            runs.append((length, int(used[length]), sequence * window + offset, window))
+            used[length] += r
+            offset += length
+        sequence += r
+    runs.append((window, 0, sequence * window, window))
+    used[window] = hist[window]
+    sequence += int(hist[window])
+    rest = (hist - used) * np.arange(window + 1)
+    token = sequence * window + np.cumsum(rest) - rest
+    runs += [(n, int(used[n]), int(token[n]), n) for n in np.flatnonzero(rest).tolist()]
+    return np.array(sorted(runs), np.int64)
+
+
+def _runs_here(before: DataFrame, runs: np.ndarray) -> DataFrame:
+    """(part, length, runs): of the layout, what the pieces of a task and length need; ``first`` is counted
+    from the task's first piece of that length. ``before``: (part, length, n, before)."""
+    shared = before.sparkSession.sparkContext.broadcast(runs)       # its size is bounded by the window
+
+    def run(batches):
+        of, first, at, step = shared.value.T
+        shift = int(first.max()).bit_length() + 1
+        for batch in batches:
+            length, n, skip = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            find = lambda rank: np.searchsorted((of << shift) + first, (length << shift) + np.minimum(rank, (1 << shift) - 1), "right")
+            lo, hi = find(skip) - 1, find(skip + n - 1)
+            ends = np.concatenate([[0], np.cumsum(hi - lo)])
+            row = np.repeat(np.arange(len(lo)), hi - lo)
+            i = np.arange(ends[-1]) - ends[row] + lo[row]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+                    [pa.array(first[i] - skip[row]), pa.array(at[i]), pa.array(step[i])], ["first", "at", "step"]))], ["part", "length", "runs"])
+
+    return before.select("part", "length", "n", "before").mapInArrow(
+        lean(run), "part long, length long, runs array<struct<first:long,at:long,step:long>>")
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0,
@@ -196,33 +205,19 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0,
     hist = np.zeros(window + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():     # at most ``window`` rows
         hist[r["length"]] = r["n"]
-    layout = spark.sparkContext.broadcast(Layout(hist, window))
-    before = counts.select("part", "length", F.coalesce(F.sum("n").over(
+    before = counts.select("part", "length", "n", F.coalesce(F.sum("n").over(
         Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    before = before.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "before"))).alias("before"))
-    ranked = (pieces.join(before.hint("shuffle_hash"), "part")
-              .withColumn("before", F.element_at("before", F.col("length"))))
-
-    def run(batches):
-        lay = layout.value
-        for batch in batches:
-            col = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
-            length, start = col["length"].to_numpy(), col["start"].to_numpy()
-            seq, off = lay.place(length, col["number"].to_numpy() + col["before"].to_numpy())
-            over = np.maximum(off + length - lay.window, 0)
-            cut = np.flatnonzero(over)
-            one = {"row": np.arange(len(length)), "start": start, "length": length - over, "skip": np.zeros_like(length), "seq": seq, "off": off}
-            two = {"row": cut, "start": start[cut] + length[cut] - over[cut], "length": over[cut],
-                   "skip": length[cut] - over[cut], "seq": seq[cut] + 1, "off": np.zeros(len(cut), np.int64)}
-            both = {k: np.concatenate([one[k], two[k]]) for k in one}
-            ids = col["ids"]
-            if len(cut):
-                ids = pa.array([ids[r].as_py()[4 * s:4 * (s + n)] for r, s, n in zip(*(both[k].tolist() for k in ("row", "skip", "length")))], pa.binary())
-            row = pa.array(both["row"])
-            yield pa.RecordBatch.from_arrays([
-                col["doc_id"].take(row), pa.array(both["start"]), pa.array(both["length"]), ids,
-                col["doc_tokens"].take(row), pa.array(both["seq"]), pa.array(both["off"])],
-                [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
-    return ranked.select("doc_id", "start", "length", "number", "before", "doc_tokens", "ids").mapInArrow(
-        lean(run), f"`{id_col}` long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    here = _runs_here(before, layout(hist, window))
+    here = written(here.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "runs"))).alias("runs")), "piece-places")
+    run = F.element_at(F.filter(F.element_at("runs", F.col("length")), lambda r: r["first"] <= F.col("number")), -1)
+    placed = (pieces.join(here.hint("shuffle_hash"), "part").withColumn("run", run)
+              .withColumn("place", F.expr("run.at + (number - run.first) * run.step"))
+              .withColumn("over", F.expr(f"greatest(place % {window} + length - {window}, 0L)")))
+    # what runs past its window is a piece of its own
+    cut = placed.select("doc_id", "start", "length", "ids", "doc_tokens", "place", "over",
+                        F.explode(F.expr("if(over > 0, array(0L, length - over), array(0L))")).alias("skip"))
+    cut = cut.withColumn("size", F.expr("if(skip > 0, over, length - over)"))
+    return cut.select(
+        F.col("doc_id").alias(id_col), F.expr("start + skip").alias("start"), F.col("size").alias("length"),
+        F.expr("if(over > 0, substring(ids, int(4 * skip + 1), int(4 * size)), ids)").alias("ids"), "doc_tokens",
+        F.expr(f"(place + skip) div {window}").alias("sequence_id"), F.expr(f"(place + skip) % {window}").alias("offset"))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colscope.llm.blocks import Block, lean, text_blocks, words
+from colscope.llm.tables import without_ids
 from colscope.session import ship_package
 
 WORD_DIMS = 4096
@@ -237,9 +238,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text",
-              metadata: tuple[str, ...] = ("n_chars",)) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches ``threshold``."""
+              metadata: tuple[str, ...] = ("n_chars",), id_col: str | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches ``threshold``. With ``id_col`` (not null; rows
+    that share it have one score) the ids of the others are written now and no text with them;
+    what is left to run is a join without Python."""
     ship_package(docs.sparkSession)
+    if id_col is not None:
+        scored = score(docs, model, id_col, text_col, metadata)
+        return without_ids(docs, scored.filter((F.col("score") < threshold) | F.isnan("score")), id_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -41,16 +41,22 @@ def short_batches(spark: SparkSession, rows: int | None = BATCH_ROWS) -> Iterato
         spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: later steps
-    neither compute it again nor depend on the executors that made it."""
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written as Parquet in the shared folder (at ``path``, if given) and read again: later
+    steps neither compute it again nor depend on the executors that made it."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = path or shared_path(spark, name)
     with short_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """The files of a frame written at ``path``, a ``shared_path``, that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def small_or_shuffled(ids: DataFrame, row_bytes: int = 48) -> DataFrame:
     """A frame of fixed-width columns (already written: the count is cheap), hinted for
     broadcast only while its rows fit the bound; above it both sides are shuffled."""

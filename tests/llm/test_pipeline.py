@@ -110,3 +110,49 @@ def test_no_stage_leaves_texts_to_the_batches_of_the_caller(spark, tmp_path, doc
     for name, stage in (corpus_pipeline.STAGES[i] for i in (0, 3, 4)):
         plan = stage(spark, docs, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert "FileScan" in plan and "MapInArrow" not in plan and "Python" not in plan, name
+
+
+def folder(spark):
+    """Of each folder of Parquet in the shared folder: its columns and rows."""
+    import os
+
+    import pyarrow.dataset as ds
+
+    from colscope.session import ensure_checkpoint_dir
+
+    top = ensure_checkpoint_dir(spark).removeprefix("file:")
+    found = {x: ds.dataset(f"{top}/{x}", format="parquet") for x in os.listdir(top) if x.startswith("colscope-")}
+    return {x: (d.schema.names, d.count_rows()) for x, d in found.items()}
+
+
+def test_a_stage_writes_no_copy_of_what_the_caller_writes(spark, sf):
+    """Texts that stay as they are do not come to lie in the shared folder once for every stage, nor ids twice."""
+    first = docs = spark.read.parquet(f"{sf}/documents.parquet")
+    n = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = folder(spark)
+        now = stage(spark, docs, sf)
+        new = {x: v for x, v in folder(spark).items() if x not in before}
+        kept = written(now, f"test-{name}")
+        # near_duplicates keeps the texts that share a group, decontamination those with a seed
+        n[name] = sum(rows for names, rows in new.values() if "text" in names or "ids" in names), kept.count(), docs.count()
+        docs = kept
+    assert n["quality"][0] == 0 and n["quality"][1] < first.count()
+    assert n["near_duplicates"][0] < n["near_duplicates"][2] and n["decontamination"][0] < n["decontamination"][2]
+    assert n["secrets"][0] == n["secrets"][1]
+    assert 0 < n["packing"][0] <= n["packing"][1]
+
+
+def test_run_lets_go_of_the_rows_between_stages(spark, sf):
+    before = folder(spark)
+    packed = corpus_pipeline.run(spark, sf)
+    left = [x.split("-")[2] for x in folder(spark) if x not in before and x.startswith("colscope-stage-")]
+    assert left == ["secrets"]
+    assert packed.count() > 0
+
+
+def test_keep_good_by_id_is_keep_good(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = queries.quality_model(spark, sf)
+    assert 0 < docs.count() - quality.keep_good(docs, model).count() < docs.count()
+    assert sorted(map(tuple, quality.keep_good(docs, model, id_col="doc_id").collect())) == sorted(map(tuple, quality.keep_good(docs, model).collect()))

@@ -163,6 +163,25 @@ def test_solver_uses_only_what_there_is():
             assert (used * np.arange(65)).sum() > 0.8 * (hist[:64] * np.arange(64)).sum()
 
 
+def test_layout_has_one_place_for_every_piece():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 50, 5000):
+        hist = np.bincount(rng.integers(1, 65, n), minlength=65)
+        runs = packing.layout(hist, 64).tolist()
+        got = []
+        for length in range(1, 65):
+            for rank in range(hist[length]):
+                _, first, at, step = [r for r in runs if r[0] == length and r[1] <= rank][-1]
+                got.append((at + (rank - first) * step, length))
+        got.sort()      # gapless
+        assert [a for a, _ in got] == np.cumsum([0, *(x for _, x in got)])[:-1].tolist()
+
+
+def test_no_text_or_id_of_the_packed_pieces_goes_to_python(docs, tokenizer_path):
+    plan = packing.pack(docs, tokenizer_path, window=64)._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+
+
 def test_no_exchange_of_the_layout_moves_ids(docs, tokenizer_path):
     plan = packing.pack(docs, tokenizer_path, window=64)._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.split("\n") if "Exchange" in line]
