@@ -37,6 +37,7 @@ from colscope.llm.tables import shared_path, short_batches, written
 from colscope.llm.tokens import encode_ids
 from colscope.session import ship_package
 
+_PLACES_AT_ONCE = 1 << 17   # pieces, however many tasks share a length
 ENCODE_BYTES = 2 << 20      # of text for one call of the tokenizer: the more, the more parts repeat in it
 
 
@@ -167,27 +168,28 @@ def layout(hist: np.ndarray, window: int) -> np.ndarray:
     return np.array(sorted(runs), np.int64)
 
 
-def _runs_here(before: DataFrame, runs: np.ndarray) -> DataFrame:
-    """(part, length, runs): of the layout, what the pieces of a task and length need; ``first`` is counted
-    from the task's first piece of that length. ``before``: (part, length, n, before)."""
+def _places(before: DataFrame, runs: np.ndarray) -> DataFrame:
+    """(part, length, places): where the pieces of a task and length begin, by their number.
+    ``before``: (part, length, n, before)."""
     shared = before.sparkSession.sparkContext.broadcast(runs)       # its size is bounded by the window
 
     def run(batches):
         of, first, at, step = shared.value.T
-        shift = int(first.max()).bit_length() + 1
         for batch in batches:
-            length, n, skip = (batch.column(i).to_numpy() for i in (1, 2, 3))
-            find = lambda rank: np.searchsorted((of << shift) + first, (length << shift) + np.minimum(rank, (1 << shift) - 1), "right")
-            lo, hi = find(skip) - 1, find(skip + n - 1)
-            ends = np.concatenate([[0], np.cumsum(hi - lo)])
-            row = np.repeat(np.arange(len(lo)), hi - lo)
-            i = np.arange(ends[-1]) - ends[row] + lo[row]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
-                    [pa.array(first[i] - skip[row]), pa.array(at[i]), pa.array(step[i])], ["first", "at", "step"]))], ["part", "length", "runs"])
-
-    return before.select("part", "length", "n", "before").mapInArrow(
-        lean(run), "part long, length long, runs array<struct<first:long,at:long,step:long>>")
+            group = np.cumsum(batch.column(2).to_numpy()) // _PLACES_AT_ONCE
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                some = batch.slice(lo, hi - lo)
+                length, n, skip = (some.column(i).to_numpy() for i in (1, 2, 3))
+                shift = max(int(first.max()), int((skip + n).max(initial=0))).bit_length() + 1
+                ends = np.concatenate([[0], np.cumsum(n)])
+                row = np.repeat(np.arange(len(n)), n)
+                rank = np.arange(ends[-1]) - ends[row] + skip[row]
+                i = np.searchsorted((of << shift) + first, (length[row] << shift) + rank, "right") - 1
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.ListArray.from_arrays(
+                    pa.array(ends, pa.int32()), pa.array(at[i] + (rank - first[i]) * step[i]))], ["part", "length", "places"])
+
+    return before.select("part", "length", "n", "before").mapInArrow(lean(run), "part long, length long, places array<long>")
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0,
@@ -207,11 +209,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0,
         hist[r["length"]] = r["n"]
     before = counts.select("part", "length", "n", F.coalesce(F.sum("n").over(
         Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    here = _runs_here(before, layout(hist, window))
-    here = written(here.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "runs"))).alias("runs")), "piece-places")
-    run = F.element_at(F.filter(F.element_at("runs", F.col("length")), lambda r: r["first"] <= F.col("number")), -1)
-    placed = (pieces.join(here.hint("shuffle_hash"), "part").withColumn("run", run)
-              .withColumn("place", F.expr("run.at + (number - run.first) * run.step"))
+    # a task's row has a number for each of its pieces; an array in a map is read in place, by generated code
+    # (a lambda would copy the row for each piece)
+    here = _places(before, layout(hist, window))
+    here = written(here.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "places"))).alias("places")), "piece-places")
+    place = F.element_at(F.element_at("places", F.col("length")), (F.col("number") + 1).cast("int"))
+    placed = (pieces.join(here.hint("shuffle_hash"), "part").withColumn("place", place)
               .withColumn("over", F.expr(f"greatest(place % {window} + length - {window}, 0L)")))
     # what runs past its window is a piece of its own
     cut = placed.select("doc_id", "start", "length", "ids", "doc_tokens", "place", "over",

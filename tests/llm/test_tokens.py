@@ -177,9 +177,22 @@ def test_layout_has_one_place_for_every_piece():
         assert [a for a, _ in got] == np.cumsum([0, *(x for _, x in got)])[:-1].tolist()
 
 
+def test_places_come_in_pieces_of_a_batch(spark, monkeypatch):
+    rows = [(p, n, 1 + (p + n) % 7, 3 * p) for p in range(20) for n in (5, 9, 64)]
+    before = spark.createDataFrame(rows, "part long, length long, n long, before long").coalesce(1)
+    runs = packing.layout(np.bincount([5] * 100 + [9] * 100 + [64] * 100, minlength=65), 64)
+    whole = sorted(map(tuple, packing._places(before, runs).collect()))
+    assert [len(x) for _, _, x in whole] == [n for *_, n, _ in sorted(rows)]
+    _, first, at, step = next(r for r in runs.tolist() if r[0] == 64)
+    assert all(x == [at + (3 * p + i - first) * step for i in range(len(x))] for p, n, x in whole if n == 64)
+    monkeypatch.setattr(packing, "_PLACES_AT_ONCE", 8)
+    assert sorted(map(tuple, packing._places(before, runs).collect())) == whole
+
+
 def test_no_text_or_id_of_the_packed_pieces_goes_to_python(docs, tokenizer_path):
     plan = packing.pack(docs, tokenizer_path, window=64)._jdf.queryExecution().executedPlan().toString()
     assert "Arrow" not in plan and "Python" not in plan
+    assert "lambda" not in plan     # not generated code: the join's rows, which hold a task's places, would be copied
 
 
 def test_no_exchange_of_the_layout_moves_ids(docs, tokenizer_path):
