@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 16
+_KEPT_BYTES = 1 << 18      # the longest block that an operator asks for, whose powers are kept
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -29,14 +30,14 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept per process up to the size of a block (4 MB)."""
+    """base**0 .. base**(n-1) modulo 2**64, kept per process up to the longest block (2 MB)."""
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 1)
+        size = max(n, _KEPT_BYTES + 1)
         have = np.full(size, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size == BLOCK_BYTES + 1:
+        if size == _KEPT_BYTES + 1:
             _powers[name] = have
     return have[:n]
 

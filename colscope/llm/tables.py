@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from colscope.plans.sizing import DEFAULT_MAX_BYTES
 from colscope.session import ensure_checkpoint_dir
 
-BATCH_ROWS = 2000       # about 4 MB of usual documents
+BATCH_ROWS = 500        # about 1 MB of usual documents
+
+BATCH_SETTINGS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,19 +28,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def short_batches(spark: SparkSession, rows: int | None = BATCH_ROWS) -> Iterator[None]:
-    """While it lasts, at most ``rows`` rows (None: the session's number) go to a Python worker at a
-    time: a batch of texts is held several times over, by the JVM and by the worker, for every
-    running task."""
+    """While it lasts, at most ``rows`` rows (None: the session's number) are read from Parquet and go to
+    a Python worker at a time: a batch of texts is held several times over, by the JVM and by the
+    worker, for every running task."""
     if rows is None:
         yield
         return
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    before = {k: spark.conf.get(k) for k in BATCH_SETTINGS}
+    for k, n in before.items():
+        spark.conf.set(k, str(min(rows, int(n)) if int(n) > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, n in before.items():
+            spark.conf.set(k, n)
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.llm import decontaminate, neardup, packing, quality, queries, secrets
-from colscope.llm.blocks import BLOCK_BYTES
 from colscope.llm.tables import BATCH_ROWS, remove, shared_path, small_or_shuffled, table, without_ids, written
 
 TOKENIZER = "byte_bpe_50k.json"
 #: What a worker may keep of the parts of text it has encoded: less than in op2, as the JVM beside it
 #: has grown in the stages before.
-PARTS_BYTES = 40 << 20
+PARTS_BYTES = 24 << 20
+ENCODE_BYTES = 1 << 18      # of text for one call of the tokenizer, for the same reason
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -78,7 +78,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces in sequences of 1024 tokens: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), window=1024, end_id=0,
-                        cache_bytes=PARTS_BYTES, block_bytes=BLOCK_BYTES, batch_rows=BATCH_ROWS)
+                        cache_bytes=PARTS_BYTES, block_bytes=ENCODE_BYTES, batch_rows=BATCH_ROWS)
 
 
 STAGES = [
